@@ -80,9 +80,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) / share[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    cut = [F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, LONGEST + 1)]
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+
     grams = (
-        words.select("lang", "n", *[F.when(F.length(padded) >= n, x).alias(f"g{n}") for n, x in enumerate(cut, 1)])
+        words.select("lang", "n", *[F.when(F.length(padded) >= n, cut(n)).alias(f"g{n}") for n in range(1, LONGEST + 1)])
         .select("lang", "n", F.explode(F.concat(*[F.coalesce(f"g{n}", F.array().cast("array<string>")) for n in range(1, LONGEST + 1)])).alias("key"))
         .groupBy("lang", "key")
         .agg(F.sum("n").alias("n"))
