@@ -26,46 +26,46 @@ LONGEST = 5
 #: Words of a document that count at most towards its certainty.
 CERTAIN = 20
 #: Distinct words whose scores a task remembers before it starts anew.
-MEMO = 600_000
+MEMO = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
-    """languages, most frequent first; words: word -> log frequencies; grams: by length, n-gram -> log frequencies."""
+    """languages, most frequent first; words, and grams by length: key -> row of logs, the log frequencies in each
+    language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: list[dict[str, int]]
+    logs: np.ndarray
 
     def score_word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.logs[found]
         padded = f"^{word}$"
         for n in range(min(LONGEST, len(padded)), 0, -1):
             own = self.grams[n]
             hits = [v for k in range(len(padded) - n + 1) if (v := own.get(padded[k : k + n])) is not None]
             if hits:
-                return sum(hits) / len(hits)
+                return self.logs[hits].sum(0) / len(hits)
         return np.zeros(len(self.languages))
 
 
-def _logs(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies of each key in each language, add-half smoothed; only differences between languages matter."""
+def _logs(counts: dict[str, dict[str, int]], languages: list[str], at: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows from `at` on, of the log frequencies of each key in each language, add-half smoothed."""
     place = {x: i for i, x in enumerate(languages)}
     total = np.zeros(len(languages))
     for by in counts.values():
         for lang, n in by.items():
             total[place[lang]] += n
-    out = {}
-    for key, by in counts.items():
-        v = np.full(len(languages), 0.5)
+    out = np.full((len(counts), len(languages)), 0.5)
+    for k, by in enumerate(counts.values()):
         for lang, n in by.items():
-            v[place[lang]] += n
-        out[key] = np.log(v / (total + 0.5 * len(counts)))
-    return out
+            out[k, place[lang]] += n
+    return {key: at + k for k, key in enumerate(counts)}, np.log(out / (total + 0.5 * len(counts)))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -74,7 +74,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {}, [{} for _ in range(LONGEST + 1)])
+        return Model([], {}, [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)))
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     share = F.create_map(*[F.lit(y) for x in languages for y in (x, max(1.0, sizes[x] / per_language))])
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) / share[F.col("lang")])
@@ -98,7 +98,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
         return out
 
     kept = top(grams, MAX_GRAMS)
-    return Model(languages, _logs(top(words, MAX_WORDS), languages), [_logs({k: v for k, v in kept.items() if len(k) == n}, languages) for n in range(LONGEST + 1)])
+    words_at, logs = _logs(top(words, MAX_WORDS), languages, 0)
+    grams_at = []
+    for n in range(LONGEST + 1):
+        own, more = _logs({k: v for k, v in kept.items() if len(k) == n}, languages, len(logs))
+        grams_at.append(own)
+        logs = np.concatenate((logs, more))
+    return Model(languages, words_at, grams_at, logs)
 
 
 class _Memo(dict):
@@ -116,6 +122,16 @@ class _Memo(dict):
         return k
 
 
+#: The memo of a worker process, for the last model it met.
+_LAST: list[_Memo] = []
+
+
+def _memo_of(model: Model) -> _Memo:
+    if not _LAST or _LAST[0].model is not model:
+        _LAST[:] = [_Memo(model)]
+    return _LAST[0]
+
+
 def decide(model: Model, text: str | None, memo: _Memo) -> tuple[str, float]:
     words = _WORD.findall((text or "").lower())
     if not words or not model.languages:
@@ -147,13 +163,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        memo = getattr(sent.value, "memo", None) or _Memo(sent.value)
+        memo = _memo_of(sent.value)
         out = []
         for t in texts:
             if len(memo) > MEMO:
-                memo = _Memo(sent.value)
+                _LAST.clear()
+                memo = _memo_of(sent.value)
             out.append(decide(sent.value, t, memo))
-        sent.value.memo = memo
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     found = docs.drop("lang_pred", "score").withColumn("found_language", run(F.col(text_col).cast("string")))
