@@ -207,6 +207,22 @@ def merge(piece: bytes, single: list[int], joins: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class Memo:
+    """What the merging of pre-tokens has given: known: bytes -> k; flat[edges[k]:edges[k + 1]]: the ids."""
+
+    def __init__(self, of: bytes):
+        self.of = of
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.edges = array("i"), array("q", [0])
+
+
+#: The memo of a worker process, for the last vocabulary it met.
+_LAST: list[Memo] = []
+
+
 @dataclass
 class Tokenizer:
     """Encodes and decodes by the ranks of a vocabulary; every single byte must be an entry."""
@@ -224,35 +240,37 @@ class Tokenizer:
                 a, b = self.ranks.get(entry[:k]), self.ranks.get(entry[k:])
                 if a is not None and b is not None:
                     self.joins[a << 32 | b] = r
-        self._clear()
+        self.memo = Memo(self.digest())
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "flat", "edges")}
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._clear()
+        if not _LAST or _LAST[0].of != self.digest():
+            _LAST[:] = [Memo(self.digest())]
+        self.memo = _LAST[0]
+
+    def digest(self) -> bytes:
+        return hashlib.sha256(repr(sorted(self.ranks.items())).encode()).digest()
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.edges = array("i"), array("q", [0])
-
     def _merged(self, pieces: list[bytes]) -> np.ndarray:
         """For each piece its place in the memo."""
-        if len(self.known) > MEMO:
-            self._clear()
-        known, out = self.known, []
+        memo = self.memo
+        if len(memo.known) > MEMO:
+            memo.clear()
+        known, out = memo.known, []
         for p in pieces:
             k = known.get(p)
             if k is None:
-                k = known[p] = len(self.edges) - 1
-                self.flat.extend(merge(p, self.single, self.joins))
-                self.edges.append(len(self.flat))
+                k = known[p] = len(memo.edges) - 1
+                memo.flat.extend(merge(p, self.single, self.joins))
+                memo.edges.append(len(memo.flat))
             out.append(k)
         return np.array(out, np.int64)
 
@@ -277,14 +295,14 @@ class Tokenizer:
         if len(miss):
             a = place[miss]
             memo = self._merged([raw[i:j] for i, j in zip(a.tolist(), (a + lengths[miss]).tolist(), strict=True)])
-            edges = np.array(self.edges)
+            edges = np.array(self.memo.edges)
             counts[miss] = (edges[1:] - edges[:-1])[memo]
         to = np.concatenate(([0], np.cumsum(counts)))
         out = np.repeat(ids, counts)
         if len(miss):
             n = counts[miss]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(to[miss], n) + step] = np.array(self.flat)[np.repeat(edges[memo], n) + step]
+            out[np.repeat(to[miss], n) + step] = np.array(self.memo.flat)[np.repeat(edges[memo], n) + step]
         return np.split(out, to[np.searchsorted(at, ends[:-1])])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
