@@ -21,8 +21,8 @@ REPEATS = 3
 BUCKETS = 4096
 #: Patterns are planned on the driver; more distinct ones than this are refused, not dropped.
 MAX_PATTERNS = 100_000
-#: Documents behind the cuts of all patterns together that are looked at to fill the last gaps.
-FILL = 100_000
+#: Documents behind each pattern's cut that are looked at to fill its last gap.
+FILL = 64
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -150,10 +150,12 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
     dealt = rows.withColumn("key", key).join(F.broadcast(plan_df.withColumn("key", key).drop("pattern")), "key").drop("key")
     dealt = dealt.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKETS.bit_length() + 1))
-    by_bucket = dealt.filter("more > 0").groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.first("more").alias("more"))
-    upto = F.sum("n").over(Window.partitionBy("p").orderBy("bucket"))
-    edge = by_bucket.withColumn("upto", upto).filter("upto >= more and upto - n < more").groupBy("p").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-    edges = spark.createDataFrame(edge.select("p", "e.bucket", "e.before").collect(), "p long, edge long, before long")
+    by_bucket = dealt.filter("more > 0").groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("docs"), F.first("more").alias("more"))
+    so_far = Window.partitionBy("p").orderBy("bucket")
+    by_bucket = cut(by_bucket.withColumns({"upto": F.sum("n").over(so_far), "docs_upto": F.sum("docs").over(so_far)}), "mix-buckets")
+    edge = by_bucket.filter("upto >= more and upto - n < more").groupBy("p").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "docs_upto")).alias("e"))
+    behind = by_bucket.join(edge, "p").filter(F.col("docs_upto") - F.col("docs") < F.col("e.docs_upto") + FILL).groupBy("p").agg(F.first("e").alias("e"), F.max("bucket").alias("last"))
+    edges = spark.createDataFrame(behind.select("p", "e.bucket", "e.before", "last").collect(), "p long, edge long, before long, last long")
     dealt = dealt.join(F.broadcast(edges), "p", "left")
     away = dealt.filter("edge is null or bucket != edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(0)))
     run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0))
@@ -162,7 +164,7 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     at = at.withColumn("extra", (F.col("run") <= F.col("more")).cast("long")).drop("run")
     dealt = away.unionByName(at)
     nth = F.row_number().over(Window.partitionBy("p").orderBy("h", "row"))
-    after = dealt.filter("extra = 0 and edge is not null and size > 0").select("p", "h", "row", "size").withColumn("nth", nth).filter(F.col("nth") <= max(1, FILL // max(1, len(gaps))))
+    after = dealt.filter("extra = 0 and bucket >= edge and bucket <= last and size > 0").select("p", "h", "row", "size").withColumn("nth", nth).filter(F.col("nth") <= FILL)
     fill = spark.createDataFrame([(x,) for x in _fill(gaps, after.select("p", "row", "size").collect())], "row long")
     dealt = dealt.join(F.broadcast(fill.withColumn("fills", F.lit(1))), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("fills", F.lit(0)))
     copies = F.least(F.col("whole") + F.col("extra"), F.lit(repeats))
