@@ -25,7 +25,8 @@ def share(part: Column, total: Column) -> Column:
 
 def days_between(start: Column, end: Column) -> Column:
     """Whole days, half a day up, never negative."""
-    return F.greatest(F.lit(0), F.floor((F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))) / DAY_MS + 0.5)).cast("long")
+    days = F.floor((F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))) / DAY_MS + 0.5).cast("long")
+    return F.when(days.isNotNull(), F.greatest(F.lit(0).cast("long"), days))
 
 
 def days_since(at: Column, as_of: Column) -> Column:

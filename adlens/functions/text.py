@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,10 +23,18 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[\s\x{A0}\x{FEFF}\x{2028}\x{2029}]+", " "))
 
 
-@F.pandas_udf("string")
-def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _decompose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not "̀" <= c <= "ͯ"))
+        yield s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not 0x300 <= ord(c) <= 0x36F))
+
+
+def _fold(s: Column) -> Column:
+    return F.pandas_udf(_decompose, "string")(s)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def normalise(s: Column) -> Column:

@@ -27,16 +27,21 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def angles(text: Column) -> Column:
-    """array<struct<angle, label, score, evidence>>: scores of 20 and more, six at most, best first."""
-    hits = []
+    """array<struct<angle, label, score, evidence>>: scores of 20 and more, six at most, best first. Every
+    pattern runs over the text once."""
     patterns = rules.table(rules.ANGLE_PATTERNS)
-    for pos, (key, label, _) in enumerate(rules.table(rules.ANGLES)):
-        own = [(float(w), p) for k, w, p in patterns if k == key]
-        raw = reduce(lambda a, b: a + b, [F.lit(w) * F.least(F.lit(3), _count(text, p)) for w, p in own])
-        evidence = F.slice(F.array_distinct(F.concat(*[F.slice(_matches(text, p), 1, 3) for _, p in own])), 1, 6)
-        hits.append(F.struct((-S.angle_score(raw)).alias("order"), F.lit(pos).alias("pos"), F.lit(key).alias("angle"), F.lit(label).alias("label"), S.angle_score(raw).alias("score"), F.when(raw > 0, evidence).alias("evidence")))
-    best = F.slice(F.array_sort(F.filter(F.array(*hits), lambda h: h["score"] >= 20)), 1, 6)
-    return F.transform(best, lambda h: F.struct(h["angle"].alias("angle"), h["label"].alias("label"), h["score"].alias("score"), h["evidence"].alias("evidence")))
+
+    def judge(m: Column) -> Column:
+        hits = []
+        for pos, (key, label, _) in enumerate(rules.table(rules.ANGLES)):
+            own = [(k, float(w)) for k, (name, w, _) in enumerate(patterns) if name == key]
+            raw = reduce(lambda a, b: a + b, [F.lit(w) * F.least(F.lit(3), F.size(m[k])) for k, w in own])
+            evidence = F.slice(F.array_distinct(F.transform(F.concat(*[F.slice(m[k], 1, 3) for k, _ in own]), T.collapse)), 1, 6)
+            hits.append(F.struct((-S.angle_score(raw)).alias("order"), F.lit(pos).alias("pos"), F.lit(key).alias("angle"), F.lit(label).alias("label"), evidence.alias("evidence")))
+        best = F.slice(F.array_sort(F.filter(F.array(*hits), lambda h: h["order"] <= -20)), 1, 6)
+        return F.transform(best, lambda h: F.struct(h["angle"].alias("angle"), h["label"].alias("label"), (-h["order"]).alias("score"), h["evidence"].alias("evidence")))
+
+    return T.let(F.array(*[F.regexp_extract_all(text, F.lit(T.js_regex(p, "i")), F.lit(0)) for _, _, p in patterns]), judge)
 
 
 def awareness(text: Column, found: Column) -> Column:
@@ -44,19 +49,20 @@ def awareness(text: Column, found: Column) -> Column:
 
     On a tie the stage that was scored first wins: rules in order, then the angles' additions in theirs.
     """
-    stages: dict[str, list[Column]] = {}
-    for stage, weight, pattern in rules.table(rules.AWARENESS):
-        stages.setdefault(stage, []).append(F.lit(float(weight)) * F.least(F.lit(3), _count(text, pattern)))
-    by_rule = {k: reduce(lambda a, b: a + b, v) for k, v in stages.items()}
-    scored = []
-    order = list(stages)
-    for bump, (keys, stage, points) in enumerate(rules.AWARENESS_BUMPS):
-        has = F.arrays_overlap(found, F.array(*[F.lit(k) for k in keys]))
-        first = F.when(by_rule[stage] > 0, order.index(stage)).otherwise(len(order) + bump)
-        total = by_rule[stage] + F.when(has, points).otherwise(0.0)
-        scored.append(F.struct((-total).alias("neg"), first.alias("first"), F.lit(stage).alias("stage"), total.alias("total")))
-    best = F.array_min(F.filter(F.array(*scored), lambda x: x["total"] > 0))
-    return F.coalesce(best["stage"], F.when(T.word_count(text) < 25, "most-aware").otherwise("solution-aware"))
+    table = rules.table(rules.AWARENESS)
+    order = list(dict.fromkeys(stage for stage, _, _ in table))
+
+    def judge(n: Column) -> Column:
+        scored = []
+        for bump, (keys, stage, points) in enumerate(rules.AWARENESS_BUMPS):
+            by_rule = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.least(F.lit(3), n[k]) for k, (s, w, _) in enumerate(table) if s == stage])
+            has = F.arrays_overlap(found, F.array(*[F.lit(k) for k in keys]))
+            total = by_rule + F.when(has, points).otherwise(0.0)
+            scored.append(F.struct((-total).alias("neg"), F.when(by_rule > 0, order.index(stage)).otherwise(len(order) + bump).alias("first"), F.lit(stage).alias("stage")))
+        return F.array_min(F.filter(F.array(*scored), lambda x: x["neg"] < 0))["stage"]
+
+    best = T.let(F.array(*[_count(text, p) for _, _, p in table]), judge)
+    return F.coalesce(best, F.when(T.word_count(text) < 25, "most-aware").otherwise("solution-aware"))
 
 
 def first_match(text: Column, table: list[tuple[str, Column]], default: Column | str) -> Column:

@@ -124,7 +124,7 @@ def brand_vocabulary(ads: DataFrame, brands: DataFrame) -> DataFrame:
         ads.select(F.lit("signature").alias("slot"), *base, body.alias("text"))
         .union(ads.select(F.lit("hook"), *base, F.col("hook")))
         .union(ads.select(F.lit("cta"), *base, close))
-        .union(ads.select(F.concat(F.lit("angle:"), F.explode("angles")), *base, F.concat_ws(". ", "title", "body")))
+        .union(ads.select(*base, "title", "body", F.explode("angles").alias("a")).select(F.concat(F.lit("angle:"), "a"), *base, F.concat_ws(". ", "title", "body")))
     )
     keys = ["brand", "slot"]
     per_angle = F.col("slot").startswith("angle:")

@@ -34,7 +34,7 @@ ADS = f"""
 line AS (SELECT l_orderkey, count(*) AS variants, max(l_shipdate) AS "end", min(l_quantity) AS q0, max(l_quantity) AS q1, max(l_extendedprice) AS spend FROM lineitem GROUP BY 1),
 ads AS (SELECT o_orderkey AS ad_id, o_custkey AS brand, c_name AS brand_name, c_mktsegment AS niche, c_nationkey AS sub_niche, o_orderpriority AS angle, o_orderstatus AS format, o_orderdate AS start, "end",
   o_orderstatus = 'O' AS active, o_totalprice AS reach, (q0 * 1000 + q1 * 1000) / 2 AS imp, spend, variants,
-  CAST(greatest(0, floor((epoch_ms("end") - epoch_ms(o_orderdate)) / 86400000.0 + 0.5)) AS BIGINT) AS days
+  CASE WHEN "end" IS NOT NULL THEN CAST(greatest(0, floor((epoch_ms("end") - epoch_ms(o_orderdate)) / 86400000.0 + 0.5)) AS BIGINT) END AS days
   FROM orders LEFT JOIN line ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey),
 parts AS (SELECT *, {_LOG.format(v="imp", c=10000000)} AS si, {_LOG.format(v="reach", c=5000000)} AS sr, {_LOG.format(v="spend", c=500000)} AS ss, CASE WHEN days IS NOT NULL THEN least(1.0, days / 180.0) END AS sl, {_LOG.format(v="variants", c=50)} AS sv FROM ads),
 rated AS (SELECT *, CASE WHEN active THEN least(100, raw * 1.05) ELSE raw END AS up FROM (SELECT *,
