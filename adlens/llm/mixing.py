@@ -88,23 +88,23 @@ def flow(patterns: Sequence[tuple[Sequence[int], int]], wanted: Sequence[int], r
     return given
 
 
-def _fill(gaps: dict[int, int], rows: Sequence[tuple[int, int, int]]) -> list[int]:
+def _fill(gaps: dict[int, int], rows: Sequence[tuple[int, int, int, int]]) -> list[int]:
     """Of the documents just behind each pattern's cut, those that fill its gap: larger ones first while they fit,
     then one that does not, if that comes nearer."""
     out = []
-    by: dict[int, list[tuple[int, int]]] = {}
-    for p, row, size in rows:
-        by.setdefault(p, []).append((size, row))
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for p, h, row, size in rows:
+        by.setdefault(p, []).append((size, h, row))
     for p, found in sorted(by.items()):
         gap, left = gaps[p], []
-        for size, row in sorted(found, reverse=True):
+        for size, h, row in sorted(found, reverse=True):
             if size <= gap:
                 gap -= size
                 out.append(row)
             else:
-                left.append((size, row))
+                left.append((size, h, row))
         if left and min(left)[0] - gap < gap:
-            out.append(min(left)[1])
+            out.append(min(left)[2])
     return out
 
 
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     dealt = away.unionByName(at)
     nth = F.row_number().over(Window.partitionBy("p").orderBy("h", "row"))
     after = dealt.filter("extra = 0 and bucket >= edge and bucket <= last and size > 0").select("p", "h", "row", "size").withColumn("nth", nth).filter(F.col("nth") <= FILL)
-    fill = spark.createDataFrame([(x,) for x in _fill(gaps, after.select("p", "row", "size").collect())], "row long")
+    fill = spark.createDataFrame([(x,) for x in _fill(gaps, after.select("p", "h", "row", "size").collect())], "row long")
     dealt = dealt.join(F.broadcast(fill.withColumn("fills", F.lit(1))), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("fills", F.lit(0)))
     copies = F.least(F.col("whole") + F.col("extra"), F.lit(repeats))
     return dealt.select(
