@@ -274,6 +274,11 @@ class Tokenizer:
             out.append(k)
         return np.array(out, np.int64)
 
+    def hash_of_entries(self) -> np.ndarray:
+        keys = list(self.ranks)
+        lengths = np.array([len(k) for k in keys], np.int64)
+        return Words(b"".join(keys), np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths).hashes(np.arange(len(keys)))
+
     def encode_block(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         data = "".join(texts)
