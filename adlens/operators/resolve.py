@@ -74,7 +74,7 @@ def find_alias(inputs: DataFrame, aliases: DataFrame) -> DataFrame:
     """The first alias (by pos) that an input meets on slug, folded legal name, folded brand or host: four
     equi-joins. inputs: id, slug, name, website; aliases: pos and the alias columns."""
     a = aliases.withColumns({"a_slug": F.lower("linkedin_slug"), "a_entity": T.company_name(F.col("legal_entity")), "a_brand": T.company_name(F.col("brand")), "a_host": U.host_of(F.col("website"))})
-    i = inputs.withColumns({"i_slug": F.lower("slug"), "i_name": T.company_name(F.col("name")), "i_host": U.host_of(F.col("website"))})
+    i = inputs.withColumns({"i_slug": F.lower("slug"), "i_name": T.company_name(F.col("name")), "i_host": U.host_of(F.col("website"))}).select("id", "i_slug", "i_name", "i_host")
     met = None
     for left, right in (("i_slug", "a_slug"), ("i_name", "a_entity"), ("i_name", "a_brand"), ("i_host", "a_host")):
         hit = i.filter(F.col(left) != "").join(a.filter(F.col(right) != ""), F.col(left) == F.col(right)).select("id", "pos", *ALIAS_COLUMNS)

@@ -62,7 +62,7 @@ def split_tests(spark: SparkSession, d: str) -> DataFrame:
     return run(p, ["host"])
 
 
-@query("page_meta", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
+@query("page_meta", "SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
 def page_meta(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).withColumn("page", P.read_html(F.col("html")))
     return p.select("page_id", F.col("page.title").alias("title"), F.size("page.links").cast("long").alias("links"))
