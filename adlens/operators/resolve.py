@@ -31,7 +31,7 @@ def signals(pages: DataFrame) -> DataFrame:
 
     def named(prefix: str, source: str, w: Column) -> Column:
         found = F.regexp_extract_all("text", F.lit(prefix + _NAME), F.lit(0))
-        return F.transform(found, lambda q: F.struct(F.lit("legal-entity").alias("role"), clean_entity(F.regexp_extract(q, _NAME, 1), F.regexp_extract(q, _NAME, 2)).alias("value"), F.lit(source).alias("source"), w.cast("int").alias("weight"), q.alias("quote")))
+        return F.transform(found, lambda q: F.struct(F.lit("legal-entity").alias("role"), clean_entity(F.regexp_extract(q, prefix + _NAME, 1), F.regexp_extract(q, prefix + _NAME, 2)).alias("value"), F.lit(source).alias("source"), w.cast("int").alias("weight"), q.alias("quote")))
 
     year = r"(?:©|\(c\)|[Cc]opyright)\s*(?:©\s*)?(?:\d{4}(?:\s*[-–]\s*\d{4})?)?,?\s*(?:by\s+)?"
     contract = r"(?:operated by|owned by|agreement (?:with|between you and)|[Tt]hroughout the site, the terms .{0,40} refer to|is a (?:brand|product|trade name) of)\s+"
