@@ -153,11 +153,12 @@ def ngrams(tokens: Column, most: int, stop: list[str]) -> Column:
         first, last = F.element_at(g, 1), F.element_at(g, -1)
         return ~F.array_contains(stops, first) & ~F.array_contains(stops, last) & ~last.rlike(r"^\d+$") & F.exists(g, usable)
 
-    def of(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(F.transform(at, lambda i: F.slice(tokens, i, n)), good), lambda g: F.array_join(g, " "))
+    def of(own: Column, n: int) -> Column:
+        at = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(F.transform(at, lambda i: F.slice(own, i, n)), good), lambda g: F.array_join(g, " "))
 
-    return F.flatten(F.array(*[of(n) for n in range(1, most + 1)]))
+    # The tokens are an expression: bound once, not worked out again for every gram.
+    return let(tokens, lambda own: F.flatten(F.array(*[of(own, n) for n in range(1, most + 1)])))
 
 
 def company_name(s: Column) -> Column:
