@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are cut and looked up in blocks of about this many characters.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Distinct merged pre-tokens that a task remembers before it starts anew.
-MEMO = 1_200_000
+MEMO = 700_000
+
+#: Rows that go back at once: their ids, as 32-bit numbers, are all that is held of them.
+ROWS = 500
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -341,16 +344,18 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = sent.value  # a worker process keeps it, and what it remembers, from task to task
         words = {v: str(v) for v in tok.entries}
-        for batch in batches:
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for ids in tok.encode([t or "" for t in batch.column(1).to_pylist()]):
-                each = ids.tolist()
-                n.append(len(each))
-                ids_sha.append(hashlib.sha256(" ".join(map(words.__getitem__, each)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(tok.entries.__getitem__, each))).hexdigest())
-                if with_ids:
-                    kept.append(each)
-            arrays = [batch.column(0)] + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id"] + ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, ids_sha, text_sha, kept = [], [], [], [np.zeros(0, np.int32)]
+                for ids in tok.encode([t or "" for t in batch.column(1).to_pylist()]):
+                    each = ids.tolist()
+                    n.append(len(each))
+                    ids_sha.append(hashlib.sha256(" ".join(map(words.__getitem__, each)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(tok.entries.__getitem__, each))).hexdigest())
+                    kept += [ids] if with_ids else []
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(kept), pa.int32()))] if with_ids else []
+                arrays = [batch.column(0), *lists, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id"] + ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, " + "ids array<int>, " * with_ids + SCHEMA)
