@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings, exactly, by threshold-bounded interval expansion on a BWT.
 
-A window is `length` bytes. Each belongs to the smallest 16-gram in it (leftmost on ties), its anchor; equal windows
+A window is `length` bytes. Each belongs to the gram of the smallest hash in it (leftmost on ties), its anchor; equal windows
 have equal anchors, so the windows of a document fall into segments, one for each anchor, and only segments with
 the same anchor can share windows. Equal segments are collapsed by a 128-bit hash before any text moves. Where an
 anchor has different segments, their distinct texts are gathered in shards of bounded size; in a shard, suffixes are
@@ -24,33 +24,44 @@ from pyspark.sql import functions as F
 from adlens.llm.common import cut, text_of
 
 LENGTH = 400
-GRAM = 16
+#: Bytes of a gram for windows of LENGTH: long enough that only repeats share it, short enough that anchors stay rare.
+GRAM = 64
 #: Windows that are looked at together; longer texts go piece by piece.
 PIECE = 1 << 22
 #: Bytes of text in a shard, about, and different segments of one anchor that a shard takes.
 SHARD_BYTES = 1 << 20
-CROWD = 1500
+CROWD = 4096
 #: Rows up to which a side is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 300_000
 
 
-def _gram_hashes(data: bytes) -> np.ndarray:
+def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
+    """The hash of each gram, whose length is a power of two from 8 on."""
     padded = data + bytes(8)
-    w = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
-    n, mul = len(data) - GRAM + 1, np.uint64(0x9E3779B97F4A7C15)
-    h = (w[:n] ^ np.uint64(0x5851F42D4C957F2D)) * mul
-    h = ((h ^ (h >> np.uint64(32))) + w[8 : 8 + n]) * mul
+    h, mul, size = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,)), np.uint64(0x9E3779B97F4A7C15), 8
+    h = h[: len(data) - 7]
+    while size < gram:  # two neighbours make one of twice the size
+        h = ((h[: len(h) - size] ^ np.uint64(0x5851F42D4C957F2D)) * mul) ^ (h[size:] >> np.uint64(1)) ^ (h[size:] << np.uint64(63))
+        size *= 2
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h *= mul
     return h ^ (h >> np.uint64(32))
 
 
+def gram_of(length: int) -> int:
+    """The largest power of two that is at most GRAM and a quarter of the window."""
+    return 1 << max(3, min(GRAM, length // 4).bit_length() - 1)
+
+
 def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hashes, first windows, last windows) of the segments of a text, in order."""
     out = []
-    width = length - GRAM + 1
+    gram = gram_of(length)
+    width = length - gram + 1
     for begin in range(0, len(data) - length + 1, PIECE):
-        h = _gram_hashes(data[begin : begin + PIECE + length - 1])
+        h = _gram_hashes(data[begin : begin + PIECE + length - 1], gram)
         n = len(h) - width + 1
         place = np.arange(len(h), dtype=np.uint64)
         key = (h & ~np.uint64((1 << 23) - 1)) | place
@@ -186,7 +197,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = distinct.join(_small(crowded, crowded.count()).withColumn("crowd", F.lit(True)), "anchor", "left")
     wanted = marked.withColumn("shard", F.when(F.col("crowd"), -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).groupBy("doc", "dh").agg(F.collect_list(F.struct("shard", "anchor", "s1", "s2", "n", "lo", "hi")).alias("want"))
     wanted = wanted.withColumnsRenamed({"doc": "want_doc", "dh": "want_dh"})
-    there = keyed.join(_small(wanted, n_rows), (F.col("dh") == F.col("want_dh")) & F.col("doc").eqNullSafe(F.col("want_doc"))).dropDuplicates(["doc", "dh"]) if n_rows > BROADCAST_ROWS else keyed.join(F.broadcast(wanted), (F.col("dh") == F.col("want_dh")) & F.col("doc").eqNullSafe(F.col("want_doc")))
+    there = keyed.join(_small(wanted, n_rows), (F.col("dh") == F.col("want_dh")) & F.col("doc").eqNullSafe(F.col("want_doc")))
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,13 +213,14 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows, size = [], 0
             yield _batch(rows, _CUT)
 
-    bodies = cut(there.select("text", "want").mapInArrow(carve, _CUT).dropDuplicates(["anchor", "s1", "s2"]), "repeats-bodies")
+    bodies = cut(there.select("text", "want").mapInArrow(carve, _CUT), "repeats-bodies")
 
     def expand(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        flags = repeated(part["body"].to_pylist(), length)
+        # A document that comes in several rows has sent its segments as often.
+        own = {key: (n, body) for *key_, n, body in zip(*(part[c].to_pylist() for c in ("anchor", "s1", "s2", "n", "body")), strict=True) for key in [tuple(key_)]}
+        flags = repeated([body for _, body in own.values()], length)
         rows = []
-        for anchor, s1, s2, n, flag in zip(*(part[c].to_pylist() for c in ("anchor", "s1", "s2", "n")), flags, strict=True):
+        for (anchor, s1, s2), (n, _), flag in zip(own, own.values(), flags, strict=True):
             windows = len(flag) - length + 1
             rows += [(anchor, s1, s2, a, b) for a, b in ([(0, windows - 1)] if n > 1 else _runs(flag[:windows]))]
         return pa.Table.from_batches([_batch(rows, _PART)])
@@ -226,10 +238,11 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows = []
             yield _batch(rows, schema)
 
-    each = bodies.filter("shard < 0").select("anchor", "s1", "s2", "body").mapInArrow(windows, "anchor long, s1 long, s2 long, lo long, w1 long, w2 long")
+    crowd = bodies.filter("shard < 0").dropDuplicates(["anchor", "s1", "s2"])
+    each = crowd.select("anchor", "s1", "s2", "body").mapInArrow(windows, "anchor long, s1 long, s2 long, lo long, w1 long, w2 long")
     often = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     by_count = each.join(often, ["w1", "w2"]).select("anchor", "s1", "s2", "lo", F.col("lo").alias("hi"))
-    crowd_whole = bodies.filter("shard < 0 and n > 1").select("anchor", "s1", "s2", F.lit(0).cast("long").alias("lo"), (F.octet_length("body") - length).cast("long").alias("hi"))
+    crowd_whole = crowd.filter("n > 1").select("anchor", "s1", "s2", F.lit(0).cast("long").alias("lo"), (F.octet_length("body") - length).cast("long").alias("hi"))
     parts = by_bwt.union(by_count).union(crowd_whole)
     parts = cut(parts.withColumnsRenamed({"lo": "a", "hi": "b"}), "repeats-parts")
     spans = mixed.join(_small(parts, parts.count()), ["anchor", "s1", "s2"]).select("doc", "dh", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
