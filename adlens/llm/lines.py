@@ -9,6 +9,7 @@ is exact and linear in their number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from adlens.llm.common import cut, text_of
 from adlens.llm.components import components
+from adlens.llm.spans import let
 
 #: Shorter lines are left alone.
 MIN_CHARS = 24
@@ -54,39 +56,69 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
+def _trimmed(a: Column, b: Column) -> Column:
+    """struct<a, b> without the first and the last half of the shorter string, where the two strings share them. Common
+    ends do not change a distance."""
+
+    def head(x: Column) -> Column:
+        half = F.floor(F.least(F.length(x["a"]), F.length(x["b"])) / 2).cast("int")
+        same = (half > 0) & (F.substr(x["a"], F.lit(1), half) == F.substr(x["b"], F.lit(1), half))
+        return F.when(same, F.struct(F.substr(x["a"], half + 1).alias("a"), F.substr(x["b"], half + 1).alias("b"))).otherwise(x)
+
+    def tail(x: Column) -> Column:
+        n, m = F.length(x["a"]), F.length(x["b"])
+        half = F.floor(F.least(n, m) / 2).cast("int")
+        same = (half > 0) & (F.substr(x["a"], n - half + 1) == F.substr(x["b"], m - half + 1))
+        return F.when(same, F.struct(F.substr(x["a"], F.lit(1), n - half).alias("a"), F.substr(x["b"], F.lit(1), m - half).alias("b"))).otherwise(x)
+
+    def once(x: Column) -> Column:
+        return let(head(x), tail)
+
+    return let(let(let(F.struct(a.alias("a"), b.alias("b")), once), once), once)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within `edits` edits, by a bit vector over the band around the diagonal.
 
     The pattern is the longer string; bit k of a column stands for row (column - edits + k). Only zero or one carry
-    leaves the band, so the words have 2 * edits + 1 bits.
+    leaves the band, so the words have 2 * edits + 1 bits. Halves that the strings share are cut off before, and the
+    columns behind one that exceeds the bound are passed over: the distance along a diagonal never falls.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    shorter = F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    pattern, text = F.split(longer, ""), F.split(shorter, "")
-    gap = F.length(longer) - F.length(shorter)
-    state = F.struct(F.lit((mask << edits) & mask).alias("vp"), F.lit(0).alias("vn"), gap.alias("d"), F.lit(0).alias("j"))
-
-    def step(p: Column) -> object:
-        def one(s: Column, c: Column) -> Column:
-            same = reduce(lambda x, k: x.bitwiseOR(F.when(F.get(p, s["j"] + (k - edits)) == c, 1 << k).otherwise(0)), range(width), F.lit(0))
-            vp, vn = s["vp"], s["vn"]
-            d0 = ((same.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-            hp = vn.bitwiseOR(F.lit(mask) - d0.bitwiseOR(vp).bitwiseAND(F.lit(mask)))
-            hn = d0.bitwiseAND(vp)
-            down = F.shiftright(d0, 1)
-            return F.struct(
-                hn.bitwiseOR(F.lit(mask) - down.bitwiseOR(hp).bitwiseAND(F.lit(mask))).alias("vp"),
-                down.bitwiseAND(hp).alias("vn"),
-                (s["d"] + F.when(F.getbit(d0.cast("long"), gap + edits) == 0, 1).otherwise(0)).alias("d"),
-                (s["j"] + 1).alias("j"),
-            )
-
-        return one
-
-    distance = F.element_at(F.transform(F.array(pattern), lambda p: F.aggregate(text, state, step(p), lambda s: s["d"])), 1)
-    return F.when(gap > edits, False).when(F.length(shorter) == 0, gap <= edits).otherwise(distance <= edits)
+
+    def decide(x: Column) -> Column:
+        first = F.length(x["a"]) >= F.length(x["b"])
+        longer, shorter = F.when(first, x["a"]).otherwise(x["b"]), F.when(first, x["b"]).otherwise(x["a"])
+        gap = F.length(longer) - F.length(shorter)
+        state = F.struct(F.lit((mask << edits) & mask).alias("vp"), F.lit(0).alias("vn"), gap.alias("d"), F.lit(0).alias("j"))
+
+        def step(p: Column) -> Callable[[Column, Column], Column]:
+            def one(s: Column, c: Column) -> Column:
+                same = reduce(lambda y, k: y.bitwiseOR(F.when(F.get(p, s["j"] + (k - edits)) == c, 1 << k).otherwise(0)), range(width), F.lit(0))
+                vp, vn = s["vp"], s["vn"]
+                d0 = ((same.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(F.lit(mask))
+
+                def after(d0: Column) -> Column:
+                    hp = vn.bitwiseOR(F.lit(mask) - d0.bitwiseOR(vp).bitwiseAND(F.lit(mask)))
+                    hn = d0.bitwiseAND(vp)
+                    down = F.shiftright(d0, 1)
+                    return F.struct(
+                        hn.bitwiseOR(F.lit(mask) - down.bitwiseOR(hp).bitwiseAND(F.lit(mask))).alias("vp"),
+                        down.bitwiseAND(hp).alias("vn"),
+                        (s["d"] + F.when(F.getbit(d0.cast("long"), gap + edits) == 0, 1).otherwise(0)).alias("d"),
+                        (s["j"] + 1).alias("j"),
+                    )
+
+                return F.when(s["d"] > edits, s).otherwise(let(d0, after))
+
+            return one
+
+        distance = let(F.split(longer, ""), lambda p: F.aggregate(F.split(shorter, ""), state, step(p), lambda s: s["d"]))
+        return F.when(F.length(shorter) == 0, True).otherwise(distance <= edits)
+
+    near = F.abs(F.length(a) - F.length(b)) <= edits
+    return F.when(near, F.when(a == b, True).otherwise(let(_trimmed(a, b), decide))).otherwise(False)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
