@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -329,6 +330,12 @@ class Tokenizer:
         return b"".join(map(self.entries.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Tokenizer:
+    """The driver's one copy of a vocabulary, however often a query is built."""
+    return Tokenizer.load(path)
+
+
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -339,7 +346,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     those of the empty string. Repeated rows and null ids come back as they are; an empty table gives an empty
     result; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Tokenizer.load(path))  # as large as the vocabulary, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(_loaded(path))  # as large as the vocabulary, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = sent.value  # a worker process keeps it, and what it remembers, from task to task

@@ -20,8 +20,8 @@ UNKNOWN = "und"
 #: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of their text.
 SAMPLE_PER_LANGUAGE = 3000
 #: Words and n-grams kept for each language, the most frequent first.
-MAX_WORDS = 40_000
-MAX_GRAMS = 40_000
+MAX_WORDS = 20_000
+MAX_GRAMS = 20_000
 LONGEST = 5
 #: Words of a document that count at most towards its certainty.
 CERTAIN = 20
@@ -93,8 +93,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
 
     def top(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
         out: dict[str, dict[str, int]] = {}
-        for r in counts.filter("n > 1").orderBy(F.desc("n"), "key", "lang").limit(most * len(languages)).collect():
-            out.setdefault(r.key, {})[r.lang] = r.n
+        found = counts.filter("n > 1").orderBy(F.desc("n"), "key", "lang").limit(most * len(languages)).select("key", "lang", "n").toArrow()
+        for key, lang, n in zip(*(found[c].to_pylist() for c in ("key", "lang", "n")), strict=True):
+            out.setdefault(key, {})[lang] = n
         return out
 
     kept = top(grams, MAX_GRAMS)
