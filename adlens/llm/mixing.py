@@ -3,7 +3,8 @@
 Documents are aggregated by the set of sources they belong to. Each pattern offers its words up to `repeats` times
 at a convex cost (a second copy costs more than a first), each source asks for its target, and the cheapest flow
 says how many words every pattern gives. Inside a pattern the documents that get one copy more are the first in a
-seeded hash order; the cut is found from sums over hash buckets, so no task sees a whole pattern.
+seeded hash order; the cut is found from sums over hash buckets, so no task sees a whole pattern. A document that does
+not fit is left out and the rest is cut again behind it, until no document left fits the gap.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ REPEATS = 3
 BUCKETS = 4096
 #: Patterns are planned on the driver; more distinct ones than this are refused, not dropped.
 MAX_PATTERNS = 100_000
-#: Documents behind each pattern's cut that are looked at to fill its last gap.
-FILL = 64
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,24 +87,40 @@ def flow(patterns: Sequence[tuple[Sequence[int], int]], wanted: Sequence[int], r
     return given
 
 
-def _fill(gaps: dict[int, int], rows: Sequence[tuple[int, int, int, int]]) -> list[int]:
-    """Of the documents just behind each pattern's cut, those that fill its gap: larger ones first while they fit,
-    then one that does not, if that comes nearer."""
-    out = []
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for p, h, row, size in rows:
-        by.setdefault(p, []).append((size, h, row))
-    for p, found in sorted(by.items()):
-        gap, left = gaps[p], []
-        for size, h, row in sorted(found, reverse=True):
-            if size <= gap:
-                gap -= size
-                out.append(row)
+def _cuts(dealt: DataFrame, more: dict[int, int]) -> tuple[dict[int, list[tuple]], dict[int, int]]:
+    """dealt (p, bucket, h, row, size), and the words that each pattern needs -> each pattern's stretches, and its gap.
+
+    A stretch ends before (bucket, h, row), or never where that is null; its documents of at most `fits` words are
+    taken. The document at its end does not fit the gap that is left, which is what the next stretch takes.
+    """
+    spark = dealt.sparkSession
+    out: dict[int, list[tuple]] = {p: [] for p in more}
+    gap, at = dict(more), dict.fromkeys(more, (-1, 0, 0))
+    live = sorted(p for p in more if more[p] > 0)
+    while live:
+        now = spark.createDataFrame([(p, gap[p], *at[p]) for p in live], "p long, gap long, cb long, ch long, cr long")
+        left = dealt.join(F.broadcast(now), "p").filter("size > 0 and size <= gap and struct(bucket, h, row) >= struct(cb, ch, cr)")
+        so_far = Window.partitionBy("p").orderBy("bucket")
+        sums = left.groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.first("gap").alias("gap")).withColumn("upto", F.sum("n").over(so_far))
+        edge = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))))
+        edges = {r.p: (r.e, r.n) for r in sums.groupBy("p").agg(edge.alias("e"), F.sum("n").alias("n")).collect()}
+        crossed = {}
+        if any(e for e, _ in edges.values()):
+            edge_df = spark.createDataFrame([(p, e.bucket, e.before) for p, (e, _) in edges.items() if e], "p long, bucket long, before long")
+            run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0))
+            inside = left.join(F.broadcast(edge_df), ["p", "bucket"]).withColumn("run", F.col("before") + run).filter("run > gap")
+            first = inside.groupBy("p").agg(F.min(F.struct("bucket", "h", "row", (F.col("run") - F.col("size")).alias("taken"))).alias("x"))
+            crossed = {r.p: r.x for r in first.collect()}
+        for p in live:
+            if p in crossed:
+                x = crossed[p]
+                out[p].append((x.bucket, x.h, x.row, gap[p]))
+                gap[p], at[p] = gap[p] - x.taken, (x.bucket, x.h, x.row)
             else:
-                left.append((size, h, row))
-        if left and min(left)[0] - gap < gap:
-            out.append(min(left)[2])
-    return out
+                out[p].append((None, None, None, gap[p]))
+                gap[p] -= edges[p][1] if p in edges else 0
+        live = [p for p in live if p in crossed and gap[p] > 0]
+    return out, gap
 
 
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
@@ -149,24 +164,22 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     plan_df = spark.createDataFrame(plan, "pattern array<string>, p long, whole long, more long, source_size long, target double")
     key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
     dealt = rows.withColumn("key", key).join(F.broadcast(plan_df.withColumn("key", key).drop("pattern")), "key").drop("key")
-    dealt = dealt.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKETS.bit_length() + 1))
-    by_bucket = dealt.filter("more > 0").groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("docs"), F.first("more").alias("more"))
-    so_far = Window.partitionBy("p").orderBy("bucket")
-    by_bucket = cut(by_bucket.withColumns({"upto": F.sum("n").over(so_far), "docs_upto": F.sum("docs").over(so_far)}), "mix-buckets")
-    edge = by_bucket.filter("upto >= more and upto - n < more").groupBy("p").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "docs_upto")).alias("e"))
-    behind = by_bucket.join(edge, "p").filter(F.col("docs_upto") - F.col("docs") < F.col("e.docs_upto") + FILL).groupBy("p").agg(F.first("e").alias("e"), F.max("bucket").alias("last"))
-    edges = spark.createDataFrame(behind.select("p", "e.bucket", "e.before", "last").collect(), "p long, edge long, before long, last long")
-    dealt = dealt.join(F.broadcast(edges), "p", "left")
-    away = dealt.filter("edge is null or bucket != edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(0)))
-    run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0))
-    at = dealt.filter("bucket = edge").withColumn("run", F.col("before") + run)
-    gaps = {r.p: r.gap for r in at.groupBy("p").agg((F.first("more") - F.max(F.when(F.col("run") <= F.col("more"), F.col("run")).otherwise(F.col("before")))).alias("gap")).collect()}
-    at = at.withColumn("extra", (F.col("run") <= F.col("more")).cast("long")).drop("run")
-    dealt = away.unionByName(at)
-    nth = F.row_number().over(Window.partitionBy("p").orderBy("h", "row"))
-    after = dealt.filter("extra = 0 and bucket >= edge and bucket <= last and size > 0").select("p", "h", "row", "size").withColumn("nth", nth).filter(F.col("nth") <= FILL)
-    fill = spark.createDataFrame([(x,) for x in _fill(gaps, after.select("p", "h", "row", "size").collect())], "row long")
-    dealt = dealt.join(F.broadcast(fill.withColumn("fills", F.lit(1))), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("fills", F.lit(0)))
+    dealt = dealt.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKETS.bit_length() + 1).cast("long"))
+    narrow = cut(dealt.filter("more > 0").select("p", "bucket", "h", "row", "size"), "mix-narrow")
+    cuts, gaps = _cuts(narrow, {k: more for _, k, _, more, _, _ in plan if more > 0})
+    stretches = spark.createDataFrame([(p, x) for p, x in cuts.items()], "p long, cuts array<struct<bucket: long, h: long, row: long, fits: long>>")
+
+    def taken(df: DataFrame) -> DataFrame:
+        here = F.struct("bucket", "h", "row")
+        ahead = F.filter("cuts", lambda c: c["bucket"].isNull() | (here < F.struct(c["bucket"].alias("bucket"), c["h"].alias("h"), c["row"].alias("row"))))
+        # Documents without words only count in the first stretch.
+        fits = (F.col("size") <= F.get(ahead, F.lit(0))["fits"]) & ((F.col("size") > 0) | (F.size(ahead) == F.size("cuts")))
+        return df.join(F.broadcast(stretches), "p", "left").withColumn("extra", F.coalesce(fits.cast("long"), F.lit(0))).drop("cuts")
+
+    # Of the documents left none fits; the smallest is taken where that comes nearer.
+    least = taken(narrow).filter("extra = 0 and size > 0").groupBy("p").agg(F.min(F.struct("size", "bucket", "h", "row")).alias("x")).collect()
+    nearer = spark.createDataFrame([(r.x.row,) for r in least if r.x["size"] - gaps[r.p] < gaps[r.p]], "row long")
+    dealt = taken(dealt).join(F.broadcast(nearer.withColumn("fills", F.lit(1))), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("fills", F.lit(0)))
     copies = F.least(F.col("whole") + F.col("extra"), F.lit(repeats))
     return dealt.select(
         "id", *[F.col(f"keep_{c}").alias(c) for c in keep], "pattern", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
