@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -21,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are cut and looked up in blocks of about this many characters.
-BLOCK_CHARS = 1 << 19
-#: Distinct merged pre-tokens that a task remembers before it starts anew.
-MEMO = 700_000
+from adlens.llm.common import trimmed
 
+#: Texts are cut and looked up in blocks of about this many characters.
+BLOCK_CHARS = 1 << 18
+#: Distinct merged pre-tokens that a task remembers before it starts anew; they go when the task ends.
+MEMO = 60_000
 #: Rows that go back at once: their ids, as 32-bit numbers, are all that is held of them.
 ROWS = 500
 
+_EDGE = re.compile("[A-Za-z](?= )")
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
@@ -214,8 +218,7 @@ def merge(piece: bytes, single: list[int], joins: dict[int, int]) -> list[int]:
 class Memo:
     """What the merging of pre-tokens has given: known: bytes -> k; flat[edges[k]:edges[k + 1]]: the ids."""
 
-    def __init__(self, of: bytes):
-        self.of = of
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
@@ -223,8 +226,17 @@ class Memo:
         self.flat, self.edges = array("i"), array("q", [0])
 
 
-#: The memo of a worker process, for the last vocabulary it met.
-_LAST: list[Memo] = []
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about a block each. Behind a letter and before a space a pre-token always starts, and what
+    stands before it does not change how the rest is cut."""
+    at = 0
+    while len(text) - at > BLOCK_CHARS:
+        edge = _EDGE.search(text, at + BLOCK_CHARS - 1)
+        if not edge:
+            break
+        yield text[at : edge.start() + 1]
+        at = edge.start() + 1
+    yield text[at:]
 
 
 @dataclass
@@ -244,19 +256,14 @@ class Tokenizer:
                 a, b = self.ranks.get(entry[:k]), self.ranks.get(entry[k:])
                 if a is not None and b is not None:
                     self.joins[a << 32 | b] = r
-        self.memo = Memo(self.digest())
+        self.memo = Memo()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        if not _LAST or _LAST[0].of != self.digest():
-            _LAST[:] = [Memo(self.digest())]
-        self.memo = _LAST[0]
-
-    def digest(self) -> bytes:
-        return hashlib.sha256(repr(sorted(self.ranks.items())).encode()).digest()
+        self.memo = Memo()
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -315,9 +322,15 @@ class Tokenizer:
         return np.split(out, to[np.searchsorted(at, ends[:-1])])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; a text longer than a block is cut where no pre-token can reach across."""
         block: list[str] = []
         size = 0
         for t in texts:
+            if len(t) > BLOCK_CHARS:
+                yield from self.encode_block(block) if block else ()
+                block, size = [], 0
+                yield np.concatenate([self.encode_block([x])[0] for x in parts(t)])
+                continue
             block.append(t)
             size += len(t)
             if size >= BLOCK_CHARS:
@@ -349,7 +362,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(_loaded(path))  # as large as the vocabulary, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = sent.value  # a worker process keeps it, and what it remembers, from task to task
+        tok = sent.value  # a worker process keeps it from task to task, but not what it remembers
         words = {v: str(v) for v in tok.entries}
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
@@ -364,5 +377,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(kept), pa.int32()))] if with_ids else []
                 arrays = [batch.column(0), *lists, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id"] + ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"])
+        tok.memo.clear()
+        trimmed()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, " + "ids array<int>, " * with_ids + SCHEMA)

@@ -13,22 +13,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.llm.common import cut, free_name, trimmed
+
 UNKNOWN = "und"
 #: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of their text.
 SAMPLE_PER_LANGUAGE = 3000
-#: Words and n-grams kept for each language, the most frequent first.
-MAX_WORDS = 20_000
-MAX_GRAMS = 20_000
+#: Words kept for each language, and n-grams for each language and length, the most frequent first.
+MAX_WORDS = 30_000
+MAX_GRAMS = 8_000
 LONGEST = 5
 #: Words of a document that count at most towards its certainty.
 CERTAIN = 20
-#: Distinct words whose scores a task remembers before it starts anew.
-MEMO = 250_000
+#: Distinct words whose scores a task remembers before it starts anew; they go when the task ends.
+MEMO = 40_000
+#: Texts that a task turns into Python strings at once.
+TEXTS = 256
 
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile("[a-z]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -54,23 +60,15 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def _logs(counts: dict[str, dict[str, int]], languages: list[str], at: int) -> tuple[dict[str, int], np.ndarray]:
-    """Rows from `at` on, of the log frequencies of each key in each language, add-half smoothed."""
-    place = {x: i for i, x in enumerate(languages)}
-    total = np.zeros(len(languages))
-    for by in counts.values():
-        for lang, n in by.items():
-            total[place[lang]] += n
-    out = np.full((len(counts), len(languages)), 0.5)
-    for k, by in enumerate(counts.values()):
-        for lang, n in by.items():
-            out[k, place[lang]] += n
-    return {key: at + k for k, key in enumerate(counts)}, np.log(out / (total + 0.5 * len(counts)))
+def _logs(keys: list[str], counts: np.ndarray, at: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows from `at` on, of the log frequencies of each key in each language, add-half smoothed. counts: by key and language."""
+    total = counts.sum(0) + 0.5 * len(keys)
+    return {key: at + k for k, key in enumerate(keys)}, np.log((counts + 0.5) / np.where(total > 0, total, 1.0))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model from labelled rows; rows without text or label are left out. What reaches the driver is bounded by
-    MAX_WORDS and MAX_GRAMS for each language."""
+    MAX_WORDS and MAX_GRAMS for each language. A key kept for one language is counted in all of them."""
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -79,30 +77,34 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     share = F.create_map(*[F.lit(y) for x in languages for y in (x, max(1.0, sizes[x] / per_language))])
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) / share[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
+    words = cut(words, "language-words")
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
 
-    def cut(n: int) -> Column:
+    def pieces(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
 
     grams = (
-        words.select("lang", "n", *[F.when(F.length(padded) >= n, cut(n)).alias(f"g{n}") for n in range(1, LONGEST + 1)])
+        words.select("lang", "n", *[F.when(F.length(padded) >= n, pieces(n)).alias(f"g{n}") for n in range(1, LONGEST + 1)])
         .select("lang", "n", F.explode(F.concat(*[F.coalesce(f"g{n}", F.array().cast("array<string>")) for n in range(1, LONGEST + 1)])).alias("key"))
         .groupBy("lang", "key")
         .agg(F.sum("n").alias("n"))
     )
 
-    def top(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
-        out: dict[str, dict[str, int]] = {}
-        found = counts.filter("n > 1").orderBy(F.desc("n"), "key", "lang").limit(most * len(languages)).select("key", "lang", "n").toArrow()
-        for key, lang, n in zip(*(found[c].to_pylist() for c in ("key", "lang", "n")), strict=True):
-            out.setdefault(key, {})[lang] = n
-        return out
-
-    kept = top(grams, MAX_GRAMS)
-    words_at, logs = _logs(top(words, MAX_WORDS), languages, 0)
+    def top(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
+        """The keys among the `most` most frequent of any language (and length), and how often each language has them."""
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(languages)]
+        place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key"))
+        ranked = counts.withColumn("place", place)
+        found = ranked.groupBy("key").agg(F.min("place").alias("place"), *each).filter(F.col("place") <= most).orderBy("key").drop("place").toArrow()
+        return found["key"].to_pylist(), np.stack([found[f"n{k}"].to_numpy() for k in range(len(languages))], 1).astype(float)
+
+    keys, counts = top(words.withColumn("size", F.lit(0)), MAX_WORDS)
+    words_at, logs = _logs(keys, counts, 0)
+    keys, counts = top(grams.withColumn("size", F.length("key")), MAX_GRAMS)
+    size = np.array([len(k) for k in keys], int)
     grams_at = []
     for n in range(LONGEST + 1):
-        own, more = _logs({k: v for k, v in kept.items() if len(k) == n}, languages, len(logs))
+        own, more = _logs([k for k in keys if len(k) == n], counts[size == n], len(logs))
         grams_at.append(own)
         logs = np.concatenate((logs, more))
     return Model(languages, words_at, grams_at, logs)
@@ -123,18 +125,9 @@ class _Memo(dict):
         return k
 
 
-#: The memo of a worker process, for the last model it met.
-_LAST: list[_Memo] = []
-
-
-def _memo_of(model: Model) -> _Memo:
-    if not _LAST or _LAST[0].model is not model:
-        _LAST[:] = [_Memo(model)]
-    return _LAST[0]
-
-
 def decide(model: Model, text: str | None, memo: _Memo) -> tuple[str, float]:
-    words = _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    words = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
     if not words or not model.languages:
         return UNKNOWN, 0.0
     total = np.zeros(len(model.languages))
@@ -160,21 +153,25 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        memo = _memo_of(sent.value)
-        out = []
-        for t in texts:
-            if len(memo) > MEMO:
-                _LAST.clear()
-                memo = _memo_of(sent.value)
-            out.append(decide(sent.value, t, memo))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
-
-    found = docs.drop("lang_pred", "score").withColumn("found_language", run(F.col(text_col).cast("string")))
-    return found.select("*", "found_language.lang_pred", "found_language.score").drop("found_language")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = _Memo(sent.value)
+        for batch in batches:
+            langs, scores = [], []
+            for k in range(0, len(batch), TEXTS):
+                for t in batch.slice(k, TEXTS).to_pylist():
+                    if len(memo) > MEMO:
+                        memo = _Memo(sent.value)
+                    lang, score = decide(sent.value, t, memo)
+                    langs.append(lang)
+                    scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        del memo
+        trimmed()
+
+    found = F.arrow_udf(run, "lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score")
+    name = free_name(docs, "found_language")
+    return docs.withColumn(name, found(F.col(text_col).cast("string"))).select(*docs.columns, f"{name}.lang_pred", f"{name}.score")
 
 
 def predict(docs: DataFrame) -> DataFrame:
