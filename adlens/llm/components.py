@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import cut
+from adlens.llm.common import cut, discard
 
 
 def _nearest(arcs: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
     edges = cut(links.filter("u is not null and v is not null and u != v").select("u", "v").distinct(), f"{name}-edges")
     seen = None
     while True:
-        edges = cut(_small_star(_large_star(edges)), f"{name}-round")
+        before, edges = edges, cut(_small_star(_large_star(edges)), f"{name}-round")
+        discard(before)
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == seen or n == 0:
             break
