@@ -8,6 +8,9 @@ sorted to the window's length, and breadth-first backward extension on the Burro
 yields the common prefixes by increasing value and stops at the length: what no boundary separates is repeated.
 An anchor with too many different segments for a shard is settled by counting the hashes of its windows, which is
 exact as well and linear in their number.
+
+The texts are numbered and laid out by that number once, in a bucketed table of the shared folder; both times that
+something meets them again, only that other side is shuffled. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import cut, text_of
+from adlens.llm.common import cut, laid_out, text_of
 
 LENGTH = 400
 #: Bytes of a gram for windows of LENGTH: long enough that only repeats share it, short enough that anchors stay rare.
@@ -31,8 +34,6 @@ PIECE = 1 << 22
 #: Bytes of text in a shard, about, and different segments of one anchor that a shard takes.
 SHARD_BYTES = 1 << 20
 CROWD = 4096
-#: Rows up to which a side is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 300_000
 
 
 def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
@@ -97,19 +98,29 @@ def repeated(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     value[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + n_texts
     value[ends] = np.arange(n_texts)  # each text ends in a symbol of its own
     # The order of the suffixes by their first `length` symbols, by doubling.
+    # Four symbols make the first key, and only rows that are still alike are sorted on.
+    wide = 256 + n_texts
     rank, k = value, 1
+    if wide < 1 << 15 and length >= 4:
+        packed = np.append(value, np.full(3, -1)) + 1
+        rank, k = ((packed[:n] * (wide + 1) + packed[1 : n + 1]) * (wide + 1) + packed[2 : n + 2]) * (wide + 1) + packed[3 : n + 3], 4
     order = np.argsort(rank, kind="stable")
-    while k < length:
+    step = np.concatenate(([0], rank[order][1:] != rank[order][:-1])).cumsum()
+    rank = np.empty(n, np.int64)
+    rank[order] = step
+    while k < length and step[-1] < n - 1:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] + 1
-        key = rank * (max(n, 256 + n_texts) + 2) + second
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + 2) + second
+        tied = np.empty(n, bool)
+        tied[:-1] = step[1:] == step[:-1]
+        tied[-1] = False
+        tied[1:] |= tied[:-1]
+        at = np.flatnonzero(tied)
+        order[at] = order[at][np.argsort(key[order[at]], kind="stable")]
         step = np.concatenate(([0], key[order][1:] != key[order][:-1])).cumsum()
-        rank = np.empty(n, np.int64)
         rank[order] = step
         k *= 2
-        if step[-1] == n - 1:
-            break
     bwt = value[order - 1]
     back = np.empty(n, np.int64)  # the backward step from each row
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
@@ -155,49 +166,40 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-_SEGMENT = "doc long, dh long, lo long, hi long, anchor long, s1 long, s2 long"
+_SEGMENT = "row long, lo long, hi long, anchor long, s1 long, s2 long"
 _CUT = "shard long, anchor long, s1 long, s2 long, n long, body binary"
 _PART = "anchor long, s1 long, s2 long, lo long, hi long"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("dh"), text_of(text_col).alias("text"))
-
-
-def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """keyed (doc, dh, text) -> (doc, dh, spans array<struct<lo, hi>>): merged runs of windows that start elsewhere too."""
+def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """texts (row, text), laid out by row -> (row, lo, hi): runs of windows that start elsewhere too, not yet merged."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, dh, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
                 if len(data) >= length:
                     anchors, lo, hi = segments(data, length)
-                    rows += [(doc, dh, a, b, x, *_pair(data[a : b + length])) for x, a, b in zip(anchors.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                if len(rows) > 100_000:
+                    rows += [(row, a, b, x, *_pair(data[a : b + length])) for x, a, b in zip(anchors.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                if len(rows) > 50_000:
                     yield _batch(rows, _SEGMENT)
                     rows = []
             yield _batch(rows, _SEGMENT)
 
-    found = cut(keyed.filter(F.octet_length("text") >= length).mapInArrow(split, _SEGMENT), "repeats-segments")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("s1") == F.max("s1")).alias("a"), (F.min("s2") == F.max("s2")).alias("b"))
-    anchors = cut(anchors.filter("n > 1").select("anchor", (F.col("a") & F.col("b")).alias("same")), "repeats-anchors")
-    found = cut(found.join(_small(anchors, anchors.count()), "anchor"), "repeats-shared")
+    found = cut(texts.filter(F.octet_length("text") >= length).select("row", "text").mapInArrow(split, _SEGMENT), "repeats-segments")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d"))
+    anchors = anchors.filter("n > 1").select("anchor", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("same"))
+    found = cut(found.join(anchors, "anchor"), "repeats-shared")
     mixed = found.filter("not same")
-    distinct = mixed.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dh", "lo", "hi")).alias("at")).select("anchor", "s1", "s2", "n", "at.*")
+    distinct = mixed.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("at")).select("anchor", "s1", "s2", "n", "at.*")
     distinct = cut(distinct, "repeats-distinct")
-    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("anchor"), "repeats-crowds")
-    n_bytes, n_rows = distinct.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)), F.count("*")).first()
+    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("anchor", F.lit(True).alias("crowd"))
+    n_bytes = distinct.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0))).first()[0]
     shards = max(1, n_bytes // SHARD_BYTES)
-    marked = distinct.join(_small(crowded, crowded.count()).withColumn("crowd", F.lit(True)), "anchor", "left")
-    wanted = marked.withColumn("shard", F.when(F.col("crowd"), -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).groupBy("doc", "dh").agg(F.collect_list(F.struct("shard", "anchor", "s1", "s2", "n", "lo", "hi")).alias("want"))
-    wanted = wanted.withColumnsRenamed({"doc": "want_doc", "dh": "want_dh"})
-    there = keyed.join(_small(wanted, n_rows), (F.col("dh") == F.col("want_dh")) & F.col("doc").eqNullSafe(F.col("want_doc")))
+    marked = distinct.join(crowded, "anchor", "left")
+    wanted = marked.withColumn("shard", F.when(F.col("crowd"), -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).groupBy("row").agg(F.collect_list(F.struct("shard", "anchor", "s1", "s2", "n", "lo", "hi")).alias("want"))
+    there = texts.select("row", "text").join(wanted.hint("shuffle_hash"), "row")
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,11 +218,9 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     bodies = cut(there.select("text", "want").mapInArrow(carve, _CUT), "repeats-bodies")
 
     def expand(part: pa.Table) -> pa.Table:
-        # A document that comes in several rows has sent its segments as often.
-        own = {key: (n, body) for *key_, n, body in zip(*(part[c].to_pylist() for c in ("anchor", "s1", "s2", "n", "body")), strict=True) for key in [tuple(key_)]}
-        flags = repeated([body for _, body in own.values()], length)
+        own = list(zip(*(part[c].to_pylist() for c in ("anchor", "s1", "s2", "n", "body")), strict=True))
         rows = []
-        for (anchor, s1, s2), (n, _), flag in zip(own, own.values(), flags, strict=True):
+        for (anchor, s1, s2, n, _), flag in zip(own, repeated([x[4] for x in own], length), strict=True):
             windows = len(flag) - length + 1
             rows += [(anchor, s1, s2, a, b) for a, b in ([(0, windows - 1)] if n > 1 else _runs(flag[:windows]))]
         return pa.Table.from_batches([_batch(rows, _PART)])
@@ -238,25 +238,15 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows = []
             yield _batch(rows, schema)
 
-    crowd = bodies.filter("shard < 0").dropDuplicates(["anchor", "s1", "s2"])
+    crowd = bodies.filter("shard < 0")
     each = crowd.select("anchor", "s1", "s2", "body").mapInArrow(windows, "anchor long, s1 long, s2 long, lo long, w1 long, w2 long")
     often = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     by_count = each.join(often, ["w1", "w2"]).select("anchor", "s1", "s2", "lo", F.col("lo").alias("hi"))
     crowd_whole = crowd.filter("n > 1").select("anchor", "s1", "s2", F.lit(0).cast("long").alias("lo"), (F.octet_length("body") - length).cast("long").alias("hi"))
     parts = by_bwt.union(by_count).union(crowd_whole)
     parts = cut(parts.withColumnsRenamed({"lo": "a", "hi": "b"}), "repeats-parts")
-    spans = mixed.join(_small(parts, parts.count()), ["anchor", "s1", "s2"]).select("doc", "dh", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-    spans = spans.union(found.filter("same").select("doc", "dh", "lo", "hi"))
-
-    def merged(sorted_spans):  # noqa: ANN001, ANN202
-        def add(done, x):  # noqa: ANN001, ANN202
-            last = F.element_at(done, -1)
-            joined = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
-            return F.when((F.size(done) > 0) & (x["lo"] <= F.try_element_at(done, F.lit(-1))["hi"] + 1), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-
-        return F.aggregate(sorted_spans, F.array().cast("array<struct<lo:bigint,hi:bigint>>"), add)
-
-    return spans.groupBy("doc", "dh").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s")).select("doc", "dh", merged(F.col("s")).alias("spans"))
+    spans = mixed.join(parts, ["anchor", "s1", "s2"]).select("row", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    return spans.union(found.filter("same").select("row", "lo", "hi"))
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -269,25 +259,27 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     are judged on the input. Null texts count as empty. A row that repeats another is a repeat: both lose all that is
     long enough. An empty table gives an empty result; other columns are not read.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    spans = cut(repeated_windows(keyed, length), "repeats-spans")
-    total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    spans = spans.withColumnsRenamed({"doc": "span_doc", "dh": "span_dh"})
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
+    texts = laid_out(numbered, "row", "repeats-texts")
+    spans = repeated_windows(texts, length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = OUT + ", kept binary" * with_kept
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
                 kept, at, runs = [], 0, 0
-                for s in found or ():
-                    kept.append(data[at : max(at, s["lo"])])
-                    runs += not at or s["lo"] > at
-                    at = s["hi"] + length
+                for lo, hi in sorted((s["lo"], s["hi"]) for s in found.as_py() or ()):
+                    kept.append(data[at : max(at, lo)])
+                    runs += not at or lo > at
+                    at = max(at, hi + length)
                 left = b"".join([*kept, data[at:]])
                 rows.append((doc, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest(), *[left] * with_kept))
+                if len(rows) >= 2000:
+                    yield _batch(rows, out)
+                    rows = []
             yield _batch(rows, out)
 
-    joined = keyed.join(_small(spans, total), (F.col("dh") == F.col("span_dh")) & F.col("doc").eqNullSafe(F.col("span_doc")), "left")
+    joined = texts.join(spans.hint("shuffle_hash"), "row", "left")
     return joined.select("doc", "text", "spans").mapInArrow(remove, out)
