@@ -189,7 +189,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = cut(texts.filter(F.octet_length("text") >= length).select("row", "text").mapInArrow(split, _SEGMENT), "repeats-segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d"))
-    anchors = anchors.filter("n > 1").select("anchor", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("same"))
+    # Written, so that the join deals both sides anew and a hot anchor can be split.
+    anchors = cut(anchors.filter("n > 1").select("anchor", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("same")), "repeats-anchors")
     found = cut(found.join(anchors, "anchor"), "repeats-shared")
     mixed = found.filter("not same")
     distinct = mixed.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("at")).select("anchor", "s1", "s2", "n", "at.*")
