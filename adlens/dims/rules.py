@@ -323,6 +323,18 @@ AWARENESS_BUMPS = (
     (("curiosity", "founder-story"), "unaware", 1.5),
     (("us-vs-them", "risk-reversal"), "product-aware", 1.5),
 )
+#: Copy formats, the first that holds: name, flags, least and most words, pattern.
+FORMATS = (
+    ("listicle", "m", 0, None, r"(^|\n)\s*(\d[.)]|[-•*])\s+\S"),
+    ("listicle", "i", 0, None, r"\b\d+ (reasons|ways|things|signs|mistakes|tips)\b"),
+    ("advertorial", "i", 250, None, r"\b(i (tried|tested|switched)|my (experience|story)|read on|keep reading)\b"),
+    ("testimonial", "", 0, None, "[\"“][^\"”]{40,}[\"”]"),
+    ("testimonial", "", 0, None, r"\b—\s?[A-Z][a-z]+( [A-Z]\.)?\b"),
+    ("ugc-first-person", "i", 0, None, r"\b(i'?ve been|i started|my (skin|hair|sleep|energy|life)|honestly|ngl|obsessed)\b"),
+    ("educational", "i", 0, None, r"\b(here'?s how|how it works|the science|what to look for|step \d)\b"),
+    ("direct-offer", "i", 0, 60, r"\b(\d{1,2}% off|shop now|order now|free shipping|use code)\b"),
+    ("story", "i", 120, None, r"\b(i |my |we )\b"),
+)
 PROOF = r"\b\d[\d,.]*\s?(?:%|mg|g|ml|billion|million|k|x)(?![a-z0-9])|\b\d[\d,.]*\s?(?:days?|weeks?|months?|years?|customers|reviews|studies|ingredients|hours?)\b|\b\d(?:\.\d)?\s?(?:\/|out of)\s?5\b"
 CLAIM = r"\b(reduces?|boosts?|improves?|increases?|eliminates?|clears?|restores?|supports?|helps?|proven to|designed to|guaranteed to)\b"
 CTA = r"\b(shop now|buy now|order now|learn more|sign up|get started|try (it )?(free|now|today)|claim (your|yours)|download|book (a|your)|subscribe|get yours|start (your|now))\b"

@@ -18,6 +18,17 @@ def js_round(x: Column, places: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale if places else F.floor(x + 0.5).cast("double")
 
 
+def mean_tenths(x: Column) -> Column:
+    """The mean of figures of one decimal place, to one place, half up; summed in whole tenths, so that no order of adding shows."""
+    tenths, n = F.sum(F.round(x * 10).cast("long")) * 2 + F.count(x), F.count(x) * 2
+    return F.when(n > 0, (tenths - F.pmod(tenths, n)) / n / 10)
+
+
+def sum_tenths(x: Column) -> Column:
+    """The sum of figures of one decimal place."""
+    return F.sum(F.round(x * 10).cast("long")) / 10
+
+
 def share(part: Column, total: Column) -> Column:
     """X11: a percentage to one place; 0 of nothing."""
     return F.when(total > 0, F.floor(part / total * 1000 + 0.5) / 10).otherwise(0.0)

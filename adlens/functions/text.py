@@ -37,10 +37,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def normalise(s: Column) -> Column:
-    """Lower case, marks stripped, plain quotes, a small set of characters, white space collapsed."""
+def normalise(s: Column, mark: str = "") -> Column:
+    """Lower case, marks stripped, plain quotes, a small set of characters, white space collapsed. mark: a control
+    character that stays."""
     plain = F.translate(_fold(F.lower(s)), "’‘`“”", "'''\"\"")
-    return collapse(F.regexp_replace(plain, r"[^a-z0-9%$\x{A3}\x{20AC}'\".,!?/+\-\s]", " "))
+    return collapse(F.regexp_replace(plain, rf"[^a-z0-9%$\x{{A3}}\x{{20AC}}'\".,!?/+\-\s{mark}]", " "))
 
 
 def tokenise(normalised: Column) -> Column:

@@ -31,30 +31,33 @@ def merge_taxonomy(base: DataFrame, override: DataFrame) -> DataFrame:
     return kept.unionByName(placed.select(*base.columns))
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, id_col: str = "id", most_words: int = 6) -> DataFrame:
-    """(id, term, hits) for the terms that a folded text (columns id, text) holds as whole words.
+#: Terms that one call takes; they are read to the driver and become part of the plan.
+MAX_TERMS = 20_000
 
-    An equi-join: the text's token n-grams, up to the longest term's, meet the terms on their tokens, and only texts
-    that share all tokens of a term are counted with its pattern.
-    """
-    edge = "[^a-z0-9]+"
-    known = terms.select("term").distinct().withColumn("folded", T.normalise(F.col("term"))).withColumn("key", F.trim(F.regexp_replace("folded", edge, " "))).filter("key != ''")
-    tokens = F.filter(F.split(F.trim(F.regexp_replace("text", edge, " ")), " "), lambda t: t != "")
-    spans = F.flatten(F.array(*[F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), _gram(n))).otherwise(F.array().cast("array<string>")) for n in range(1, most_words + 1)]))
-    met = texts.select(id_col, tokens.alias("tokens")).select(id_col, F.explode(F.array_distinct(spans)).alias("key")).join(F.broadcast(known), "key").select(id_col, "term", "folded")
-    counted = met.join(texts, id_col).withColumn("hits", T.count_term(F.col("text"), F.col("folded"))).filter("hits > 0")
-    return counted.select(id_col, "term", "hits")
 
+def term_hits(texts: DataFrame, terms: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, term, hits) for the terms that a folded text (columns id, text) holds as whole words, terms of any length.
 
-def _gram(n: int):  # noqa: ANN202
-    return lambda i: F.array_join(F.slice("tokens", i, n), " ")
+    The terms are a rule table of MAX_TERMS at most; more raise an error. Each text is read where it stands, without a
+    shuffle: a term is counted only where the text holds it at all.
+    """
+    known = terms.select("term").distinct().select("term", T.normalise(F.col("term")).alias("folded")).filter("folded != ''").limit(MAX_TERMS + 1).collect()
+    if len(known) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    known = sorted((r.term, r.folded) for r in known)
+    if not known:
+        return texts.select(id_col, F.lit("").alias("term"), F.lit(0).alias("hits")).filter(F.lit(False))
+    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(f).alias("folded")) for t, f in known])
+    held = F.filter(table, lambda x: F.contains(F.col("text"), x["folded"]))
+    counted = F.transform(held, lambda x: F.struct(x["term"].alias("term"), T.count_term(F.col("text"), x["folded"]).alias("hits")))
+    return texts.select(id_col, F.inline(counted)).filter("hits > 0")
 
 
 def classify(hits: DataFrame, terms: DataFrame, id_col: str = "id", least_confidence: float = 25.0) -> DataFrame:
     """One row an id that has any hit: niche, sub, confidence, unclassified, alternatives
     array<string> (three others, best first), evidence array<string> (twelve terms, by hits x weight). hits: id, term,
     hits."""
-    scored = hits.join(F.broadcast(terms), "term").groupBy(id_col, "niche", "sub", "sub_pos").agg(
+    scored = hits.join(terms, "term").groupBy(id_col, "niche", "sub", "sub_pos").agg(
         F.sum(S.dampen(F.col("hits")) * F.col("weight")).alias("raw"),
         F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("hits") * F.col("weight")).alias("o"), "term"))), 1, 12), lambda x: x["term"]).alias("evidence"),
     )
@@ -75,9 +78,9 @@ def classify(hits: DataFrame, terms: DataFrame, id_col: str = "id", least_confid
 def audience(hits: DataFrame, terms: DataFrame, hints: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """A5: (id, audience, score) of the best audience of at least 4 points. terms: audience, pos, term, weight; hints:
     id, audience (six points each)."""
-    n = hits.join(F.broadcast(terms), "term").groupBy(id_col, "audience", "pos").agg(F.sum(S.dampen(F.col("hits")) * F.col("weight")).alias("score"))
+    n = hits.join(terms, "term").groupBy(id_col, "audience", "pos").agg(F.sum(S.dampen(F.col("hits")) * F.col("weight")).alias("score"))
     if hints is not None:
-        named = hints.join(F.broadcast(terms.select("audience", "pos").distinct()), "audience").select(id_col, "audience", "pos", F.lit(6.0).alias("score"))
+        named = hints.join(terms.select("audience", "pos").distinct(), "audience").select(id_col, "audience", "pos", F.lit(6.0).alias("score"))
         n = n.union(named.select(*n.columns)).groupBy(id_col, "audience", "pos").agg(F.sum("score").alias("score"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "pos"))
     return n.withColumn("place", place).filter("place = 1 and score >= 4").select(id_col, "audience", "score")

@@ -81,18 +81,11 @@ def hook_type(h: Column) -> Column:
 
 def copy_format(text: Column, words: Column) -> Column:
     """X19."""
-    def has(pattern: str, flags: str = "i") -> Column:
-        return text.rlike(T.js_regex(pattern, flags))
-
-    rows = [
-        ("listicle", has(r"(^|\n)\s*(\d[.)]|[-•*])\s+\S", "m") | has(r"\b\d+ (reasons|ways|things|signs|mistakes|tips)\b")),
-        ("advertorial", (words >= 250) & has(r"\b(i (tried|tested|switched)|my (experience|story)|read on|keep reading)\b")),
-        ("testimonial", has("[\"“][^\"”]{40,}[\"”]", "") | has(r"\b—\s?[A-Z][a-z]+( [A-Z]\.)?\b", "")),
-        ("ugc-first-person", has(r"\b(i'?ve been|i started|my (skin|hair|sleep|energy|life)|honestly|ngl|obsessed)\b")),
-        ("educational", has(r"\b(here'?s how|how it works|the science|what to look for|step \d)\b")),
-        ("direct-offer", (words <= 60) & has(r"\b(\d{1,2}% off|shop now|order now|free shipping|use code)\b")),
-        ("story", (words >= 120) & has(r"\b(i |my |we )\b")),
-    ]
+    rows = []
+    for name, flags, least, most, pattern in rules.FORMATS:
+        test = text.rlike(T.js_regex(pattern, flags))
+        test = test & (words >= least) if least else test
+        rows.append((name, test & (words <= most) if most else test))
     return first_match(text, rows, F.when(words <= 60, "short-copy").otherwise("long-copy"))
 
 

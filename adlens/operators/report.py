@@ -27,7 +27,7 @@ def brand_reports(brands: DataFrame, ads: DataFrame, as_of: str, least_days: int
     niche, sub_niche; ads: analysed ads (exposure, rank, angles array<struct<angle,label,..>>, awareness, format, hook,
     start, days, variants, active)."""
     keys = ["brand"]
-    total = ads.groupBy("brand").agg(F.count("*").alias("total"), S.js_round(F.avg("exposure"), 1).alias("exposure_score"))
+    total = ads.groupBy("brand").agg(F.count("*").alias("total"), S.mean_tenths(F.col("exposure")).alias("exposure_score"))
     each = ads.select("brand", "exposure", F.explode("angles").alias("a")).select("brand", "exposure", F.col("a.angle").alias("angle"))
     parts = R.breakdown(each, total.select("brand", "total"), keys, "angle")
     out = brands.join(total.withColumnRenamed("total", "ad_count"), "brand", "left").join(R.top_angle(parts, keys), "brand", "left")

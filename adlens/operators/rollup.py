@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from adlens.functions import score as S
 def breakdown(rows: DataFrame, totals: DataFrame, keys: list[str], by: str) -> DataFrame:
     """For each of `by`: ads, share of the group's ads, mean exposure. rows: one for each ad and value;
     totals: keys and total."""
-    n = rows.groupBy(*keys, by).agg(F.count("*").alias("ad_count"), S.js_round(F.avg("exposure"), 1).alias("avg_exposure"))
+    n = rows.groupBy(*keys, by).agg(F.count("*").alias("ad_count"), S.mean_tenths(F.col("exposure")).alias("avg_exposure"))
     return n.join(totals, keys).withColumn("share", S.share(F.col("ad_count"), F.col("total"))).drop("total")
 
 
@@ -30,7 +32,7 @@ def mix(rows: DataFrame, keys: list[str], by: str, weight: Column | None = None)
 
 def leaderboard(parts: DataFrame) -> DataFrame:
     """Over all brands: ads, brands by name, and the plain mean of the brands' rounded means."""
-    return parts.groupBy("angle").agg(F.sum("ad_count").alias("ad_count"), F.countDistinct("brand_name").alias("brand_count"), S.js_round(F.avg("avg_exposure"), 1).alias("avg_exposure"))
+    return parts.groupBy("angle").agg(F.sum("ad_count").alias("ad_count"), F.countDistinct("brand_name").alias("brand_count"), S.mean_tenths(F.col("avg_exposure")).alias("avg_exposure"))
 
 
 def niche_angles(parts: DataFrame, brands: DataFrame, most: int = 8) -> DataFrame:
@@ -55,8 +57,9 @@ def whitespace(angles: DataFrame, totals: DataFrame, library: DataFrame, least_a
     """What a niche of at least least_ads ads hardly uses (share under `rare`), and what it never uses."""
     big = totals.filter(F.col("total") >= least_ads).select("niche")
     seldom = angles.join(big, "niche").filter(F.col("share") < rare).select("niche", "angle", "share")
-    # The library is a rule table, so every niche against it stays small.
-    unused = big.withColumn("angle", F.explode(F.array(*[F.lit(r[0]) for r in library.select("angle").collect()]))).join(angles.select("niche", "angle"), ["niche", "angle"], "left_anti")
+    # The library is a rule table; as one array it is a single row, and every niche against it stays small.
+    every = library.agg(F.collect_set("angle").alias("every"))
+    unused = big.crossJoin(every).select("niche", F.explode("every").alias("angle")).join(angles.select("niche", "angle"), ["niche", "angle"], "left_anti")
     both = seldom.unionByName(unused.withColumn("share", F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("niche").orderBy("share", "angle"))
     return both.withColumn("place", place).filter(F.col("place") <= most)
@@ -77,16 +80,47 @@ def absences(brands: DataFrame, norms: DataFrame, flags: list[tuple[str, str, st
     return joined.select("brand", F.inline(each)).filter("direction is not null")
 
 
+#: Brands in a block of `competitors`.
+BLOCK = 512
+
+
 def competitors(features: DataFrame, most: int = 3) -> DataFrame:
-    """Each brand's most similar others by the cosine of their shares. features: brand, key, value. Brands meet
-    on shared keys only; a key that very many brands share is paired once for each pair of them."""
-    norm = features.groupBy("brand").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    a, b = features.select(F.col("brand"), "key", F.col("value").alias("x")), features.select(F.col("brand").alias("other"), "key", F.col("value").alias("y"))
-    dots = a.join(b, "key").filter("brand != other").groupBy("brand", "other").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    both = dots.join(norm, "brand").join(norm.select(F.col("brand").alias("other"), F.col("norm").alias("other_norm")), "other")
-    sim = both.select("brand", "other", F.when((F.col("norm") > 0) & (F.col("other_norm") > 0), F.floor(F.col("dot") / (F.col("norm") * F.col("other_norm")) * 1000 + 0.5) / 10).otherwise(0.0).alias("similarity")).filter("similarity > 0")
+    """Each brand's most similar others by the cosine of their shares, half up to one place; ties by name. features: brand, key,
+    value (the keys are rule names, so a vector is short).
+
+    Vectors are dealt into blocks; every block meets every other, and of each meeting only the best `most` of a brand go on, so
+    what is shuffled are blocks and short lists, never pairs of brands.
+    """
+    kind = features.schema["brand"].dataType.simpleString()
+    own = features.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("value").cast("double").alias("value")))).alias("v"))
+    total = own.agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = own.crossJoin(total).withColumn("b", F.pmod(F.xxhash64("brand"), F.greatest(F.col("blocks"), F.lit(1))))
+    rows = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks"), F.lit(1)) - 1)))
+    left = rows.select("brand", "v", F.lit(True).alias("asks"), F.col("b").alias("i"), F.col("o").alias("j"))
+    both = left.union(rows.select("brand", "v", F.lit(False), F.col("o"), F.col("b")))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        keys = sorted({k for v in part["v"] for k, _ in v.items()}) if len(part) else []
+        place = {k: n for n, k in enumerate(keys)}
+        x = np.zeros((len(part), len(keys)))
+        for n, v in enumerate(part["v"]):
+            for k, value in v.items():
+                x[n, place[k]] = value
+        asks, brand = part["asks"].to_numpy(), part["brand"].to_numpy()
+        a, b, ids, others = x[asks], x[~asks], brand[asks], brand[~asks]
+        size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.where(size > 0, np.floor((a @ b.T) / size * 1000 + 0.5) / 10, 0.0)
+        s[ids[:, None] == others[None, :]] = 0.0
+        out = []
+        for n in range(len(ids)):
+            near = sorted((-s[n, m], others[m]) for m in np.flatnonzero(s[n] > 0))[:most]
+            out += [(ids[n], o, -v) for v, o in near]
+        return pd.DataFrame(out, columns=["brand", "other", "similarity"])
+
+    found = both.groupBy("i", "j").applyInPandas(best, f"brand {kind}, other {kind}, similarity double")
     place = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("similarity"), "other"))
-    return sim.withColumn("place", place).filter(F.col("place") <= most)
+    return found.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def shared(features: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
@@ -128,7 +162,7 @@ def landing_pages(ads: DataFrame, keys: list[str]) -> DataFrame:
     longest run, place by exposure. ads: url, exposure, active, start, days."""
     total = F.sum("ad_count").over(Window.partitionBy(*keys))
     g = ads.filter("url is not null").groupBy(*keys, "url").agg(
-        F.count("*").alias("ad_count"), S.js_round(F.sum("exposure"), 1).alias("total_exposure"), median(F.col("exposure"), 1).alias("median_exposure"), F.max("exposure").alias("top_exposure"),
+        F.count("*").alias("ad_count"), S.sum_tenths(F.col("exposure")).alias("total_exposure"), median(F.col("exposure"), 1).alias("median_exposure"), F.max("exposure").alias("top_exposure"),
         F.count_if(F.coalesce("active", F.lit(False))).alias("active_ads"), F.min("start").alias("first_seen"), F.max("start").alias("last_seen"), F.max("days").alias("longest_run"),
     )
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("total_exposure"), F.desc("ad_count"), "url"))

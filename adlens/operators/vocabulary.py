@@ -11,12 +11,17 @@ from adlens.functions import score as S
 from adlens.functions import text as T
 
 
+#: Between the sentences of a text.
+MARK = "\x01"
+
+
 def grams(texts: DataFrame, keys: list[str], most: int = 4, fold: bool = True) -> DataFrame:
     """(keys, ad, exposure, term), a row for each occurrence. texts: keys, ad, text, exposure. Grams do not cross
     sentences. fold=False takes the text as folded already."""
-    sentence = F.explode(T.sentences(F.col("text"))).alias("sentence")
-    rows = texts.select(*keys, "ad", "exposure", sentence)
-    rows = rows.withColumn("sentence", T.normalise(F.col("sentence")) if fold else F.lower("sentence"))
+    # A text is folded once, its sentences parted by a mark that folding leaves alone.
+    marked = F.array_join(T.sentences(F.col("text")), MARK)
+    rows = texts.select(*keys, "ad", "exposure", (T.normalise(marked, MARK) if fold else F.lower(marked)).alias("folded"))
+    rows = rows.select(*keys, "ad", "exposure", F.explode(F.split("folded", MARK)).alias("sentence"))
     return rows.select(*keys, "ad", "exposure", F.explode(T.ngrams(T.gram_tokens(F.col("sentence")), most, STOPWORDS)).alias("term"))
 
 
@@ -43,19 +48,22 @@ def term_stats(rows: DataFrame, totals: DataFrame, keys: list[str], least: Colum
     """Keys, term, ad_count, ad_share, total_count, avg_exposure (each ad once), words. Counted in two steps, so a
     frequent term is summed where it stands before it moves. totals: keys, total."""
     once = rows.groupBy(*keys, "term", "ad").agg(F.count("*").alias("n"), F.max("exposure").alias("exposure"))
-    stats = once.groupBy(*keys, "term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count"), S.js_round(F.avg("exposure"), 1).alias("avg_exposure"))
+    stats = once.groupBy(*keys, "term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count"), S.mean_tenths(F.col("exposure")).alias("avg_exposure"))
     floor = least_ads(F.col("total")) if least is None else F.lit(least) if isinstance(least, int) else least
     return stats.join(totals, keys).filter(F.col("ad_count") >= floor).select(*keys, "term", "ad_count", S.share(F.col("ad_count"), F.col("total")).alias("ad_share"), "total_count", "avg_exposure", F.size(F.split("term", " ")).alias("words"))
 
 
 def prefer_longer(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Drops a term that stands inside a longer one of nearly its own frequency (an equi-join on sub-phrases)."""
+    """Drops a term that stands inside a longer one of nearly its own frequency."""
     parts = F.split("term", " ")
     n = F.size(parts)
     subs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(parts, i, k), " "))))
-    inside = stats.filter("words > 1").select(*keys, F.explode(F.array_distinct(subs)).alias("term"), F.col("ad_count").alias("longer"))
-    most = inside.groupBy(*keys, "term").agg(F.max("longer").alias("longer"))
-    return stats.join(most, [*keys, "term"], "left").filter("longer is null or ad_count > longer * 1.25").drop("longer")
+    # Each term sends itself and its sub-phrases once, so the statistics are worked out a single time.
+    rest = [c for c in stats.columns if c not in (*keys, "term")]
+    own = F.struct(F.col("term").alias("term"), F.struct(*rest).alias("own"), F.lit(None).cast("long").alias("longer"))
+    told = F.transform(F.when(F.col("words") > 1, F.array_distinct(subs)).otherwise(F.array().cast("array<string>")), lambda s: F.struct(s.alias("term"), F.when(F.lit(False), F.struct(*rest)).alias("own"), F.col("ad_count").cast("long").alias("longer")))
+    met = stats.select(*keys, F.explode(F.concat(F.array(own), told)).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.max("x.own").alias("own"), F.max("x.longer").alias("longer"))
+    return met.filter("own is not null and (longer is null or own.ad_count > longer * 1.25)").select(*[F.col(c) if c in (*keys, "term") else F.col(f"own.{c}") for c in stats.columns])
 
 
 def rank(stats: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
@@ -72,7 +80,7 @@ def _shifted(a: str, b: str) -> bool:
 
 def drop_shifted(ranked: DataFrame, keys: list[str], most: int) -> DataFrame:
     """In rank order, drops a term that is a kept one of equal frequency moved by a word; stops at `most`. Each
-    decision hangs on those before it, so a group is folded in Python; rank has cut it to its first terms before."""
+    decision hangs on those before it, so a group, which is one brand's terms, is folded in Python."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
@@ -94,7 +102,7 @@ def niche_vocabulary(signatures: DataFrame, most: int = 40) -> DataFrame:
     in a niche of three brands and more a term needs two."""
     brands = signatures.groupBy("niche").agg(F.countDistinct("brand").alias("brands"))
     own = signatures.groupBy("niche", "term", "brand").agg(F.max("ad_share").alias("ad_share"))
-    t = own.groupBy("niche", "term").agg(F.count("*").alias("brand_count"), S.js_round(F.avg("ad_share"), 1).alias("avg_ad_share")).join(brands, "niche")
+    t = own.groupBy("niche", "term").agg(F.count("*").alias("brand_count"), S.mean_tenths(F.col("ad_share")).alias("avg_ad_share")).join(brands, "niche")
     t = t.filter(F.col("brand_count") >= F.when(F.col("brands") >= 3, 2).otherwise(1)).withColumn("brand_share", S.share(F.col("brand_count"), F.col("brands"))).drop("brands")
     place = F.row_number().over(Window.partitionBy("niche").orderBy(F.desc("brand_count"), F.desc("avg_ad_share"), "term"))
     return t.withColumn("place", place).filter(F.col("place") <= most)
@@ -104,9 +112,10 @@ def distinctive(signatures: DataFrame, niche: DataFrame, most: int = 8, unseen:
     """Each brand's terms that over-index against the mean of the other brands of its niche. niche: what
     niche_vocabulary kept; a term it cut has the floor as its baseline."""
     kept = signatures.join(niche.select("niche", "term"), ["niche", "term"], "left_semi")
-    w = Window.partitionBy("niche", "term")
-    base = kept.select("niche", "brand", "term", F.sum("ad_share").over(w).alias("s"), F.count("*").over(w).alias("n"), "ad_share")
-    base = base.select("niche", "brand", "term", S.js_round(F.when(F.col("n") > 1, (F.col("s") - F.col("ad_share")) / (F.col("n") - 1)).otherwise(0.0), 1).alias("niche_ad_share"))
+    w, tenths = Window.partitionBy("niche", "term"), F.round(F.col("ad_share") * 10).cast("long")
+    base = kept.select("niche", "brand", "term", F.sum(tenths).over(w).alias("s"), F.count("*").over(w).alias("n"), tenths.alias("t"))
+    twice, n = (F.col("s") - F.col("t")) * 2 + F.col("n") - 1, (F.col("n") - 1) * 2
+    base = base.select("niche", "brand", "term", F.when(F.col("n") > 1, (twice - F.pmod(twice, n)) / n / 10).otherwise(0.0).alias("niche_ad_share"))
     joined = signatures.join(base, ["niche", "brand", "term"], "left").withColumn("niche_ad_share", F.coalesce("niche_ad_share", F.lit(0.0)))
     lifted = joined.withColumn("lift", S.js_round(F.col("ad_share") / F.greatest(F.lit(unseen), F.col("niche_ad_share")), 2)).filter("lift > 1.3 and ad_share >= 40")
     place = F.row_number().over(Window.partitionBy("niche", "brand").orderBy(F.desc("lift"), F.desc("words"), F.desc("ad_share"), "term"))
@@ -132,7 +141,7 @@ def brand_vocabulary(ads: DataFrame, brands: DataFrame) -> DataFrame:
     totals = texts.select(*keys, "ad").distinct().groupBy(*keys).agg(F.count("*").alias("own")).join(counts, "brand").select(*keys, F.when(per_angle, F.col("own")).otherwise(F.col("ads")).alias("total"))
     floor = F.when(per_angle, 2).when(F.col("slot") == "signature", least_ads(F.col("total"))).otherwise(F.greatest(F.lit(2), least_ads(F.col("total")) - 1))
     rows = without_names(grams(texts, keys), banned_names(brands, ["brand"]), ["brand"])
-    ranked = rank(prefer_longer(term_stats(rows, totals, keys, floor), keys), keys, 400)
+    ranked = rank(prefer_longer(term_stats(rows, totals, keys, floor), keys), keys)
     most = F.when(per_angle, 6).when(F.col("slot") == "signature", 40).otherwise(12)
     return drop_shifted(ranked, keys, 40).filter(F.col("place") <= most)
 

@@ -97,7 +97,7 @@ def ad_dedupe_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 PARTS = f"""{ADS}, totals AS (SELECT brand, count(*) AS total FROM scored GROUP BY 1),
-angles AS (SELECT brand, any_value(brand_name) AS brand_name, any_value(niche) AS niche, angle, count(*) AS ad_count, floor(avg(exposure) * 10 + 0.5) / 10 AS avg_exposure FROM scored GROUP BY brand, angle)"""
+angles AS (SELECT brand, any_value(brand_name) AS brand_name, any_value(niche) AS niche, angle, count(*) AS ad_count, ((2 * sum(CAST(round(exposure * 10) AS BIGINT)) + count(*)) // (2 * count(*))) / 10 AS avg_exposure FROM scored GROUP BY brand, angle)"""
 
 
 def angles(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def niche_top_angles(spark: SparkSession, d: str) -> DataFrame:
     return R.niche_angles(named_angles(spark, d), brands).withColumn("place", F.col("place").cast("long"))
 
 
-@query("angle_leaderboard", f"WITH {PARTS} SELECT angle, CAST(sum(ad_count) AS BIGINT) AS ad_count, count(DISTINCT brand_name) AS brand_count, floor(avg(avg_exposure) * 10 + 0.5) / 10 AS avg_exposure FROM angles GROUP BY angle")
+@query("angle_leaderboard", f"WITH {PARTS} SELECT angle, CAST(sum(ad_count) AS BIGINT) AS ad_count, count(DISTINCT brand_name) AS brand_count, ((2 * sum(CAST(round(avg_exposure * 10) AS BIGINT)) + count(*)) // (2 * count(*))) / 10 AS avg_exposure FROM angles GROUP BY angle")
 def angle_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return R.leaderboard(named_angles(spark, d))
 
@@ -265,7 +265,7 @@ def proven_winners(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ad_landing_pages",
-    f"""WITH {ADS}, u AS (SELECT *, angle || '/' || CAST(sub_niche AS VARCHAR) AS url FROM scored), g AS (SELECT niche, url, count(*) AS ad_count, floor(sum(exposure) * 10 + 0.5) / 10 AS total_exposure, floor(median(exposure) * 10 + 0.5) / 10 AS median_exposure, max(exposure) AS top_exposure,
+    f"""WITH {ADS}, u AS (SELECT *, angle || '/' || CAST(sub_niche AS VARCHAR) AS url FROM scored), g AS (SELECT niche, url, count(*) AS ad_count, sum(CAST(round(exposure * 10) AS BIGINT)) / 10 AS total_exposure, floor(median(exposure) * 10 + 0.5) / 10 AS median_exposure, max(exposure) AS top_exposure,
       count(*) FILTER (WHERE active) AS active_ads, min(start) AS first_seen, max(start) AS last_seen, max(days) AS longest_run FROM u GROUP BY 1, 2)
     SELECT *, floor(ad_count / sum(ad_count) OVER (PARTITION BY niche) * 1000 + 0.5) / 10 AS share, row_number() OVER (PARTITION BY niche ORDER BY total_exposure DESC, ad_count DESC, url) AS place FROM g""",
 )

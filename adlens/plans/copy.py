@@ -25,18 +25,14 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
-def english(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("lang = 'en'")
-
-
 @query("word_count", f"SELECT doc_id, CAST(len(list_filter(string_split({_CLEAN}, ' '), lambda x: x <> '')) AS BIGINT) AS words FROM documents")
 def word_count(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
 
 
-@query("sentence_split", f"SELECT doc_id, CAST(1 + len(regexp_extract_all({_CLEAN}, '[.!?…] [A-Z0-9\"''“‘(]')) AS BIGINT) AS sentences FROM documents WHERE text <> '' AND lang = 'en'")
+@query("sentence_split", f"SELECT doc_id, CAST(1 + len(regexp_extract_all({_CLEAN}, '[.!?…] [A-Z0-9\"''“‘(]')) AS BIGINT) AS sentences FROM documents WHERE text <> ''")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return english(spark, d).filter("text != ''").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+    return docs(spark, d).filter("text != ''").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 @query("reading_ease")
@@ -44,14 +40,14 @@ def reading_ease(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.reading_ease(F.col("text")).alias("ease"))
 
 
-@query("normalise_text", f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents WHERE lang = 'en'")
+@query("normalise_text", f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
 def normalise_text(spark: SparkSession, d: str) -> DataFrame:
-    return english(spark, d).select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("folded"))
+    return docs(spark, d).select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("folded"))
 
 
-@query("token_count", f"SELECT doc_id, CAST(len(list_filter(string_split_regex({_FOLD}, '[^a-z0-9''+-]+'), lambda x: length(x) > 1)) AS BIGINT) AS tokens FROM documents WHERE lang = 'en'")
+@query("token_count", f"SELECT doc_id, CAST(len(list_filter(string_split_regex({_FOLD}, '[^a-z0-9''+-]+'), lambda x: length(x) > 1)) AS BIGINT) AS tokens FROM documents")
 def token_count(spark: SparkSession, d: str) -> DataFrame:
-    return english(spark, d).select("doc_id", F.size(T.tokenise(T.normalise(F.col("text")))).cast("long").alias("tokens"))
+    return docs(spark, d).select("doc_id", F.size(T.tokenise(T.normalise(F.col("text")))).cast("long").alias("tokens"))
 
 
 @query("truncate_text", f"SELECT doc_id, CASE WHEN length({_CLEAN}) <= 60 THEN {_CLEAN} ELSE rtrim(substr({_CLEAN}, 1, 59)) || '…' END AS short FROM documents")
@@ -72,13 +68,13 @@ def _terms_sql() -> str:
     return "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, '{w}', CAST({x} AS DOUBLE))" for k, (n, w, x) in enumerate(rows)) + ") AS v(niche, pos, term, weight))"
 
 
-_HITS = f"""{_terms_sql()}, p AS (SELECT doc_id, {_PADDED} AS padded FROM documents WHERE lang = 'en'),
+_HITS = f"""{_terms_sql()}, p AS (SELECT doc_id, {_PADDED} AS padded FROM documents),
 hits AS (SELECT doc_id, niche, pos, term, weight, CAST((length(padded) - length(replace(padded, ' ' || replace(term, ' ', '  ') || ' ', ''))) / (length(replace(term, ' ', '  ')) + 2) AS BIGINT) AS hits FROM p CROSS JOIN lex)"""
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
     """The same words on both sides: only letters and digits count here, so that SQL can state it."""
-    return english(spark, d).select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("text"))
+    return docs(spark, d).select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("text"))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -117,7 +113,7 @@ def audience_terms(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOPWORDS) + "]"
 #: Grams of one and two words inside sentences; sentence ends become a mark that no token matches.
-_GRAMS = f"""sent AS (SELECT doc_id, source, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?…]) ([A-Z0-9"''“‘(])', '\\1\x01\\2', 'g'), '\x01')) AS s FROM documents WHERE lang = 'en'),
+_GRAMS = f"""sent AS (SELECT doc_id, source, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?…]) ([A-Z0-9"''“‘(])', '\\1\x01\\2', 'g'), '\x01')) AS s FROM documents),
 tok AS (SELECT doc_id, source, row_number() OVER () AS sid, list_filter(string_split_regex(regexp_replace(strip_accents(lower(s)), '[^a-z0-9%$£€''".,!?/+\\-\\s]', ' ', 'g'), '[^a-z0-9''+-]+'), lambda x: x <> '') AS w FROM sent),
 one AS (SELECT doc_id, source, sid, unnest(w) AS a, unnest(list_concat(w[2:], [''])) AS b FROM tok WHERE len(w) > 0),
 gram AS (SELECT doc_id, source, a AS term FROM one WHERE NOT list_contains({_STOP}, a) AND NOT regexp_matches(a, '^[0-9]+$') AND length(a) >= 2
@@ -125,11 +121,11 @@ gram AS (SELECT doc_id, source, a AS term FROM one WHERE NOT list_contains({_STO
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return english(spark, d).select(F.col("source").alias("brand"), F.col("doc_id").alias("ad"), "text", F.lit(50.0).alias("exposure"))
+    return docs(spark, d).select(F.col("source").alias("brand"), F.col("doc_id").alias("ad"), "text", F.lit(50.0).alias("exposure"))
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:
-    return english(spark, d).groupBy(F.col("source").alias("brand")).agg(F.count("*").alias("total"))
+    return docs(spark, d).groupBy(F.col("source").alias("brand")).agg(F.count("*").alias("total"))
 
 
 @query("ngram_document_frequency", f"WITH {_GRAMS} SELECT term, count(DISTINCT doc_id) AS ad_count, count(*) AS total_count FROM gram GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
@@ -143,7 +139,7 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
     return V.term_stats(V.grams(texts(spark, d), ["brand"], 2), totals(spark, d), ["brand"])
 
 
-_STATS = f"""{_GRAMS}, tot AS (SELECT source, count(*) AS total FROM documents WHERE lang = 'en' GROUP BY 1),
+_STATS = f"""{_GRAMS}, tot AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),
 st AS (SELECT source AS brand, term, count(DISTINCT doc_id) AS ad_count, count(*) AS total_count, any_value(total) AS total FROM gram JOIN tot USING (source) GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= greatest(2, ceil(any_value(total) * 0.15))),
 sh AS (SELECT brand, term, ad_count, total_count, floor(ad_count / total * 1000 + 0.5) / 10 AS ad_share, 1 + length(term) - length(replace(term, ' ', '')) AS words FROM st)"""
 
@@ -169,11 +165,11 @@ def signature_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("signature_terms_refined")
 def signature_terms_refined(spark: SparkSession, d: str) -> DataFrame:
-    return V.drop_shifted(V.rank(V.prefer_longer(stats(spark, d), ["brand"]), ["brand"], 400), ["brand"], 40).select("brand", "term", "ad_share", "place")
+    return V.drop_shifted(V.rank(V.prefer_longer(stats(spark, d), ["brand"]), ["brand"]), ["brand"], 40).select("brand", "term", "ad_share", "place")
 
 
 _NICHE = f"""{_FOLDED}, own AS (SELECT 'n' || CAST(CAST(substr(brand, 4) AS INTEGER) % 4 AS VARCHAR) AS niche, * FROM sig), nb AS (SELECT niche, count(DISTINCT brand) AS brands FROM own GROUP BY 1),
-nt AS (SELECT niche, term, count(*) AS brand_count, floor(avg(ad_share) * 10 + 0.5) / 10 AS avg_ad_share, any_value(brands) AS brands FROM own JOIN nb USING (niche) GROUP BY 1, 2 HAVING count(*) >= CASE WHEN any_value(brands) >= 3 THEN 2 ELSE 1 END),
+nt AS (SELECT niche, term, count(*) AS brand_count, ((2 * sum(CAST(round(ad_share * 10) AS BIGINT)) + count(*)) // (2 * count(*))) / 10 AS avg_ad_share, any_value(brands) AS brands FROM own JOIN nb USING (niche) GROUP BY 1, 2 HAVING count(*) >= CASE WHEN any_value(brands) >= 3 THEN 2 ELSE 1 END),
 nv AS (SELECT * FROM (SELECT niche, term, brand_count, avg_ad_share, floor(brand_count / brands * 1000 + 0.5) / 10 AS brand_share, row_number() OVER (PARTITION BY niche ORDER BY brand_count DESC, avg_ad_share DESC, term) AS place FROM nt) WHERE place <= 40)"""
 
 
@@ -188,8 +184,8 @@ def niche_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "distinctive_terms",
-    f"""WITH {_NICHE}, k AS (SELECT own.* FROM own JOIN nv USING (niche, term)), b AS (SELECT niche, brand, term, CASE WHEN count(*) OVER w > 1 THEN (sum(ad_share) OVER w - ad_share) / (count(*) OVER w - 1) ELSE 0 END AS base FROM k WINDOW w AS (PARTITION BY niche, term)),
-    l AS (SELECT own.niche, own.brand, own.term, own.ad_share, own.words, floor(coalesce(base, 0) * 10 + 0.5) / 10 AS niche_ad_share FROM own LEFT JOIN b ON own.niche = b.niche AND own.brand = b.brand AND own.term = b.term),
+    f"""WITH {_NICHE}, k AS (SELECT own.* FROM own JOIN nv USING (niche, term)), b AS (SELECT niche, brand, term, CASE WHEN count(*) OVER w > 1 THEN ((2 * (sum(CAST(round(ad_share * 10) AS BIGINT)) OVER w - CAST(round(ad_share * 10) AS BIGINT)) + count(*) OVER w - 1) // (2 * (count(*) OVER w - 1))) / 10 ELSE 0 END AS base FROM k WINDOW w AS (PARTITION BY niche, term)),
+    l AS (SELECT own.niche, own.brand, own.term, own.ad_share, own.words, coalesce(base, 0.0) AS niche_ad_share FROM own LEFT JOIN b ON own.niche = b.niche AND own.brand = b.brand AND own.term = b.term),
     f AS (SELECT *, floor(ad_share / greatest(5, niche_ad_share) * 100 + 0.5) / 100 AS lift FROM l) SELECT brand, term, lift, niche_ad_share FROM (SELECT *, row_number() OVER (PARTITION BY niche, brand ORDER BY lift DESC, words DESC, ad_share DESC, term) AS place FROM f WHERE lift > 1.3 AND ad_share >= 40) WHERE place <= 8""",
 )
 def distinctive_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +198,13 @@ def copy_hooks(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").select("conv_id", "turn", X.hook_type(F.col("text")).alias("hook_type"))
 
 
-@query("angle_hits", "SELECT doc_id, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(problem|issue|struggle)\\b'))) AS BIGINT) AS problem, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(secret|little.?known|hidden|shocking)\\b'))) AS BIGINT) AS secret, CAST(len(regexp_extract_all(text, '(?i)\\b(the|and|that)\\b')) AS BIGINT) AS common FROM documents WHERE lang = 'en'")
+@query("angle_hits", "SELECT doc_id, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(problem|issue|struggle)\\b'))) AS BIGINT) AS problem, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(secret|little.?known|hidden|shocking)\\b'))) AS BIGINT) AS secret, CAST(len(regexp_extract_all(text, '(?i)\\b(the|and|that)\\b')) AS BIGINT) AS common FROM documents")
 def angle_hits(spark: SparkSession, d: str) -> DataFrame:
     def n(p: str):  # noqa: ANN202
         return F.regexp_count("text", F.lit(T.js_regex(p, "i"))).cast("long")
 
     three = F.lit(3).cast("long")
-    return english(spark, d).select("doc_id", F.least(three, n(r"\b(problem|issue|struggle)\b")).alias("problem"), F.least(three, n(r"\b(secret|little.?known|hidden|shocking)\b")).alias("secret"), n(r"\b(the|and|that)\b").alias("common"))
+    return docs(spark, d).select("doc_id", F.least(three, n(r"\b(problem|issue|struggle)\b")).alias("problem"), F.least(three, n(r"\b(secret|little.?known|hidden|shocking)\b")).alias("secret"), n(r"\b(the|and|that)\b").alias("common"))
 
 
 @query("copy_analysis")
@@ -231,14 +227,14 @@ def vocabulary_summary(spark: SparkSession, d: str) -> DataFrame:
     return V.summary(signature(spark, d), ["brand"])
 
 
-@query("message_match", "WITH a AS (SELECT d.doc_id, d.lang, list_distinct(list_filter(string_split_regex(lower(d.text), '[^a-z]+'), lambda x: length(x) > 4)) AS w FROM documents d WHERE d.lang = 'en'), b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 4)) AS v FROM benchmark) SELECT doc_id, item_id, floor(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) * 100 + 0.5) AS score FROM a JOIN b ON doc_id % 40 = item_id WHERE len(list_concat(w, v)) > 0")
+@query("message_match", "WITH a AS (SELECT d.doc_id, d.lang, list_distinct(list_filter(string_split_regex(lower(d.text), '[^a-z]+'), lambda x: length(x) > 4)) AS w FROM documents d), b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 4)) AS v FROM benchmark) SELECT doc_id, item_id, floor(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) * 100 + 0.5) AS score FROM a JOIN b ON doc_id % 40 = item_id WHERE len(list_concat(w, v)) > 0")
 def message_match(spark: SparkSession, d: str) -> DataFrame:
     from adlens.operators.pages import overlap
 
     def words():  # noqa: ANN202
         return F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 4))
 
-    a = english(spark, d).select("doc_id", words().alias("w"))
+    a = docs(spark, d).select("doc_id", words().alias("w"))
     b = t(spark, d, "benchmark").select("item_id", words().alias("v"))
     both = a.join(b, F.col("doc_id") % 40 == F.col("item_id")).filter(F.size("w") + F.size("v") > 0)
     return both.select("doc_id", "item_id", overlap(F.col("w"), F.col("v")).alias("score"))
