@@ -193,3 +193,8 @@ def session_id(s: Column) -> Column:
     """A label reduced to the characters a session id may hold, 50 at most, never empty."""
     clean = F.substring(F.regexp_replace(F.regexp_replace(s, r"[^\w._~]+", "_"), "^_+|_+$", ""), 1, 50)
     return F.when(clean == "", "session").otherwise(clean)
+
+
+def defined(values: Column) -> Column:
+    """an array without its nulls."""
+    return F.array_compact(values)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.dims import rules
 from adlens.functions import score as S
 from adlens.functions import text as T
 
@@ -22,6 +23,12 @@ def taxonomy(spark, nested: dict[str, dict[str, dict]]) -> DataFrame:  # noqa: A
     return spark.createDataFrame(rows, "niche string, sub string, sub_pos int, term string, weight double")
 
 
+def audience_terms(spark) -> DataFrame:  # noqa: ANN001
+    """The built-in audiences: audience, pos, term, weight."""
+    rows = [(a, k, term.rsplit(":", 1)[0], float(term.rsplit(":", 1)[1])) for k, (a, terms) in enumerate(rules.table(rules.AUDIENCES)) for term in terms.split(", ")]
+    return spark.createDataFrame(rows, "audience string, pos int, term string, weight double")
+
+
 def merge_taxonomy(base: DataFrame, override: DataFrame) -> DataFrame:
     """An override replaces whole sub-niches and adds new ones behind."""
     kept = base.join(override.select("niche", "sub").distinct(), ["niche", "sub"], "left_anti")

@@ -126,6 +126,32 @@ def call_to_action(text: Column, told: Column | None = None) -> Column:
     return found if told is None else F.coalesce(F.nullif(T.collapse(told), F.lit("")), found)
 
 
+def described(angle: Column) -> Column:
+    """struct<label, description> of an angle's key; null for what is no angle."""
+    rows = [F.when(angle == key, F.struct(F.lit(label).alias("label"), F.lit(told).alias("description"))) for key, label, told in rules.table(rules.ANGLES)]
+    return F.coalesce(*rows)
+
+
+def offer_counts(ads: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
+    """Offers (column offers, as `offers` gives them) by kind and lower-cased detail, the first spelling by pos kept: keys, kind,
+    detail, n, place."""
+    from pyspark.sql import Window
+
+    each = ads.select(*keys, "pos", F.posexplode("offers").alias("nth", "o")).select(*keys, "pos", "nth", "o.kind", "o.detail")
+    n = each.groupBy(*keys, "kind", F.lower("detail").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "nth", "detail"))["detail"].alias("detail"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "kind", "detail"))
+    return n.drop("low").withColumn("place", place).filter(F.col("place") <= most)
+
+
+def top_hooks(ads: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """Keys and the hooks of the first ads by exposure, then arrival."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("exposure"), "pos"))
+    first = ads.withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "hook"))), lambda x: x["hook"]).alias("hooks"))
+
+
 def analyse(ads: DataFrame) -> DataFrame:
     """Ads (title, body, link_description, cta_text) with their copy and all of the above put in."""
     text = F.col("copy")

@@ -370,24 +370,56 @@ def tech_stack(found: Column) -> Column:
     )
 
 
-def commerce(text: Column) -> Column:
+def commerce(text: Column, products: Column | None = None) -> Column:
     """What a shop's own words say: subscription, free shipping and its threshold, guarantee days, the loudest
-    discount, review count, rating, founding year."""
-    def loudest(pattern: str) -> Column:
-        return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(T.js_regex(pattern, "i")), F.lit(1)), T.parse_count))
-
-    return F.struct(
-        text.rlike(T.js_regex(r"\b(subscribe (and|&) save|subscription|auto.?ship|autoship)\b", "i")).alias("subscription"), text.rlike(T.js_regex(r"\bfree (shipping|delivery)\b", "i")).alias("free_shipping"),
-        T.first_number(text, T.js_regex(r"\bfree (?:shipping|delivery)[^.]{0,40}?(?:over|above|on orders over)\s*[$£€]?\s?(\d+)", "i")).alias("free_shipping_over"),
-        T.first_number(text, T.js_regex(r"\b(\d{1,3})[\s-]?day (?:money.?back|guarantee|risk.?free|satisfaction)", "i")).alias("guarantee_days"), loudest(r"\b(\d{1,2})\s?% ?off\b").alias("max_discount"),
-        loudest(r"\b([\d,.]+\s?[km]?)\+?\s*(?:verified |5.?star |happy )?(?:reviews|customers)\b").alias("review_count"), T.first_number(text, T.js_regex(r"\b([1-5]\.\d)\s*(?:/|out of)\s*5\b", "i")).alias("rating"),
-        T.first_number(text, T.js_regex(r"\b(?:founded|established|since) (?:in )?((?:19|20)\d{2})\b", "i")).alias("founded"),
-    )
+    discount, review count, rating, press and certifications named, founding year; and of its products (an array of
+    structs with price and currency) their number, price range and median."""
+    low = T.normalise(text)
+
+    def loudest(pattern: str, least: float, below: float) -> Column:
+        each = F.transform(F.regexp_extract_all(text, F.lit(T.js_regex(pattern, "i")), F.lit(1)), T.parse_count)
+        return F.array_max(F.filter(each, lambda n: (n > least) & (n < below)))
+
+    def named(names: tuple[str, ...], low_case: bool) -> Column:
+        own = F.lower(text) if low_case else text
+        return F.slice(F.array_compact(F.array(*[F.when(F.contains(own, F.lit(n.lower() if low_case else n)), F.lit(n)) for n in names])), 1, 10)
+
+    rating = T.first_number(text, T.js_regex(rules.RATING, "i"))
+    told = [
+        text.isNotNull() & low.rlike(T.js_regex(rules.SUBSCRIPTION)), low.rlike(T.js_regex(rules.FREE_SHIPPING)), T.first_number(low, T.js_regex(rules.SHIPPING_OVER, "i")), T.first_number(low, T.js_regex(rules.GUARANTEE, "i")),
+        loudest(rules.DISCOUNT, 0, 100), loudest(rules.REVIEWS, 0, float("inf")), F.when(rating.between(1, 5), rating), named(rules.PRESS, False), named(rules.CERTIFICATIONS, True), T.first_number(text, T.js_regex(rules.FOUNDED, "i")),
+    ]
+    names = ["subscription", "free_shipping", "free_shipping_over", "guarantee_days", "max_discount", "review_count", "rating", "press", "certifications", "founded"]
+    none = F.lit(None).cast("double")
+    if products is None:
+        more = [F.lit(0).alias("product_count"), *[none.alias(n) for n in ("price_min", "price_median", "price_max")], F.lit(None).cast("string").alias("currency")]
+    else:
+        prices = F.array_sort(F.filter(F.transform(products, lambda p: p["price"]), lambda x: x > 0))
+        n = F.size(prices)
+        half = F.floor(n / 2).cast("int")
+        middle = F.when(n % 2 == 1, F.get(prices, half)).otherwise((F.get(prices, half - 1) + F.get(prices, half)) / 2)
+        first = F.get(F.filter(F.transform(products, lambda p: p["currency"]), lambda c: c.isNotNull() & (c != "")), 0)
+        more = [F.coalesce(F.size(products), F.lit(0)).alias("product_count"), F.array_min(prices).alias("price_min"), F.when(n > 0, S.js_round(middle, 2)).alias("price_median"), F.array_max(prices).alias("price_max"), F.when(n > 0, first).alias("currency")]
+    return F.struct(*[x.alias(k) for x, k in zip(told, names, strict=True)], *more)
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(n, 0)
+
+
+def plain(n: Column) -> Column:
+    """A number without a fraction of zero."""
+    return F.regexp_replace(n.cast("string"), r"\.0$", "")
 
 
 def commerce_summary(c: Column) -> Column:
-    """One line of what is known."""
-    return F.concat_ws(" · ", F.when(c["subscription"], "subscription"), F.when(c["guarantee_days"].isNotNull(), F.concat(c["guarantee_days"].cast("int").cast("string"), F.lit("-day guarantee"))), F.when(c["max_discount"].isNotNull(), F.concat(F.lit("up to "), c["max_discount"].cast("int").cast("string"), F.lit("% off"))), F.when(c["review_count"].isNotNull(), F.concat(T.format_count(c["review_count"]), F.lit(" reviews"))))
+    """One line of what is known, 240 characters at most."""
+    line = F.concat_ws(
+        " · ", F.when(c["price_median"].isNotNull(), F.concat(F.lit("median "), F.concat_ws(" ", plain(c["price_median"]), c["currency"]))), F.when(c["product_count"] > 0, F.concat(c["product_count"].cast("string"), F.lit(" products"))), F.when(c["subscription"], F.lit("subscription")),
+        F.concat(plain(c["guarantee_days"]), F.lit("-day guarantee")), F.concat(F.lit("up to "), plain(c["max_discount"]), F.lit("% off")), F.concat(grouped(c["review_count"]), F.lit(" reviews")), F.concat(plain(c["rating"]), F.lit("/5")),
+    )
+    return F.when(line == "", "no commercial signals found").otherwise(T.truncate(line, 240))
 
 
 def dedupe_products(products: DataFrame, keys: list[str], most: int = 50) -> DataFrame:

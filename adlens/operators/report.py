@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions import score as S
+from adlens.operators import copy as X
 from adlens.operators import rollup as R
 
 
@@ -35,12 +36,31 @@ def brand_reports(brands: DataFrame, ads: DataFrame, as_of: str, least_days: int
     for by in ("awareness", "format"):
         out = out.join(_list(R.mix(ads, keys, by), keys, [F.desc("n"), F.col(by)], [by, "n", "share"], f"{by}_breakdown"), "brand", "left")
     out = out.join(_list(ads, keys, [F.col("rank")], ["hook", "exposure"], "top_hooks", 10), "brand", "left")
+    if "offers" in ads.columns:
+        told = X.offer_counts(ads.withColumn("pos", F.col("rank")), keys, 8)
+        out = out.join(_list(told, keys, [F.col("place")], ["kind", "detail", "n"], "offers"), "brand", "left")
+    if "url" in ads.columns:
+        pages = R.landing_pages(ads, keys)
+        shown = ["url", "ad_count", "share", "total_exposure", "median_exposure", "active_ads", "longest_run"]
+        out = out.join(_list(pages, keys, [F.col("place")], shown, "landing_pages", 20), "brand", "left")
     signals = R.creative_signals(ads, F.lit(as_of).cast("timestamp"), keys).drop("ad_count")
     winners = R.proven_winners(ads.withColumn("angles", F.transform("angles", lambda a: a["angle"])), keys, least_days)
     out = out.join(signals, "brand", "left").join(winners.select("brand", "winners", "median_exposure", "pattern"), "brand", "left")
     return out.withColumns({"ad_count": F.coalesce("ad_count", F.lit(0)), "posture": F.coalesce("posture", F.lit("absent")), "scraped_at": F.lit(as_of)})
 
 
+def run_totals(reports: DataFrame) -> DataFrame:
+    """Brands, brands with ads, ads."""
+    return reports.agg(F.count("*").alias("brands_profiled"), F.count_if(F.col("ad_count") > 0).alias("brands_with_ads"), F.coalesce(F.sum("ad_count"), F.lit(0)).alias("ads_analysed"))
+
+
+def niche_tree(reports: DataFrame) -> DataFrame:
+    """A row a niche: brands, ads and its sub-niches (array<struct<sub_niche, brands, ads>>, most brands first)."""
+    subs = reports.groupBy("niche", "sub_niche").agg(F.count("*").alias("brands"), F.sum("ad_count").alias("ads"))
+    listed = _list(subs, ["niche"], [F.desc("brands"), F.col("sub_niche")], ["sub_niche", "brands", "ads"], "subs")
+    return subs.groupBy("niche").agg(F.sum("brands").alias("brands"), F.sum("ads").alias("ads")).join(listed, "niche", "left")
+
+
 def run_report(reports: DataFrame, as_of: str, warnings: tuple[str, ...] = ()) -> dict:
     """The run's document. Both outputs read the final relation."""
     rows = [r.asDict(recursive=True) for r in reports.orderBy(F.desc("exposure_score"), "brand").collect()]

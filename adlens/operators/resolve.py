@@ -103,6 +103,20 @@ def resolve(inputs: DataFrame, found: DataFrame, aliases: DataFrame) -> DataFram
     return j.select("id", status.alias("status"), F.when(F.col("known"), 100.0).otherwise(sure).alias("confidence"), F.coalesce("alias_brand", "brand", "name").alias("brand"), F.coalesce("alias_entity", "entity").alias("legal_entity"), "website", F.col("slug").alias("linkedin_slug"), reason.alias("review_reason"))
 
 
+def signal_summary(signals: Column) -> Column:
+    """One line of the distinct values (array<struct<value, source>>) with their sources, in order of first sight."""
+    return F.array_join(F.array_distinct(F.transform(signals, lambda s: F.concat(s["value"], F.lit(" ("), s["source"], F.lit(")")))), " · ")
+
+
+def resolution_summary(entity: Column, brand: Column, status: Column, confidence: Column, sources: Column) -> Column:
+    """One line on a resolution, 240 characters at most. sources: array<string> of its evidence, in order."""
+    entity, brand = F.nullif(entity, F.lit("")), F.nullif(brand, F.lit(""))
+    head = F.coalesce(F.concat(entity, F.lit(" → "), brand), entity, brand, F.lit("unidentified"))
+    said = F.coalesce(F.nullif(F.array_join(F.array_distinct(sources), ", "), F.lit("")), F.lit("no evidence"))
+    sure = F.regexp_replace(confidence.cast("string"), r"\.0$", "")
+    return T.truncate(F.concat(head, F.lit(" · "), status, F.lit(" ("), sure, F.lit(") · "), said), 240)
+
+
 def stats(resolutions: DataFrame) -> DataFrame:
     """A35."""
     n = {s: F.count_if(F.col("status") == s) for s in ("confirmed", "resolved", "needs-review", "unresolved")}

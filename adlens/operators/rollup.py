@@ -80,6 +80,36 @@ def absences(brands: DataFrame, norms: DataFrame, flags: list[tuple[str, str, st
     return joined.select("brand", F.inline(each)).filter("direction is not null")
 
 
+#: Name, brand column, ratio; and name, flag.
+SIGNALS = (("Price", "price_median", 1.4), ("Discount depth", "max_discount", 1.4), ("Guarantee", "guarantee_days", 1.4), ("Social proof volume", "review_count", 2.0), ("Ad volume", "ad_count", 1.8), ("Stack maturity", "stack_score", 1.4))
+FLAGS = (("Subscription", "subscription"), ("Paid media", "paid_media"), ("Reviews", "reviews"))
+
+
+def norms(brands: DataFrame) -> DataFrame:
+    """The benchmark of every figure and flag that the deviations need. brands: brand, niche and their columns."""
+    return benchmark(brands, [c for _, c, _ in SIGNALS if c != "ad_count"], [c for _, c in FLAGS])
+
+
+def deviation_set(brands: DataFrame, norms_: DataFrame, least_brands: int = 3) -> DataFrame:
+    """(brand, signal, value, norm, direction): the six figures, the three absences, a lead angle that is not the niche's
+    (brands: lead_angle, norms: niche_lead_angle) and a stale posture. Niches of fewer brands set no norm."""
+    n = norms_.filter(F.col("brand_count") >= least_brands).drop("ad_count")
+    figures = deviations(brands, n, [(name, c, "median_ads_per_brand" if c == "ad_count" else f"median_{c}", r) for name, c, r in SIGNALS], least_brands).select("brand", "signal", F.col("value").cast("string").alias("value"), F.col("norm").cast("string").alias("norm"), "direction")
+    gone = absences(brands, n, [(name, c, f"{c}_share") for name, c in FLAGS], least_brands=least_brands).select("brand", "signal", F.lit("none").alias("value"), F.lit(None).cast("string").alias("norm"), "direction")
+    met = brands.select("brand", "niche", "lead_angle", "posture").join(n.select("niche", "niche_lead_angle"), "niche")
+    lead = met.filter("lead_angle != niche_lead_angle").select("brand", F.lit("Lead angle"), "lead_angle", "niche_lead_angle", F.lit("unique"))
+    stale = met.filter("posture = 'stale'").select("brand", F.lit("Creative freshness"), "posture", F.lit(None).cast("string"), F.lit("below"))
+    return figures.union(gone).union(lead).union(stale)
+
+
+def winner_angles(ads: DataFrame, keys: list[str], least_days: int = 60, most: int = 5) -> DataFrame:
+    """Keys and the angles that most of the long-running ads share, most first, then by name."""
+    n = ads.filter(F.coalesce("days", F.lit(0)) >= least_days).select(*keys, F.explode("angles").alias("angle")).groupBy(*keys, "angle").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "angle"))
+    top = n.withColumn("place", place).filter(F.col("place") <= most)
+    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "angle"))), lambda x: x["angle"]).alias("angles"))
+
+
 #: Brands in a block of `competitors`.
 BLOCK = 512
 

@@ -104,13 +104,6 @@ def audience_argmax(spark: SparkSession, d: str) -> DataFrame:
     return C.audience(C.term_hits(folded(spark, d), terms), terms).select("id", "audience")
 
 
-@query("audience_terms")
-def audience_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(a, k, term.rsplit(":", 1)[0], float(term.rsplit(":", 1)[1])) for k, (a, terms) in enumerate(rules.table(rules.AUDIENCES)) for term in terms.split(", ")]
-    terms = spark.createDataFrame(rows, "audience string, pos int, term string, weight double")
-    return C.audience(C.term_hits(docs(spark, d).select(F.col("doc_id").alias("id"), T.normalise(F.col("text")).alias("text")), terms), terms)
-
-
 _STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOPWORDS) + "]"
 #: Grams of one and two words inside sentences; sentence ends become a mark that no token matches.
 _GRAMS = f"""sent AS (SELECT doc_id, source, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?…]) ([A-Z0-9"''“‘(])', '\\1\x01\\2', 'g'), '\x01')) AS s FROM documents),
@@ -198,15 +191,6 @@ def copy_hooks(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").select("conv_id", "turn", X.hook_type(F.col("text")).alias("hook_type"))
 
 
-@query("angle_hits", "SELECT doc_id, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(problem|issue|struggle)\\b'))) AS BIGINT) AS problem, CAST(least(3, len(regexp_extract_all(text, '(?i)\\b(secret|little.?known|hidden|shocking)\\b'))) AS BIGINT) AS secret, CAST(len(regexp_extract_all(text, '(?i)\\b(the|and|that)\\b')) AS BIGINT) AS common FROM documents")
-def angle_hits(spark: SparkSession, d: str) -> DataFrame:
-    def n(p: str):  # noqa: ANN202
-        return F.regexp_count("text", F.lit(T.js_regex(p, "i"))).cast("long")
-
-    three = F.lit(3).cast("long")
-    return docs(spark, d).select("doc_id", F.least(three, n(r"\b(problem|issue|struggle)\b")).alias("problem"), F.least(three, n(r"\b(secret|little.?known|hidden|shocking)\b")).alias("secret"), n(r"\b(the|and|that)\b").alias("common"))
-
-
 @query("copy_analysis")
 def copy_analysis(spark: SparkSession, d: str) -> DataFrame:
     ads = docs(spark, d).select(F.col("doc_id").alias("ad"), F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("link_description"), F.lit("").alias("cta_text"))
@@ -227,19 +211,6 @@ def vocabulary_summary(spark: SparkSession, d: str) -> DataFrame:
     return V.summary(signature(spark, d), ["brand"])
 
 
-@query("message_match", "WITH a AS (SELECT d.doc_id, d.lang, list_distinct(list_filter(string_split_regex(lower(d.text), '[^a-z]+'), lambda x: length(x) > 4)) AS w FROM documents d), b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 4)) AS v FROM benchmark) SELECT doc_id, item_id, floor(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) * 100 + 0.5) AS score FROM a JOIN b ON doc_id % 40 = item_id WHERE len(list_concat(w, v)) > 0")
-def message_match(spark: SparkSession, d: str) -> DataFrame:
-    from adlens.operators.pages import overlap
-
-    def words():  # noqa: ANN202
-        return F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 4))
-
-    a = docs(spark, d).select("doc_id", words().alias("w"))
-    b = t(spark, d, "benchmark").select("item_id", words().alias("v"))
-    both = a.join(b, F.col("doc_id") % 40 == F.col("item_id")).filter(F.size("w") + F.size("v") > 0)
-    return both.select("doc_id", "item_id", overlap(F.col("w"), F.col("v")).alias("score"))
-
-
 @query("json_key_family", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_key_family(spark: SparkSession, d: str) -> DataFrame:
     from adlens.operators.ads import pick_string

@@ -39,21 +39,11 @@ def normalise_url(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", U.normalise_url(F.col("url")).alias("clean"))
 
 
-@query("canonical_landing")
-def canonical_landing(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", U.canonical_landing(F.col("url")).alias("url"))
-
-
 @query("page_kind_counts", f"WITH k AS (SELECT {case(rules.PAGE_KINDS, 'path', "WHEN path = '/' THEN 'home' ", 'other')} AS kind FROM (SELECT {_PATH} AS path FROM pages)) SELECT kind, count(*) AS count, floor(count(*) / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share FROM k GROUP BY kind")
 def page_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.kind_counts(pages(spark, d).select("url", F.col("page_id").alias("pos")), []).drop("samples")
 
 
-@query("funnel_type")
-def funnel_type(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", U.funnel_type(F.col("url")).alias("funnel"))
-
-
 @query("split_tests", f"WITH p AS (SELECT {_HOST} AS host, {_PATH} AS path FROM pages), x AS (SELECT host, list_filter(string_split(path, '/'), lambda v: v <> '') AS parts FROM p) SELECT host, CASE WHEN len(parts) <= 1 THEN '/' ELSE '/' || array_to_string(parts[:len(parts) - 1], '/') END AS directory, count(*) AS pages, count(*) AS ad_count FROM x GROUP BY 1, 2 HAVING count(*) >= 2")
 def split_tests(spark: SparkSession, d: str) -> DataFrame:
     from adlens.operators.rollup import split_tests as run
@@ -80,30 +70,6 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.col("l.href").alias("href")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("unlisted_destinations", f"WITH p AS (SELECT page_id, {_HOST} AS host, url FROM pages), a AS (SELECT host, url FROM p WHERE page_id % 3 = 0), b AS (SELECT host, url FROM p WHERE page_id % 2 = 0) SELECT DISTINCT host, url FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.host = b.host AND regexp_replace(a.url, '^(https?://)www\\.', '\\1') = regexp_replace(b.url, '^(https?://)www\\.', '\\1'))")
-def unlisted_destinations(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).select("page_id", U.host_of(F.col("url")).alias("host"), "url")
-    return P.unlisted(p.filter("page_id % 2 = 0").drop("page_id"), p.filter("page_id % 3 = 0").drop("page_id"), ["host"])
-
-
-@query("unadvertised_pages")
-def unadvertised_pages(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).select("page_id", U.host_of(F.col("url")).alias("host"), "url")
-    return P.unadvertised(p.filter("page_id % 2 = 0").drop("page_id"), p.filter("page_id % 3 = 0").drop("page_id"), ["host"])
-
-
-@query("tech_stack")
-def tech_stack(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).withColumn("found", P.tools(F.col("html")))
-    return p.select("page_id", P.platform(F.col("html")).alias("platform"), P.tech_stack(F.col("found"))["score"].cast("long").alias("score"))
-
-
-@query("discovered_links")
-def discovered_links(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).withColumn("page", P.read_html(F.col("html")))
-    return P.discover(P.links(p))
-
-
 @query("candidate_dedupe", f"WITH p AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS domain, page_id % 7 AS score FROM pages) SELECT domain, score, source_pos FROM (SELECT domain, score, page_id AS source_pos, row_number() OVER (PARTITION BY domain ORDER BY score DESC, page_id) AS n FROM p) WHERE n = 1 ORDER BY score DESC, domain LIMIT 25")
 def candidate_dedupe(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).select(U.registrable_domain(F.col("url")).alias("domain"), (F.col("page_id") % 7).alias("score"), F.col("page_id").alias("source_pos"))
