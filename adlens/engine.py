@@ -1,4 +1,4 @@
-"""The whole run as one lazily evaluated flow over tables of pages and ad records."""
+"""The whole run as one lazily evaluated flow over tables of pages and ad records."""
 
 from __future__ import annotations
 
@@ -8,41 +8,118 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.config import EngineConfig
+from adlens.functions import text as T
+from adlens.functions import url as U
 from adlens.operators import ads as A
+from adlens.operators import classify as C
 from adlens.operators import copy as X
 from adlens.operators import pages as P
+from adlens.operators import profile as B
 from adlens.operators import report as O
+from adlens.operators import vocabulary as V
 
 
 @dataclass(frozen=True)
 class Results:
+    """candidates, profiles (with classification), terms (what to search for), ads (ranked and analysed), vocabulary,
+    inventory (published pages by kind), gaps (published without ads), reports (one row a brand)."""
+
     candidates: DataFrame
+    profiles: DataFrame
+    terms: DataFrame
     ads: DataFrame
+    vocabulary: DataFrame
+    inventory: DataFrame
+    gaps: DataFrame
     reports: DataFrame
 
 
+def _below(domain: str, hosts: tuple[str, ...]):  # noqa: ANN202
+    """whether a domain is one of the hosts or below it."""
+    hit = F.lit(False)
+    for x in hosts:
+        own = x.lower().removeprefix("www.")
+        hit |= (F.col(domain) == own) | F.col(domain).endswith("." + own)
+    return hit
+
+
 def discover(config: EngineConfig, pages: DataFrame) -> DataFrame:
-    """Source pages (url, html) -> the best candidates of all of them."""
+    """Source pages (url, html) -> the best candidates of all of them (H4, H5, A2, W4, F2, F5): domain, url, name, score,
+    source_pos. A page of one brand's own site stands for itself; `discovery_mode` may settle which it is."""
     read = pages.withColumn("page", P.read_html(F.col("html")))
-    found = P.discover(P.links(read), config.max_brands).withColumnRenamed("place", "source_pos")
-    for own in (config.include_domains,):
-        if own:
-            keep = F.lit(False)
-            for x in own:
-                keep |= (F.col("domain") == x.lower()) | F.col("domain").endswith("." + x.lower())
-            found = found.filter(keep)
-    return P.dedupe_candidates(found, config.max_brands)
-
-
-def research(config: EngineConfig, records: DataFrame, brands: DataFrame) -> DataFrame:
-    """Provider records (with brand) -> ranked, analysed ads of each brand: the copy of the survivors only is read."""
+    found = P.discover(P.links(read), 100)
+    if config.exclude_domains:
+        found = found.filter(~_below("domain", config.exclude_domains))
+    if config.include_domains:
+        found = found.filter(_below("domain", config.include_domains))
+    if config.discovery_mode == "auto":
+        mode = B.discovery_mode(found, read)
+    else:
+        mode = read.select("url", F.lit("outbound-links" if config.discovery_mode == "listicle" else "single-brand").alias("mode"))
+    listed = found.join(mode.filter("mode = 'outbound-links'").select(F.col("url").alias("page_url")), "page_url", "left_semi").filter(F.col("place") <= config.max_brands)
+    own = B.self_candidates(read).join(mode.filter("mode = 'single-brand'").select("url"), "url", "left_semi")
+    both = listed.select("domain", "url", "name", "score", F.col("place").cast("long").alias("source_pos")).union(own.select("domain", "url", "name", "score", F.lit(0).cast("long")))
+    return P.dedupe_candidates(both, config.max_brands)
+
+
+def profile(config: EngineConfig, candidates: DataFrame, fetched: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """Candidates read on their own sites (H16) and classified (G6, G19): the profile's columns, niche, sub_niche, confidence,
+    alternatives, audience. A confidence under `min_confidence` is unclassified. taxonomy: as `classify.taxonomy` gives it; without one
+    only the run's own `taxonomy` option counts."""
+    p = B.profiles(candidates.withColumn("anchors", F.array("name")), fetched, config.profile_depth)
+    spark = p.sparkSession
+    own = C.taxonomy(spark, config.taxonomy)
+    terms = own if taxonomy is None else C.merge_taxonomy(taxonomy, own) if config.taxonomy else taxonomy
+    texts = p.select(F.col("url").alias("id"), T.normalise(F.col("corpus")).alias("text"))
+    found = C.classify(C.term_hits(texts, terms), terms, least_confidence=float(config.min_confidence))
+    people = C.audience_terms(spark)
+    audience = C.audience(C.term_hits(texts, people), people).select(F.col("id").alias("url"), "audience")
+    named = found.select(F.col("id").alias("url"), F.when(~F.col("unclassified"), F.col("niche")).alias("niche"), F.when(~F.col("unclassified"), F.col("sub")).alias("sub_niche"), "confidence", "alternatives", "evidence")
+    return p.join(named, "url", "left").join(audience, "url", "left").withColumn("niche", F.coalesce("niche", F.lit("unclassified")))
+
+
+def queries(config: EngineConfig, profiles: DataFrame) -> DataFrame:
+    """(brand, pos, term): what to search the ad libraries for."""
+    brands = profiles.select(F.col("domain").alias("brand"), "brand_name")
+    products = profiles.select(F.col("domain").alias("brand"), F.posexplode("products").alias("pos", "p")).select("brand", F.col("p.name").alias("product"), "pos")
+    return A.search_terms(brands, products, config.ad_search_strategy, config.max_product_queries)
+
+
+def research(config: EngineConfig, records: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Provider records (with brand) -> ranked, analysed ads of each brand: only the survivors' copy is read. With terms,
+    each ad is named after the term that found it (J14)."""
     ads = A.dedupe(A.read_records(records, F.lit(config.as_of).cast("timestamp")).join(records.select("pos", "brand"), "pos"))
     ranked = A.rank(A.score(ads, config.rank_by), config.ads_per_brand, float(config.min_exposure_score))
-    return X.analyse(ranked.withColumn("start", F.col("start_date").try_cast("timestamp")))
+    ranked = A.attribute_term(ranked, terms) if terms is not None else ranked
+    ranked = ranked.withColumns({"start": F.col("start_date").try_cast("timestamp"), "url": U.canonical_landing(F.col("landing_url"))})
+    return X.analyse(ranked.fillna("", ["title", "link_description", "cta_text"]))
+
+
+def inventory(config: EngineConfig, profiles: DataFrame, documents: DataFrame) -> DataFrame:
+    """(brand, pos, url): what the brands' sites publish, from documents (url, body)."""
+    sites = profiles.select(F.col("domain").alias("brand"), F.col("url").alias("site"))
+    return P.crawl(documents, sites.select("site"), most_urls=config.max_sitemap_urls).join(sites, "site").select("brand", "pos", "url")
+
+
+def run(config: EngineConfig, pages: DataFrame, fetched: DataFrame, records: DataFrame, work: str, taxonomy: DataFrame | None = None) -> Results:
+    """pages: url, html of the start pages; fetched: url, status, content_type, body of everything read from the brands'
+    sites; records: brand (the domain), provider, matched_query, pos, record. work: a folder that driver and executors
+    share; every step's rows are written there once, and what follows reads them, so nothing is worked out twice. The report rows and
+    the run's document both come from `reports`."""
 
+    def done(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
-def run(config: EngineConfig, pages: DataFrame, records: DataFrame, brands: DataFrame) -> Results:
-    """pages: url, html; records: brand, provider, matched_query, pos, record; brands: brand, brand_name, niche,
-    sub_niche. The report rows and the run's document both come from `reports`."""
-    ads = research(config, records, brands)
-    return Results(discover(config, pages), ads, O.brand_reports(brands, ads, config.as_of, config.proven_winner_min_days))
+    candidates = done(discover(config, pages), "candidates")
+    profiles = done(profile(config, candidates, fetched, taxonomy), "profiles")
+    terms = done(queries(config, profiles), "terms")
+    ads = done(research(config, records, terms), "ads")
+    brands = profiles.select(F.col("domain").alias("brand"), "brand_name", F.col("url").alias("website"), "niche", "sub_niche", "audience", "confidence", "platform", "tech_stack", "commerce")
+    words = ads.select("brand", F.col("ad_id").alias("ad"), "exposure", "title", "body", "link_description", "cta_text", "hook", F.transform("angles", lambda a: a["angle"]).alias("angles"))
+    vocabulary = V.brand_vocabulary(words, brands.select("brand", F.array("brand_name").alias("names")))
+    published = done(inventory(config, profiles, fetched.filter("status < 400").select("url", "body")), "published")
+    kinds = P.kind_counts(published, ["brand"])
+    gaps = P.unadvertised(published.select("brand", "url"), ads.filter("url is not null").select("brand", "url"), ["brand"])
+    reports = done(O.brand_reports(brands, ads, config.as_of, config.proven_winner_min_days), "reports")
+    return Results(candidates, profiles, terms, ads, vocabulary, kinds, gaps, reports)

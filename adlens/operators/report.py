@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adlens.dims import rules
 from adlens.functions import score as S
 from adlens.operators import copy as X
 from adlens.operators import rollup as R
@@ -61,13 +62,33 @@ def niche_tree(reports: DataFrame) -> DataFrame:
     return subs.groupBy("niche").agg(F.sum("brands").alias("brands"), F.sum("ads").alias("ads")).join(listed, "niche", "left")
 
 
+#: Brand rows that a run's document takes; a run has 500 at most.
+MAX_REPORTS = 10_000
+
+
 def run_report(reports: DataFrame, as_of: str, warnings: tuple[str, ...] = ()) -> dict:
-    """The run's document. Both outputs read the final relation."""
-    rows = [r.asDict(recursive=True) for r in reports.orderBy(F.desc("exposure_score"), "brand").collect()]
-    parts = reports.select("brand", "brand_name", "niche", F.explode("angle_breakdown").alias("a")).select("brand", "brand_name", "niche", "a.*")
-    board = [r.asDict() for r in R.leaderboard(parts).orderBy(F.desc("ad_count"), "angle").collect()]
-    norms = [r.asDict() for r in R.benchmark(reports, ["per_month"], []).orderBy(F.desc("brand_count"), "niche").collect()]
-    return {"generated_at": as_of, "brands_profiled": len(rows), "brands_with_ads": sum(r["ad_count"] > 0 for r in rows), "ads_analysed": sum(r["ad_count"] for r in rows), "leaderboard": board, "benchmarks": norms, "warnings": list(warnings), "brands": rows}
+    """The run's document, of MAX_REPORTS brands at most (more are refused). All of it reads the same
+    relation of brand rows."""
+    rows = [r.asDict(recursive=True) for r in reports.orderBy(F.desc("exposure_score"), "brand").limit(MAX_REPORTS + 1).collect()]
+    if len(rows) > MAX_REPORTS:
+        raise ValueError(f"more than {MAX_REPORTS} brands in one report")
+    spark = reports.sparkSession
+    held = spark.createDataFrame(reports.limit(0).toArrow()) if not rows else spark.createDataFrame([tuple(r.values()) for r in rows], reports.schema)
+    parts = held.select("brand", "brand_name", "niche", F.explode("angle_breakdown").alias("a")).select("brand", "brand_name", "niche", "a.*")
+    shares = parts.groupBy("niche", "angle").agg(F.sum("ad_count").alias("n"))
+    totals = held.groupBy("niche").agg(F.sum("ad_count").alias("total"))
+    used = shares.join(totals, "niche").select("niche", "angle", S.share(F.col("n"), F.col("total")).alias("share"))
+    library = spark.createDataFrame([(key,) for key, *_ in rules.table(rules.ANGLES)], "angle string")
+    features = parts.select("brand", F.concat(F.lit("angle:"), "angle").alias("key"), F.col("share").alias("value"))
+
+    def told(df: DataFrame, *order: Column | str) -> list[dict]:
+        return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+
+    return {
+        "generated_at": as_of, "brands_profiled": len(rows), "brands_with_ads": sum(r["ad_count"] > 0 for r in rows), "ads_analysed": sum(r["ad_count"] for r in rows), "niches": told(niche_tree(held), F.desc("brands"), "niche"),
+        "leaderboard": told(R.leaderboard(parts), F.desc("ad_count"), "angle"), "niche_angles": told(R.niche_angles(parts, held), "niche", "place"), "whitespace": told(R.whitespace(used, totals, library), "niche", "place"),
+        "competitors": told(R.competitors(features), "brand", "place"), "benchmarks": told(R.benchmark(held, ["per_month"], []), F.desc("brand_count"), "niche"), "warnings": list(warnings), "brands": rows,
+    }
 
 
 def pct(x: float | None) -> str:
@@ -78,31 +99,72 @@ def md(x: object) -> str:
     return str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
 
 
+def _grid(heads: tuple[str, ...], rows: list[tuple]) -> list[str]:
+    """A Markdown table, nothing for no rows."""
+    line = lambda cells: "| " + " | ".join(md(c) for c in cells) + " |"
+    return [line(heads), line(("---",) * len(heads)), *map(line, rows), ""] if rows else []
+
+
+def _sections(run: dict) -> list[tuple[str, tuple[str, ...], list[tuple]]]:
+    """What both renderings show of a run: title, heads, rows."""
+    return [
+        ("Niches", ("Niche", "Brands", "Ads", "Sub-niches"), [(n["niche"], n["brands"], n["ads"], ", ".join(f"{s['sub_niche']} ({s['brands']})" for s in n["subs"] or ())) for n in run.get("niches", ())]),
+        ("Angles", ("Angle", "Ads", "Brands", "Exposure"), [(a["angle"], a["ad_count"], a["brand_count"], f"{a['avg_exposure']:g}") for a in run["leaderboard"]]),
+        ("Angles by niche", ("Niche", "Angle", "Ads", "Share"), [(a["niche"], a["angle"], a["ad_count"], pct(a["share"])) for a in run.get("niche_angles", ())]),
+        ("Open space", ("Niche", "Angle", "Share"), [(a["niche"], a["angle"], pct(a["share"])) for a in run.get("whitespace", ())]),
+        ("Norms", ("Niche", "Brands", "Ads", "Median ads"), [(b["niche"], b["brand_count"], b["ad_count"], f"{b['median_ads_per_brand']:g}") for b in run["benchmarks"]]),
+        ("Creative competitors", ("Brand", "Other", "Alike"), [(c["brand"], c["other"], pct(c["similarity"])) for c in run.get("competitors", ())]),
+    ]
+
+
+def _brand_sections(b: dict) -> list[tuple[str, tuple[str, ...], list[tuple]]]:
+    return [
+        ("Angles", ("Angle", "Ads", "Share", "Exposure"), [(a["angle"], a["ad_count"], pct(a["share"]), f"{a['avg_exposure']:g}") for a in b.get("angle_breakdown") or ()]),
+        ("Awareness", ("Stage", "Ads", "Share"), [(a["awareness"], a["n"], pct(a["share"])) for a in b.get("awareness_breakdown") or ()]),
+        ("Formats", ("Format", "Ads", "Share"), [(a["format"], a["n"], pct(a["share"])) for a in b.get("format_breakdown") or ()]),
+        ("Offers", ("Kind", "Offer", "Ads"), [(o["kind"], o["detail"], o["n"]) for o in b.get("offers") or ()]),
+        ("Landing pages", ("Page", "Ads", "Share", "Exposure"), [(p["url"], p["ad_count"], pct(p["share"]), f"{p['total_exposure']:g}") for p in b.get("landing_pages") or ()]),
+        ("Hooks", ("Hook", "Exposure"), [(h["hook"], f"{h['exposure']:g}") for h in b.get("top_hooks") or ()]),
+    ]
+
+
+def _facts(b: dict) -> list[tuple[str, object]]:
+    facts = [("Niche", b.get("niche")), ("Sub-niche", b.get("sub_niche")), ("Ads", b["ad_count"]), ("Exposure", b.get("exposure_score")), ("Top angle", b.get("top_angle")), ("Posture", b.get("posture"))]
+    facts += [("Launched in 30 days", b.get("launched_30")), ("Per month", b.get("per_month")), ("Longest run", b.get("longest_run")), ("Winners", b.get("pattern"))]
+    return [(k, v) for k, v in facts if v is not None]
+
+
 def markdown(run: dict) -> str:
     """K3."""
-    out = ["# Brand report", "", f"Generated {run['generated_at']}. {run['brands_profiled']} brands, {run['brands_with_ads']} with ads, {run['ads_analysed']} ads.", ""]
-    out += [f"> {md(w)}" for w in run["warnings"]]
-    if run["leaderboard"]:
-        out += ["## Angles", "", "| Angle | Ads | Brands | Exposure |", "| --- | --- | --- | --- |", *[f"| {md(r['angle'])} | {r['ad_count']} | {r['brand_count']} | {r['avg_exposure']:g} |" for r in run["leaderboard"]], ""]
-    if run["benchmarks"]:
-        out += ["## Niches", "", "| Niche | Brands | Ads | Median ads |", "| --- | --- | --- | --- |", *[f"| {md(r['niche'])} | {r['brand_count']} | {r['ad_count']} | {r['median_ads_per_brand']:g} |" for r in run["benchmarks"]], ""]
+    out = ["# Brand report", "", f"Generated {run['generated_at']}. {run['brands_profiled']} brands, {run['brands_with_ads']} with ads, {run['ads_analysed']} ads.", "", *[f"> {md(w)}" for w in run["warnings"]]]
+    for title, heads, rows in _sections(run):
+        out += [f"## {title}", "", *_grid(heads, rows)] if rows else []
     for b in run["brands"]:
-        out += [f"## {md(b['brand_name'])}", "", f"{md(b['niche'])}; {b['ad_count']} ads; posture {b['posture']}; top angle {md(b['top_angle']) or 'none'}.", ""]
-        out += [f"- {md(a['angle'])}: {a['ad_count']} ads, {pct(a['share'])}" for a in b["angle_breakdown"] or ()]
-        out += [f"- hook: {md(h['hook'])}" for h in (b["top_hooks"] or ())[:3]] + ([f"- winners: {md(b['pattern'])}"] if b.get("pattern") else []) + [""]
+        out += [f"## {md(b['brand_name'])}", "", *[f"- {k}: {md(v)}" for k, v in _facts(b)], ""]
+        for title, heads, rows in _brand_sections(b):
+            out += [f"### {title}", "", *_grid(heads, rows)] if rows else []
     return "\n".join(out)
 
 
 def html(run: dict) -> str:
     """K4: one self-contained page, every value escaped."""
     e = lambda x: H.escape(str("" if x is None else x), quote=True)
-    cards = []
-    for b in run["brands"]:
-        bars = "".join(f'<div class="b"><span style="width:{max(0, min(100, a["share"])):g}%"></span>{e(a["angle"])} {e(pct(a["share"]))}</div>' for a in b["angle_breakdown"] or ())
-        cards.append(f"<section><h2>{e(b['brand_name'])}</h2><p>{e(b['niche'])} - {b['ad_count']} ads - {e(b['posture'])}</p>{bars}</section>")
-    rows = "".join(f"<tr><td>{e(r['angle'])}</td><td>{r['ad_count']}</td><td>{r['brand_count']}</td></tr>" for r in run["leaderboard"])
-    style = "body{font:15px sans-serif;max-width:60em;margin:auto}.b span{display:inline-block;height:.7em;background:#47a;margin-right:.5em}"
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Brand report</title><style>{style}</style></head><body><h1>Brand report</h1><p>{e(run['generated_at'])}</p><table>{rows}</table>{''.join(cards)}</body></html>"
+
+    def grid(title: str, heads: tuple[str, ...], rows: list[tuple], level: int) -> str:
+        head = "".join(f"<th>{e(h)}</th>" for h in heads)
+        body = "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in row) + "</tr>" for row in rows)
+        return f"<h{level}>{e(title)}</h{level}><table><tr>{head}</tr>{body}</table>" if rows else ""
+
+    def bars(b: dict) -> str:
+        return "".join(f'<div class="b"><span style="width:{max(0, min(100, a["share"])):g}%"></span>{e(a["angle"])} {e(pct(a["share"]))}</div>' for a in b.get("angle_breakdown") or ())
+
+    cards = [
+        f"<section><h2>{e(b['brand_name'])}</h2><dl>{''.join(f'<dt>{e(k)}</dt><dd>{e(v)}</dd>' for k, v in _facts(b))}</dl>{bars(b)}{''.join(grid(*x, 3) for x in _brand_sections(b)[1:])}</section>"
+        for b in run["brands"]
+    ]
+    style = "body{font:15px sans-serif;max-width:60em;margin:auto}table{border-collapse:collapse}td,th{padding:.2em .6em;text-align:left;border-bottom:1px solid #ccc}dt{float:left;min-width:10em;color:#555}.b span{display:inline-block;height:.7em;background:#47a;margin-right:.5em}"
+    notes = "".join(f"<p class='w'>{e(w)}</p>" for w in run["warnings"])
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Brand report</title><style>{style}</style></head><body><h1>Brand report</h1><p>{e(run['generated_at'])}</p>{notes}{''.join(grid(*x, 2) for x in _sections(run))}{''.join(cards)}</body></html>"
 
 
 def document(run: dict) -> str:

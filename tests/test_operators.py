@@ -146,17 +146,29 @@ def test_config():
         raise AssertionError(bad)
 
 
-def test_engine(spark):
+def test_engine(spark, tmp_path):
     from adlens.engine import run
 
-    c = EngineConfig.from_dict({"start_urls": ["https://list.com/top"], "as_of": "2024-06-01"})
-    brands = spark.createDataFrame([("b", "Peak <b>", "Food", "Protein"), ("z", "Zed", "Food", "Tea")], "brand string, brand_name string, niche string, sub_niche string")
-    r = run(c, spark.createDataFrame([("https://list.com/top", LIST)], "url string, html string"), raw(spark), brands)
+    c = EngineConfig.from_dict({"start_urls": ["https://list.com/top"], "as_of": "2024-06-01", "exclude_domains": ["nope.com"], "min_confidence": 1, "profile_depth": "homepage", "taxonomy": {"Food": {"Tea": {"terms": [["green tea", 5], "leaf"]}, "Protein": {"terms": [["whey", 5]]}}}})
+    listed = "<h2>Peak</h2><a href='https://peak.com/'>Peak</a><h2>Zed</h2><a href='https://zed.com/'>Zed</a><h2>Nope</h2><a href='https://nope.com/'>Nope</a><h2>Moo</h2><a href='https://moo.com/'>Moo</a>"
+    pages = spark.createDataFrame([("https://list.com/top", f"<html><body>{listed}</body></html>"), ("https://own.com/", "<html><head><title>Own - home</title></head><body>hello</body></html>")], "url string, html string")
+    home = "<html><head><meta property='og:site_name' content='Peak &lt;b&gt;'></head><body><p>Whey and more whey. Save 20% off.</p><a href='/products/x'>Whey tub</a></body></html>"
+    fetched = [("https://peak.com/", 200, "text/html", home), ("https://zed.com/", 200, "text/html", "<html><body>green tea leaf</body></html>"), ("https://moo.com/", 500, "text/html", ""), ("https://peak.com/sitemap.xml", 200, "text/xml", "<urlset><loc>https://peak.com/products/x</loc><loc>https://peak.com/products/y</loc></urlset>")]
+    records = [("peak.com", "p", "q", k, json.dumps({"id": f"a{k}", "body": "Problem? Shop now and get 20% off today.", "title": "Whey tub", "startDate": "2024-01-01", "link_url": "https://peak.com/products/x", "reach": 1000 * k})) for k in (1, 2)]
+    r = run(c, pages, spark.createDataFrame(fetched, "url string, status int, content_type string, body string"), spark.createDataFrame(records, "brand string, provider string, matched_query string, pos long, record string"), str(tmp_path))
+    assert {x.domain for x in r.candidates.collect()} == {"peak.com", "zed.com", "moo.com", "own.com"}
+    found = {x.domain: x for x in r.profiles.collect()}
+    assert (found["peak.com"].niche, found["peak.com"].sub_niche, found["zed.com"].sub_niche, found["moo.com"].niche, found["moo.com"].error) == ("Food", "Protein", "Tea", "unclassified", "homepage HTTP 500")
+    assert {(x.brand, x.term) for x in r.terms.collect()} >= {("peak.com", "Peak <b>"), ("peak.com", "Peak <b> Whey tub")}
+    assert [(x.kind, x["count"]) for x in r.gaps.collect()] == [("product", 1)] and r.inventory.filter("kind = 'product'").first()["count"] == 2
+    assert r.vocabulary.filter("slot = 'signature'").count() > 0
     doc = O.run_report(r.reports, c.as_of)
-    assert doc["brands_profiled"] == 2 and doc["brands_with_ads"] == 1 and doc["ads_analysed"] == 2 and doc["leaderboard"]
-    assert {b["brand"]: b["posture"] for b in doc["brands"]}["z"] == "absent"
-    assert "Peak &lt;b&gt;" in O.html(doc) and "## Angles" in O.markdown(doc) and json.loads(O.document(doc))["brands_profiled"] == 2
-    assert r.candidates.count() >= 2
+    assert doc["brands_profiled"] == 4 and doc["brands_with_ads"] == 1 and doc["ads_analysed"] == 2 and doc["leaderboard"] and doc["niches"][0]["subs"]
+    assert {b["brand"]: b["posture"] for b in doc["brands"]}["zed.com"] == "absent"
+    top = next(b for b in doc["brands"] if b["brand"] == "peak.com")
+    assert top["offers"] and top["landing_pages"][0]["url"] == "https://peak.com/products/x"
+    text = O.markdown(doc)
+    assert "Peak &lt;b&gt;" in O.html(doc) and "## Angles" in text and "### Offers" in text and json.loads(O.document(doc))["brands_profiled"] == 4
 
 
 def test_stream_equals_batch(spark, tmp_path):
