@@ -15,17 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import cut, text_of
+from adlens.llm.common import cut, discard, free_name, text_of
 from adlens.llm.components import components
 from adlens.llm.spans import let
 
-#: Shorter lines are left alone.
+#: Shorter lines are compared by equality only.
 MIN_CHARS = 24
 MAX_EDITS = 1
 #: A key on which index rows times probe rows come to more is not paired directly (for one edit).
 HOT = 2500
-#: Rows up to which a side is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def _key(line: Column, length: Column, segment: int, start: Column, size: Column) -> Column:
@@ -121,22 +119,18 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(near, F.when(a == b, True).otherwise(let(_trimmed(a, b), decide))).otherwise(False)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc, dh (a hash of the text), pos, line, len, h1, h2 of the lines that take part."""
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, dh (a hash of the text), pos, line, len, h1, h2 of the lines that are not blank."""
     text = text_of(text_col)
     return (
         docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("dh"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .withColumn("len", F.length("line"))
-        .filter(F.col("len") >= min_chars)
+        .filter(F.trim("line") != "")
         .withColumn("h1", F.xxhash64("line"))
         .withColumn("h2", F.xxhash64(F.lit(1), "line"))
     )
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """lines (line, h1, h2); distinct (id, h1, h2, len, keys i0.., p0..) -> (u, v) links between ids; where many lines
     meet, links that keep the connectivity."""
@@ -144,13 +138,13 @@ def links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     rows = distinct.select("id", F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(c[0] == "p").alias("probe")) for c in keys])).alias("x")).select("id", "x.key", "x.probe").filter("key is not null")
     met = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if("probe").alias("np"), F.count_if(~F.col("probe")).alias("ni"))
     met = cut(met.filter("lo < hi and np > 0 and ni > 0").select("key", (F.col("np") * F.col("ni") > HOT if edits == 1 else F.lit(False)).alias("hot")), "line-keys")
-    rows = cut(rows.join(_small(met, met.count()), "key"), "line-rows")
+    rows = cut(rows.join(met, "key"), "line-rows")
     cool = rows.filter("not hot")
     left, right = cool.filter("not probe").select("key", F.col("id").alias("a")), cool.filter("probe").select("key", F.col("id").alias("b"))
     pairs = cut(left.join(right, "key").filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
     crowd = rows.filter("hot").select(F.col("id")).distinct()
     needed = cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(crowd).distinct().join(distinct.select("id", "h1", "h2"), "id"), "line-needed")
-    texts = cut(lines.select("h1", "h2", "line").join(_small(needed, needed.count()), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    texts = cut(lines.select("h1", "h2", "line").join(needed, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
     a, b = texts.select(F.col("id").alias("u"), F.col("line").alias("la")), texts.select(F.col("id").alias("v"), F.col("line").alias("lb"))
     near = pairs.join(a, "u").join(b, "v").filter(within(F.col("la"), F.col("lb"), edits)).select("u", "v")
     if edits > 1:
@@ -167,37 +161,40 @@ def links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with every line dropped of which an equal or near line stands earlier, and n_lines, n_removed put in.
 
-    Lines are what line feeds separate; those under min_chars characters stay. Near is connectivity through links of
-    at most max_edits edits. Earlier means a smaller id (null first), then a smaller hash of the text, then an
+    Lines are what line feeds separate; blank ones stay. Near is connectivity through links of at most max_edits edits
+    between lines of min_chars characters and more; shorter ones go only where an equal one stands earlier. Earlier means a smaller id (null first), then a smaller hash of the text, then an
     earlier place. Rows that repeat id and text count as one document and keep the same lines. Null texts stay null
     with no lines; an empty text has one empty line. All other columns are kept; an existing n_lines or n_removed is
     replaced. An empty table gives an empty result.
     """
-    lines = _lines(docs, id_col, text_col, min_chars)
+    lines = _lines(docs, id_col, text_col)
     index, probes = index_keys(F.col("line"), F.col("len"), max_edits), probe_keys(F.col("line"), F.col("len"), max_edits)
     named = {f"i{k}": x for k, x in enumerate(index)} | {f"p{k}": x for k, x in enumerate(probes)}
+    named = {k: F.when(F.col("len") >= min_chars, x) for k, x in named.items()}
     narrow = cut(lines.select("doc", "dh", "pos", "len", "h1", "h2", *[x.alias(k) for k, x in named.items()]), "lines")
     distinct = narrow.groupBy("h1", "h2", "len").agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in named])
     distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
     found = components(links(lines, distinct, max_edits), "lines")
     classes = distinct.join(found, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("class"))
     classes = cut(classes, "line-classes")
-    hits = narrow.select("doc", "dh", "pos", "h1", "h2").join(_small(classes, classes.count()), ["h1", "h2"]).select("class", F.struct("doc", "dh", "pos").alias("at"))
+    hits = narrow.select("doc", "dh", "pos", "h1", "h2").join(classes, ["h1", "h2"]).select("class", F.struct("doc", "dh", "pos").alias("at"))
     hits = cut(hits, "line-hits")
     first = cut(hits.groupBy("class").agg(F.min("at").alias("first")), "line-first")
-    extra = hits.join(_small(first, first.count()), "class").filter("at != first").select("at.*").distinct()
-    extra = cut(extra.groupBy("doc", "dh").agg(F.collect_list("pos").alias("drop"), F.count("*").alias("n_drop")), "line-drop")
-    total = extra.agg(F.sum("n_drop"), F.count("*")).first()
-    text = F.col(text_col).cast("string")
-    keyed = docs.drop("n_lines", "n_removed").withColumn("line_dedup_hash", F.xxhash64(text_of(text_col)))
-    out = keyed.join(
-        _small(extra, max(total[0] or 0, total[1])).withColumnsRenamed({"doc": "line_dedup_doc", "drop": "line_dedup_drop"}),
-        (F.col("line_dedup_hash") == F.col("dh")) & F.col(id_col).cast("long").eqNullSafe(F.col("line_dedup_doc")),
-        "left",
-    )
-    split = F.split(text, "\n")
-    kept = F.when(F.col("n_drop").isNull(), text).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("line_dedup_drop", i)), "\n"))
-    return out.withColumns({text_col: kept, "n_lines": F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.coalesce("n_drop", F.lit(0)).cast("long")}).select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    extra = hits.join(first, "class").filter("at != first").select("at.*").distinct()
+    extra = cut(extra.groupBy("doc", "dh").agg(F.collect_list("pos").alias("drop")), "line-drop")
+    discard(narrow, distinct, classes, hits, first)
+    text, kept_columns = F.col(text_col).cast("string"), docs.drop("n_lines", "n_removed")
+    # The columns that are joined on get names that the table does not have.
+    names = {c: free_name(kept_columns, f"line_dedup_{c}") for c in ("doc", "dh", "drop", "hash")}
+    keyed = kept_columns.withColumn(names["hash"], F.xxhash64(text_of(text_col)))
+    told = extra.select(*[F.col(c).alias(names[c]) for c in ("doc", "dh", "drop")])
+    out = keyed.join(told, (F.col(names["hash"]) == F.col(names["dh"])) & F.col(id_col).cast("long").eqNullSafe(F.col(names["doc"])), "left")
+    split, drop = F.split(text, "\n"), F.col(names["drop"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), drop)
+    kept = F.when(drop.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    n_lines, gone = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long"), F.coalesce(F.size(drop), F.lit(0)).cast("long")
+    own = [F.col(c) if c != text_col else kept.alias(c) for c in kept_columns.columns]
+    return out.select(*own, n_lines.alias("n_lines"), F.when(drop.isNull(), F.lit(0).cast("long")).otherwise(gone).alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:

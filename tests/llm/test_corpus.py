@@ -157,12 +157,12 @@ def test_lines(spark, monkeypatch, edits, hot):
     docs += [(None, None), (200, ""), (7, docs[7][1]), (None, docs[3][1])]
     df = spark.createDataFrame([(a, b, 5) for a, b in docs], "doc_id long, text string, n_lines int")
     hashes = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").collect()}
-    at = [((-1 if i is None else i, hashes[i, t], k), x) for i, t in set(docs) for k, x in enumerate((t or "").split("\n")) if len(x) >= lines.MIN_CHARS]
+    at = [((-1 if i is None else i, hashes[i, t], k), x) for i, t in set(docs) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")]
     names = sorted({x for _, x in at})
     s, place = Sets(len(names)), {x: k for k, x in enumerate(names)}
     for i, a in enumerate(names):
         for j in range(i):
-            if abs(len(a) - len(names[j])) <= edits and distance(a, names[j]) <= edits:
+            if min(len(a), len(names[j])) >= lines.MIN_CHARS and abs(len(a) - len(names[j])) <= edits and distance(a, names[j]) <= edits:
                 s.join(i, j)
     first = {}
     for k, x in at:
