@@ -24,6 +24,8 @@ MIN_CHARS = 24
 MAX_EDITS = 1
 #: A key on which index rows times probe rows come to more is not paired directly (for one edit).
 HOT = 2500
+#: The smaller side of a join is hashed where it has been shuffled to, at every size alike; the texts are never sorted.
+JOIN = "shuffle_hash"
 
 
 def _key(line: Column, length: Column, segment: int, start: Column, size: Column) -> Column:
@@ -138,13 +140,13 @@ def links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     rows = distinct.select("id", F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(c[0] == "p").alias("probe")) for c in keys])).alias("x")).select("id", "x.key", "x.probe").filter("key is not null")
     met = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if("probe").alias("np"), F.count_if(~F.col("probe")).alias("ni"))
     met = cut(met.filter("lo < hi and np > 0 and ni > 0").select("key", (F.col("np") * F.col("ni") > HOT if edits == 1 else F.lit(False)).alias("hot")), "line-keys")
-    rows = cut(rows.join(met, "key"), "line-rows")
+    rows = cut(rows.join(met.hint(JOIN), "key"), "line-rows")
     cool = rows.filter("not hot")
     left, right = cool.filter("not probe").select("key", F.col("id").alias("a")), cool.filter("probe").select("key", F.col("id").alias("b"))
     pairs = cut(left.join(right, "key").filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
     crowd = rows.filter("hot").select(F.col("id")).distinct()
     needed = cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(crowd).distinct().join(distinct.select("id", "h1", "h2"), "id"), "line-needed")
-    texts = cut(lines.select("h1", "h2", "line").join(needed, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    texts = cut(lines.select("h1", "h2", "line").join(needed.hint(JOIN), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
     a, b = texts.select(F.col("id").alias("u"), F.col("line").alias("la")), texts.select(F.col("id").alias("v"), F.col("line").alias("lb"))
     near = pairs.join(a, "u").join(b, "v").filter(within(F.col("la"), F.col("lb"), edits)).select("u", "v")
     if edits > 1:
@@ -177,17 +179,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_e
     found = components(links(lines, distinct, max_edits), "lines")
     classes = distinct.join(found, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("class"))
     classes = cut(classes, "line-classes")
-    hits = narrow.select("doc", "dh", "pos", "h1", "h2").join(classes, ["h1", "h2"]).select("class", F.struct("doc", "dh", "pos").alias("at"))
+    hits = narrow.select("doc", "dh", "pos", "h1", "h2").join(classes.hint(JOIN), ["h1", "h2"]).select("class", F.struct("doc", "dh", "pos").alias("at"))
     hits = cut(hits, "line-hits")
     first = cut(hits.groupBy("class").agg(F.min("at").alias("first")), "line-first")
-    extra = hits.join(first, "class").filter("at != first").select("at.*").distinct()
+    extra = hits.join(first.hint(JOIN), "class").filter("at != first").select("at.*").distinct()
     extra = cut(extra.groupBy("doc", "dh").agg(F.collect_list("pos").alias("drop")), "line-drop")
     discard(narrow, distinct, classes, hits, first)
     text, kept_columns = F.col(text_col).cast("string"), docs.drop("n_lines", "n_removed")
     # The columns that are joined on get names that the table does not have.
     names = {c: free_name(kept_columns, f"line_dedup_{c}") for c in ("doc", "dh", "drop", "hash")}
     keyed = kept_columns.withColumn(names["hash"], F.xxhash64(text_of(text_col)))
-    told = extra.select(*[F.col(c).alias(names[c]) for c in ("doc", "dh", "drop")])
+    told = extra.select(*[F.col(c).alias(names[c]) for c in ("doc", "dh", "drop")]).hint(JOIN)
     out = keyed.join(told, (F.col(names["hash"]) == F.col(names["dh"])) & F.col(id_col).cast("long").eqNullSafe(F.col(names["doc"])), "left")
     split, drop = F.split(text, "\n"), F.col(names["drop"])
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), drop)
