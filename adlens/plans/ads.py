@@ -60,13 +60,6 @@ for _name, _order in (("impressions", "si, sr, sl"), ("reach", "sr, si, sl"), ("
     _by(_name, _order)
 
 
-@query("exposure_basis")
-def exposure_basis(spark: SparkSession, d: str) -> DataFrame:
-    a = ads(spark, d)
-    told = S.exposure_signals(S.midpoint(F.col("impressions_min"), F.col("impressions_max")), F.col("reach"), F.col("spend_max"), F.col("days"), F.col("variants"), F.col("active"), F.lit("USD"))
-    return a.select("ad_id", told.alias("x")).select("ad_id", F.array_join("x.signals", ",").alias("signals"), "x.basis")
-
-
 @query("top_ads_per_brand", f"WITH {ADS} SELECT brand, ad_id, exposure, rank FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY exposure DESC, ad_id) AS rank FROM scored WHERE exposure >= 20) WHERE rank <= 3")
 def top_ads_per_brand(spark: SparkSession, d: str) -> DataFrame:
     return A.rank(A.score(ads(spark, d)), 3, 20.0).select("brand", "ad_id", "exposure", F.col("rank").cast("long").alias("rank"))
@@ -286,3 +279,18 @@ def platform_mix(spark: SparkSession, d: str) -> DataFrame:
     told = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit("facebook"), F.lit("instagram"))).otherwise(F.array(F.lit("facebook")))
     each = e.select(F.col("event_type").alias("brand"), told.alias("p")).select("brand", F.explode(F.when(F.size("p") == 0, F.array(F.lit("unknown"))).otherwise(F.col("p"))).alias("platform"))
     return R.mix(each, ["brand"], "platform")
+
+
+_SHORT = "CASE WHEN {v} >= 1e6 THEN printf('%.1fM', floor({v} / 1e5 + 0.5) / 10) WHEN {v} >= 1e3 THEN printf('%.1fk', floor({v} / 1e2 + 0.5) / 10) ELSE CAST(CAST(floor({v} + 0.5) AS BIGINT) AS VARCHAR) END"
+
+
+@query(
+    "exposure_reasons",
+    f"""WITH {ADS} SELECT ad_id, concat_ws(',', CASE WHEN imp IS NOT NULL THEN 'impressions' END, 'eu-reach', CASE WHEN days IS NOT NULL THEN 'longevity' END, CASE WHEN variants IS NOT NULL THEN 'variants' END, CASE WHEN active THEN 'active' END) AS signals,
+    concat_ws('; ', CASE WHEN imp IS NOT NULL THEN '~' || {_SHORT.format(v='imp')} || ' impressions' END, 'EU reach ' || {_SHORT.format(v='floor(reach)')}, 'running ' || days || CASE WHEN days = 1 THEN ' day' ELSE ' days' END, variants || ' creative variants', CASE WHEN active THEN 'still active' END) AS basis FROM ads""",
+)
+def exposure_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """X64's reasons, X13."""
+    a, none = ads(spark, d), F.lit(None).cast("double")
+    told = S.exposure_signals(S.midpoint(F.col("impressions_min"), F.col("impressions_max")), F.floor("reach").cast("double"), none, F.col("days"), F.col("variants"), F.col("active"), F.lit("USD"))
+    return a.select("ad_id", told.alias("x")).select("ad_id", F.array_join("x.signals", ",").alias("signals"), "x.basis")

@@ -35,11 +35,6 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("text != ''").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query("reading_ease")
-def reading_ease(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", T.reading_ease(F.col("text")).alias("ease"))
-
-
 @query("normalise_text", f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
 def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("folded"))
@@ -191,13 +186,6 @@ def copy_hooks(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").select("conv_id", "turn", X.hook_type(F.col("text")).alias("hook_type"))
 
 
-@query("copy_analysis")
-def copy_analysis(spark: SparkSession, d: str) -> DataFrame:
-    ads = docs(spark, d).select(F.col("doc_id").alias("ad"), F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("link_description"), F.lit("").alias("cta_text"))
-    out = X.analyse(ads)
-    return out.select("ad", "words", "primary_angle", "awareness", "hook_type", "format", F.array_join("emotions", ",").alias("emotions"), F.size("offers").alias("offers"), F.size("claims").alias("claims"), "cta", F.array_join("proof_points", ",").alias("proof"), "reading_ease")
-
-
 @query("brand_vocabulary")
 def brand_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     ads = docs(spark, d).select(F.col("source").alias("brand"), F.col("doc_id").alias("ad"), F.lit(50.0).alias("exposure"), F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("link_description"), F.lit("").alias("cta_text"))

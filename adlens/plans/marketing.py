@@ -308,3 +308,19 @@ def vocabulary_lines(spark: SparkSession, d: str) -> DataFrame:
     s = mix(t(spark, d, "customer").select(F.col("c_nationkey").alias("brand"), F.col("c_mktsegment").alias("term")), ["brand"], "term").withColumnRenamed("share", "ad_share")
     s = s.withColumns({"words": F.lit(1), "avg_exposure": F.lit(0.0)})
     return V.summary(V.rank(s, ["brand"]), ["brand"], 3)
+
+
+_DOCS = "ad AS (SELECT doc_id AS ad, text AS body FROM documents)"
+
+
+@query("document_reading_ease", f"WITH {_DOCS}, {ease_sql('ad', 'ad')} SELECT ad AS doc_id, ease FROM re")
+def document_reading_ease(spark: SparkSession, d: str) -> DataFrame:
+    """X7, X8, A36 over the whole corpus."""
+    return t(spark, d, "documents").select("doc_id", T.reading_ease(F.col("text")).alias("ease"))
+
+
+@query("document_analysis", f"WITH {_DOCS}, {_angles_sql()}, {_awareness_sql()} SELECT ad AS doc_id, found[1].angle AS primary_angle, awareness, {_FORMAT} AS format, {_EMOTIONS} AS emotions, {_CTA} AS cta FROM ad JOIN ang USING (ad) JOIN aw USING (ad)")
+def document_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """X23 over the whole corpus."""
+    a = t(spark, d, "documents").select("doc_id", F.col("text").alias("body")).withColumns({"title": F.lit(""), "link_description": F.lit(""), "cta_text": F.lit("")})
+    return X.analyse(a).select("doc_id", "primary_angle", "awareness", "format", F.array_join("emotions", ",").alias("emotions"), "cta")
