@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.llm.common import free_name
+
 BLOCK = 576
 PAD = b"\xff"
 RATE = 8000
@@ -33,7 +35,19 @@ class Found:
     payload: tuple[int, int] | None = None
 
 
-def _wav(b: bytes, at: int) -> Found | None:
+class Data(bytes):
+    """Bytes in which the next place of a mark is remembered, so that asking at rising places reads them once."""
+
+    def after(self, mark: bytes, at: int) -> int:
+        places = self.__dict__.setdefault("places", {})
+        asked, found = places.get(mark, (0, 0))
+        if mark not in places or not (asked <= at and (found < 0 or at <= found)):
+            found = self.find(mark, at)
+            places[mark] = (at, found)
+        return found
+
+
+def _wav(b: Data, at: int) -> Found | None:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -47,7 +61,7 @@ def _wav(b: bytes, at: int) -> Found | None:
     return Found("audio/wav", at, end - at, data) if fmt and data and data[1] <= end <= len(b) and k >= end else None
 
 
-def _png(b: bytes, at: int) -> Found | None:
+def _png(b: Data, at: int) -> Found | None:
     k = at + 8
     while k + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, k)
@@ -59,7 +73,7 @@ def _png(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> Found | None:
+def _gif(b: Data, at: int) -> Found | None:
     if len(b) < at + 13:
         return None
     k = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -79,12 +93,12 @@ def _gif(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> Found | None:
+def _jpeg(b: Data, at: int) -> Found | None:
     k = at + 2
     while k + 4 <= len(b) and b[k] == 0xFF:
         mark = b[k + 1]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", k)
+            end = b.after(b"\xff\xd9", k)
             return Found("image/jpeg", at, end + 2 - at) if end >= 0 else None
         if mark in (0x00, 0x01, 0xFF) or 0xD0 <= mark <= 0xD9:
             return None
@@ -92,7 +106,7 @@ def _jpeg(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> Found | None:
+def _bmp(b: Data, at: int) -> Found | None:
     if len(b) < at + 30:
         return None
     size, gap, data, head = struct.unpack_from("<IIII", b, at + 2)
@@ -100,12 +114,12 @@ def _bmp(b: bytes, at: int) -> Found | None:
     return Found("image/bmp", at, size, (at + data, at + size)) if not gap and head in (12, 40, 52, 56, 108, 124) and planes == 1 and 26 <= data <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> Found | None:
-    end = b.find(b"%%EOF", at)
-    return Found("application/pdf", at, end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: Data, at: int) -> Found | None:
+    end, table = b.after(b"%%EOF", at), b.after(b"startxref", at)
+    return Found("application/pdf", at, end + 5 - at) if 0 <= table <= end - 9 else None
 
 
-def _gzip(b: bytes, at: int) -> Found | None:
+def _gzip(b: Data, at: int) -> Found | None:
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
     unzip = zlib.decompressobj(31)
@@ -119,15 +133,15 @@ def _gzip(b: bytes, at: int) -> Found | None:
     return Found("application/gzip", at, min(k, len(b)) - len(unzip.unused_data) - at) if unzip.eof else None
 
 
-def _zip(b: bytes, at: int) -> Found | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: Data, at: int) -> Found | None:
+    end = b.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
     return Found("application/zip", at, end + 22 + note - at) if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(b) else None
 
 
-def _flac(b: bytes, at: int) -> Found | None:
+def _flac(b: Data, at: int) -> Found | None:
     k, first = at + 4, True
     while k + 4 <= len(b):
         kind, n = b[k], int.from_bytes(b[k + 1 : k + 4], "big")
@@ -139,7 +153,7 @@ def _flac(b: bytes, at: int) -> Found | None:
     return None
 
 
-def _ogg(b: bytes, at: int) -> Found | None:
+def _ogg(b: Data, at: int) -> Found | None:
     k = at
     while k + 27 <= len(b) and b[k : k + 5] == b"OggS\x00":
         segments = b[k + 26]
@@ -149,7 +163,7 @@ def _ogg(b: bytes, at: int) -> Found | None:
     return Found("audio/ogg", at, k - at) if k > at else None
 
 
-def _midi(b: bytes, at: int) -> Found | None:
+def _midi(b: Data, at: int) -> Found | None:
     if len(b) < at + 14 or struct.unpack_from(">I", b, at + 4)[0] != 6:
         return None
     k = at + 14
@@ -160,7 +174,7 @@ def _midi(b: bytes, at: int) -> Found | None:
     return Found("audio/midi", at, k - at) if k <= len(b) else None
 
 
-def _mp4(b: bytes, magic: int) -> Found | None:
+def _mp4(b: Data, magic: int) -> Found | None:
     at = k = magic - 4
     seen = set()
     while at >= 0 and k + 8 <= len(b):
@@ -172,7 +186,7 @@ def _mp4(b: bytes, magic: int) -> Found | None:
     return Found("video/mp4", at, k - at) if {b"ftyp", b"moov"} <= seen else None
 
 
-FORMATS: dict[bytes, Callable[[bytes, int], Found | None]] = {
+FORMATS: dict[bytes, Callable[[Data, int], Found | None]] = {
     b"RIFF": _wav, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg, b"BM": _bmp, b"%PDF-": _pdf,
     b"\x1f\x8b\x08": _gzip, b"PK\x03\x04": _zip, b"fLaC": _flac, b"OggS": _ogg, b"MThd": _midi, b"ftyp": _mp4,
 }
@@ -190,10 +204,22 @@ def sniff(data: bytes, magics: ahocorasick.Automaton) -> list[Found]:
     """Confirmed media in data, outermost first by place; what starts inside a sibling is carved from it as well,
     but a second piece that only overlaps the end of one is not reported."""
     found: list[Found] = []
+    around: list[Found] = []  # what is still open at a place, the first to end last
+    data = Data(data)
     for last, magic in magics.iter(data.decode("latin-1")):
         x = FORMATS[magic](data, last - len(magic) + 1)
-        if x and not any(y.start < x.start < y.start + y.length < x.start + x.length for y in found):
+        if x is None:
+            continue
+        end = x.start + x.length
+        while around and around[-1].start + around[-1].length <= x.start:
+            around.pop()
+        innermost = next((y for y in reversed(around) if y.start < x.start), None)
+        if innermost is None or innermost.start + innermost.length >= end:
             found.append(x)
+            k = len(around)
+            while k and around[k - 1].start + around[k - 1].length < end:
+                k -= 1
+            around.insert(k, x)
     return sorted(found, key=lambda x: (x.start, -x.length))
 
 
@@ -203,6 +229,36 @@ def correct(declared: str | None, found: list[Found], size: int) -> str:
     return whole or (declared if declared and not declared.startswith(("image/", "audio/", "video/")) else "application/octet-stream")
 
 
+CARVED = "media_type string, carved array<struct<kind: string, start: long, length: long, body: binary>>"
+
+
+def sniffed(df: DataFrame, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
+    """df, which has a binary column of media and a string column of their declared types, with the true media_type and
+    carved put in: the confirmed media inside each value, with their bytes, in order of place, the value itself left out.
+
+    A null value keeps its declared type and has nothing carved; an empty one has no media. Equal rows get equal answers,
+    an empty table gives an empty result. All other columns are kept; columns of those two names are replaced.
+    """
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("body", pa.binary())])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        magics = automaton()
+        for media, declared in batches:
+            types, carved = [], []
+            for value, said in zip(media, declared.to_pylist(), strict=True):
+                data = value.as_py()
+                found = sniff(data, magics) if data else []
+                types.append(said if data is None else correct(said, found, len(data)))
+                inside = [x for x in found if x.start or x.length != len(data)]
+                carved.append([{"kind": x.kind, "start": x.start, "length": x.length, "body": data[x.start : x.start + x.length]} for x in inside])
+            yield pa.StructArray.from_arrays([pa.array(types, pa.string()), pa.array(carved, pa.list_(kind))], ["media_type", "carved"])
+
+    df = df.drop("media_type", "carved")
+    name = free_name(df, "sniffed")
+    found = F.arrow_udf(run, CARVED)(F.col(media_col).cast("binary"), F.col(declared_col).cast("string"))
+    return df.withColumn(name, found).select(*df.columns, f"{name}.media_type", f"{name}.carved")
+
+
 def payload_of(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "replace")
     return raw + PAD * (-len(raw) % BLOCK if raw else BLOCK)
