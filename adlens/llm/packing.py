@@ -9,6 +9,7 @@ split at powers of two. Sequences of one length are dealt to step groups so that
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,16 +29,24 @@ WINDOW_IDS = 4_000_000
 #: Sequences of a step group.
 GROUP = 8
 #: Words that a worker remembers, in each of two generations.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 #: Longer texts are tokenized in parts, cut at a space.
 PART_CHARS = 2_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
+#: A mark behind a letter and before a space is a token of its own; set apart, it leaves fewer different words.
+_MARK = re.compile(r"(?<=[A-Za-z])([.,]) ")
+
+
 class Words(dict):
     """The ids of space-separated words, as bytes. No token crosses white space, so a text's ids are those of its words."""
 
+    @staticmethod
+    def of(text: str) -> list[str]:
+        return _MARK.sub(r" \1 ", text.replace("\n", " ")).split(" ")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -60,17 +69,16 @@ class Words(dict):
         if len(word) <= 64:
             self[word] = ids
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Encodes the new words of texts together, which is faster than one by one."""
-        new = {w for t in texts for w in t.split(" ")} - self.keys()
-        new = [w for w in new if w not in self.old]
+        new = [w for w in set().union(*texts) - self.keys() if w not in self.old]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self._keep(word, np.array(found.ids, "<u4").tobytes())
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def encode(self, words: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
 
 
 _WORDS: dict[str, Words] = {}
@@ -210,9 +218,10 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
         doc_ids, texts = batch.column(0), batch.column(1)
         for at in range(0, batch.num_rows, 500):
             found = [x or "" for x in texts.slice(at, 500).to_pylist()]
-            words.learn([t for t in found if len(t) <= PART_CHARS])
-            for name, text in zip(doc_ids.slice(at, 500).to_pylist(), found, strict=True):
-                coded = b"".join(words.encode(p) for p in parts(text))
+            split = [words.of(t) if len(t) <= PART_CHARS else [] for t in found]
+            words.learn(split)
+            for name, text, own in zip(doc_ids.slice(at, 500).to_pylist(), found, split, strict=True):
+                coded = words.encode(own) if len(text) <= PART_CHARS else b"".join(words.encode(words.of(p)) for p in parts(text))
                 ids.append(np.frombuffer(coded + END_ID.to_bytes(4, "little"), "<u4"))
                 names.append(name)
                 held += len(ids[-1])

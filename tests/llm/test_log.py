@@ -111,7 +111,7 @@ def tokenizer():
 def test_packing(spark, monkeypatch):
     path, t = tokenizer()
     rng = random.Random(3)
-    words = ["plain", "Words", "don't", "é", "12", "...", "naïve,", " x", "á", "İ", "ΣΑΣ", "\x1c", "<|endoftext|>", "\n", "\t", "", "日本"]
+    words = ["plain", "Words", "don't", "é", "12", "...", "naïve,", " x", "á", "İ", "ΣΑΣ", "\x1c", "<|endoftext|>", "\n", "\t", "", "日本", "end.", "end..", "it's,", "a.b", "é,", "x.,"]
     docs = [(i, " ".join(rng.choices(words, k=rng.choice([3, 40, 300, 2500, 9000]))), 1, "x") for i in range(60)]
     docs += [(None, "no id", 1, "x"), (100, None, 1, "x"), (101, "", 1, "x"), (7, docs[7][1], 1, "x"), (102, "y" * 5000, 1, "x")]
     for window, part in ((4_000_000, 2_000_000), (3000, 100)):
