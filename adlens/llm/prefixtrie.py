@@ -24,7 +24,7 @@ from adlens.llm import scans
 from adlens.llm.common import cut, discard, partitions_for
 
 #: Turns left below a light node, at most.
-SHARD_TURNS = 50_000
+SHARD_TURNS = 4_000
 #: Nodes of a task, on average.
 TASK_NODES = 100_000
 #: Turns of a conversation whose hashes one task combines.
