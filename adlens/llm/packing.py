@@ -40,6 +40,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _MARK = re.compile(r"(?<=[A-Za-z])([.,]) ")
 
 
+#: How byte-level vocabularies show the bytes that have no printable character of their own in Latin-1.
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
 class Words(dict):
     """The ids of space-separated words, as bytes. No token crosses white space, so a text's ids are those of its words."""
 
@@ -53,29 +57,29 @@ class Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self._keep(word, ids)
-        return ids
-
-    def _keep(self, word: str, ids: bytes) -> None:
+            ids = self._coded(word)
         if len(self) >= MEMO_WORDS:
             self.old = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
+        return ids
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encodes the new words of texts together, which is faster than one by one."""
-        new = [w for w in set().union(*texts) - self.keys() if w not in self.old]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._keep(word, np.array(found.ids, "<u4").tobytes())
+    def _coded(self, word: str) -> bytes:
+        # A word of Latin-1 letters is composed, has a plain lower case and is one token of the splitter: only the merges are left.
+        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+            low = word.lower()
+            if low != word and (ids := self.get(low)) is not None:
+                return ids
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(_SHOWN)
+            return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
@@ -218,10 +222,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
         doc_ids, texts = batch.column(0), batch.column(1)
         for at in range(0, batch.num_rows, 500):
             found = [x or "" for x in texts.slice(at, 500).to_pylist()]
-            split = [words.of(t) if len(t) <= PART_CHARS else [] for t in found]
-            words.learn(split)
-            for name, text, own in zip(doc_ids.slice(at, 500).to_pylist(), found, split, strict=True):
-                coded = words.encode(own) if len(text) <= PART_CHARS else b"".join(words.encode(words.of(p)) for p in parts(text))
+            for name, text in zip(doc_ids.slice(at, 500).to_pylist(), found, strict=True):
+                coded = b"".join(words.encode(words.of(p)) for p in parts(text))
                 ids.append(np.frombuffer(coded + END_ID.to_bytes(4, "little"), "<u4"))
                 names.append(name)
                 held += len(ids[-1])
