@@ -420,3 +420,63 @@ PRODUCT_URL = r"/(products?|item|shop|collections/[^/]+/products)/[^/?#]+"
 def table(text: str) -> list[list[str]]:
     """The rows of a rule table."""
     return [line.split(" ~ ") for line in text.strip().splitlines()]
+
+# Where a page's content lies, in the order it is looked for.
+CONTENT_SELECTORS = ("article", "main", '[role="main"]', ".post-content", ".entry-content", ".article-body", ".post-body", "#content", ".content", ".blog-post")
+# Shop systems, first that fits.
+PLATFORMS = r"""
+shopify ~ cdn\.shopify\.com|Shopify\.(theme|shop|routes)\b|window\.Shopify\b|shopify-section|myshopify\.com
+woocommerce ~ woocommerce|wp-content/plugins/woocommerce
+bigcommerce ~ bigcommerce\.com|cdn\d*\.bigcommerce
+magento ~ Magento|mage/cookies|static/version\d+
+squarespace ~ squarespace\.com|static1\.squarespace
+wix ~ wix\.com|wixstatic\.com|parastorage\.com
+"""
+# Profile links.
+SOCIALS = r"""
+instagram ~ instagram\.com/[A-Za-z0-9_.]+
+facebook ~ facebook\.com/[A-Za-z0-9_.\-]+
+tiktok ~ tiktok\.com/@[A-Za-z0-9_.]+
+youtube ~ youtube\.com/(@[A-Za-z0-9_.\-]+|c/[A-Za-z0-9_.\-]+|channel/[A-Za-z0-9_\-]+)
+twitter ~ (?:twitter|x)\.com/[A-Za-z0-9_]+
+pinterest ~ pinterest\.[a-z.]+/[A-Za-z0-9_\-]+
+linkedin ~ linkedin\.com/company/[A-Za-z0-9_\-]+
+"""
+# A site's own pages worth reading.
+INTERNAL_PAGES = r"/(about|about-us|our-story|story|science|how-it-works|why|mission|shop|collections|products|all-products|bestsellers|faq|ingredients|benefits)(/|$|\?)"
+# Landing pages.
+CALL_TO_ACT = r"\b(shop|buy|order|get|start|try|claim|add to (cart|bag)|book|apply|subscribe|join)\b"
+CART_WORDS = r"\b(add to (cart|bag)|buy now|select size|in stock|sold out)\b"
+QUIZ_WORDS = r"\b(question \d|step \d of|take the quiz|find your)\b"
+# Who stands behind a site: what a trademark line, a contract and a copyright line say, and what each kind of page is worth.
+TRADEMARK = r"([A-Z][\w'’\-]{2,40})\s*[®™]?\s*(?:is|are)?\s*(?:a\s+)?(?:registered\s+)?trademarks?\s+(?:of|owned by)\s+"
+CONTRACTS = (r"(?:between|with)\s+you\s+and\s+", r"(?:operated|owned|provided|run)\s+by\s+", r"(?:these\s+terms[^.]{0,40}?\s+with\s+)", r"(?:a\s+(?:service|brand|product)\s+of\s+)", r"(?:is\s+a\s+(?:trading|registered)\s+name\s+of\s+)")
+COPYRIGHT = r"(?:©|\(c\)|copyright)\s*(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*"
+PAGE_SOURCES = {"terms": ("terms-of-service", 45), "privacy": ("privacy-policy", 40), "contact": ("contact-page", 25), "about": ("contact-page", 20), "home": ("footer-copyright", 30), "other": ("footer-copyright", 20)}
+IDENTITY_PATHS = (
+    ("/policies/terms-of-service", "terms"), ("/pages/terms-of-service", "terms"), ("/terms", "terms"), ("/terms-of-service", "terms"), ("/policies/privacy-policy", "privacy"), ("/privacy", "privacy"),
+    ("/privacy-policy", "privacy"), ("/pages/contact", "contact"), ("/contact", "contact"), ("/pages/about", "about"), ("/about", "about"),
+)
+
+# Niches and their sub-niches, with the audiences a sub-niche hints at behind a bar. The several hundred weighted terms are not listed
+# here: `classify.built_in` derives terms from these names by a rule, and a run's `taxonomy` option gives its own.
+NICHES = r"""
+Supplements ~ Men's health | men; Women's health | women; Sports & performance | athletes; Gut & digestive; Sleep & stress; Nootropics & focus; Weight management; Greens & wholefood; Vitamins & minerals; Longevity & healthspan; Immunity
+Skincare ~ Anti-aging; Acne & blemish; Hydration & barrier; Brightening & pigmentation; Sun care; Body care; Men's skincare | men; Clean & natural
+Haircare ~ Hair growth & loss; Scalp health; Styling & treatment; Color
+Beauty & cosmetics ~ Makeup; Fragrance; Nails & lashes; Tools & devices
+Sexual wellness ~ Male sexual health | men; Female sexual health | women; Contraception & fertility
+Health & telehealth ~ Telehealth & Rx; Diagnostics & testing; Wearables & tracking
+Food & beverage ~ Functional drinks; Coffee & tea; Snacks & bars; Meal & nutrition
+Fitness & apparel ~ Activewear; Equipment; Programs & coaching; Recovery
+Apparel & accessories ~ Everyday apparel; Footwear; Jewellery & watches; Eyewear; Underwear & intimates
+Home & lifestyle ~ Sleep & bedding; Cleaning & household; Kitchen & cookware; Air & water
+Baby & family ~ Baby care | parents; Kids | parents
+Pet care ~ Pet supplements | pet owners; Pet food | pet owners; Pet accessories | pet owners
+Mental health & mindfulness ~ Therapy & counselling; Meditation & habit
+CBD & alternatives ~ CBD & hemp; Functional mushrooms; Nicotine & cessation
+Tech & gadgets ~ Consumer electronics; Smart home; Software & SaaS | businesses
+Finance & services ~ Fintech; Insurance
+Professional & B2B services ~ Recruitment & staffing | businesses, hiring managers; Marketing & creative agency | businesses; Consulting & advisory | businesses; Software & IT services | businesses; Training & education; Legal, finance & compliance services | businesses
+Outdoor & travel ~ Outdoor gear; Travel
+"""

@@ -122,6 +122,19 @@ def posture(newest: Column, launched: Column, longest: Column) -> Column:
     return F.when(F.coalesce(newest, F.lit(999)) > 60, "stale").when((launched >= 5) & long_runner, "scaling").when(launched >= 5, "testing").when(long_runner, "steady").otherwise("testing")
 
 
+def posture_reason(newest: Column, launched: Column, longest: Column, total: Column) -> Column:
+    """The figures behind a posture, in words."""
+    text = lambda c: c.cast("long").cast("string")
+    long_runner = F.coalesce(longest, F.lit(0)) >= 90
+    pace = F.concat(text(launched), F.lit(" launches in 30 days "))
+    quiet = F.concat(F.lit("newest ad started "), F.coalesce(text(newest), F.lit("undefined")), F.lit(" days ago — the account has gone quiet"))
+    few = F.concat(text(total), F.when(total == 1, " ad").otherwise(" ads"), F.lit(" observed, none established yet"))
+    return (
+        F.when(F.coalesce(newest, F.lit(999)) > 60, quiet).when((launched >= 5) & long_runner, F.concat(pace, F.lit("with a "), text(longest), F.lit("-day runner still live"))).when(launched >= 5, F.concat(pace, F.lit("but nothing has run past 90 days yet")))
+        .when(long_runner, F.concat(F.lit("few new launches, but a "), text(longest), F.lit("-day runner is still delivering"))).otherwise(few)
+    )
+
+
 def discovery_score(points: Column, mentions: Column) -> Column:
     """Link points plus a damped bonus for mentions, null where that is not positive."""
     raw = points + F.least(F.lit(10.0), F.log2(mentions + 1) * 4)

@@ -36,53 +36,68 @@ KEYS = {
 }
 
 
-def _json(raw: Column, key: str) -> Column:
-    return F.get_json_object(raw, f"$.{key}")
+def parsed(record: Column) -> Column:
+    """A record as VARIANT, parsed once; null where it is no JSON. What is read from it are typed paths."""
+    return F.try_parse_json(record)
+
+
+def _at(raw: Column, key: str, kind: str = "string") -> Column:
+    return F.try_variant_get(raw, "$['" + key + "']", kind)
 
 
 def _filled(s: Column) -> Column:
     return F.nullif(T.collapse(s), F.lit(""))
 
 
+def _text_of(v: Column) -> Column:
+    """The text of an object: its field `text`."""
+    return _filled(F.try_variant_get(v, "$.text", "string"))
+
+
 def pick_string(raw: Column, keys: str) -> Column:
     """The first key that holds a filled string, a list with one (or with objects that have a text), or an object
-    with a text. raw: a JSON object as a string."""
+    with a text. raw: a VARIANT."""
     found = []
     for key in keys.split():
-        v = _json(raw, key)
-        kind = F.substring(v, 1, 1)
-        items = F.from_json(v, "array<string>")
-        plain = F.filter(items, lambda x: (F.trim(x) != "") & ~x.startswith("{") & ~x.startswith("["))
-        texts = F.filter(F.transform(F.filter(items, lambda x: x.startswith("{")), lambda x: F.get_json_object(x, "$.text")), lambda x: F.trim(x) != "")
-        found.append(F.when(kind == "[", F.coalesce(_filled(F.get(plain, 0)), _filled(F.get(texts, 0)))).when(kind == "{", _filled(F.get_json_object(v, "$.text"))).otherwise(_filled(v)))
+        items = _at(raw, key, "array<variant>")
+        kind = F.schema_of_variant(_at(raw, key, "variant"))
+        plain = F.filter(F.transform(items, lambda x: F.when(~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT|VOID)"), _filled(F.try_variant_get(x, "$", "string")))), lambda x: x.isNotNull())
+        texts = F.filter(F.transform(items, _text_of), lambda x: x.isNotNull())
+        listed, simple = F.coalesce(F.get(plain, 0), F.get(texts, 0)), _filled(_at(raw, key))
+        found.append(F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), _text_of(_at(raw, key, "variant"))).otherwise(simple))
     return F.coalesce(*found)
 
 
 def pick_number(raw: Column, keys: str) -> Column:
     """The first key that holds a number, commas and spaces dropped."""
-    return F.coalesce(*[F.regexp_replace(_json(raw, key), r"[,\s]", "").try_cast("double") for key in keys.split()])
+    return F.coalesce(*[F.regexp_replace(_at(raw, key), r"[,\s]", "").try_cast("double") for key in keys.split()])
 
 
 def pick_strings(raw: Column, keys: str) -> Column:
     """The first key that holds strings; a single one becomes a list; else an empty list."""
     found = []
     for key in keys.split():
-        v = _json(raw, key)
-        items = F.from_json(v, "array<string>")
-        found.append(F.when(v.startswith("["), F.when(F.size(items) > 0, items)).when(F.trim(v) != "", F.array(F.trim(v))))
+        items = _at(raw, key, "array<string>")
+        one = F.trim(_at(raw, key))
+        found.append(F.when(F.size(items) > 0, items).when(F.schema_of_variant(_at(raw, key, "variant")).rlike("^(ARRAY|OBJECT)"), None).when(one != "", F.array(one)))
     return F.coalesce(*found, F.array().cast("array<string>"))
 
 
+def is_ad(raw: Column) -> Column:
+    """whether a record names an id, a body or a title."""
+    return F.coalesce(*[pick_string(raw, KEYS[k]) for k in ("id", "body", "title")]).isNotNull()
+
+
 def bounds(raw: Column, key: str) -> tuple[Column, Column]:
     """The lower and upper figure of a range object."""
-    v = _json(raw, key)
+    v = _at(raw, key, "variant")
     return pick_number(v, "lower_bound lowerBound min"), pick_number(v, "upper_bound upperBound max")
 
 
-def media_type(raw: Column) -> Column:
-    """X84."""
+def media_type(raw: Column, record: Column) -> Column:
+    """What the record says, else what its JSON text mentions."""
     told = F.lower(pick_string(raw, KEYS["media"]))
-    text = F.lower(F.substring(F.regexp_replace(raw, r"\s*([:,])\s*", "$1"), 1, 20_000))
+    text = F.lower(F.substring(F.regexp_replace(record, r"\s*([:,])\s*", "$1"), 1, 20_000))
     named = F.when(told.contains("video"), "video").when(told.contains("carousel") | told.contains("multi"), "carousel").when(told.contains("dco") | told.contains("dynamic"), "dco").when(told.contains("image") | told.contains("photo"), "image")
     guess = F.when(text.contains("video_hd_url") | text.contains('"video"'), "video").when(text.contains("carousel"), "carousel").when(text.contains("original_image_url") | text.contains('"image"'), "image").otherwise("unknown")
     return F.coalesce(named, guess)
@@ -90,8 +105,9 @@ def media_type(raw: Column) -> Column:
 
 def read_records(raw: DataFrame, as_of: Column, record: str = "record") -> DataFrame:
     """Provider records (record: JSON string, provider, matched_query, pos) -> ads; records without an id, a
-    body or a title are dropped. The raw record is not carried on."""
-    r = F.col(record)
+    body or a title are dropped. Each record is parsed once; neither it nor its text is carried on."""
+    text, r = F.col(record), F.col("parsed_record")
+    raw = raw.withColumn("parsed_record", parsed(text))
     low, high = bounds(r, "impressions")
     spend_low, spend_high = bounds(r, "spend")
     body, title = F.coalesce(pick_string(r, KEYS["body"]), F.lit("")), pick_string(r, KEYS["title"])
@@ -101,10 +117,10 @@ def read_records(raw: DataFrame, as_of: Column, record: str = "record") -> DataF
         *[pick_strings(r, KEYS[k]).alias(k) for k in ("platforms", "countries", "languages")],
         *[pick_string(r, KEYS[k]).alias(k) for k in ("page_name", "page_id", "snapshot_url", "cta_type", "landing_url")],
         T.truncate(pick_string(r, KEYS["link_description"]), 1000).alias("link_description"), T.truncate(pick_string(r, KEYS["cta_text"]), 200).alias("cta_text"),
-        F.coalesce(*[_json(r, k).try_cast("boolean") for k in KEYS["active"].split()]).alias("told_active"),
+        F.coalesce(*[_at(r, k).try_cast("boolean") for k in KEYS["active"].split()]).alias("told_active"),
         F.coalesce(low, pick_number(r, KEYS["flat_impressions"])).alias("impressions_min"), high.alias("impressions_max"), spend_low.alias("spend_min"), spend_high.alias("spend_max"),
         pick_string(r, "currency").alias("currency"), pick_number(r, KEYS["reach"]).alias("reach"), F.nullif(F.greatest(pick_number(r, KEYS["variants"]), F.lit(0.0)), F.lit(0.0)).alias("variants"),
-        media_type(r).alias("media_type"),
+        media_type(r, text).alias("media_type"),
     )
     start, end = F.col("start_date").try_cast("timestamp"), F.col("end_date").try_cast("timestamp")
     made = F.concat(F.col("provider"), F.lit(":"), F.substring(F.translate(F.base64(F.encode(F.concat("body", F.coalesce("title", F.lit(""))), "UTF-8")), "+/=\r\n", "-_"), 1, 24))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.dims import rules
+from adlens.dims.rules import STOPWORDS
 from adlens.functions import score as S
 from adlens.functions import text as T
 
@@ -16,13 +20,47 @@ def taxonomy(spark, nested: dict[str, dict[str, dict]]) -> DataFrame:  # noqa: A
     rows, pos = [], 0
     for niche, subs in nested.items():
         for sub, body in subs.items():
-            for term in body.get("terms", []):
+            for term in body["terms"] if isinstance(body, dict) and isinstance(body.get("terms"), list) else ():
                 name, weight = (term, 1.0) if isinstance(term, str) else term
                 rows.append((niche, sub, pos, name, float(weight)))
             pos += 1
     return spark.createDataFrame(rows, "niche string, sub string, sub_pos int, term string, weight double")
 
 
+#: What a name says as a whole, what a part of it says that is a phrase or a word of its own, and a word of such a phrase.
+NAME_WEIGHT, PART_WEIGHT, WORD_WEIGHT = 4.0, 3.0, 1.0
+
+
+def _terms_of(name: str) -> list[list]:
+    """The terms of a sub-niche by its name: "Sports & performance" -> the parts at 3 (each one word); "Sun care" -> the whole at
+    4 and its words at 1."""
+    parts = [p.strip().lower() for p in re.split(r"[&,]", name) if p.strip()]
+    terms: dict[str, float] = {}
+    for part in parts:
+        terms[part] = NAME_WEIGHT if len(parts) == 1 and " " in part else PART_WEIGHT
+        for word in part.split() if " " in part else ():
+            if len(word) > 2 and word not in STOPWORDS:
+                terms.setdefault(word, WORD_WEIGHT)
+    return [[t, w] for t, w in terms.items()]
+
+
+def built_in() -> dict[str, dict[str, dict]]:
+    """G1: the built-in niches and sub-niches with their audience hints, as `taxonomy` takes them. Their terms follow from the
+    names by a rule (`_terms_of`); a caller with term lists of its own hands them to `merge_taxonomy` or the run's option."""
+    nested: dict[str, dict[str, dict]] = {}
+    for niche, subs in rules.table(rules.NICHES):
+        for entry in subs.split("; "):
+            name, _, hints = entry.partition(" | ")
+            nested.setdefault(niche, {})[name] = {"terms": _terms_of(name), "audience": hints.split(", ") if hints else []}
+    return nested
+
+
+def hints(spark, nested: dict[str, dict[str, dict]]) -> DataFrame:  # noqa: ANN001
+    """A5: (niche, sub, audience): the audiences that a sub-niche hints at."""
+    rows = [(n, s, a) for n, subs in nested.items() for s, body in subs.items() for a in body.get("audience", [])]
+    return spark.createDataFrame(rows, "niche string, sub string, audience string")
+
+
 def audience_terms(spark) -> DataFrame:  # noqa: ANN001
     """The built-in audiences: audience, pos, term, weight."""
     rows = [(a, k, term.rsplit(":", 1)[0], float(term.rsplit(":", 1)[1])) for k, (a, terms) in enumerate(rules.table(rules.AUDIENCES)) for term in terms.split(", ")]
@@ -38,26 +76,37 @@ def merge_taxonomy(base: DataFrame, override: DataFrame) -> DataFrame:
     return kept.unionByName(placed.select(*base.columns))
 
 
-#: Terms that one call takes; they are read to the driver and become part of the plan.
-MAX_TERMS = 20_000
+#: Terms that become part of the plan; more are joined.
+PLANNED_TERMS = 5_000
 
 
 def term_hits(texts: DataFrame, terms: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, term, hits) for the terms that a folded text (columns id, text) holds as whole words, terms of any length.
+    """(id, term, hits) for the terms that a folded text (columns id, text) holds as whole words, terms of any
+    length and number.
 
-    The terms are a rule table of MAX_TERMS at most; more raise an error. Each text is read where it stands, without a
-    shuffle: a term is counted only where the text holds it at all.
+    An index finds the terms that a text may hold in one pass over it: each term hangs on its longest run of letters and
+    digits, the text's own runs are looked up, and only the terms found that way are counted. With up to PLANNED_TERMS terms
+    the index is a constant of the plan and each text is read where it stands; with more, runs and index are joined, and a
+    text moves once, to the terms it may hold. A term without such a run is looked for in every text.
     """
-    known = terms.select("term").distinct().select("term", T.normalise(F.col("term")).alias("folded")).filter("folded != ''").limit(MAX_TERMS + 1).collect()
-    if len(known) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
-    known = sorted((r.term, r.folded) for r in known)
-    if not known:
-        return texts.select(id_col, F.lit("").alias("term"), F.lit(0).alias("hits")).filter(F.lit(False))
-    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(f).alias("folded")) for t, f in known])
-    held = F.filter(table, lambda x: F.contains(F.col("text"), x["folded"]))
-    counted = F.transform(held, lambda x: F.struct(x["term"].alias("term"), T.count_term(F.col("text"), x["folded"]).alias("hits")))
-    return texts.select(id_col, F.inline(counted)).filter("hits > 0")
+    folded = terms.select("term").distinct().select("term", T.normalise(F.col("term")).alias("folded")).filter("folded != ''")
+    runs = F.regexp_extract_all("folded", F.lit("[a-z0-9]+"), F.lit(0))
+    indexed = folded.withColumn("anchor", F.get(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), 0)["r"])
+    known = indexed.limit(PLANNED_TERMS + 1).collect()
+    own = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))
+    if len(known) <= PLANNED_TERMS:
+        by: dict[str, list[dict]] = {}
+        for r in sorted(known, key=lambda r: r.term):
+            by.setdefault(r.anchor or "", []).append({"term": r.term, "folded": r.folded})
+        index = F.from_json(F.lit(json.dumps(by)), "map<string,array<struct<term:string,folded:string>>>")
+        names = F.from_json(F.lit(json.dumps(sorted(by))), "array<string>")
+        met = F.flatten(F.transform(F.array_intersect(F.concat(own, F.array(F.lit(""))), names), lambda a: F.element_at(index, a)))
+        held = texts.select(id_col, "text", met.alias("met"))
+    else:
+        may = texts.select(id_col, F.explode(F.concat(own, F.array(F.lit("")))).alias("anchor")).join(indexed.withColumn("anchor", F.coalesce("anchor", F.lit(""))), "anchor")
+        held = texts.select(id_col, "text").join(may.groupBy(id_col).agg(F.collect_list(F.struct("term", "folded")).alias("met")), id_col)
+    counted = F.transform(F.filter("met", lambda x: F.contains(F.col("text"), x["folded"])), lambda x: F.struct(x["term"].alias("term"), T.count_term(F.col("text"), x["folded"]).alias("hits")))
+    return held.select(id_col, F.inline(counted)).filter("hits > 0")
 
 
 def classify(hits: DataFrame, terms: DataFrame, id_col: str = "id", least_confidence: float = 25.0) -> DataFrame:
@@ -82,6 +131,25 @@ def classify(hits: DataFrame, terms: DataFrame, id_col: str = "id", least_confid
     return out.withColumn("unclassified", F.col("confidence") < least_confidence)
 
 
+UNCLASSIFIED = "Unclassified"
+
+
+def classified(texts: DataFrame, nested: dict[str, dict[str, dict]], terms: DataFrame | None = None, id_col: str = "id", least_confidence: float = 25.0) -> DataFrame:
+    """One row a text (id, text, folded): niche, sub, confidence, unclassified, alternatives, evidence and audience. A text
+    without a term of any niche is Unclassified with confidence 0. A sub-niche's hints count for its audience. terms: the
+    taxonomy as a table, if it is not that of `nested`, which then only gives the hints."""
+    spark = texts.sparkSession
+    table = taxonomy(spark, nested) if terms is None else terms
+    found = classify(term_hits(texts, table, id_col), table, id_col, least_confidence)
+    people = audience_terms(spark)
+    told = found.join(hints(spark, nested), ["niche", "sub"]).select(id_col, "audience")
+    for_whom = audience(term_hits(texts, people, id_col), people, told, id_col).select(id_col, "audience")
+    out = texts.select(id_col).join(found, id_col, "left").join(for_whom, id_col, "left")
+    none = F.array().cast("array<string>")
+    filled = {"niche": F.coalesce("niche", F.lit(UNCLASSIFIED)), "sub": F.coalesce("sub", F.lit(UNCLASSIFIED)), "confidence": F.coalesce("confidence", F.lit(0.0)), "unclassified": F.coalesce("unclassified", F.lit(True)), "alternatives": F.coalesce("alternatives", none), "evidence": F.coalesce("evidence", none)}
+    return out.withColumns(filled)
+
+
 def audience(hits: DataFrame, terms: DataFrame, hints: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """A5: (id, audience, score) of the best audience of at least 4 points. terms: audience, pos, term, weight; hints:
     id, audience (six points each)."""

@@ -132,7 +132,7 @@ def described(angle: Column) -> Column:
     return F.coalesce(*rows)
 
 
-def offer_counts(ads: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
+def offer_counts(ads: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """Offers (column offers, as `offers` gives them) by kind and lower-cased detail, the first spelling by pos kept: keys, kind,
     detail, n, place."""
     from pyspark.sql import Window

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,113 +14,16 @@ from adlens.dims import rules
 from adlens.functions import score as S
 from adlens.functions import text as T
 from adlens.functions import url as U
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SKIP = frozenset("script style noscript svg iframe template".split())
-_CHROME = frozenset("nav footer header aside".split())
-_HEADS = frozenset("h1 h2 h3 h4".split())
-_BLOCK = frozenset("p div br li ul ol tr td th h1 h2 h3 h4 h5 h6 section article header footer nav aside main table title option button".split())
+from adlens.functions.dom import Tree, collapse
+from adlens.functions.lineage import written
 
 PARSED = (
-    "title string, meta map<string,string>, h1 string, headings array<string>, text string, body string, json_ld array<string>, forms int, ctas int,"
-    "links array<struct<pos:int,href:string,text:string,rel:string,alt:string,in_heading:boolean,heading:string,after_heading:boolean,in_item:boolean,has_image:boolean,in_chrome:boolean>>"
+    "title string, meta map<string,string>, h1 string, headings array<string>, heads array<struct<tag:string,text:string>>, body string, json_ld array<string>, forms int, inputs int, contact_inputs int, ctas int, paragraphs int,"
+    "links array<struct<pos:int,href:string,text:string,title:string,rel:string,alt:string,heading:string,in_heading:boolean,after_heading:boolean,in_item:boolean,has_image:boolean,in_chrome:boolean,in_content:boolean>>"
 )
-
-
-class Page(HTMLParser):
-    """One walk over a page that keeps all that the operators read from it."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.title: str | None = None
-        self.meta: dict[str, str] = {}
-        self.h1: str | None = None
-        self.headings: list[str] = []
-        self.parts: list[str] = []
-        self.body: list[str] = []
-        self.ld: list[str] = []
-        self.links: list[dict] = []
-        self.open: dict | None = None
-        self.buffer: list[str] | None = None
-        self.heading: list[str] | None = None
-        self.waiting: list[dict] = []
-        self.last_heading: str | None = None
-        self.forms = self.ctas = 0
-        self.in_ld = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag in _BLOCK:
-            self.parts.append(" ")
-            self.body.append(" ")
-        if tag == "meta" and (name := a.get("property") or a.get("name")) and name.lower() not in self.meta:
-            self.meta[name.lower()] = T_collapse(a.get("content", ""))
-        elif tag == "script":
-            self.in_ld = a.get("type", "").lower() == "application/ld+json"
-            self.ld += [""] if self.in_ld else []
-        elif tag == "form":
-            self.forms += 1
-        elif tag == "img" and self.open is not None:
-            self.open["has_image"] = True
-            self.open["alt"] = self.open["alt"] or a.get("alt", "")
-        elif tag == "a" and a.get("href"):
-            self.open = {
-                "pos": len(self.links), "href": a["href"], "text": "", "rel": a.get("rel", ""), "alt": a.get("title", ""), "in_heading": self.heading is not None, "heading": None if self.heading is not None else self.last_heading,
-                "after_heading": self.heading is None and self.last_heading is not None, "in_item": "li" in self.stack, "has_image": False, "in_chrome": any(t in _CHROME for t in self.stack),
-            }
-            self.links.append(self.open)
-            self.buffer = []
-        if tag in _HEADS and self.heading is None:
-            self.heading, self.waiting = [], []
-        if tag in ("a", "button") and re.search(r"(?i)btn|button|cta", a.get("class", "")) or tag == "button":
-            self.ctas += 1
-        if self.heading is not None and self.open is not None and self.open not in self.waiting and tag == "a":
-            self.waiting.append(self.open)
-        if tag not in _VOID:
-            self.stack.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCK:
-            self.parts.append(" ")
-            self.body.append(" ")
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-        if tag == "script":
-            self.in_ld = False
-        elif tag == "a" and self.open is not None:
-            self.open["text"] = T_collapse("".join(self.buffer or []))
-            self.open = self.buffer = None
-        if tag in _HEADS and self.heading is not None:
-            told = T_collapse("".join(self.heading))
-            for link in self.waiting:
-                link["heading"] = told
-            if tag == "h1" and self.h1 is None:
-                self.h1 = told
-            self.headings.append(told)
-            self.last_heading = told if tag != "h1" else self.last_heading
-            self.heading = None
-
-    def handle_data(self, data: str) -> None:
-        if self.in_ld:
-            self.ld[-1] += data
-        if any(t in _SKIP for t in self.stack):
-            return
-        if self.stack and self.stack[-1] == "title":
-            self.title = self.title or T_collapse(data)
-            return
-        self.body.append(data)
-        if not any(t in _CHROME for t in self.stack):
-            self.parts.append(data)
-        if self.buffer is not None:
-            self.buffer.append(data)
-        if self.heading is not None:
-            self.heading.append(data)
-
-
-def T_collapse(s: str) -> str:
-    return re.sub(r"\s+", " ", s).strip()
+_HEADS = frozenset(("h1", "h2", "h3", "h4"))
+_SECTIONS = frozenset(("h2", "h3", "h4"))
+_CHROME = frozenset(("nav", "footer", "header", "aside"))
 
 
 def ld_nodes(blocks: list[str]) -> list[str]:
@@ -142,24 +44,84 @@ def ld_nodes(blocks: list[str]) -> list[str]:
     return out
 
 
-def parse(html: str | None) -> dict:
-    p = Page()
-    p.feed(html or "")
-    p.close()
+def content_root(tree: Tree, selector: str | None = None) -> list[int]:
+    """The elements that hold a page's content: what the selector matches, else the first of the usual places
+    with three links or more, else none, which means the whole page."""
+    if selector and (found := tree.select(selector)):
+        return found
+    for usual in rules.CONTENT_SELECTORS:
+        found = tree.select(usual)
+        links = {k for at in found for k in tree.inside(at) if tree.elements[k].tag == "a" and "href" in tree.elements[k].attrs}
+        if len(links) >= 3:
+            return found
+    return []
+
+
+def _heading_above(tree: Tree, at: int, tops: set[int]) -> int:
+    """The heading that a link stands under: the nearest h2-h4 before one of its ancestors, among that one's siblings, from
+    the nearest ancestor up to the content root."""
+    for up in tree.ancestors(at):
+        if up in tops or not tops and tree.elements[up].tag == "body":
+            break
+        parent = tree.elements[up].parent
+        siblings = tree.elements[parent].children if parent >= 0 else [k for k, e in enumerate(tree.elements) if e.parent < 0]
+        for k in reversed(siblings):
+            if k < up and tree.elements[k].tag in _SECTIONS:
+                return k
+    return -1
+
+
+def parse(html: str | None, selector: str | None = None) -> dict:
+    tree = Tree(html)
+    of, texts = tree.elements, {}
+
+    def text(at: int) -> str:
+        if at not in texts:
+            texts[at] = tree.text(at)
+        return texts[at]
+
+    root = content_root(tree, selector)
+    tops, covered = set(root), {k for at in root for k in tree.inside(at)}
+    meta: dict[str, str] = {}
+    for k in tree.all("meta"):
+        if name := of[k].attrs.get("property") or of[k].attrs.get("name"):
+            meta.setdefault(name.lower(), collapse(of[k].attrs.get("content", "")))
+    links = []
+    for k in tree.all("a"):
+        a = of[k].attrs
+        if not a.get("href"):
+            continue
+        own = tree.closest(k, _HEADS)
+        under = _heading_above(tree, k, tops) if own < 0 else -1
+        images = [i for i in tree.inside(k) if of[i].tag == "img"]
+        links.append({
+            "pos": len(links), "href": a["href"], "text": text(k), "title": collapse(a.get("title", "")), "rel": a.get("rel", ""), "alt": collapse(of[images[0]].attrs.get("alt", "")) if images else "",
+            "heading": text(own) if own >= 0 else text(under) if under >= 0 else None, "in_heading": own >= 0, "after_heading": under >= 0, "in_item": tree.closest(k, frozenset(("li",))) >= 0,
+            "has_image": bool(images), "in_chrome": tree.closest(k, _CHROME) >= 0, "in_content": not root or k in covered,
+        })
+    heads = [{"tag": of[k].tag, "text": text(k)} for k in tree.all("h1", "h2", "h3")]
+    titles = tree.all("title")
+    act = re.compile(rules.CALL_TO_ACT, re.IGNORECASE)
     return {
-        "title": p.title, "meta": p.meta, "h1": p.h1, "headings": p.headings, "text": T_collapse("".join(p.parts)), "body": T_collapse("".join(p.body)), "json_ld": ld_nodes(p.ld), "forms": p.forms, "ctas": p.ctas,
-        "links": p.links,
+        "title": text(titles[0]) if titles else None, "meta": meta, "h1": next((h["text"] for h in heads if h["tag"] == "h1"), None), "headings": [h["text"] for h in heads], "heads": heads, "body": tree.body(),
+        "json_ld": ld_nodes([tree.raw[k] for k in tree.all("script") if k in tree.raw and of[k].attrs.get("type", "").lower() == "application/ld+json"]),
+        "forms": len(tree.all("form")), "inputs": len(tree.all("input", "select", "textarea")), "contact_inputs": sum(of[k].attrs.get("type", "").lower() in ("email", "tel") for k in tree.all("input")),
+        "ctas": sum(bool(act.search(text(k))) for k in tree.all("a", "button")), "paragraphs": len(tree.all("p")), "links": links,
     }
 
 
-def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([parse(x) for x in s], columns=["title", "meta", "h1", "headings", "text", "body", "json_ld", "forms", "ctas", "links"])
+def read_html(html: Column, selector: str | None = None) -> Column:
+    """S3, H1, H2, H6, H10 from one walk over each page. selector: where a page's content is to be looked for first."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = [parse(x, selector) for x in s]
+            yield pd.DataFrame({c: [r[c] for r in rows] for c in _FIELDS})
+
+    return F.pandas_udf(read, PARSED)(html)
 
 
-def read_html(html: Column) -> Column:
-    """S3, H1, H2, H6, H10 in one walk."""
-    return F.pandas_udf(_read, PARSED)(html)
+_FIELDS = ("title", "meta", "h1", "headings", "heads", "body", "json_ld", "forms", "inputs", "contact_inputs", "ctas", "paragraphs", "links")
 
 
 def _meta(page: Column, *names: str) -> Column:
@@ -177,8 +139,9 @@ def page_meta(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """H2: (page_url, pos, url, domain, text, points, ...): the links of parsed pages off their own site, scored."""
-    each = pages.select(F.col("url").alias("page_url"), F.explode("page.links").alias("l")).select("page_url", "l.*")
+    """H2: (page_url, pos, url, domain, text, points, ...): the links in the content of parsed pages off their own site, scored."""
+    inside = F.filter("page.links", lambda l: l["in_content"])  # noqa: E741
+    each = pages.select(F.col("url").alias("page_url"), F.explode(inside).alias("l")).select("page_url", "l.*")
     each = each.withColumn("url", U.normalise_url(F.col("href"), F.col("page_url"))).filter("url is not null").withColumn("domain", U.registrable_domain(F.col("url")))
     each = each.filter(F.col("domain").isNotNull() & ~U.same_site(F.col("url"), F.col("page_url")) & ~U.denied_domain(F.col("domain")) & ~U.denied_path(F.col("url")))
     points = (
@@ -194,19 +157,23 @@ def discover(found: DataFrame, most: int = 25) -> DataFrame:
     n = found.groupBy(*keys, "url").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     depth = F.size(F.filter(F.split(U.path_of(F.col("url")), "/"), lambda x: x != ""))
     best = n.groupBy(*keys).agg(F.min(F.struct(depth.alias("depth"), (-F.col("n")).alias("neg"), "first", "url")).alias("u"))
-    stem = F.lower(F.regexp_replace(F.split("domain", r"\.")[0], "[^A-Za-z0-9]", ""))
-    plain = F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
-    head = F.lower(F.regexp_replace("heading", "[^A-Za-z0-9]", ""))
-    good = ~T.collapse(F.col("text")).rlike(f"(?i){rules.GENERIC_ANCHORS}") & (F.length("text").between(1, 80))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    stem = plain(F.split("domain", r"\.")[0])
+    good = (F.col("text") != "") & ~F.col("text").rlike(f"(?i){rules.GENERIC_ANCHORS}") & (F.length("text") <= 80)
+    # A heading names the brand up to a dash, bar or colon, without its number.
+    cut = F.split(F.regexp_replace("heading", r"^\s*\d+[.)]\s*", ""), "[—–|:]")[0]
+    told = (F.length(stem) >= 4) & F.contains(plain(F.col("heading")), stem) & (F.length(T.collapse(cut)) >= 2)
+    said = good & (F.length(stem) >= 4) & F.contains(plain(F.col("text")), stem)
     g = found.groupBy(*keys).agg(
-        F.count("*").alias("mentions"), F.sum("points").alias("points"),
-        F.min(F.when(F.contains(head, stem), F.struct("pos", F.col("heading").alias("t")))).alias("by_heading"), F.min(F.when(good & F.contains(plain, stem), F.struct("pos", F.col("text").alias("t")))).alias("by_anchor"),
-        F.min(F.when(good & (T.word_count(F.col("text")) <= 5), F.struct(F.length("text").alias("n"), "pos", F.col("text").alias("t")))).alias("by_short"),
+        F.count("*").alias("mentions"), F.sum("points").alias("points"), F.min(F.when(told, F.struct("pos", cut.alias("t")))).alias("by_heading"), F.min(F.when(said, F.struct("pos", F.col("text").alias("t")))).alias("by_anchor"),
+        F.min(F.when(good, F.struct(F.length("text").alias("n"), "pos", F.col("text").alias("t")))).alias("shortest"), F.array_sort(F.collect_list(F.when(good, F.struct("pos", "text")))).alias("texts"),
     )
     out = g.join(best, keys).withColumn("score", S.discovery_score(F.col("points"), F.col("mentions"))).filter("score is not null")
     place = F.row_number().over(Window.partitionBy("page_url").orderBy(F.desc("score"), "domain"))
-    name = F.coalesce("by_heading.t", "by_anchor.t", "by_short.t", U.brand_name(F.col("domain")))
-    return out.select("page_url", "domain", F.col("u.url").alias("url"), name.alias("name"), "mentions", "score", place.alias("place")).filter(F.col("place") <= most)
+    short = F.when((F.length("shortest.t") >= 2) & (T.word_count(F.col("shortest.t")) <= 5), F.col("shortest.t"))
+    name = F.coalesce(T.truncate(F.coalesce("by_heading.t", "by_anchor.t", short), 60), U.brand_name(F.col("domain")))
+    anchors = F.slice(F.array_distinct(F.transform("texts", lambda x: x["text"])), 1, 8)
+    return out.select("page_url", "domain", F.col("u.url").alias("url"), name.alias("name"), "mentions", "score", anchors.alias("anchors"), place.alias("place")).filter(F.col("place") <= most)
 
 
 def dedupe_candidates(candidates: DataFrame, most: int) -> DataFrame:
@@ -218,35 +185,40 @@ def dedupe_candidates(candidates: DataFrame, most: int) -> DataFrame:
 
 def platform(html: Column) -> Column:
     """H7: the shop system a page shows itself to run on, first rule first."""
-    marks = (("shopify", r"cdn\.shopify\.com|shopify\.theme|myshopify\.com"), ("woocommerce", "woocommerce|wc-ajax"), ("bigcommerce", r"bigcommerce\.com|stencil-utils"), ("magento", "mage/cookies|magento"), ("squarespace", r"squarespace\.com|static1\.squarespace"), ("wix", r"wixstatic\.com|wix\.com"))
-    return F.coalesce(*[F.when(html.rlike(f"(?i){p}"), F.lit(n)) for n, p in marks], F.lit("unknown"))
+    return F.coalesce(*[F.when(html.rlike(T.js_regex(p, "i")), F.lit(n)) for n, p in rules.table(rules.PLATFORMS)], F.lit("unknown"))
 
 
 def socials(page: Column) -> Column:
-    """H8: map of network -> first profile link."""
-    nets = (("facebook", "facebook.com/"), ("instagram", "instagram.com/"), ("tiktok", "tiktok.com/@"), ("youtube", "youtube.com/"), ("twitter", "(?:twitter|x).com/"), ("pinterest", "pinterest.com/"), ("linkedin", "linkedin.com/"))
-    found = [F.struct(F.lit(n).alias("key"), F.get(F.filter(page["links"], _links_to(p)), 0)["href"].alias("value")) for n, p in nets]
-    return F.map_from_entries(F.filter(F.array(*found), lambda x: x["value"].isNotNull()))
+    """H8: map of network -> first profile link, the part of it that the network's pattern matches."""
 
+    def first(pattern: str) -> Column:
+        found = F.filter(F.transform(page["links"], lambda l: F.regexp_extract(l["href"], f"(?i){pattern}", 0)), lambda x: x != "")  # noqa: E741
+        return F.transform(F.slice(found, 1, 1), lambda x: F.when(x.startswith("http"), x).otherwise(F.concat(F.lit("https://"), x)))
 
-def _links_to(pattern: str):  # noqa: ANN202
-    return lambda link: link["href"].rlike(r"(?i)^https?://(?:[a-z-]+\.)?" + pattern.replace(".", r"\."))
+    found = [F.struct(F.lit(n).alias("key"), F.get(first(p), 0).alias("value")) for n, p in rules.table(rules.SOCIALS)]
+    return F.map_from_entries(F.filter(F.array(*found), lambda x: x["value"].isNotNull()))
 
 
 def product_links(pages: DataFrame, most: int = 20) -> DataFrame:
-    """(url, name, product_url): links shaped like a product's page, once a name."""
-    l = pages.select("url", F.posexplode("page.links").alias("n", "l")).select("url", "n", F.col("l.href").alias("href"), F.coalesce(F.nullif(F.col("l.text"), F.lit("")), F.col("l.alt")).alias("name"))  # noqa: E741
-    l = l.filter(F.col("href").rlike(T.js_regex(rules.PRODUCT_URL, "i")) & T.product_name(F.col("name")))  # noqa: E741
-    once = l.withColumn("k", F.lower("name")).groupBy("url", "k").agg(F.min(F.struct("n", "name", "href")).alias("x"))
+    """(url, name, product_url): links shaped like a product's page, once a name: the link's title, else its text, else
+    its image's."""
+    blank = F.lit("")
+    l = pages.select("url", F.posexplode("page.links").alias("n", "l")).select("url", "n", F.col("l.href").alias("href"), F.coalesce(F.nullif("l.title", blank), F.nullif("l.text", blank), F.col("l.alt")).alias("name"))  # noqa: E741
+    l = l.filter(F.col("href").rlike(T.js_regex(rules.PRODUCT_URL, "i")) & T.product_name(F.col("name"))).withColumn("to", U.normalise_url(F.col("href"), F.col("url"))).filter("to is not null")  # noqa: E741
+    once = l.withColumn("k", F.lower("name")).groupBy("url", "k").agg(F.min(F.struct("n", "name", "to")).alias("x"))
     place = F.row_number().over(Window.partitionBy("url").orderBy("x.n"))
-    return once.withColumn("place", place).filter(F.col("place") <= most).select("url", "x.name", U.normalise_url(F.col("x.href"), F.col("url")).alias("product_url"), "place")
+    return once.withColumn("place", place).filter(F.col("place") <= most).select("url", T.truncate(F.col("x.name"), 90).alias("name"), F.col("x.to").alias("product_url"), "place")
 
 
 def internal_pages(pages: DataFrame, most: int = 5) -> DataFrame:
-    """a site's own about, story, science, reviews, faq and similar pages."""
-    each = pages.select("url", F.explode("page.links").alias("l")).select("url", "l.pos", U.normalise_url(F.col("l.href"), F.col("url")).alias("to"))
-    own = each.filter((U.host_of(F.col("to")) == U.host_of(F.col("url"))) & U.path_of(F.col("to")).rlike("(?i)/(about|our-story|story|science|ingredients|how-it-works|reviews|faq|mission)"))
-    first = own.groupBy("url", "to").agg(F.min("pos").alias("pos"))
+    """a site's own pages that say what it sells and why: the first `most` addresses of the first three times as many
+    links of that kind on the page's own host."""
+    each = pages.select("url", F.explode("page.links").alias("l")).filter(F.col("l.href").rlike(f"(?i){rules.INTERNAL_PAGES}"))
+    each = each.select("url", "l.pos", U.normalise_url(F.col("l.href"), F.col("url")).alias("to"))
+    host = lambda c: F.lower(F.regexp_extract(c, r"^[A-Za-z]+://([^/?#:]+)", 1))
+    own = each.filter(host("to") == host("url"))
+    early = own.withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).filter(F.col("nth") <= 3 * most)
+    first = early.groupBy("url", "to").agg(F.min("pos").alias("pos"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).filter(F.col("place") <= most)
 
 
@@ -308,50 +280,66 @@ def is_index(xml: Column) -> Column:
 
 def crawl(documents: DataFrame, sites: DataFrame, most_maps: int = 12, most_urls: int = 2000) -> DataFrame:
     """(site, pos, url): the addresses a site publishes, breadth first over its sitemaps as documents (url,
-    body) hold them, within its own domain; the caps are the first in order of the walk. Rounds end when no site has a
-    new index, at the latest after most_maps."""
+    body, and status if known) hold them, within its own domain; the caps are the first in order of the walk.
+
+    Each round writes its frontier and what it found, so a round reads the files of those before it and nothing is worked
+    out twice; the rounds end when no site has a new index, at the latest after most_maps, as none reads more maps."""
+    documents = documents.filter("status < 400") if "status" in documents.columns else documents
     base = F.regexp_extract("site", r"^(https?://[^/]+)", 1)
     robots = documents.join(sites.select("site", F.concat(base, F.lit("/robots.txt")).alias("url")), "url").select("site", robots_sitemaps(F.col("body")).alias("told"))
-    start = sites.join(robots, "site", "left").select("site", F.posexplode(F.array_distinct(F.concat(F.coalesce("told", F.array().cast("array<string>")), F.array(F.concat(base, F.lit("/sitemap.xml")), F.concat(base, F.lit("/sitemap_index.xml")))))).alias("p", "url"))
-    queue = start.select("site", F.array(F.col("p")).alias("path"), "url")
-    seen, leaves = None, None
+    usual = F.array(F.concat(base, F.lit("/sitemap.xml")), F.concat(base, F.lit("/sitemap_index.xml")))
+    start = sites.join(robots, "site", "left").select("site", F.posexplode(F.array_distinct(F.concat(F.coalesce("told", F.array().cast("array<string>")), usual))).alias("p", "url"))
+    frontier = written(start.select("site", F.array(F.col("p")).alias("path"), "url"), "crawl-frontier")
+    seen, found = frontier.select("site", "url").limit(0), None
     for _ in range(most_maps):
-        fresh = queue if seen is None else queue.join(seen, ["site", "url"], "left_anti")
-        fresh = fresh.groupBy("site", "url").agg(F.min("path").alias("path"))
-        seen = fresh.select("site", "url") if seen is None else seen.union(fresh.select("site", "url"))
+        fresh = frontier.groupBy("site", "url").agg(F.min("path").alias("path"))
         read = fresh.join(documents, "url").filter(F.contains("body", F.lit("<loc")))
         inner = read.select("site", F.col("url").alias("map"), "path", is_index(F.col("body")).alias("index"), F.posexplode(sitemap_locs(F.col("body"))).alias("p", "url")).withColumn("path", F.concat("path", F.array("p")))
-        inner = inner.filter(U.same_site(F.col("url"), F.col("site")))
-        leaves = inner.filter("not index") if leaves is None else leaves.union(inner.filter("not index"))
-        queue = inner.filter("index").select("site", "path", "url")
-        if queue.isEmpty():
+        inner = written(inner.filter(U.same_site(F.col("url"), F.col("site"))), "crawl-found")
+        found = inner if found is None else found.union(inner)
+        seen = seen.union(fresh.select("site", "url"))
+        frontier = written(inner.filter("index").select("site", "path", "url").join(seen, ["site", "url"], "left_anti"), "crawl-frontier")
+        if frontier.isEmpty():
             break
-    maps = leaves.groupBy("site", "map").agg(F.min("path").alias("m")).withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy(F.size("m"), "m"))).filter(F.col("nth") <= most_maps)
-    clean = leaves.join(maps.select("site", "map"), ["site", "map"]).withColumn("url", U.normalise_url(F.col("url"))).groupBy("site", "url").agg(F.min("path").alias("path"))
+    maps = found.groupBy("site", "map").agg(F.min("path").alias("m")).withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy(F.size("m"), "m"))).filter(F.col("nth") <= most_maps)
+    clean = found.filter("not index").join(maps.select("site", "map"), ["site", "map"]).withColumn("url", U.normalise_url(F.col("url"))).filter("url is not null").groupBy("site", "url").agg(F.min("path").alias("path"))
     return clean.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy(F.size("path"), "path"))).filter(F.col("pos") <= most_urls).select("site", "pos", "url")
 
 
 def kind_counts(published: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
-    """Kinds of published pages with counts, shares and the first few."""
+    """Kinds of published pages with counts, shares and the first few. The counts come from one aggregate; the samples
+    from a group limit, which every task applies before anything is shuffled."""
     k = published.withColumn("kind", U.page_kind(F.col("url")))
-    place = k.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("pos")))
-    g = place.groupBy(*keys, "kind").agg(F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= samples, F.struct("n", "url")))), lambda x: x["url"]).alias("samples"))
-    total = F.sum("count").over(Window.partitionBy(*keys)) if keys else F.sum("count").over(Window.partitionBy(F.lit(1)))
-    return g.withColumn("share", S.share(F.col("count"), total))
+    g = k.groupBy(*keys, "kind").agg(F.count("*").alias("count"))
+    g = g.withColumn("share", S.share(F.col("count"), F.sum("count").over(Window.partitionBy(*(keys or [F.lit(1)])))))
+    early = k.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("pos"))).filter(F.col("n") <= samples)
+    first = early.groupBy(*keys, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "url"))), lambda x: x["url"]).alias("samples"))
+    return g.join(first, [*keys, "kind"])
 
 
-def unadvertised(published: DataFrame, advertised: DataFrame, keys: list[str]) -> DataFrame:
-    """Published articles, landing pages, quizzes and products that no ad leads to, by kind. Hosts are compared
-    without www on both sides."""
+def unadvertised(published: DataFrame, advertised: DataFrame, keys: list[str], examples: int = 5) -> DataFrame:
+    """Published articles, landing pages, quizzes and products that no ad leads to, by kind, with the first few. Hosts
+    are compared without www on both sides; published has a pos if their order matters."""
     key = F.regexp_replace("url", r"^(https?://)www\.", "$1")
     left = published.withColumn("u", key).join(advertised.withColumn("u", key).select(*keys, "u").distinct(), [*keys, "u"], "left_anti")
-    return left.withColumn("kind", U.page_kind(F.col("url"))).filter(F.col("kind").isin("article", "landing", "quiz", "product")).groupBy(*keys, "kind").agg(F.count("*").alias("count"))
+    left = left.withColumn("kind", U.page_kind(F.col("url"))).filter(F.col("kind").isin("article", "landing", "quiz", "product"))
+    order = "pos" if "pos" in published.columns else "url"
+    counts = left.groupBy(*keys, "kind").agg(F.count("*").alias("count"))
+    early = left.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(order))).filter(F.col("n") <= examples)
+    first = early.groupBy(*keys, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "url"))), lambda x: x["url"]).alias("examples"))
+    return counts.join(first, [*keys, "kind"])
 
 
-def unlisted(published: DataFrame, advertised: DataFrame, keys: list[str]) -> DataFrame:
-    """Destinations of ads that the site does not publish."""
+def unlisted(published: DataFrame, advertised: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """Destinations of ads on a brand's own domain that its site does not publish, the first `most` of each: by pos where
+    advertised has one, else by address. A brand without a published page has none, as nothing is known of its site."""
     key = F.regexp_replace("url", r"^(https?://)www\.", "$1")
-    return advertised.withColumn("u", key).join(published.withColumn("u", key).select(*keys, "u"), [*keys, "u"], "left_anti").select(*keys, "url").distinct()
+    own = published.select(*keys, U.registrable_domain(F.col("url")).alias("domain")).filter("domain is not null").distinct()
+    order = F.col("pos") if "pos" in advertised.columns else F.col("url")
+    asked = advertised.withColumn("u", key).withColumn("domain", U.registrable_domain(F.col("url"))).groupBy(*keys, "url", "u", "domain").agg(F.min(order).alias("at"))
+    left = asked.join(own, [*keys, "domain"], "left_semi").join(published.withColumn("u", key).select(*keys, "u"), [*keys, "u"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "url"))
+    return left.withColumn("place", place).filter(F.col("place") <= most).select(*keys, "url")
 
 
 def tools(html: Column) -> Column:
@@ -423,18 +411,24 @@ def commerce_summary(c: Column) -> Column:
 
 
 def dedupe_products(products: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
-    """Products once a folded name, in order of first sight; a later record only fills what is missing."""
-    name = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
-    def first(c: str) -> Column:
-        return F.min(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v"))))["v"].alias(c)
-
-    g = products.withColumn("k", name).filter("k != ''").groupBy(*keys, "k").agg(F.min("pos").alias("pos"), *[first(c) for c in ("name", "price", "currency", "description")])
-    return g.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).filter(F.col("place") <= most).drop("k")
+    """Products once a name, whatever its case and marks, in order of first sight. A later record speaks over the earlier
+    ones where it is the first with a description, or the first with a price; what it does not say stays. So three records
+    of a name count at most, and each field is that of the last of them that has it."""
+    name = T.collapse(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
+    fields = ("name", "price", "currency", "description")
+    row = F.struct("pos", *fields)
+    told = products.withColumn("price", F.when(F.col("price") > 0, F.col("price"))).withColumn("k", name).filter("k != ''")
+    g = told.groupBy(*keys, "k").agg(F.min(row).alias("one"), F.min(F.when(F.col("description") != "", row)).alias("two"), F.min(F.when(F.col("price").isNotNull(), row)).alias("three"))
+    late = F.sort_array(F.array_compact(F.array("one", "two", "three")), asc=False)
+    out = g.select(*keys, F.col("one.pos").alias("pos"), *[F.get(F.array_compact(late[c]), 0).alias(c) for c in fields])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    return out.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def price_range(products: DataFrame, keys: list[str]) -> DataFrame:
-    """A30, A31."""
-    return products.filter("price is not null").groupBy(*keys).agg(F.min("price").alias("low"), S.js_round(F.percentile("price", F.lit(0.5)), 2).alias("median"), F.max("price").alias("high"), F.coalesce(F.min(F.when(F.col("currency").isNotNull(), F.struct("pos", "currency")))["currency"], F.lit("USD")).alias("currency"))
+    """Over products with a price above zero; the currency is that of the first of them that names one."""
+    priced = products.filter("price > 0")
+    return priced.groupBy(*keys).agg(F.min("price").alias("low"), S.js_round(F.percentile("price", F.lit(0.5)), 2).alias("median"), F.max("price").alias("high"), F.coalesce(F.min(F.when(F.col("currency").isNotNull(), F.struct("pos", "currency")))["currency"], F.lit("USD")).alias("currency"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -443,27 +437,54 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(both > 0, S.js_round(F.size(F.array_intersect(a, b)) / both * 100)).otherwise(0.0)
 
 
-def page_shape(page: Column, url: Column, words: Column) -> Column:
+def page_shape(page: Column, words: Column) -> Column:
     """What kind of page an ad leads to."""
-    numbered = F.size(F.filter(page["headings"], lambda h: h.rlike(r"^\s*#?\d+[.):\s]")))
+    text = page["body"]
+    numbered = F.size(F.filter(page["heads"], lambda h: h["tag"].isin("h2", "h3") & h["text"].rlike(r"^\s*\d+[.)]")))
+    prose = ((page["paragraphs"] >= 8) & (words >= 350)) | ((words >= 900) & (page["paragraphs"] >= 5))
     return (
-        F.when(numbered >= 3, "listicle").when(url.rlike(T.js_regex(r"/products?/", "i")) | page["body"].rlike("(?i)add to (cart|bag)"), "product").when(url.rlike("(?i)/quiz|/assessment"), "quiz")
-        .when((page["forms"] > 0) & (words < 400), "lead-form").when(words > 900, "article").otherwise("landing")
+        F.when(numbered >= 3, "listicle").when(text.rlike(r"[$£€]\s?\d") & text.rlike(T.js_regex(rules.CART_WORDS, "i")), "product-page").when(text.rlike(T.js_regex(rules.QUIZ_WORDS, "i")) & (page["inputs"] >= 2), "quiz")
+        .when((page["inputs"] >= 3) & (words < 600), "lead-form").when(prose, "article").when(words > 0, "landing-page").otherwise("unknown")
     )
 
 
-def teardown(pages: DataFrame, advertised: DataFrame, most: int = 5) -> DataFrame:
+def match_note(shared: Column, lost_labels: Column, on_page: Column) -> Column:
+    """How far a page keeps what its ads promise, in words; null without angles of ads."""
+    two = F.array_join(F.slice(lost_labels, 1, 2), " and ")
+    none = F.concat(F.lit("the page runs none of the angles its ads run — the ads promise "), two, F.lit(" and the page does not continue it"))
+    some = F.concat(F.lit("carries "), F.size(shared).cast("string"), F.lit(" of the ads' angles but drops "), two)
+    both = F.when(F.size(shared) == 0, none).when(F.size(lost_labels) > 0, some).otherwise("the page continues every angle its ads run")
+    return F.when((F.size(shared) == 0) & (F.size(lost_labels) == 0), None).when(F.size(on_page) == 0, "no angle detected on the page, while its ads run several").otherwise(both)
+
+
+def teardown(pages: DataFrame, advertised: DataFrame, most: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Landing pages read: title, h1, headings, calls to act, shape, commerce, angles, and how far they
-    match the angles of the ads that lead there. pages: url, html; advertised: url, exposure, angles array<string>."""
+    match the angles of the ads that lead there. pages: url, html, and status if known; advertised: url, exposure, angles
+    array<string>, and the keys; `most` of each of these are read, those of the most exposure."""
     from adlens.operators import copy as X
 
-    top = advertised.orderBy(F.desc("exposure"), "url").limit(most)
-    read = top.join(pages, "url", "left").withColumn("page", read_html(F.col("html")))
-    text = F.col("page.text")
-    found = F.transform(X.angles(text), lambda a: a["angle"])
-    out = read.withColumns({"words": T.word_count(text), "page_angles": found})
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("exposure"), "url")) if keys else None
+    top = advertised.withColumn("place_", place).filter(F.col("place_") <= most).drop("place_") if keys else advertised.orderBy(F.desc("exposure"), "url").limit(most)
+    status = F.col("status") if "status" in pages.columns else F.lit(None).cast("int")
+    read = top.join(pages.select("url", "html", status.alias("status")), "url", "left")
+    bad = F.col("html").isNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
+    error = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.col("html").isNull(), "not fetched")
+    read = read.withColumn("error", error).withColumn("page", read_html(F.when(~bad, F.col("html"))))
+    text = T.truncate(F.col("page.body"), 40_000)
+    blank = F.lit(None).cast("string")
+    found = X.angles(X.copy_of(F.col("page.title"), T.truncate(F.col("page.body"), 8000), blank, blank))
+    label = F.create_map(*[F.lit(x) for key, name, _ in rules.table(rules.ANGLES) for x in (key, name)])
+    out = read.withColumns({"words": T.word_count(text), "page_angles": F.transform(found, lambda a: a["angle"]), "said": commerce(text), "angles": F.coalesce("angles", F.array().cast("array<string>"))})
+    lost = F.array_except("angles", "page_angles")
+    heads = F.array_distinct(F.filter(F.col("page.headings"), lambda h: (h != "") & (F.length(h) <= 160)))
+    note = match_note(F.array_intersect("angles", "page_angles"), F.transform(lost, lambda a: F.coalesce(F.element_at(label, a), a)), F.col("page_angles"))
+    match = F.when(F.size("angles") > 0, overlap(F.col("angles"), F.col("page_angles")))
+
+    def ok(c: Column) -> Column:
+        return F.when(F.col("error").isNull(), c)
+
     return out.select(
-        "url", F.col("html").isNotNull().alias("ok"), F.when(F.col("html").isNull(), "not fetched").alias("error"), F.col("page.title").alias("title"), F.col("page.h1").alias("h1"), F.slice("page.headings", 1, 20).alias("headings"), F.col("page.ctas").alias("ctas"), (F.col("page.forms") > 0).alias("form"), "words",
-        page_shape(F.col("page"), F.col("url"), F.col("words")).alias("shape"), commerce(text).alias("commerce"), "page_angles", overlap(F.col("angles"), F.col("page_angles")).alias("match"),
-        F.array_except("angles", "page_angles").alias("lost"), F.array_except("page_angles", "angles").alias("new"),
+        *keys, "url", F.col("error").isNull().alias("ok"), F.col("status").alias("status_code"), "error", ok(T.truncate(F.col("page.title"), 200)).alias("title"), ok(T.truncate(F.col("page.h1"), 200)).alias("h1"), F.coalesce(ok(F.slice(heads, 1, 20)), F.array().cast("array<string>")).alias("headings"),
+        F.coalesce(ok(F.col("page.ctas")), F.lit(0)).alias("ctas"), F.coalesce(ok((F.col("page.forms") > 0) | (F.col("page.contact_inputs") > 0)), F.lit(False)).alias("form"), F.coalesce(ok(F.col("words")), F.lit(0)).alias("words"), F.coalesce(ok(page_shape(F.col("page"), F.col("words"))), F.lit("unknown")).alias("shape"),
+        ok(F.col("said")).alias("commerce"), ok(F.col("page_angles")).alias("page_angles"), ok(match).alias("match"), ok(note).alias("match_note"), ok(lost).alias("lost"), ok(F.array_except("page_angles", "angles")).alias("new"),
     )

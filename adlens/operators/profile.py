@@ -15,7 +15,7 @@ from adlens.functions import url as U
 from adlens.operators import pages as P
 
 #: Further pages of a site that are read, by depth.
-EXTRA_PAGES = {"homepage": 0, "standard": 2, "deep": 5}
+EXTRA_PAGES = {"fast": 0, "standard": 2, "deep": 5}
 MAX_CORPUS = 60_000
 MODE_DOMAINS = 3
 
@@ -155,8 +155,8 @@ def profiles(candidates: DataFrame, pages: DataFrame, depth: str = "standard", m
     found = P.ld_products(nodes).select("url", F.col("pos").cast("long").alias("n"), "name", "price", "currency", "description")
     blank = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in kinds.split(", ")[3:]]
     found = found.union(P.product_links(home, most).select("url", (F.col("place") + 1000).cast("long"), "name", *blank))
-    text = home.select("url", F.lit(0).alias("n"), F.col("page.text").alias("t"))
-    if depth != "homepage":
+    text = home.select("url", F.lit(0).alias("n"), F.col("page.body").alias("t"))
+    if depth != "fast":
         base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
         shops = home.filter(P.platform(F.col("html")) == "shopify").select("url", F.concat(base, F.lit("/products.json?limit=250")).alias("feed"))
         feeds = shops.join(got.filter("status < 400").select(F.col("url").alias("feed"), "body"), "feed").select("url", "body")
@@ -168,15 +168,17 @@ def profiles(candidates: DataFrame, pages: DataFrame, depth: str = "standard", m
         later = P.ld_products(P.ld_rows(own)).join(site, "url").select("site", (3000 + F.col("place") * 100 + F.col("pos")).cast("long"), "name", "price", "currency", "description")
         later = later.union(P.product_links(own, most).select("url", "name", F.col("place").alias("nth")).join(site, "url").select("site", (3050 + F.col("place") * 100 + F.col("nth")).cast("long"), "name", *blank))
         found = found.union(later)
-        text = text.union(own.select(F.col("site"), F.col("place").cast("int"), F.substring("page.text", 1, 15_000)))
+        text = text.union(own.select(F.col("site"), F.col("place").cast("int"), F.substring("page.body", 1, 15_000)))
+    links = P.product_links(home, most).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "product_url"))), lambda x: F.struct(x["place"].cast("int").alias("pos"), x["product_url"].alias("product_url"))).alias("page_products"))
     merged = P.dedupe_products(found.withColumn("pos", F.col("n")), ["url"], most)
     goods = merged.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "price", "currency", "description"))), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price"), x["currency"].alias("currency"), x["description"].alias("description"))).alias("products"))
     said = text.filter("t != ''").groupBy("url").agg(T.truncate(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])), " \n "), MAX_CORPUS).alias("text"), F.count("*").alias("read"))
-    out = home.join(org, "url", "left").join(goods, "url", "left").join(said, "url", "left")
+    out = home.join(org, "url", "left").join(links, "url", "left").join(goods, "url", "left").join(said, "url", "left")
     out = out.withColumn("products", F.coalesce("products", F.array().cast("array<struct<name:string,price:double,currency:string,description:string>>")))
     out = out.withColumns({"brand_name": T.truncate(F.coalesce(F.nullif("org_name", F.lit("")), "site_name", F.nullif("name", F.lit("")), U.brand_name(F.col("domain"))), 60), "about": F.coalesce("org_description", "description"), "text": F.coalesce("text", F.lit(""))})
     return out.select(
         "url", "domain", "brand_name", "site_title", F.col("about").alias("description"), "tagline", F.when(F.col("error").isNull(), P.platform(F.col("html"))).otherwise("unknown").alias("platform"), P.socials(F.col("page")).alias("socials"), "products", "text",
         corpus(F.col("brand_name"), F.col("site_title"), F.col("tagline"), F.col("about"), F.col("anchors"), F.col("products"), F.col("text")).alias("corpus"),
         F.when(F.col("error").isNull(), P.tech_stack(P.tools(F.col("html")))).alias("tech_stack"), F.when(F.col("error").isNull(), P.commerce(F.col("text"), F.col("products"))).alias("commerce"), F.coalesce("read", F.lit(0)).alias("pages_read"), "error",
+        F.coalesce("page_products", F.array().cast("array<struct<pos:int,product_url:string>>")).alias("page_products"),
     )

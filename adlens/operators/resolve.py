@@ -7,38 +7,63 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.dims import rules
 from adlens.dims.rules import LEGAL_FORMS
 from adlens.functions import score as S
 from adlens.functions import text as T
 from adlens.functions import url as U
 
-#: Where a site says who runs it.
-IDENTITY_PATHS = ("/", "/terms", "/terms-of-service", "/policies/terms-of-service", "/privacy", "/privacy-policy", "/policies/privacy-policy", "/contact", "/about", "/about-us", "/pages/about")
-#: Weight of a contract's naming of a party, by kind of page.
-PAGE_WEIGHTS = {"terms": 45, "privacy": 40, "contact": 30, "about": 25, "home": 20, "other": 20}
+#: Where a site says who runs it, and the kind of page each is.
+IDENTITY_PATHS = rules.IDENTITY_PATHS
 RIVAL = 25
 CONFIDENT = 70
 ALIAS_COLUMNS = ("legal_entity", "brand", "website", "linkedin_slug", "confirmed_by", "confirmed_at")
 REVIEW_COLUMNS = ("status", "confidence", "brand", "legal_entity", "website", "linkedin_slug", "review_reason", "evidence", "confirm_brand", "confirm_legal_entity")
 
-_NAME = rf"([A-Z0-9][\w&.,'’\-/ ]{{1,60}}?[\w.’])[,\s]+({LEGAL_FORMS})(?![A-Za-z])"
+_NAME = rf"([A-Z0-9][\w&.,'’\-/ ]{{1,60}}?[\w.’])[,\s]+({LEGAL_FORMS})"
+_SIGNAL = "array<struct<role:string,value:string,source:string,weight:int,quote:string>>"
 
 
 def signals(pages: DataFrame) -> DataFrame:
-    """(site, pos, role, value, source, weight, quote): trademark lines, contract wording, copyright lines and
-    structured names. pages: site, pos, kind, text, json_ld array<string>, site_name."""
-    weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in PAGE_WEIGHTS.items()], F.lit(20))
+    """(site, pos, role, value, source, weight, quote, url) of each page of a site: trademark lines (the owner and the
+    brand), the wordings of contracts, copyright lines, JSON-LD names, the site's name and its title. Quotes are 220
+    characters at most. pages: site, pos, kind, text, json_ld array<string>, site_name, and title and url if known."""
 
-    def named(prefix: str, source: str, w: Column) -> Column:
-        found = F.regexp_extract_all("text", F.lit(prefix + _NAME), F.lit(0))
-        return F.transform(found, lambda q: F.struct(F.lit("legal-entity").alias("role"), clean_entity(F.regexp_extract(q, prefix + _NAME, 1), F.regexp_extract(q, prefix + _NAME, 2)).alias("value"), F.lit(source).alias("source"), w.cast("int").alias("weight"), q.alias("quote")))
+    def column(name: str) -> Column:
+        return F.col(name) if name in pages.columns else F.lit(None).cast("string")
 
-    year = r"(?:©|\(c\)|[Cc]opyright)\s*(?:©\s*)?(?:\d{4}(?:\s*[-–]\s*\d{4})?)?,?\s*(?:by\s+)?"
-    contract = r"(?:operated by|owned by|agreement (?:with|between you and)|[Tt]hroughout the site, the terms .{0,40} refer to|is a (?:brand|product|trade name) of)\s+"
-    nodes = F.transform(F.filter("json_ld", lambda n: F.get_json_object(n, "$.legalName").isNotNull()), lambda n: F.struct(F.lit("legal-entity").alias("role"), F.get_json_object(n, "$.legalName").alias("value"), F.lit("structured").alias("source"), F.lit(40).alias("weight"), F.lit("legalName").alias("quote")))
-    site = F.when(F.col("site_name").isNotNull(), F.array(F.struct(F.lit("brand").alias("role"), F.col("site_name").alias("value"), F.lit("structured").alias("source"), F.lit(10).alias("weight"), F.lit("site name").alias("quote")))).otherwise(F.expr("cast(array() as array<struct<role:string,value:string,source:string,weight:int,quote:string>>)"))
-    every = F.concat(named(r"trademarks? of\s+", "trademark", F.lit(50)), named(contract, "contract", weight), named(year, "copyright", F.lit(30)), nodes, site)
-    return pages.select("site", "pos", F.posexplode(every).alias("nth", "s")).select("site", F.struct("pos", "nth").alias("pos"), "s.*")
+    def claim(role: str, value: Column, source: Column | str, weight: Column | int, quote: Column | None = None) -> Column:
+        made = {"role": F.lit(role), "value": value, "source": F.lit(source) if isinstance(source, str) else source, "weight": (F.lit(weight) if isinstance(weight, int) else weight).cast("int"), "quote": F.lit(None).cast("string") if quote is None else T.truncate(quote, 220)}
+        return F.struct(*[x.alias(k) for k, x in made.items()])
+
+    def named(prefix: str, source: Column | str, weight: Column | int) -> Column:
+        pattern = T.js_regex(prefix + _NAME, "i")
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda q: claim("legal-entity", clean_entity(F.regexp_extract(q, pattern, 1), F.regexp_extract(q, pattern, 2)), source, weight, q))
+
+    def one(value: Column, role: str, source: str, weight: int) -> Column:
+        clean = T.collapse(value)
+        return F.when(F.length(clean).between(2, 90), F.array(claim(role, clean, source, weight))).otherwise(F.array().cast(_SIGNAL))
+
+    mark = T.js_regex(rules.TRADEMARK + _NAME, "i")
+    marks = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(mark), F.lit(0)), lambda q: F.array(claim("legal-entity", clean_entity(F.regexp_extract(q, mark, 2), F.regexp_extract(q, mark, 3)), "trademark-notice", 50, q), claim("brand", T.collapse(F.regexp_extract(q, mark, 1)), "trademark-notice", 50, q))))
+    source, weight = (F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i])) for k, v in rules.PAGE_SOURCES.items()], F.lit(rules.PAGE_SOURCES["other"][i])) for i in (0, 1))
+    text = lambda n, path: F.when(~F.coalesce(F.get_json_object(n, path), F.lit("")).rlike(r"^[\[{]"), F.get_json_object(n, path))
+    nodes = F.flatten(F.transform("json_ld", lambda n: F.concat(one(text(n, "$.legalName"), "legal-entity", "jsonld-legal-name", 40), one(text(n, "$.name"), "brand", "jsonld-legal-name", 20), one(text(n, "$.alternateName"), "brand", "jsonld-legal-name", 15), one(text(n, "$.parentOrganization.name"), "legal-entity", "jsonld-parent", 35))))
+    title = F.split(column("title"), r"[|\-–—]")[0]
+    every = F.concat(*[F.coalesce(x, F.array().cast(_SIGNAL)) for x in (marks, *[named(p, source, weight) for p in rules.CONTRACTS], named(rules.COPYRIGHT, "footer-copyright", 30), nodes, one(F.col("site_name"), "brand", "og-site-name", 25), one(title, "brand", "page-title", 10))])
+    return pages.select("site", "pos", column("url").alias("url"), F.posexplode(every).alias("nth", "s")).select("site", F.struct("pos", "nth").alias("pos"), "s.*", "url")
+
+
+def identity_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """What `signals` reads of each site (site, url): its home page and those of IDENTITY_PATHS that pages (url, status,
+    body) hold, parsed; its legal pages come first in order of the paths."""
+    from adlens.operators import pages as P
+
+    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    paths = F.posexplode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind")) for p, k in IDENTITY_PATHS])).alias("pos", "p")
+    asked = sites.select("site", base.alias("base"), paths).select("site", F.concat("base", "p.path").alias("url"), (F.col("pos") + 1).alias("pos"), "p.kind").union(sites.select("site", "url", F.lit(0), F.lit("home")))
+    read = asked.join(pages.filter("status < 400").select("url", "body"), "url").withColumn("page", P.read_html(F.col("body")))
+    return P.page_meta(read, "body").select("site", "pos", "kind", "url", T.truncate(F.col("page.body"), 60_000).alias("text"), F.col("page.json_ld").alias("json_ld"), F.element_at(F.col("page.meta"), "og:site_name").alias("site_name"), F.col("page.title").alias("title"))
 
 
 def clean_entity(name: Column, form: Column) -> Column:
@@ -57,7 +82,7 @@ def score_claims(found: DataFrame, keys: list[str]) -> DataFrame:
     half, the third for a third; the longest spelling is kept, the first on a tie."""
     once = found.groupBy(*keys, "name", "source").agg(F.max("weight").alias("weight"), F.min(F.struct((-F.length("value")).alias("n"), "pos", "value")).alias("s"))
     ranked = once.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "name").orderBy(F.desc("weight"), "source")))
-    return ranked.groupBy(*keys, "name").agg(F.sum(F.col("weight") / F.col("i")).alias("weight"), F.min("s")["value"].alias("spelling"), F.count("*").alias("sources"))
+    return ranked.groupBy(*keys, "name").agg(S.js_round(F.sum(F.col("weight") / F.col("i")), 1).alias("weight"), F.min("s")["value"].alias("spelling"), F.count("*").alias("sources"))
 
 
 def claims_confidence(weight: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.dims import rules
 from adlens.functions import score as S
+from adlens.functions import text as T
+from adlens.functions.lineage import written
 
 
 def breakdown(rows: DataFrame, totals: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -80,26 +85,111 @@ def absences(brands: DataFrame, norms: DataFrame, flags: list[tuple[str, str, st
     return joined.select("brand", F.inline(each)).filter("direction is not null")
 
 
-#: Name, brand column, ratio; and name, flag.
-SIGNALS = (("Price", "price_median", 1.4), ("Discount depth", "max_discount", 1.4), ("Guarantee", "guarantee_days", 1.4), ("Social proof volume", "review_count", 2.0), ("Ad volume", "ad_count", 1.8), ("Stack maturity", "stack_score", 1.4))
-FLAGS = (("Subscription", "subscription"), ("Paid media", "paid_media"), ("Reviews", "reviews"))
+#: Name, brand column, ratio, unit, what a brand off the norm is told; and name, flag, what it has instead, what the niche does,
+#: what that means.
+SIGNALS = (
+    ("Price", "price_median", 1.4, "", "prices {off}% {direction} the {niche} median — check whether the copy justifies it"), ("Discount depth", "max_discount", 1.4, "%", "discounts {direction} the category norm"), ("Guarantee", "guarantee_days", 1.4, " days", "guarantee window is {direction} the category norm"),
+    ("Social proof volume", "review_count", 2.0, "", "review count is {direction} the category norm"), ("Ad volume", "ad_count", 1.8, "", "running {direction} as many ads as the typical brand here"), ("Stack maturity", "stack_score", 1.4, "", "growth stack is {direction} the category norm"),
+)
+FLAGS = (
+    ("Subscription", "subscription", "not offered", "% of the niche offers it", "the category monetises on repeat purchase and this brand does not"), ("Paid media", "paid_media", "no ad pixel detected", "% of the niche tracks paid", "not set up to buy traffic while its competitors are"),
+    ("Reviews", "reviews", "no review tool", "% of the niche runs one", "collecting less social proof than the category standard"),
+)
+#: What the norms also hold where the brands have it.
+MORE_FIGURES, MORE_FLAGS = ("per_month",), ("bnpl",)
 
 
 def norms(brands: DataFrame) -> DataFrame:
-    """The benchmark of every figure and flag that the deviations need. brands: brand, niche and their columns."""
-    return benchmark(brands, [c for _, c, _ in SIGNALS if c != "ad_count"], [c for _, c in FLAGS])
+    """The benchmark of every figure and flag that the deviations need, the launches a month of brands with ads, and the share
+    with pay-later. brands: brand, niche and their columns."""
+    have = [c for c in MORE_FIGURES if c in brands.columns]
+    running = brands.withColumns({c: F.when(F.col("ad_count") > 0, F.col(c)) for c in have}) if have else brands
+    return benchmark(running, [c for _, c, *_ in SIGNALS if c != "ad_count"] + have, [c for _, c, *_ in FLAGS] + [c for c in MORE_FLAGS if c in brands.columns])
+
+
+def common_tools(brands: DataFrame, most: int = 12) -> DataFrame:
+    """(niche, tool, share, place): the tools most of a niche's brands have. brands: niche, tools array<string>."""
+    total = brands.groupBy("niche").agg(F.count("*").alias("total"))
+    n = brands.select("niche", F.explode(F.array_distinct("tools")).alias("tool")).groupBy("niche", "tool").agg(F.count("*").alias("n")).join(total, "niche")
+    place = F.row_number().over(Window.partitionBy("niche").orderBy(F.desc("share"), "tool"))
+    return n.select("niche", "tool", S.share(F.col("n"), F.col("total")).alias("share")).withColumn("place", place).filter(F.col("place") <= most)
+
+
+def _number(x: Column) -> Column:
+    """A figure as a person writes it: no point where there is no fraction."""
+    return F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+
+
+def _told(template: str, parts: dict[str, Column]) -> Column:
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces) if k % 2 or x])
 
 
 def deviation_set(brands: DataFrame, norms_: DataFrame, least_brands: int = 3) -> DataFrame:
-    """(brand, signal, value, norm, direction): the six figures, the three absences, a lead angle that is not the niche's
-    (brands: lead_angle, norms: niche_lead_angle) and a stale posture. Niches of fewer brands set no norm."""
-    n = norms_.filter(F.col("brand_count") >= least_brands).drop("ad_count")
-    figures = deviations(brands, n, [(name, c, "median_ads_per_brand" if c == "ad_count" else f"median_{c}", r) for name, c, r in SIGNALS], least_brands).select("brand", "signal", F.col("value").cast("string").alias("value"), F.col("norm").cast("string").alias("norm"), "direction")
-    gone = absences(brands, n, [(name, c, f"{c}_share") for name, c in FLAGS], least_brands=least_brands).select("brand", "signal", F.lit("none").alias("value"), F.lit(None).cast("string").alias("norm"), "direction")
-    met = brands.select("brand", "niche", "lead_angle", "posture").join(n.select("niche", "niche_lead_angle"), "niche")
-    lead = met.filter("lead_angle != niche_lead_angle").select("brand", F.lit("Lead angle"), "lead_angle", "niche_lead_angle", F.lit("unique"))
-    stale = met.filter("posture = 'stale'").select("brand", F.lit("Creative freshness"), "posture", F.lit(None).cast("string"), F.lit("below"))
-    return figures.union(gone).union(lead).union(stale)
+    """(brand, signal, value, norm, direction, note): the six figures, the three absences, a lead angle that is not
+    the niche's (brands: lead_angle, norms: niche_lead_angle and its share if known) and a stale posture. Niches of fewer brands set
+    no norm. One pass over brands joined with their niche's norms: all signals of a brand are read off its row."""
+    n = norms_.filter(F.col("brand_count") >= least_brands).drop("ad_count", "brand_count")
+    met = brands.drop("brand_count").join(n, "niche")
+
+    def optional(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in met.columns else F.lit(None).cast(kind)
+
+    def found(signal: str, when: Column, value: Column, norm: Column, direction: Column | str, note: Column | str) -> Column:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.when(when, F.struct(F.lit(signal).alias("signal"), value.cast("string").alias("value"), norm.cast("string").alias("norm"), lit(direction).alias("direction"), lit(note).alias("note")))
+
+    each = []
+    for name, c, ratio, unit, note in SIGNALS:
+        value, norm = F.col(c).cast("double"), F.col("median_ads_per_brand" if c == "ad_count" else f"median_{c}").cast("double")
+        way = S.deviation(value, norm, ratio)
+        off = _number(S.js_round(F.abs(value / norm - 1) * 100))
+        each.append(found(name, way.isNotNull(), F.concat(_number(value), F.lit(unit)), F.concat(_number(norm), F.lit(unit)), way, _told(note, {"off": off, "direction": way, "niche": F.col("niche")})))
+    for name, c, value, norm, note in FLAGS:
+        each.append(found(name, (F.col(f"{c}_share") >= 60) & (F.col(c) == False), F.lit(value), F.concat(_number(F.col(f"{c}_share")), F.lit(norm)), "absent", note))  # noqa: E712
+    lead, share = F.col("niche_lead_angle"), optional("niche_lead_share", "double")
+    each.append(found("Lead angle", F.col("lead_angle") != lead, F.col("lead_angle"), F.concat(lead, F.coalesce(F.concat(F.lit(" ("), _number(share), F.lit("% of category ads)")), F.lit(""))), "unique", "leads on a different angle from the category — deliberate differentiation or a blind spot"))
+    scaling = F.concat(_number(F.coalesce(optional("scaling_share", "double"), F.lit(0.0))), F.lit("% of the niche is scaling"))
+    each.append(found("Creative freshness", F.col("posture") == "stale", F.coalesce(optional("posture_reason"), F.col("posture")), scaling, "below", "competitors are shipping creative and this one is not"))
+    return met.select("brand", F.inline(F.array_compact(F.array(*each))))
+
+
+#: Bins of a round of `exact_medians`.
+BINS = 1024
+
+
+def exact_medians(rows: DataFrame, keys: list[str], figures: list[str]) -> DataFrame:
+    """Keys and the exact median of each figure (half up to two places; null without values), however many values a group has.
+
+    Narrowing histograms: a round counts the values of each group in BINS equal bins between the bounds that are left, finds the
+    bins of the two middle ranks, and goes on with the values that really stand in that bin. Only counts and bounds of bins
+    are shuffled, and no task holds a group's values; a round leaves a 1024th of the range, or a single value."""
+    melted = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("v")) for c in figures])).alias("f")
+    own = [*keys, "figure"]
+    values = written(rows.select(*keys, melted).select(*keys, "f.figure", "f.v").filter("v is not null"), "median-values")
+    n = F.col("n")
+    state = values.groupBy(*own).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("below", F.lit(0).cast("long"))
+    state = written(state.withColumns({"first": F.floor((n - 1) / 2), "second": F.floor(n / 2)}).drop("n"), "median-state")
+    done = None
+    while not state.isEmpty():
+        inside = values.join(state, own).filter("v between lo and hi")
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(0)
+        bins = inside.groupBy(*own, "below", "first", "second", place.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("c").over(Window.partitionBy(*own).orderBy("bin")) + F.col("below")
+        ends = bins.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("c"))
+        hit = lambda rank: F.min(F.when((F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.struct("bin", "least", "most", "start"))).alias(f"at_{rank}")
+        met = written(ends.groupBy(*own, "first", "second").agg(hit("first"), hit("second")), "median-bins")
+        apart = F.col("at_first.bin") != F.col("at_second.bin")
+        alone = F.col("at_first.least") == F.col("at_first.most")
+        value = F.when(apart, (F.col("at_first.most") + F.col("at_second.least")) / 2).when(alone, F.col("at_first.least"))
+        settled = met.filter(apart | alone).select(*own, value.alias("median"))
+        done = settled if done is None else done.union(settled)
+        state = written(met.filter(~(apart | alone)).select(*own, F.col("at_first.least").alias("lo"), F.col("at_first.most").alias("hi"), F.col("at_first.start").alias("below"), "first", "second"), "median-state")
+    found = rows.select(*keys).distinct()
+    if done is None:
+        return found.select(*keys, *[F.lit(None).cast("double").alias(c) for c in figures])
+    wide = done.groupBy(*keys).agg(*[S.js_round(F.max(F.when(F.col("figure") == c, F.col("median"))), 2).alias(c) for c in figures])
+    return found.join(wide, keys, "left")
 
 
 def winner_angles(ads: DataFrame, keys: list[str], least_days: int = 60, most: int = 5) -> DataFrame:
@@ -172,31 +262,68 @@ def creative_signals(ads: DataFrame, as_of: Column, keys: list[str]) -> DataFram
     window = F.greatest(F.lit(30), F.coalesce("oldest", F.lit(30)))
     return g.select(
         *keys, "ad_count", "launched_30", "newest", S.js_round(F.col("mid")).alias("median_run"), "longest_run", "active_ads", "variants",
-        (F.floor(F.col("ad_count") / window * 30 * 10 + 0.5) / 10).alias("per_month"), S.posture(F.col("newest"), F.col("launched_30"), F.col("longest_run")).alias("posture"),
+        (F.floor(F.col("ad_count") / window * 30 * 10 + 0.5) / 10).alias("per_month"), S.posture(F.col("newest"), F.col("launched_30"), F.col("longest_run")).alias("posture"), S.posture_reason(F.col("newest"), F.col("launched_30"), F.col("longest_run"), F.col("ad_count")).alias("posture_reason"),
     )
 
 
+def angle_label(key: Column) -> Column:
+    """An angle's name, or its key where the library has none."""
+    names = F.create_map(*[F.lit(x) for k, name, _ in rules.table(rules.ANGLES) for x in (k, name)])
+    return F.coalesce(F.element_at(names, key), key)
+
+
+def _first_values(ads: DataFrame, keys: list[str], column: str, name: str, most: int, distinct: bool = True) -> DataFrame:
+    """keys and the first `most` values of a column by exposure, then ad: picked by a group limit, so no group is collected whole."""
+    order = [F.desc("exposure"), F.col("ad_id") if "ad_id" in ads.columns else F.col(column)]
+    told = ads.filter(F.col(column).isNotNull())
+    if distinct:
+        best = F.min(F.struct((-F.col("exposure")).alias("neg"), (F.col("ad_id") if "ad_id" in ads.columns else F.lit(0)).alias("id"))).alias("o")
+        told, order = told.groupBy(*keys, column).agg(best), [F.col("o"), F.col(column)]
+    top = told.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("k") <= most)
+    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", column))), lambda x: x[column]).alias(name))
+
+
 def proven_winners(ads: DataFrame, keys: list[str], least_days: int = 60) -> DataFrame:
-    """Ads that ran long: how many, their median exposure, the most shared angle and whether all share it.
-    ads: days, exposure, angles array<string>."""
+    """Ads that ran long: how many, their median exposure, ids, formats and funnels (where ads have ad_id, format, funnel;
+    200 ids at most, which is what a brand keeps), the most shared angle, and in a line what they share. ads: days, exposure,
+    angles array<string>."""
     won = ads.filter(F.coalesce("days", F.lit(0)) >= least_days)
     head = won.groupBy(*keys).agg(F.count("*").alias("winners"), median(F.col("exposure"), 1).alias("median_exposure"))
+    for c, n in (("ad_id", "ids"), ("format", "formats"), ("funnel", "funnels")):
+        if c in ads.columns:
+            head = head.join(_first_values(won, keys, c, n, 200), keys, "left")
     n = won.select(*keys, F.explode("angles").alias("angle")).groupBy(*keys, "angle").agg(F.count("*").alias("n"))
     best = n.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("neg"), "angle")).alias("x")).select(*keys, F.col("x.angle").alias("angle"), (-F.col("x.neg")).alias("n"))
-    told = F.concat_ws("", F.col("winners").cast("string"), F.when(F.col("winners") == 1, " ad past ").otherwise(" ads past "), F.lit(f"{least_days} days; "), F.when(F.col("n") == F.col("winners"), "every one").otherwise(F.concat_ws(" of ", "n", "winners")), F.lit(" runs "), "angle")
-    return head.join(best, keys, "left").withColumn("pattern", F.when(F.col("angle").isNull(), F.concat(F.col("winners").cast("string"), F.lit(" long-running ads with no shared angle"))).otherwise(told)).drop("n")
+    only = F.get("funnels", F.lit(0)) if "funnel" in ads.columns else F.lit(None).cast("string")
+    one = F.when(F.size("funnels") == 1, F.concat(F.lit(", all pointing at "), F.when(only.rlike("(?i)^[aeiou]"), "an ").otherwise("a "), only)) if "funnel" in ads.columns else F.lit("")
+    ads_ = F.concat(F.col("winners").cast("string"), F.when(F.col("winners") == 1, " ad past ").otherwise(" ads past "), F.lit(f"{least_days} days; "))
+    told = F.concat(ads_, F.when(F.col("n") == F.col("winners"), "every one").otherwise(F.concat_ws(" of ", "n", "winners")), F.lit(" runs "), angle_label(F.col("angle")), F.coalesce(one, F.lit("")))
+    none = F.concat(F.col("winners").cast("string"), F.when(F.col("winners") == 1, " long-running ad").otherwise(" long-running ads"), F.lit(" with no shared angle"))
+    return head.join(best, keys, "left").withColumn("pattern", F.when(F.col("angle").isNull(), none).otherwise(told)).drop("n")
 
 
 def landing_pages(ads: DataFrame, keys: list[str]) -> DataFrame:
-    """Ads by canonical destination: share, exposure total, median and top, active, first and last start,
-    longest run, place by exposure. ads: url, exposure, active, start, days."""
-    total = F.sum("ad_count").over(Window.partitionBy(*keys))
-    g = ads.filter("url is not null").groupBy(*keys, "url").agg(
+    """Ads by canonical destination: share of all ads, exposure total, median and top, active, first and last start,
+    longest run, place by exposure; with the columns for them also funnel, angles (five, most first), hooks (three, by exposure) and
+    variants of the address (six). ads: url, exposure, active, start, days; and funnel, angles array<string>, hook, landing_url, ad_id."""
+    have = set(ads.columns)
+    more = [F.min("funnel").alias("funnel")] if "funnel" in have else []
+    own = ads.filter("url is not null")
+    g = own.groupBy(*keys, "url").agg(
         F.count("*").alias("ad_count"), S.sum_tenths(F.col("exposure")).alias("total_exposure"), median(F.col("exposure"), 1).alias("median_exposure"), F.max("exposure").alias("top_exposure"),
-        F.count_if(F.coalesce("active", F.lit(False))).alias("active_ads"), F.min("start").alias("first_seen"), F.max("start").alias("last_seen"), F.max("days").alias("longest_run"),
+        F.count_if(F.coalesce("active", F.lit(False))).alias("active_ads"), F.min("start").alias("first_seen"), F.max("start").alias("last_seen"), F.max("days").alias("longest_run"), *more,
     )
+    if "hook" in have:
+        g = g.join(_first_values(own, [*keys, "url"], "hook", "hooks", 3, distinct=False), [*keys, "url"], "left").withColumn("hooks", F.transform("hooks", lambda h: T.truncate(h, 140)))
+    if "landing_url" in have:
+        g = g.join(_first_values(own, [*keys, "url"], "landing_url", "variants", 6), [*keys, "url"], "left")
+    if "angles" in have:
+        n = own.select(*keys, "url", F.explode("angles").alias("angle")).groupBy(*keys, "url", "angle").agg(F.count("*").alias("n"))
+        top = n.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "url").orderBy(F.desc("n"), "angle"))).filter("k <= 5")
+        g = g.join(top.groupBy(*keys, "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "angle", "n"))), lambda x: F.struct(x["angle"].alias("angle"), x["n"].alias("n"))).alias("angles")), [*keys, "url"], "left")
+    total = ads.groupBy(*keys).agg(F.count("*").alias("every"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("total_exposure"), F.desc("ad_count"), "url"))
-    return g.withColumn("share", S.share(F.col("ad_count"), total)).withColumn("place", place)
+    return g.join(total, keys).withColumn("share", S.share(F.col("ad_count"), F.col("every"))).drop("every").withColumn("place", place)
 
 
 def split_tests(pages: DataFrame, keys: list[str], directory: str = "directory") -> DataFrame:

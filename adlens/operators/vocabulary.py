@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,20 +13,52 @@ from pyspark.sql import functions as F
 from adlens.dims.rules import STOPWORDS
 from adlens.functions import score as S
 from adlens.functions import text as T
+from adlens.functions.lineage import written
 
 
 #: Between the sentences of a text.
 MARK = "\x01"
 
 
+def _gram_counts(most: int) -> Column:
+    """A pandas UDF: folded text -> struct of the grams of its sentences and how often each stands there."""
+    stops = frozenset(STOPWORDS)
+    thousands, edge = re.compile(r"(?<=[0-9]),(?=[0-9]{3}(?![A-Za-z0-9_]))"), re.compile(r"[^a-z0-9'+-]+")
+
+    def of(text: str | None) -> Counter:
+        found: Counter = Counter()
+        for sentence in (text or "").split(MARK):
+            tokens = [t for t in edge.split(thousands.sub("", sentence)) if t]
+            # What a token is: 0 no edge of a gram, 1 only a first word, 2 either.
+            kind = [0 if t in stops else 1 if t.isdigit() else 2 for t in tokens]
+            good = [len(t) >= 2 and not t.isdigit() for t in tokens]
+            for i, first in enumerate(kind):
+                if first:
+                    usable = False
+                    for j in range(i, min(i + most, len(tokens))):
+                        usable = usable or good[j]
+                        if kind[j] == 2 and usable:
+                            found[" ".join(tokens[i : j + 1])] += 1
+        return found
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            each = [of(x) for x in s]
+            yield pd.DataFrame({"term": [list(c) for c in each], "n": [list(c.values()) for c in each]})
+
+    return F.pandas_udf(count, "term array<string>, n array<int>")
+
+
 def grams(texts: DataFrame, keys: list[str], most: int = 4, fold: bool = True) -> DataFrame:
-    """(keys, ad, exposure, term), a row for each occurrence. texts: keys, ad, text, exposure. Grams do not cross
-    sentences. fold=False takes the text as folded already."""
+    """(keys, ad, exposure, term, n): the 1..most-grams of each text (keys, ad, text, exposure) with the number of
+    times they stand in it. Grams do not cross sentences; none has a stop word at an edge or ends in a number, and one of its tokens
+    is usable (two characters, not a number). A text's own grams are counted where it stands, so an ad that is one row, as here, is
+    one row a term behind it, and counting ads needs a single shuffle. fold=False takes the text as folded already."""
     # A text is folded once, its sentences parted by a mark that folding leaves alone.
     marked = F.array_join(T.sentences(F.col("text")), MARK)
     rows = texts.select(*keys, "ad", "exposure", (T.normalise(marked, MARK) if fold else F.lower(marked)).alias("folded"))
-    rows = rows.select(*keys, "ad", "exposure", F.explode(F.split("folded", MARK)).alias("sentence"))
-    return rows.select(*keys, "ad", "exposure", F.explode(T.ngrams(T.gram_tokens(F.col("sentence")), most, STOPWORDS)).alias("term"))
+    rows = rows.select(*keys, "ad", "exposure", _gram_counts(most)("folded").alias("g"))
+    return rows.select(*keys, "ad", "exposure", F.explode(F.arrays_zip("g.term", "g.n")).alias("x")).select(*keys, "ad", "exposure", "x.term", F.col("x.n").cast("long").alias("n"))
 
 
 def without_names(rows: DataFrame, banned: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,10 +81,9 @@ def least_ads(total: Column) -> Column:
 
 
 def term_stats(rows: DataFrame, totals: DataFrame, keys: list[str], least: Column | int | None = None) -> DataFrame:
-    """Keys, term, ad_count, ad_share, total_count, avg_exposure (each ad once), words. Counted in two steps, so a
-    frequent term is summed where it stands before it moves. totals: keys, total."""
-    once = rows.groupBy(*keys, "term", "ad").agg(F.count("*").alias("n"), F.max("exposure").alias("exposure"))
-    stats = once.groupBy(*keys, "term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count"), S.mean_tenths(F.col("exposure")).alias("avg_exposure"))
+    """Keys, term, ad_count, ad_share, total_count, avg_exposure (each ad once), words. rows: as `grams` gives them, one for
+    each term of an ad. totals: keys, total."""
+    stats = rows.groupBy(*keys, "term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count"), S.mean_tenths(F.col("exposure")).alias("avg_exposure"))
     floor = least_ads(F.col("total")) if least is None else F.lit(least) if isinstance(least, int) else least
     return stats.join(totals, keys).filter(F.col("ad_count") >= floor).select(*keys, "term", "ad_count", S.share(F.col("ad_count"), F.col("total")).alias("ad_share"), "total_count", "avg_exposure", F.size(F.split("term", " ")).alias("words"))
 
@@ -73,28 +108,37 @@ def rank(stats: DataFrame, keys: list[str], most: int | None = None) -> DataFram
     return out.filter(F.col("place") <= most) if most else out
 
 
-def _shifted(a: str, b: str) -> bool:
-    x, y = a.split(" "), b.split(" ")
-    return len(x) == len(y) > 1 and (x[1:] == y[:-1] or y[1:] == x[:-1])
-
-
 def drop_shifted(ranked: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """In rank order, drops a term that is a kept one of equal frequency moved by a word; stops at `most`. Each
-    decision hangs on those before it, so a group, which is one brand's terms, is folded in Python."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        by: dict[tuple, list[str]] = {}
-        for i, (term, n) in enumerate(zip(frame.sort_values("place")["term"], frame.sort_values("place")["ad_count"], strict=True)):
-            own = by.setdefault((n, term.count(" ")), [])
-            if len(kept) < most and not any(_shifted(k, term) for k in own):
-                kept.append(i)
-                own.append(term)
-        out = frame.sort_values("place").iloc[kept].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    return ranked.groupBy(*keys).applyInPandas(fold, ranked.schema)
+    """In rank order, drops a term that is a kept one of equal frequency moved by a word; keeps the first `most`.
+
+    What a term may clash with hangs on two hubs: the term without its first word, which others begin with, and the term
+    without its last, which others end in. A round keeps every term that stands before all undecided ones on the other side
+    of its hubs and drops what these reach; hubs only hand over their smallest places, so no pairs are made, and no task
+    needs a brand's terms together. The result is the one that going through the terms in order would give."""
+    parts = F.split("term", " ")
+    own = [*keys, "ad_count", "words"]
+    undecided = written(ranked.withColumn("words", F.size(parts)).filter("words > 1").select(*own, "term", "place"), "fold-open")
+    kept = None
+
+    def reached(terms: DataFrame, by: DataFrame) -> DataFrame:
+        """terms with the smallest place of `by` on the other side of their hubs."""
+        p = F.split("term", " ")
+        sides = F.array(F.struct(F.lit(True).alias("ends"), F.array_join(F.slice(p, 2, 9), " ").alias("hub")), F.struct(F.lit(False).alias("ends"), F.array_join(F.slice(p, 1, F.size(p) - 1), " ").alias("hub")))
+        spread = lambda df: df.select(*own, "term", "place", F.explode(sides).alias("x")).select(*own, "term", "place", "x.ends", "x.hub")
+        hubs = spread(by).groupBy(*own, "hub").agg(F.min(F.when(F.col("ends"), F.col("place"))).alias("ending"), F.min(F.when(~F.col("ends"), F.col("place"))).alias("beginning"))
+        met = spread(terms).join(hubs, [*own, "hub"], "left").withColumn("other", F.when(F.col("ends"), F.col("beginning")).otherwise(F.col("ending")))
+        return met.groupBy(*own, "term", "place").agg(F.min("other").alias("other"))
+
+    while not undecided.isEmpty():
+        state = written(reached(undecided, undecided).withColumn("stays", F.coalesce(F.col("place") <= F.col("other"), F.lit(True))), "fold-round")
+        first = state.filter("stays").select(*own, "term", "place")
+        kept = first if kept is None else kept.union(first)
+        rest = state.filter("not stays").select(*own, "term", "place")
+        undecided = written(reached(rest, first).filter("other is null").select(*own, "term", "place"), "fold-open")
+    single = ranked.filter(F.size(parts) <= 1)
+    chosen = single if kept is None else single.unionByName(ranked.join(kept.select(*keys, "term"), [*keys, "term"], "left_semi").select(*ranked.columns))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+    return chosen.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def niche_vocabulary(signatures: DataFrame, most: int = 40) -> DataFrame:

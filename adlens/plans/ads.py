@@ -235,7 +235,9 @@ def _velocity(name: str, key: str, sql_key: str) -> None:
     sql = f"""WITH {ADS}, a AS (SELECT {sql_key} AS k, *, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(start)) / 86400000.0 + 0.5)) AS BIGINT) AS age FROM ads),
     g AS (SELECT k, count(*) AS ad_count, count(*) FILTER (WHERE age <= 30) AS launched_30, min(age) AS newest, max(age) AS oldest, median(days) AS mid, max(days) AS longest_run, count(*) FILTER (WHERE active) AS active_ads, CAST(sum(coalesce(variants, 1)) AS BIGINT) AS variants FROM a GROUP BY k)
     SELECT k AS {key}, ad_count, launched_30, newest, floor(mid + 0.5) AS median_run, longest_run, active_ads, variants, floor(ad_count / greatest(30, oldest) * 30 * 10 + 0.5) / 10 AS per_month,
-      CASE WHEN newest > 60 THEN 'stale' WHEN launched_30 >= 5 AND longest_run >= 90 THEN 'scaling' WHEN launched_30 >= 5 THEN 'testing' WHEN longest_run >= 90 THEN 'steady' ELSE 'testing' END AS posture FROM g"""
+      CASE WHEN newest > 60 THEN 'stale' WHEN launched_30 >= 5 AND longest_run >= 90 THEN 'scaling' WHEN launched_30 >= 5 THEN 'testing' WHEN longest_run >= 90 THEN 'steady' ELSE 'testing' END AS posture,
+      CASE WHEN newest > 60 THEN 'newest ad started ' || newest || ' days ago — the account has gone quiet' WHEN launched_30 >= 5 AND longest_run >= 90 THEN launched_30 || ' launches in 30 days with a ' || longest_run || '-day runner still live' WHEN launched_30 >= 5 THEN launched_30 || ' launches in 30 days but nothing has run past 90 days yet'
+      WHEN longest_run >= 90 THEN 'few new launches, but a ' || longest_run || '-day runner is still delivering' ELSE ad_count || CASE WHEN ad_count = 1 THEN ' ad' ELSE ' ads' END || ' observed, none established yet' END AS posture_reason FROM g"""
 
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -250,21 +252,27 @@ _velocity("posture", "sub_niche", "sub_niche")
     "proven_winners",
     f"""WITH {ADS}, won AS (SELECT * FROM scored WHERE coalesce(days, 0) >= 60), h AS (SELECT brand, count(*) AS winners, floor(median(exposure) * 10 + 0.5) / 10 AS median_exposure FROM won GROUP BY 1),
     n AS (SELECT brand, angle, count(*) AS n FROM won GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, angle) AS r FROM n) WHERE r = 1)
-    SELECT brand, winners, median_exposure, angle, CAST(winners AS VARCHAR) || CASE WHEN winners = 1 THEN ' ad' ELSE ' ads' END || ' past 60 days; ' || CASE WHEN n = winners THEN 'every one' ELSE CAST(n AS VARCHAR) || ' of ' || CAST(winners AS VARCHAR) END || ' runs ' || angle AS pattern FROM h JOIN b USING (brand)""",
+    SELECT brand, winners, median_exposure, angle, CAST(winners AS VARCHAR) || CASE WHEN winners = 1 THEN ' ad' ELSE ' ads' END || ' past 60 days; ' || CASE WHEN n = winners THEN 'every one' ELSE CAST(n AS VARCHAR) || ' of ' || CAST(winners AS VARCHAR) END || ' runs ' || angle AS pattern, ids, formats FROM h JOIN b USING (brand) JOIN (SELECT brand, string_agg(ad_id, ' ' ORDER BY exposure DESC, ad_id) AS ids FROM won GROUP BY 1) USING (brand)
+    JOIN (SELECT brand, string_agg(format, ' ' ORDER BY r) AS formats FROM (SELECT brand, format, min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY exposure DESC, ad_id) AS r FROM won) GROUP BY 1, 2) GROUP BY 1) USING (brand)""",
 )
 def proven_winners(spark: SparkSession, d: str) -> DataFrame:
-    return R.proven_winners(A.score(ads(spark, d)).withColumn("angles", F.array("angle")), ["brand"])
+    out = R.proven_winners(A.score(ads(spark, d)).withColumn("angles", F.array("angle")), ["brand"])
+    return out.withColumns({c: F.array_join(c, " ") for c in ("ids", "formats")})
 
 
 @query(
     "ad_landing_pages",
-    f"""WITH {ADS}, u AS (SELECT *, angle || '/' || CAST(sub_niche AS VARCHAR) AS url FROM scored), g AS (SELECT niche, url, count(*) AS ad_count, sum(CAST(round(exposure * 10) AS BIGINT)) / 10 AS total_exposure, floor(median(exposure) * 10 + 0.5) / 10 AS median_exposure, max(exposure) AS top_exposure,
-      count(*) FILTER (WHERE active) AS active_ads, min(start) AS first_seen, max(start) AS last_seen, max(days) AS longest_run FROM u GROUP BY 1, 2)
-    SELECT *, floor(ad_count / sum(ad_count) OVER (PARTITION BY niche) * 1000 + 0.5) / 10 AS share, row_number() OVER (PARTITION BY niche ORDER BY total_exposure DESC, ad_count DESC, url) AS place FROM g""",
+    f"""WITH {ADS}, u AS (SELECT *, CASE WHEN variants <> 2 THEN angle || '/' || CAST(sub_niche AS VARCHAR) END AS url, 'f' || sub_niche % 3 AS funnel FROM scored), g AS (SELECT niche, url, count(*) AS ad_count, sum(CAST(round(exposure * 10) AS BIGINT)) / 10 AS total_exposure, floor(median(exposure) * 10 + 0.5) / 10 AS median_exposure, max(exposure) AS top_exposure,
+      count(*) FILTER (WHERE active) AS active_ads, min(start) AS first_seen, max(start) AS last_seen, max(days) AS longest_run, min(funnel) AS funnel FROM u WHERE url IS NOT NULL GROUP BY 1, 2),
+    an AS (SELECT niche, url, string_agg(format || ':' || n, ' ' ORDER BY n DESC, format) AS angles FROM (SELECT niche, url, format, count(*) AS n FROM u WHERE url IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    hk AS (SELECT niche, url, string_agg(hook, ' ' ORDER BY exposure DESC, ad_id) AS hooks FROM (SELECT *, 'Hook ' || ad_id AS hook, row_number() OVER (PARTITION BY niche, url ORDER BY exposure DESC, ad_id) AS r FROM u WHERE url IS NOT NULL) WHERE r <= 3 GROUP BY 1, 2), ev AS (SELECT niche, count(*) AS every FROM u GROUP BY 1)
+    SELECT g.*, angles, hooks, floor(ad_count / every * 1000 + 0.5) / 10 AS share, row_number() OVER (PARTITION BY niche ORDER BY total_exposure DESC, ad_count DESC, url) AS place FROM g JOIN an USING (niche, url) JOIN hk USING (niche, url) JOIN ev USING (niche)""",
 )
 def ad_landing_pages(spark: SparkSession, d: str) -> DataFrame:
-    a = A.score(ads(spark, d)).withColumn("url", F.concat_ws("/", "angle", F.col("sub_niche").cast("string")))
-    return R.landing_pages(a, ["niche"]).withColumn("place", F.col("place").cast("long"))
+    url = F.when(F.col("variants") != 2, F.concat_ws("/", "angle", F.col("sub_niche").cast("string")))
+    a = A.score(ads(spark, d)).withColumns({"url": url, "funnel": F.concat(F.lit("f"), (F.col("sub_niche") % 3).cast("string")), "angles": F.array("format"), "hook": F.concat(F.lit("Hook "), F.col("ad_id").cast("string"))})
+    out = R.landing_pages(a, ["niche"]).withColumns({"place": F.col("place").cast("long"), "hooks": F.array_join("hooks", " ")})
+    return out.withColumn("angles", F.array_join(F.transform("angles", lambda x: F.concat_ws(":", x["angle"], x["n"])), " "))
 
 
 @query("ad_split_tests", "WITH p AS (SELECT c_mktsegment AS niche, o_orderpriority AS directory, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT niche, directory, count(*) AS pages, CAST(sum(n) AS BIGINT) AS ad_count FROM p GROUP BY 1, 2 HAVING count(*) >= 2")

@@ -100,12 +100,11 @@ def audience_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOPWORDS) + "]"
-#: Grams of one and two words inside sentences; sentence ends become a mark that no token matches.
+#: Grams of one to four words inside sentences; sentence ends become a mark that no token matches.
 _GRAMS = f"""sent AS (SELECT doc_id, source, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?…]) ([A-Z0-9"''“‘(])', '\\1\x01\\2', 'g'), '\x01')) AS s FROM documents),
-tok AS (SELECT doc_id, source, row_number() OVER () AS sid, list_filter(string_split_regex(regexp_replace(strip_accents(lower(s)), '[^a-z0-9%$£€''".,!?/+\\-\\s]', ' ', 'g'), '[^a-z0-9''+-]+'), lambda x: x <> '') AS w FROM sent),
-one AS (SELECT doc_id, source, sid, unnest(w) AS a, unnest(list_concat(w[2:], [''])) AS b FROM tok WHERE len(w) > 0),
-gram AS (SELECT doc_id, source, a AS term FROM one WHERE NOT list_contains({_STOP}, a) AND NOT regexp_matches(a, '^[0-9]+$') AND length(a) >= 2
-  UNION ALL SELECT doc_id, source, a || ' ' || b FROM one WHERE b <> '' AND NOT list_contains({_STOP}, a) AND NOT list_contains({_STOP}, b) AND NOT regexp_matches(b, '^[0-9]+$') AND ((length(a) >= 2 AND NOT regexp_matches(a, '^[0-9]+$')) OR length(b) >= 2))"""
+tok AS (SELECT doc_id, source, list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower(s)), '[^a-z0-9%$£€''".,!?/+\\-\\s]', ' ', 'g'), '([0-9]),([0-9]{{3}})\\b', '\\1\\2', 'g'), '[^a-z0-9''+-]+'), lambda x: x <> '') AS w FROM sent),
+one AS (SELECT doc_id, source, w, unnest(range(1, len(w) + 1)) AS i FROM tok), g AS (SELECT doc_id, source, w[i:i + k - 1] AS g FROM one, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+gram AS (SELECT doc_id, source, array_to_string(g, ' ') AS term FROM g WHERE NOT list_contains({_STOP}, g[1]) AND NOT list_contains({_STOP}, g[-1]) AND NOT regexp_matches(g[-1], '^[0-9]+$') AND len(list_filter(g, lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$'))) > 0)"""
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -118,13 +117,12 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ngram_document_frequency", f"WITH {_GRAMS} SELECT term, count(DISTINCT doc_id) AS ad_count, count(*) AS total_count FROM gram GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def ngram_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.grams(texts(spark, d), [], 2)
-    once = rows.groupBy("term", "ad").agg(F.count("*").alias("n"))
-    return once.groupBy("term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count")).filter("ad_count >= 5")
+    rows = V.grams(texts(spark, d), [])
+    return rows.groupBy("term").agg(F.count("*").alias("ad_count"), F.sum("n").alias("total_count")).filter("ad_count >= 5")
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return V.term_stats(V.grams(texts(spark, d), ["brand"], 2), totals(spark, d), ["brand"])
+    return V.term_stats(V.grams(texts(spark, d), ["brand"]), totals(spark, d), ["brand"])
 
 
 _STATS = f"""{_GRAMS}, tot AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),
@@ -137,7 +135,7 @@ def brand_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d).select("brand", "term", "ad_count", "ad_share", "total_count")
 
 
-_FOLDED = f"""{_STATS}, lg AS (SELECT brand, unnest(string_split(term, ' ')) AS term, ad_count AS longer FROM sh WHERE words = 2),
+_FOLDED = f"""{_STATS}, lw AS (SELECT brand, ad_count, words, string_split(term, ' ') AS p, unnest(range(1, words + 1)) AS i FROM sh WHERE words > 1), lg AS (SELECT brand, array_to_string(p[i:i + k - 1], ' ') AS term, ad_count AS longer FROM lw, (SELECT unnest([1, 2, 3]) AS k) WHERE k < words AND i + k - 1 <= words),
 kept AS (SELECT sh.* FROM sh LEFT JOIN (SELECT brand, term, max(longer) AS longer FROM lg GROUP BY 1, 2) m USING (brand, term) WHERE longer IS NULL OR ad_count > longer * 1.25),
 sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ad_share DESC, words DESC, term) AS place FROM kept) WHERE place <= 40)"""
 
@@ -201,9 +199,9 @@ def vocabulary_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("json_key_family", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_key_family(spark: SparkSession, d: str) -> DataFrame:
-    from adlens.operators.ads import pick_string
+    from adlens.operators.ads import parsed, pick_string
 
-    return t(spark, d, "events").select("event_id", pick_string(F.col("props"), "missing k").alias("k"))
+    return t(spark, d, "events").select("event_id", pick_string(parsed(F.col("props")), "missing k").alias("k"))
 
 
 @query("share_and_counts", "SELECT source, count(*) AS docs, floor(count(*) FILTER (WHERE lang = 'en') / count(*) * 1000 + 0.5) / 10 AS english FROM documents GROUP BY source")

@@ -39,9 +39,10 @@ def normalise_url(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", U.normalise_url(F.col("url")).alias("clean"))
 
 
-@query("page_kind_counts", f"WITH k AS (SELECT {case(rules.PAGE_KINDS, 'path', "WHEN path = '/' THEN 'home' ", 'other')} AS kind FROM (SELECT {_PATH} AS path FROM pages)) SELECT kind, count(*) AS count, floor(count(*) / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share FROM k GROUP BY kind")
+@query("page_kind_counts", f"WITH k AS (SELECT {case(rules.PAGE_KINDS, 'path', "WHEN path = '/' THEN 'home' ", 'other')} AS kind, url, page_id FROM (SELECT {_PATH} AS path, url, page_id FROM pages)), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY page_id) AS i FROM k) SELECT kind, count(*) AS count, floor(count(*) / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share, string_agg(url, ' ' ORDER BY i) FILTER (WHERE i <= 5) AS samples FROM n GROUP BY kind")
 def page_kind_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.kind_counts(pages(spark, d).select("url", F.col("page_id").alias("pos")), []).drop("samples")
+    found = P.kind_counts(pages(spark, d).select("url", F.col("page_id").alias("pos")), [])
+    return found.withColumn("samples", F.array_join("samples", " "))
 
 
 @query("split_tests", f"WITH p AS (SELECT {_HOST} AS host, {_PATH} AS path FROM pages), x AS (SELECT host, list_filter(string_split(path, '/'), lambda v: v <> '') AS parts FROM p) SELECT host, CASE WHEN len(parts) <= 1 THEN '/' ELSE '/' || array_to_string(parts[:len(parts) - 1], '/') END AS directory, count(*) AS pages, count(*) AS ad_count FROM x GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -61,7 +62,7 @@ def page_meta(spark: SparkSession, d: str) -> DataFrame:
 @query("page_text")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).withColumn("page", P.read_html(F.col("html")))
-    return p.select("page_id", F.col("page.h1").alias("h1"), F.length("page.text").alias("chars"), F.size("page.headings").alias("headings"))
+    return p.select("page_id", F.col("page.h1").alias("h1"), F.length("page.body").alias("chars"), F.size("page.headings").alias("headings"))
 
 
 @query("link_extract", "SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY href")
@@ -88,7 +89,7 @@ def price_range(spark: SparkSession, d: str) -> DataFrame:
     return P.price_range(p, ["brand"])
 
 
-@query("signal_scoring", "WITH s AS (SELECT l_partkey AS part, l_returnflag AS source, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY w DESC, source) AS i FROM s) SELECT part, sources, floor(100 * (1 - exp(-weight / 45)) + 0.5) AS confidence FROM (SELECT part, count(*) AS sources, sum(w / i) AS weight FROM r GROUP BY part)")
+@query("signal_scoring", "WITH s AS (SELECT l_partkey AS part, l_returnflag AS source, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY w DESC, source) AS i FROM s) SELECT part, sources, floor(100 * (1 - exp(-weight / 45)) + 0.5) AS confidence FROM (SELECT part, count(*) AS sources, floor(sum(w / i) * 10 + 0.5) / 10 AS weight FROM r GROUP BY part)")
 def signal_scoring(spark: SparkSession, d: str) -> DataFrame:
     line = t(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.lit("x").alias("name"), F.col("l_returnflag").alias("source"), F.col("l_quantity").alias("weight"), F.lit("x").alias("value"), F.col("l_orderkey").alias("pos"))
     return R.score_claims(line, ["part"]).select("part", "sources", R.claims_confidence(F.col("weight")).alias("confidence"))

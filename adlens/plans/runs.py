@@ -47,7 +47,7 @@ def ad_records(spark: SparkSession, d: str) -> DataFrame:
 @query("media_types", "SELECT CASE o_orderstatus WHEN 'P' THEN 'video' WHEN 'F' THEN 'image' ELSE CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'carousel' END END AS media, count(*) AS n FROM orders GROUP BY 1")
 def media_types(spark: SparkSession, d: str) -> DataFrame:
     """X84, A20."""
-    return raw_records(spark, d).select(A.media_type(F.col("record")).alias("media")).groupBy("media").agg(F.count("*").alias("n"))
+    return raw_records(spark, d).select(A.media_type(A.parsed(F.col("record")), F.col("record")).alias("media")).groupBy("media").agg(F.count("*").alias("n"))
 
 
 @query("search_terms", "WITH p AS (SELECT p_brand AS brand, p_name, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE length(p_name) BETWEEN 4 AND 60 AND lower(p_name) <> lower(p_brand)) SELECT brand, min(pos) AS pos, term FROM (SELECT DISTINCT p_brand AS brand, 0 AS pos, p_brand AS term FROM part UNION ALL SELECT brand, n, brand || ' ' || p_name FROM p WHERE n <= 5) GROUP BY brand, term")
@@ -111,12 +111,12 @@ _TAX = "tx AS (SELECT * FROM (VALUES " + ", ".join(
 
 def goods(spark: SparkSession, d: str) -> DataFrame:
     """What a customer bought, as one text: (id, text)."""
-    line = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).filter("l_discount = 0.1")
+    line = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     own = line.groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), ", ").alias("text"))
     return own.select("id", F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(", a thing of very many words in a row"))).otherwise(F.col("text")).alias("text"))
 
 
-_GOODS = "gd AS (SELECT id, x || CASE WHEN id % 10 = 0 THEN ', a thing of very many words in a row' ELSE '' END AS x FROM (SELECT o_custkey AS id, string_agg(p_name, ', ' ORDER BY p_name) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_discount = 0.1 GROUP BY 1))"
+_GOODS = "gd AS (SELECT id, x || CASE WHEN id % 10 = 0 THEN ', a thing of very many words in a row' ELSE '' END AS x FROM (SELECT o_custkey AS id, string_agg(p_name, ', ' ORDER BY p_name) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1))"
 _GHITS = f"{_GOODS}, {_TAX}, gh AS (SELECT id, niche, sub, pos, term, weight, len(regexp_extract_all(x, '\\b' || term || '\\b')) AS hits FROM gd CROSS JOIN tx)"
 _GSCORE = f"{_GHITS}, gs AS (SELECT id, niche, sub, min(pos) AS pos, sum(least(3.0, 1 + log2(hits)) * weight) AS raw FROM gh WHERE hits > 0 GROUP BY 1, 2, 3), gn AS (SELECT *, sum(raw) OVER (PARTITION BY id, niche) AS total, row_number() OVER (PARTITION BY id ORDER BY round(raw, 9) DESC, pos) AS place FROM gs)"
 
@@ -153,33 +153,37 @@ _FORMS = ("Inc.", "LLC", "Ltd")
 
 
 def identity_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Two pages a supplier: terms that name who operates the site, a home page with a trademark line, another firm's
-    copyright line and a structured name."""
+    """A site a supplier, read as pages: terms that name the operator twice, a home page with a trademark and a copyright line
+    in its footer (of another firm on every second site), and on every fourth JSON-LD with a parent."""
     k, s = F.col("s_suppkey"), t(spark, d, "supplier")
-    firm = cat("Alpha", k, " Trading")
-    form = F.get(F.array(*[F.lit(x) for x in _FORMS]), (k % 3).cast("int"))
-    site = cat("s", k).alias("site")
-    none = F.array().cast("array<string>")
-    terms = s.select(site, F.lit(1).alias("pos"), F.lit("terms").alias("kind"), cat("This site is operated by ", firm, ", ", form, " and more.").alias("text"), none.alias("json_ld"), F.lit(None).cast("string").alias("site_name"))
-    other = F.when(k % 2 == 0, cat("© 2020 Beta", k, " Works, LLC")).otherwise("")
-    home = s.select(site, F.lit(2), F.lit("home"), cat("ALPHA is a trademark of ", firm, ", ", form, ". ", other), F.when(k % 4 == 0, F.array(cat('{"legalName":"Alpha', k, ' Trading"}'))).otherwise(none), cat("Alpha", k))
-    return terms.union(home)
+    firm = cat("Alpha", k, " Trading, ", F.get(F.array(*[F.lit(x) for x in _FORMS]), (k % 3).cast("int")))
+    base = cat("https://alpha", k, ".com")
+    ld = F.when(k % 4 == 0, cat('<script type="application/ld+json">{"@type":"Organization","legalName":"Alpha', k, ' Trading","parentOrganization":{"name":"Group ', k, '"}}</script>')).otherwise("")
+    holder = F.when(k % 2 == 0, cat("Beta", k, " Works, LLC")).otherwise(firm)
+    home = cat("<html><head><title>Alpha", k, " — Daily performance</title><meta property='og:site_name' content='Alpha", k, "'>", ld, "</head><body><footer><p>© 2026 ", holder, ". All rights reserved.</p><p>ALPHA", k, "® is a registered trademark of ", firm, ".</p></footer></body></html>")
+    terms = cat("<html><head><title>Terms of Service</title></head><body><p>These Terms are an agreement between you and ", firm, " (we), and this site is operated by ", firm, " alone.</p></body></html>")
+    pages = s.select(cat(base, "/").alias("url"), F.lit(200).alias("status"), home.alias("body")).union(s.select(cat(base, "/terms"), F.lit(200), terms)).union(s.select(cat(base, "/privacy"), F.lit(404), terms))
+    return R.identity_pages(s.select(cat("s", k).alias("site"), cat(base, "/").alias("url")), pages)
 
 
-_SIGNALS = "sg AS (SELECT s_suppkey AS k, s_name, unnest([{'role': 'legal-entity', 'source': 'contract', 'weight': 45, 'value': 'Alpha' || s_suppkey || ' Trading, ' || ['Inc.', 'LLC', 'Ltd'][1 + s_suppkey % 3]}, {'role': 'legal-entity', 'source': 'trademark', 'weight': 50, 'value': 'Alpha' || s_suppkey || ' Trading, ' || ['Inc', 'LLC', 'Ltd'][1 + s_suppkey % 3]}, {'role': CASE WHEN s_suppkey % 2 = 0 THEN 'legal-entity' END, 'source': 'copyright', 'weight': 30, 'value': 'Beta' || s_suppkey || ' Works, LLC'}, {'role': CASE WHEN s_suppkey % 4 = 0 THEN 'legal-entity' END, 'source': 'structured', 'weight': 40, 'value': 'Alpha' || s_suppkey || ' Trading'}, {'role': 'brand', 'source': 'structured', 'weight': 10, 'value': 'Alpha' || s_suppkey}]) AS x FROM supplier)"
+_FIRM = "'Alpha' || s_suppkey || ' Trading, ' || ['Inc', 'LLC', 'Ltd'][1 + s_suppkey % 3]"
+_SIGNALS = f"""sg AS (SELECT s_suppkey AS k, unnest([{{'role': 'legal-entity', 'source': 'trademark-notice', 'weight': 50, 'value': {_FIRM}}}, {{'role': 'brand', 'source': 'trademark-notice', 'weight': 50, 'value': 'ALPHA' || s_suppkey}},
+ {{'role': 'legal-entity', 'source': 'terms-of-service', 'weight': 45, 'value': {_FIRM}}}, {{'role': 'legal-entity', 'source': 'terms-of-service', 'weight': 45, 'value': {_FIRM}}}, {{'role': 'legal-entity', 'source': 'footer-copyright', 'weight': 30, 'value': CASE WHEN s_suppkey % 2 = 0 THEN 'Beta' || s_suppkey || ' Works, LLC' ELSE {_FIRM} END}},
+ {{'role': CASE WHEN s_suppkey % 4 = 0 THEN 'legal-entity' END, 'source': 'jsonld-legal-name', 'weight': 40, 'value': 'Alpha' || s_suppkey || ' Trading'}}, {{'role': CASE WHEN s_suppkey % 4 = 0 THEN 'legal-entity' END, 'source': 'jsonld-parent', 'weight': 35, 'value': 'Group ' || s_suppkey}},
+ {{'role': 'brand', 'source': 'og-site-name', 'weight': 25, 'value': 'Alpha' || s_suppkey}}, {{'role': 'brand', 'source': 'page-title', 'weight': 10, 'value': 'Alpha' || s_suppkey}}, {{'role': 'brand', 'source': 'page-title', 'weight': 10, 'value': 'Terms of Service'}}]) AS x FROM supplier)"""
 
 
-@query("identity_signals", f"WITH {_SIGNALS} SELECT 's' || k AS site, x.role AS role, x.source AS source, x.weight AS weight, regexp_replace(x.value, '\\.$', '') AS value FROM sg WHERE x.role IS NOT NULL")
+@query("identity_signals", f"WITH {_SIGNALS} SELECT 's' || k AS site, x.role AS role, x.source AS source, x.weight AS weight, x.value AS value FROM sg WHERE x.role IS NOT NULL")
 def identity_signals(spark: SparkSession, d: str) -> DataFrame:
-    """H17, X28."""
+    """H17, H18, X28."""
     return R.signals(identity_pages(spark, d)).select("site", "role", "source", "weight", F.regexp_replace("value", r"\.$", "").alias("value"))
 
 
-@query("identity_evidence", f"WITH {_SIGNALS}, r AS (SELECT k, x.role AS role, x.source AS source, x.weight AS weight, row_number() OVER (PARTITION BY k ORDER BY x.weight DESC) AS place FROM sg WHERE x.role IS NOT NULL) SELECT 's' || k AS site, string_agg(source || ':' || weight, ',' ORDER BY place) AS evidence FROM r WHERE place <= 3 GROUP BY k")
+@query("identity_evidence", f"WITH {_SIGNALS}, once AS (SELECT DISTINCT k, x.role AS role, x.source AS source, x.weight AS weight, x.value AS value FROM sg WHERE x.role IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY weight DESC) AS place FROM once) SELECT 's' || k AS site, string_agg(source || ':' || weight, ',' ORDER BY place) AS evidence FROM r WHERE place <= 4 GROUP BY k")
 def identity_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Each page twice over says nothing more."""
     found = R.signals(identity_pages(spark, d).union(identity_pages(spark, d).withColumn("pos", F.col("pos") + 10)))
-    top = R.top_evidence(R.dedupe_signals(found, ["site"]), ["site"], 3)
+    top = R.top_evidence(R.dedupe_signals(found, ["site"]), ["site"], 4)
     return top.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "source", "weight").alias("x")))), lambda x: x["x"]), ",").alias("evidence"))
 
 
@@ -193,8 +197,8 @@ def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return inputs, R.signals(pages), known
 
 
-_RESOLVED = """rs AS (SELECT s_suppkey AS k, s_suppkey % 11 = 0 AS known, s_suppkey % 7 = 0 AS blank, s_suppkey % 5 = 0 AS against, s_suppkey % 2 = 0 AS rival, 50 + 45 / 2.0 + CASE WHEN s_suppkey % 4 = 0 THEN 40 / 3.0 ELSE 0 END AS w FROM supplier),
- rd AS (SELECT *, CASE WHEN known THEN 'confirmed' WHEN blank THEN 'unresolved' WHEN against OR rival THEN 'needs-review' ELSE 'resolved' END AS status, CASE WHEN known THEN 100.0 WHEN blank THEN 0.0 ELSE least(CASE WHEN against THEN 45.0 ELSE 100.0 END, floor(100 * (1 - exp(-(CASE WHEN k % 4 = 0 THEN 50 + 45 / 2.0 + 40 / 3.0 ELSE w END + CASE WHEN against THEN 0 ELSE 35 END) / 45)) + 0.5)) END AS confidence FROM rs)"""
+_RESOLVED = """rs AS (SELECT s_suppkey AS k, s_suppkey % 11 = 0 AS known, s_suppkey % 7 = 0 AS blank, s_suppkey % 5 = 0 AS against, s_suppkey % 2 = 0 AS rival, floor((50 + 45 / 2.0 + CASE WHEN s_suppkey % 4 = 0 THEN 40 / 3.0 WHEN s_suppkey % 2 = 1 THEN 30 / 3.0 ELSE 0 END) * 10 + 0.5) / 10 AS w FROM supplier),
+ rd AS (SELECT *, CASE WHEN known THEN 'confirmed' WHEN blank THEN 'unresolved' WHEN against OR rival THEN 'needs-review' ELSE 'resolved' END AS status, CASE WHEN known THEN 100.0 WHEN blank THEN 0.0 ELSE least(CASE WHEN against THEN 45.0 ELSE 100.0 END, floor(100 * (1 - exp(-(w + CASE WHEN against THEN 0 ELSE 35 END) / 45)) + 0.5)) END AS confidence FROM rs)"""
 
 
 @query("entity_resolutions", f"WITH {_RESOLVED} SELECT 's' || k AS id, status, confidence, CASE WHEN known THEN NULL WHEN blank THEN 'no legal entity found' WHEN against THEN 'the name given is none of the entities found' WHEN rival THEN 'several entities are claimed' END AS review_reason FROM rd")
@@ -203,7 +207,7 @@ def entity_resolutions(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve(*_claims(spark, d)).select("id", "status", "confidence", "review_reason")
 
 
-@query("resolved_aliases", f"WITH {_RESOLVED} SELECT CASE WHEN known THEN 'Known ' || k ELSE 'Alpha' || k END AS brand, 'Firm' || k AS linkedin_slug, 'bot' AS confirmed_by FROM rd WHERE status IN ('confirmed', 'resolved')")
+@query("resolved_aliases", f"WITH {_RESOLVED} SELECT CASE WHEN known THEN 'Known ' || k ELSE 'ALPHA' || k END AS brand, 'Firm' || k AS linkedin_slug, 'bot' AS confirmed_by FROM rd WHERE status IN ('confirmed', 'resolved')")
 def resolved_aliases(spark: SparkSession, d: str) -> DataFrame:
     """G12."""
     sure = R.resolve(*_claims(spark, d)).filter("status in ('confirmed', 'resolved')")
@@ -272,9 +276,11 @@ def niche_norms(spark: SparkSession, d: str) -> DataFrame:
     "deviation_set",
     f"""WITH {_MORE}, x AS (SELECT brand, niche, unnest(['Price', 'Discount depth', 'Guarantee', 'Social proof volume', 'Ad volume', 'Stack maturity']) AS signal, unnest([price_median, max_discount, guarantee_days, review_count, CAST(b.ad_count AS DOUBLE), stack_score]) AS v, unnest([p, d, g, r, a, s]) AS n, unnest([1.4, 1.4, 1.4, 2, 1.8, 1.4]) AS q FROM b JOIN m USING (niche) WHERE brand_count >= 3),
     na AS (SELECT niche, angle FROM (SELECT niche, angle, row_number() OVER (PARTITION BY niche ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1), ba AS (SELECT brand, angle FROM (SELECT brand, angle, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1)
-    SELECT brand, signal, CASE WHEN v / n >= q THEN 'above' ELSE 'below' END AS direction FROM x WHERE n > 0 AND v IS NOT NULL AND (v / n >= q OR v / n <= 1 / q)
-    UNION ALL SELECT brand, 'Subscription', 'absent' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND sub >= 60 AND NOT subscription UNION ALL SELECT brand, 'Paid media', 'absent' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND pm >= 60 AND NOT paid_media UNION ALL SELECT brand, 'Reviews', 'absent' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND rv >= 60 AND NOT reviews
-    UNION ALL SELECT brand, 'Lead angle', 'unique' FROM b JOIN na USING (niche) JOIN ba USING (brand) WHERE ba.angle <> na.angle UNION ALL SELECT brand, 'Creative freshness', 'below' FROM b WHERE brand % 13 = 0""",
+    y AS (SELECT *, CASE WHEN v / n >= q THEN 'above' ELSE 'below' END AS direction FROM x WHERE n > 0 AND v IS NOT NULL AND (v / n >= q OR v / n <= 1 / q))
+    SELECT brand, signal, direction, CASE signal WHEN 'Price' THEN 'prices ' || CAST(floor(abs(v / n - 1) * 100 + 0.5) AS BIGINT) || '% ' || direction || ' the ' || niche || ' median — check whether the copy justifies it' WHEN 'Discount depth' THEN 'discounts ' || direction || ' the category norm' WHEN 'Guarantee' THEN 'guarantee window is ' || direction || ' the category norm'
+      WHEN 'Social proof volume' THEN 'review count is ' || direction || ' the category norm' WHEN 'Ad volume' THEN 'running ' || direction || ' as many ads as the typical brand here' ELSE 'growth stack is ' || direction || ' the category norm' END AS note FROM y
+    UNION ALL SELECT brand, 'Subscription', 'absent', 'the category monetises on repeat purchase and this brand does not' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND sub >= 60 AND NOT subscription UNION ALL SELECT brand, 'Paid media', 'absent', 'not set up to buy traffic while its competitors are' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND pm >= 60 AND NOT paid_media UNION ALL SELECT brand, 'Reviews', 'absent', 'collecting less social proof than the category standard' FROM b JOIN m USING (niche) WHERE brand_count >= 3 AND rv >= 60 AND NOT reviews
+    UNION ALL SELECT brand, 'Lead angle', 'unique', 'leads on a different angle from the category — deliberate differentiation or a blind spot' FROM b JOIN na USING (niche) JOIN ba USING (brand) WHERE ba.angle <> na.angle UNION ALL SELECT brand, 'Creative freshness', 'below', 'competitors are shipping creative and this one is not' FROM b WHERE brand % 13 = 0""",
 )
 def deviation_set(spark: SparkSession, d: str) -> DataFrame:
     """Six figures, three absences, the lead angle, freshness."""
@@ -286,4 +292,4 @@ def deviation_set(spark: SparkSession, d: str) -> DataFrame:
 
     f = f.join(lead("brand").withColumnRenamed("lead", "lead_angle"), "brand").withColumn("posture", F.when(F.col("brand") % 13 == 0, "stale").otherwise("steady"))
     norms = RU.norms(f).join(lead("niche").withColumnRenamed("lead", "niche_lead_angle"), "niche")
-    return RU.deviation_set(f, norms).select("brand", "signal", "direction")
+    return RU.deviation_set(f, norms).select("brand", "signal", "direction", "note")

@@ -37,7 +37,7 @@ _LISTED = "c AS (SELECT 'https://list' || s_nationkey || '.org/best' AS page_url
 def listed_brands(spark: SparkSession, d: str) -> DataFrame:
     """H2, F6, A1, H3, W3, W5, X73."""
     found = P.discover(P.links(listicles(spark, d).withColumn("page", P.read_html(F.col("html")))))
-    return found.withColumn("place", F.col("place").cast("long"))
+    return found.withColumn("place", F.col("place").cast("long")).withColumn("anchors", F.array_join("anchors", "|"))
 
 
 @query("discovery_modes", "SELECT 'https://list' || s_nationkey || '.org/best' AS url, CASE WHEN count(*) + 1 >= 3 THEN 'outbound-links' ELSE 'single-brand' END AS mode FROM supplier GROUP BY s_nationkey")
@@ -149,21 +149,25 @@ _SHOP = "pub AS (SELECT p_brand AS brand, p_partkey AS k, 'https://www.shop.com'
 
 
 def shop(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Published: the parts' pages; advertised: those of parts that were returned at a tenth off, and a page that is none."""
+    """Published: the parts' pages; advertised: those of parts that came back an even number of times, pages of small parts that are
+    not published, and a page of another site."""
     kinds = F.array(*[F.lit(x) for x in _KINDS])
-    p = t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("k"), cat("https://www.shop.com", F.get(kinds, (F.col("p_size") % 5).cast("int")), F.col("p_partkey")).alias("url"))
-    sold = t(spark, d, "lineitem").filter("l_returnflag = 'R' and l_discount = 0.1").select(F.col("l_partkey").alias("k")).distinct()
-    ads = p.join(sold, "k").select("brand", F.regexp_replace("url", "www[.]", "").alias("url")).union(p.select("brand", cat("https://shop.com/gone/", F.col("brand"))).distinct())
-    return p.select("brand", "url"), ads
+    p = t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), cat("https://www.shop.com", F.get(kinds, (F.col("p_size") % 5).cast("int")), F.col("p_partkey")).alias("url"))
+    sold = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n")).filter("n % 2 = 0")
+    ads = p.join(sold, "k").select("brand", F.regexp_replace("url", "www[.]", "").alias("url")).union(p.filter("size < 30").select("brand", cat("https://go.shop.com/gone/", F.col("k")))).union(p.select("brand", F.lit("https://other.org/x")).distinct())
+    return p.select("brand", "url", F.col("k").alias("pos")), ads
 
 
-@query("pages_without_ads", f"WITH {_SHOP} SELECT brand, kind, count(*) AS count FROM (SELECT brand, k, CASE WHEN path = '/' THEN 'home' " + " ".join(f"WHEN regexp_matches(path, {sql_str('(?i)' + p)}) THEN '{k}'" for k, p in rules.table(rules.PAGE_KINDS)) + " ELSE 'other' END AS kind FROM pub) WHERE kind IN ('article', 'landing', 'quiz', 'product') AND k NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0.1) GROUP BY 1, 2")
+_PATH_KIND = "CASE WHEN path = '/' THEN 'home' " + " ".join(f"WHEN regexp_matches(path, {sql_str('(?i)' + p)}) THEN '{k}'" for k, p in rules.table(rules.PAGE_KINDS)) + " ELSE 'other' END"
+
+
+@query("pages_without_ads", f"WITH {_SHOP}, l AS (SELECT brand, k, url, {_PATH_KIND} AS kind FROM pub WHERE k NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') % 2 = 0)), n AS (SELECT *, row_number() OVER (PARTITION BY brand, kind ORDER BY k) AS i FROM l WHERE kind IN ('article', 'landing', 'quiz', 'product')) SELECT brand, kind, count(*) AS count, string_agg(url, ' ' ORDER BY i) FILTER (WHERE i <= 5) AS examples FROM n GROUP BY 1, 2")
 def pages_without_ads(spark: SparkSession, d: str) -> DataFrame:
     """J9."""
-    return P.unadvertised(*shop(spark, d), ["brand"])
+    return P.unadvertised(*shop(spark, d), ["brand"]).withColumn("examples", F.array_join("examples", " "))
 
 
-@query("ads_without_pages", "SELECT DISTINCT p_brand AS brand, 'https://shop.com/gone/' || p_brand AS url FROM part")
+@query("ads_without_pages", "SELECT brand, url FROM (SELECT brand, url, row_number() OVER (PARTITION BY brand ORDER BY url) AS n FROM (SELECT p_brand AS brand, 'https://go.shop.com/gone/' || p_partkey AS url FROM part WHERE p_size < 30)) WHERE n <= 10")
 def ads_without_pages(spark: SparkSession, d: str) -> DataFrame:
     """J10."""
     return P.unlisted(*shop(spark, d), ["brand"])
@@ -270,7 +274,7 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
 _TOOL_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, {sql_str('(?i)' + p)}) THEN {sql_str(n)} END" for n, _, p in rules.table(rules.TOOLS)) + "], lambda x: x IS NOT NULL), ',')"
 _TOOL_CATS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, {sql_str('(?i)' + p)}) THEN {sql_str(c)} END" for _, c, p in rules.table(rules.TOOLS)) + "], lambda x: x IS NOT NULL)"
 _TOOL_SCORE = "least(100, " + " + ".join(f"CASE WHEN list_contains(cats, '{c}') THEN {w} ELSE 0 END" for c, w in rules.TOOL_POINTS.items()) + ")"
-_PLATFORM = "CASE WHEN regexp_matches(html, '(?i)cdn\\.shopify\\.com|shopify\\.theme|myshopify\\.com') THEN 'shopify' WHEN regexp_matches(html, '(?i)woocommerce|wc-ajax') THEN 'woocommerce' ELSE 'unknown' END"
+_PLATFORM = "CASE " + " ".join(f"WHEN regexp_matches(html, {sql_str('(?i)' + p)}) THEN '{n}'" for n, p in rules.table(rules.PLATFORMS)) + " ELSE 'unknown' END"
 
 
 @query("site_tools", f"WITH {_HTML}, x AS (SELECT k, {_PLATFORM} AS platform, {_TOOL_NAMES} AS tools, {_TOOL_CATS} AS cats FROM pg) SELECT k, platform, tools, list_contains(cats, 'adPixel') AS paid_media, list_contains(cats, 'email') OR list_contains(cats, 'sms') AS lifecycle, list_contains(cats, 'reviews') AS reviews, {_TOOL_SCORE} AS score FROM x")
@@ -298,7 +302,7 @@ def homes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select(k.alias("k"), cat("https://brand", k, ".com/").alias("url"), html.alias("html")).withColumn("page", P.read_html(F.col("html")))
 
 
-@query("social_profiles", "SELECT s_suppkey AS k, 'https://www.instagram.com/b' || s_suppkey AS instagram, 'https://x.com/b' || s_suppkey AS twitter, 2 AS networks FROM supplier")
+@query("social_profiles", "SELECT s_suppkey AS k, 'https://instagram.com/b' || s_suppkey AS instagram, 'https://x.com/b' || s_suppkey AS twitter, 2 AS networks FROM supplier")
 def social_profiles(spark: SparkSession, d: str) -> DataFrame:
     """H8."""
     s = P.socials(F.col("page"))
@@ -311,7 +315,7 @@ def home_products(spark: SparkSession, d: str) -> DataFrame:
     return P.product_links(homes(spark, d))
 
 
-@query("home_internal_pages", "SELECT 'https://brand' || s_suppkey || '.com/' AS url, 'https://brand' || s_suppkey || '.com' || unnest(['/about', '/faq']) AS \"to\", unnest([1, 2]) AS place FROM supplier")
+@query("home_internal_pages", "SELECT 'https://brand' || s_suppkey || '.com/' AS url, 'https://brand' || s_suppkey || '.com' || unnest(['/about', '/products/red-' || s_suppkey, '/products/red-' || s_suppkey || '?v=2', '/collections/all']) AS \"to\", unnest([1, 2, 3, 4]) AS place FROM supplier")
 def home_internal_pages(spark: SparkSession, d: str) -> DataFrame:
     """F23."""
     return P.internal_pages(homes(spark, d)).select("url", "to", "place")
@@ -383,24 +387,30 @@ def checkout_terms(spark: SparkSession, d: str) -> DataFrame:
     return out.select("brand", "cart_style", "currency", "free_shipping_over", *[F.array_join(c, ",").alias(c) for c in ("payment_methods", "bnpl", "stack")], "return_days", "restocking_fee", "shipping_note", F.array_join("policies_read", ",").alias("policies_read"))
 
 
-@query("landing_teardowns", """WITH l AS (SELECT 'https://a.com/lp/' || s_suppkey AS url, s_acctbal AS exposure, s_suppkey AS k FROM supplier), top AS (SELECT * FROM l ORDER BY exposure DESC, url LIMIT 40)
-  SELECT l.url, top.k IS NOT NULL AND l.k % 5 <> 4 AS ok, CASE WHEN top.k IS NOT NULL AND l.k % 5 <> 4 THEN ['listicle', 'product', 'lead-form', 'landing'][1 + CAST(l.k % 5 AS INTEGER)] END AS shape, CASE WHEN top.k IS NOT NULL AND l.k % 5 <> 4 THEN 'Page ' || l.k END AS title, CASE WHEN top.k IS NOT NULL AND l.k % 5 <> 4 THEN l.k % 5 = 2 END AS form FROM l LEFT JOIN top USING (url)""")
+@query("landing_teardowns", """WITH l AS (SELECT 'https://a.com/lp/' || s_suppkey AS url, s_acctbal AS exposure, s_suppkey AS k, CAST(s_suppkey % 7 AS INTEGER) AS m FROM supplier), top AS (SELECT * FROM l ORDER BY exposure DESC, url LIMIT 40), r AS (SELECT l.*, top.k IS NOT NULL AND l.m < 5 AS ok FROM l LEFT JOIN top USING (url))
+  SELECT url, ok, CASE WHEN ok THEN ['listicle', 'product-page', 'lead-form', 'landing-page', 'unknown'][1 + m] END AS shape, CASE WHEN ok THEN 'Page ' || k END AS title, CASE WHEN ok THEN m = 2 END AS form, CASE WHEN ok THEN [0, 1, 2, 0, 0][1 + m] END AS ctas, CASE WHEN ok THEN [['1. One', '2. Two', '3. Three'], [], [], [], []][1 + m] END AS headings,
+  CASE WHEN ok THEN CASE WHEN m IN (1, 2) THEN 'no angle detected on the page, while its ads run several' WHEN m = 3 THEN 'the page continues every angle its ads run' ELSE 'no angle detected on the page, while its ads run several' END END AS note, CASE WHEN ok THEN CASE WHEN m = 3 THEN 100.0 ELSE 0.0 END END AS match FROM r""")
 def landing_teardowns(spark: SparkSession, d: str) -> DataFrame:
     """The forty landing pages of the most exposure, read where they are there."""
     k, s = F.col("s_suppkey"), t(spark, d, "supplier")
-    body = F.when(k % 5 == 0, "<h2>1. One</h2><h2>2. Two</h2><h2>3. Three</h2>").when(k % 5 == 1, "<p>Add to cart now</p>").when(k % 5 == 2, "<form></form>").otherwise("<p>Words</p>")
+    shapes = (
+        "<h2>1. One</h2><h2>2. Two</h2><h2>3. Three</h2>", "<p>It is $5.</p><a href='/c'>Add to cart</a>", "<form><input><input><select></select></form><button>Join us</button><a href='/go'>Apply here</a><a href='/x'>Read</a>", "<footer><p>The one secret they don't want you to know. What nobody tells you about it.</p></footer>", "<img src='a'>",
+    )
+    body = F.coalesce(*[F.when(k % 7 == n, x) for n, x in enumerate(shapes)], F.lit(""))
     url = cat("https://a.com/lp/", k).alias("url")
-    pages = s.filter(k % 5 != 4).select(url, cat("<html><head><title>Page ", k, "</title></head><body>", body, "</body></html>").alias("html"))
+    pages = s.filter(k % 7 != 5).select(url, cat("<html><head><title>Page ", k, "</title></head><body>", body, "</body></html>").alias("html"), F.when(k % 7 == 6, 404).otherwise(200).alias("status"))
     ads = s.select(url, F.col("s_acctbal").alias("exposure"), F.array(F.lit("curiosity")).alias("angles"))
     out = B.with_teardown(ads.select("url"), P.teardown(pages, ads, 40))
     ok = F.coalesce("teardown.ok", F.lit(False))
-    return out.select("url", ok.alias("ok"), F.when(ok, F.col("teardown.shape")).alias("shape"), F.when(ok, F.col("teardown.title")).alias("title"), F.when(ok, F.col("teardown.form")).alias("form"))
+    told = {"shape": "shape", "title": "title", "form": "form", "ctas": "ctas", "headings": "headings", "match_note": "note", "match": "match"}
+    return out.select("url", ok.alias("ok"), *[F.when(ok, F.col(f"teardown.{c}")).alias(n) for c, n in told.items()])
 
 
-@query("angle_overlaps", "WITH n AS (SELECT s_nationkey AS k, list_distinct(list(p_brand)) AS own FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_discount = 0.1 AND l_quantity < 4 GROUP BY 1), r AS (SELECT n_nationkey AS k, n_regionkey, own FROM n JOIN nation ON n_nationkey = n.k) SELECT a.k, b.k AS other, floor(len(list_intersect(a.own, b.own)) / len(list_distinct(list_concat(a.own, b.own))) * 100 + 0.5) AS score FROM r a JOIN r b ON a.n_regionkey = b.n_regionkey AND a.k < b.k")
+@query("angle_overlaps", "WITH n AS (SELECT s_nationkey AS k, list(p_brand) AS own FROM (SELECT s_nationkey, p_brand FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING count(*) % 2 = 1) GROUP BY 1), r AS (SELECT n_nationkey AS k, n_regionkey, own FROM n JOIN nation ON n_nationkey = n.k) SELECT a.k, b.k AS other, floor(len(list_intersect(a.own, b.own)) / len(list_distinct(list_concat(a.own, b.own))) * 100 + 0.5) AS score FROM r a JOIN r b ON a.n_regionkey = b.n_regionkey AND a.k < b.k")
 def angle_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """The sets of two nations of one region."""
-    line = t(spark, d, "lineitem").filter("l_discount = 0.1 and l_quantity < 4").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    own = line.groupBy(F.col("s_nationkey").alias("k")).agg(F.collect_set("p_brand").alias("own")).join(t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey"), "k")
+    """The sets of two nations of one region: the brands they sold an odd number of times."""
+    line = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    odd = line.groupBy(F.col("s_nationkey").alias("k"), "p_brand").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    own = odd.groupBy("k").agg(F.collect_set("p_brand").alias("own")).join(t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey"), "k")
     both = own.alias("a").join(own.alias("b"), F.expr("a.n_regionkey = b.n_regionkey and a.k < b.k"))
     return both.select(F.col("a.k").alias("k"), F.col("b.k").alias("other"), P.overlap(F.col("a.own"), F.col("b.own")).alias("score"))

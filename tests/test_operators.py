@@ -70,16 +70,63 @@ def test_vocabulary_folds(spark):
     assert [r.term for r in V.drop_shifted(ranked, ["brand"], 9).orderBy("place").collect()] == ["clean energy drink", "energy drink", "other"]
 
 
+def test_shifted_terms_in_rounds(spark):
+    """Against going through the terms in order."""
+    import random
+
+    rng = random.Random(1)
+    terms = list({" ".join(rng.choices("abcde", k=rng.choice([1, 2, 2, 3, 4]))) for _ in range(400)})
+    rows = [(rng.choice("xy"), t, rng.randint(2, 3)) for t in terms]
+    rows = [(b, t, n, k) for k, (b, t, n) in enumerate(rows)]
+    want = []
+    for b in "xy":
+        kept = []
+        for _, t, n, k in sorted((r for r in rows if r[0] == b), key=lambda r: r[3]):
+            w = t.split()
+            if not any(m == n and len(v) == len(w) > 1 and (v[1:] == w[:-1] or w[1:] == v[:-1]) for v, m in kept):
+                kept.append((w, n))
+                want.append((b, t, len(kept)))
+    got = V.drop_shifted(spark.createDataFrame(rows, "brand string, term string, ad_count int, place int"), ["brand"], 1000).collect()
+    assert sorted((r.brand, r.term, r.place) for r in got) == sorted(want) and len(want) < len(rows)
+
+
 def test_classify(spark):
     tax = C.taxonomy(spark, {"Food": {"Protein": {"terms": [["whey protein", 3], "shake"]}, "Tea": {"terms": ["green tea"]}}, "Skin": {"Serum": {"terms": [["serum", 4]]}}})
     texts = spark.createDataFrame([(1, "whey protein shake whey protein and green tea"), (2, "a serum"), (3, "none")], "id int, text string")
     rows = {r.id: r for r in C.classify(C.term_hits(texts, tax), tax).collect()}
     assert (rows[1].niche, rows[1].sub, rows[1].alternatives) == ("Food", "Protein", ["Food / Tea"]) and rows[2].niche == "Skin" and 3 not in rows
     assert rows[1].confidence == round(100 * (1 - 2.718281828459045 ** (-(7 + 0.25 * 8) / 14)))
+    many = tax.union(spark.createDataFrame([("X", "Y", 9, f"filler {k}", 1.0) for k in range(30)] + [("X", "Y", 9, "+", 1.0)], tax.schema))
+    texts = texts.union(spark.createDataFrame([(4, "nad+ whey protein filler 7, filler 77"), (5, None), (6, "x + y")], "id int, text string"))
+    want = {(1, "whey protein", 2), (1, "shake", 1), (1, "green tea", 1), (2, "serum", 1), (4, "whey protein", 1), (4, "filler 7", 1), (6, "+", 1)}
+    assert {tuple(r) for r in C.term_hits(texts, many).collect()} == want
+    limit, C.PLANNED_TERMS = C.PLANNED_TERMS, 10
+    assert {tuple(r) for r in C.term_hits(texts, many).collect()} == want
+    C.PLANNED_TERMS = limit
     merged = C.merge_taxonomy(tax, C.taxonomy(spark, {"Food": {"Tea": {"terms": ["oolong"]}}, "New": {"A": {"terms": ["b"]}}}))
     assert {(r["sub"], r.term) for r in merged.collect() if r["sub"] in ("Tea", "A")} == {("Tea", "oolong"), ("A", "b")}
 
 
+def test_built_in_niches(spark):
+    nested = C.built_in()
+    assert len(nested) == 18 and sum(map(len, nested.values())) == 73
+    texts = spark.createDataFrame([(1, "sun care and more sun care for skin"), (2, "nothing of the kind"), (3, "men's health, men's health and a coffee"), (4, None)], "id int, text string")
+    rows = {r.id: r for r in C.classified(texts, nested).collect()}
+    assert (rows[1].niche, rows[1]["sub"], rows[1].unclassified) == ("Skincare", "Sun care", False)
+    assert (rows[2].niche, rows[2].confidence, rows[2].unclassified, rows[2].audience) == (C.UNCLASSIFIED, 0.0, True, None) and rows[4].niche == C.UNCLASSIFIED
+    assert (rows[3]["sub"], rows[3].audience) == ("Men's health", "men")
+    broken = C.taxonomy(spark, {"Bad": {"Sub": {"terms": "nope"}, "Good": {"terms": ["x"]}}})
+    assert [r.term for r in broken.collect()] == ["x"]
+
+
+def test_options_by_their_names():
+    c = EngineConfig.from_dict({"startUrls": ["https://a.com"], "as_of": "2024-01-01", "discoveryMode": "outbound-links", "profileDepth": "fast", "adsProvider": "apify-actor", "adCountries": [" de "], "brandLinkSelector": " .list a ", "analyseCheckout": True, "outputFormats": ["json", "pdf"], "maxSitemapUrls": 5, "rankBy": "best"})
+    assert (c.discovery_mode, c.profile_depth, c.ads_provider, c.countries, c.brand_link_selector, c.analyse_checkout, c.analyse_landing_pages) == ("outbound-links", "fast", "apify-actor", ("DE",), ".list a", True, False)
+    assert c.output_formats == ("json",) and c.max_sitemap_urls == 100 and c.rank_by == "composite" and len(c.warnings) == 1 and "best" in c.warnings[0]
+    auto = {"start_urls": ["https://a.com"], "as_of": "2024-01-01"}
+    assert EngineConfig.from_dict(auto).provider == "apify-actor" and EngineConfig.from_dict(auto | {"ad_countries": ["FR"]}).provider == "meta-graph" and c.provider == "apify-actor"
+
+
 LIST = """<html><head><title>Best</title><script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Org"},{"@type":"Product","name":"Powder","offers":{"price":"49.5","priceCurrency":"EUR"}}]}</script></head><body>
 <nav><a href="https://facebook.com/x">fb</a><a href="https://navlink.com">Nav</a></nav><article><h2>1. <a href="https://www.ironpeak.com/?utm_source=x">Iron Peak</a></h2><p>text <a href="https://ironpeak.com/products/a">here</a></p>
 <h2>2. North</h2><ul><li><a href="https://northlabs.com/">North Labs</a></li></ul><a href="/products/green">Green Powder</a><a href="https://northlabs.com/privacy">p</a></article><script>var a = "<a href='https://evil.com'>";</script></body></html>"""
@@ -89,8 +136,8 @@ def test_pages(spark):
     df = spark.createDataFrame([("https://list.com/top", LIST), ("https://empty.com", None)], "url string, html string")
     read = P.page_meta(df)
     rows = {r.domain: r for r in P.discover(P.links(read)).collect()}
-    assert rows["ironpeak.com"].name in ("1. Iron Peak", "Iron Peak") and rows["ironpeak.com"].url == "https://www.ironpeak.com/" and rows["ironpeak.com"].mentions == 2
-    assert "facebook.com" not in rows and "evil.com" not in rows and rows["northlabs.com"].name in ("2. North", "North Labs")
+    assert rows["ironpeak.com"].name == "Iron Peak" and rows["ironpeak.com"].url == "https://www.ironpeak.com/" and rows["ironpeak.com"].mentions == 2
+    assert "facebook.com" not in rows and "evil.com" not in rows and rows["northlabs.com"].name == "North Labs"
     assert [r.product_url for r in P.product_links(read).orderBy("place").collect()] == ["https://ironpeak.com/products/a", "https://list.com/products/green"]
     nodes = P.ld_rows(read)
     assert P.organisations(nodes).first().name == "Org" and P.ld_products(nodes).first().price == 49.5
@@ -147,9 +194,9 @@ def test_config():
 
 
 def test_engine(spark, tmp_path):
-    from adlens.engine import run
+    from adlens.engine import document, run, write
 
-    c = EngineConfig.from_dict({"start_urls": ["https://list.com/top"], "as_of": "2024-06-01", "exclude_domains": ["nope.com"], "min_confidence": 1, "profile_depth": "homepage", "taxonomy": {"Food": {"Tea": {"terms": [["green tea", 5], "leaf"]}, "Protein": {"terms": [["whey", 5]]}}}})
+    c = EngineConfig.from_dict({"start_urls": ["https://list.com/top"], "as_of": "2024-06-01", "exclude_domains": ["nope.com"], "min_confidence": 1, "analyse_landing_pages": True, "analyse_product_pages": True, "analyse_checkout": True, "profile_depth": "fast", "taxonomy": {"Food": {"Tea": {"terms": [["green tea", 5], "leaf"]}, "Protein": {"terms": [["whey", 5]]}}}})
     listed = "<h2>Peak</h2><a href='https://peak.com/'>Peak</a><h2>Zed</h2><a href='https://zed.com/'>Zed</a><h2>Nope</h2><a href='https://nope.com/'>Nope</a><h2>Moo</h2><a href='https://moo.com/'>Moo</a>"
     pages = spark.createDataFrame([("https://list.com/top", f"<html><body>{listed}</body></html>"), ("https://own.com/", "<html><head><title>Own - home</title></head><body>hello</body></html>")], "url string, html string")
     home = "<html><head><meta property='og:site_name' content='Peak &lt;b&gt;'></head><body><p>Whey and more whey. Save 20% off.</p><a href='/products/x'>Whey tub</a></body></html>"
@@ -158,16 +205,25 @@ def test_engine(spark, tmp_path):
     r = run(c, pages, spark.createDataFrame(fetched, "url string, status int, content_type string, body string"), spark.createDataFrame(records, "brand string, provider string, matched_query string, pos long, record string"), str(tmp_path))
     assert {x.domain for x in r.candidates.collect()} == {"peak.com", "zed.com", "moo.com", "own.com"}
     found = {x.domain: x for x in r.profiles.collect()}
-    assert (found["peak.com"].niche, found["peak.com"].sub_niche, found["zed.com"].sub_niche, found["moo.com"].niche, found["moo.com"].error) == ("Food", "Protein", "Tea", "unclassified", "homepage HTTP 500")
+    assert (found["peak.com"].niche, found["peak.com"].sub_niche, found["zed.com"].sub_niche, found["moo.com"].niche, found["moo.com"].error) == ("Food", "Protein", "Tea", "Unclassified", "homepage HTTP 500")
     assert {(x.brand, x.term) for x in r.terms.collect()} >= {("peak.com", "Peak <b>"), ("peak.com", "Peak <b> Whey tub")}
     assert [(x.kind, x["count"]) for x in r.gaps.collect()] == [("product", 1)] and r.inventory.filter("kind = 'product'").first()["count"] == 2
     assert r.vocabulary.filter("slot = 'signature'").count() > 0
-    doc = O.run_report(r.reports, c.as_of)
+    doc = document(c, r)
     assert doc["brands_profiled"] == 4 and doc["brands_with_ads"] == 1 and doc["ads_analysed"] == 2 and doc["leaderboard"] and doc["niches"][0]["subs"]
     assert {b["brand"]: b["posture"] for b in doc["brands"]}["zed.com"] == "absent"
     top = next(b for b in doc["brands"] if b["brand"] == "peak.com")
     assert top["offers"] and top["landing_pages"][0]["url"] == "https://peak.com/products/x"
+    assert doc["top_ads"] and {m["mix"] for m in doc["mixes"]} >= {"angle", "format", "awareness", "funnel", "posture"} and top["vocabulary"] and top["teardowns"][0]["url"] == "https://peak.com/products/x"
+    assert top["posture_reason"] and top["media_type_mix"] and top["checkout"][0]["cart_style"] == "unknown" and top["resolution"][0]["status"] == "unresolved" and top["product_pages"]
+    files = write(c, r, str(tmp_path), "one")
+    write(c, r, str(tmp_path), "two")
+    write(c, r, str(tmp_path), "one")
+    from adlens.sources.store import runs
+
+    assert set(files) == {"REPORT.json", "REPORT.md", "REPORT.html"} and runs(spark, str(tmp_path / "brands")).groupBy("run").count().orderBy("run").collect() == [("one", 4), ("two", 4)]
     text = O.markdown(doc)
+    assert "### Recurring words" in text and "### Landing pages read" in text and "## Mixes" in text
     assert "Peak &lt;b&gt;" in O.html(doc) and "## Angles" in text and "### Offers" in text and json.loads(O.document(doc))["brands_profiled"] == 4
 
 
