@@ -59,6 +59,19 @@ def page_meta(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.col("page.title").alias("title"), F.size("page.links").cast("long").alias("links"))
 
 
+_BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script.*?</script>|<style.*?</style>', '', 'gis')"
+
+
+@query("page_structure", f"""WITH b AS (SELECT page_id, {_BARE} AS h FROM pages), a AS (SELECT *, array_to_string(regexp_extract_all(h, '(?is)<article[ >].*?</article>'), ' ') AS art FROM b),
+ c AS (SELECT *, len(regexp_extract_all(art, '(?i)<a [^>]*href=')) AS inside, len(regexp_extract_all(h, '(?i)<a [^>]*href=')) AS links FROM a)
+ SELECT page_id, links, CASE WHEN inside >= 3 THEN inside ELSE links END AS content_links, len(regexp_extract_all(h, '(?i)<h[123][ >]')) AS headings, len(regexp_extract_all(h, '(?i)<p[ >]')) AS paragraphs, len(regexp_extract_all(h, '(?i)<form[ >]')) AS forms FROM c""")
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    """S3, H1, H12's counts over the raw pages: where the content lies, its links, headings, paragraphs and forms."""
+    p = pages(spark, d).select("page_id", P.read_html(F.col("html")).alias("page"))
+    inside = F.size(F.filter("page.links", lambda x: x["in_content"]))
+    return p.select("page_id", F.size("page.links").cast("long").alias("links"), inside.cast("long").alias("content_links"), F.size("page.heads").cast("long").alias("headings"), F.col("page.paragraphs").cast("long").alias("paragraphs"), F.col("page.forms").cast("long").alias("forms"))
+
+
 @query("page_text")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).withColumn("page", P.read_html(F.col("html")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlens.catalogue import query
+from adlens.dims import rules
 from adlens.functions import score as S
 from adlens.functions import text as T
 from adlens.operators import ads as A
@@ -95,13 +96,25 @@ def winner_angles(spark: SparkSession, d: str) -> DataFrame:
 
 
 TAXONOMY = {"home": {"rings": {"terms": [["ring", 2.0], "red ring"]}, "plates": {"terms": ["plate", ["hot plate", 3]]}}, "tools": {"bolts": {"terms": [["bolt", 2.5], "large bolt"]}, "gears": {"terms": ["gear", "widget", "a thing of very many words in a row"]}}}
-OVERRIDE = {"home": {"plates": {"terms": ["old plate"]}}, "new": {"boxes": {"terms": [["box", 1.5]]}}}
 
 
-@query("taxonomy_rows", "SELECT * FROM (VALUES ('home', 'rings', 0, 'ring', 2.0::DOUBLE), ('home', 'rings', 0, 'red ring', 1.0), ('tools', 'bolts', 2, 'bolt', 2.5), ('tools', 'bolts', 2, 'large bolt', 1.0), ('tools', 'gears', 3, 'gear', 1.0), ('tools', 'gears', 3, 'widget', 1.0), ('tools', 'gears', 3, 'a thing of very many words in a row', 1.0), ('home', 'plates', 1, 'old plate', 1.0), ('new', 'boxes', 5, 'box', 1.5)) v(niche, sub, sub_pos, term, weight)")
+@query("taxonomy_rows", """WITH b AS (SELECT DISTINCT p_type AS niche, p_brand AS sub, CAST(dense_rank() OVER (ORDER BY p_type, p_brand) AS INTEGER) - 1 AS sub_pos, p_name AS term, 1.0::DOUBLE AS weight FROM part),
+ o AS (SELECT DISTINCT kind AS niche, brand AS sub, name AS term, 2.5::DOUBLE AS weight FROM items WHERE kind IS NOT NULL AND brand IS NOT NULL AND name IS NOT NULL UNION SELECT DISTINCT p_type, p_brand, 'new ' || p_name, 2.5 FROM part WHERE p_size = 1),
+ p AS (SELECT niche, sub, CAST(dense_rank() OVER (ORDER BY niche, sub) AS INTEGER) - 1 AS pos FROM (SELECT DISTINCT niche, sub FROM o))
+ SELECT * FROM b WHERE (niche, sub) NOT IN (SELECT (niche, sub) FROM o) UNION ALL SELECT o.niche, o.sub, CAST(coalesce(m.sub_pos, p.pos + (SELECT max(sub_pos) + 1 FROM b)) AS INTEGER), o.term, o.weight FROM o JOIN p ON p.niche = o.niche AND p.sub = o.sub LEFT JOIN (SELECT DISTINCT niche, sub, sub_pos FROM b) m ON m.niche = o.niche AND m.sub = o.sub""")
 def taxonomy_rows(spark: SparkSession, d: str) -> DataFrame:
-    """An override replaces whole sub-niches and adds new ones behind."""
-    return C.merge_taxonomy(C.taxonomy(spark, TAXONOMY), C.taxonomy(spark, OVERRIDE))
+    """An override replaces whole sub-niches and adds new ones behind: the parts' types and brands, overridden by those
+    of the smallest parts and by the shop's items."""
+    def placed(df: DataFrame) -> DataFrame:
+        subs = df.select("niche", "sub").distinct()
+        first = subs.withColumn("sub_pos", (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("niche", "sub")) - 1).cast("int"))
+        return df.join(first, ["niche", "sub"]).select("niche", "sub", "sub_pos", "term", "weight")
+
+    part, items = t(spark, d, "part"), t(spark, d, "items").dropna(subset=["kind", "brand", "name"])
+    base = part.select(F.col("p_type").alias("niche"), F.col("p_brand").alias("sub"), F.col("p_name").alias("term"), F.lit(1.0).alias("weight")).distinct()
+    small = part.filter("p_size = 1").select(F.col("p_type").alias("niche"), F.col("p_brand").alias("sub"), cat("new ", F.col("p_name")).alias("term"), F.lit(2.5).alias("weight"))
+    over = items.select(F.col("kind").alias("niche"), F.col("brand").alias("sub"), F.col("name").alias("term"), F.lit(2.5).alias("weight")).union(small).distinct()
+    return C.merge_taxonomy(placed(base), placed(over))
 
 
 _TAX = "tx AS (SELECT * FROM (VALUES " + ", ".join(
@@ -275,7 +288,7 @@ def niche_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "deviation_set",
     f"""WITH {_MORE}, x AS (SELECT brand, niche, unnest(['Price', 'Discount depth', 'Guarantee', 'Social proof volume', 'Ad volume', 'Stack maturity']) AS signal, unnest([price_median, max_discount, guarantee_days, review_count, CAST(b.ad_count AS DOUBLE), stack_score]) AS v, unnest([p, d, g, r, a, s]) AS n, unnest([1.4, 1.4, 1.4, 2, 1.8, 1.4]) AS q FROM b JOIN m USING (niche) WHERE brand_count >= 3),
-    na AS (SELECT niche, angle FROM (SELECT niche, angle, row_number() OVER (PARTITION BY niche ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1), ba AS (SELECT brand, angle FROM (SELECT brand, angle, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1)
+    na AS (SELECT niche, angle FROM (SELECT niche, angle, row_number() OVER (PARTITION BY niche ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1), ba AS (SELECT brand, angle FROM (SELECT brand, angle, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, angle) AS n FROM ads GROUP BY 1, 2) WHERE n = 1),
     y AS (SELECT *, CASE WHEN v / n >= q THEN 'above' ELSE 'below' END AS direction FROM x WHERE n > 0 AND v IS NOT NULL AND (v / n >= q OR v / n <= 1 / q))
     SELECT brand, signal, direction, CASE signal WHEN 'Price' THEN 'prices ' || CAST(floor(abs(v / n - 1) * 100 + 0.5) AS BIGINT) || '% ' || direction || ' the ' || niche || ' median — check whether the copy justifies it' WHEN 'Discount depth' THEN 'discounts ' || direction || ' the category norm' WHEN 'Guarantee' THEN 'guarantee window is ' || direction || ' the category norm'
       WHEN 'Social proof volume' THEN 'review count is ' || direction || ' the category norm' WHEN 'Ad volume' THEN 'running ' || direction || ' as many ads as the typical brand here' ELSE 'growth stack is ' || direction || ' the category norm' END AS note FROM y
@@ -293,3 +306,62 @@ def deviation_set(spark: SparkSession, d: str) -> DataFrame:
     f = f.join(lead("brand").withColumnRenamed("lead", "lead_angle"), "brand").withColumn("posture", F.when(F.col("brand") % 13 == 0, "stale").otherwise("steady"))
     norms = RU.norms(f).join(lead("niche").withColumnRenamed("lead", "niche_lead_angle"), "niche")
     return RU.deviation_set(f, norms).select("brand", "signal", "direction", "note")
+
+
+_SUBS = [(n, s, k) for k, (n, s) in enumerate((n, s) for n, subs in C.built_in().items() for s in subs)]
+_BUILT = "bt AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(n)}, {sql_str(s)}, {k}, {sql_str(x[0])}, {float(x[1])}::DOUBLE)" for n, s, k in _SUBS for x in C.built_in()[n][s]["terms"]) + ") v(niche, sub, pos, term, weight))"
+_NAMES = "[" + ", ".join(sql_str(s) for _, s, _ in _SUBS) + "]"
+_HINTS = "hn AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(n)}, {sql_str(s)}, {sql_str(a)})" for n, s, _ in _SUBS for a in C.built_in()[n][s]["audience"]) + ") v(niche, sub, audience))"
+_PEOPLE = "pe AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(a)}, {k}, {sql_str(x.rsplit(':', 1)[0])}, {float(x.rsplit(':', 1)[1])}::DOUBLE)" for k, (a, terms) in enumerate(rules.table(rules.AUDIENCES)) for x in terms.split(", ")) + ") v(audience, pos, term, weight))"
+_FOLD = "trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9''., -]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _whole(term: str) -> str:
+    """How often a term stands in x as a whole word (RE2 knows no looking around, so each hit takes the character before it)."""
+    return f"len(regexp_extract_all(' ' || replace(x, ' ', '  ') || ' ', '[^a-z0-9]' || replace(regexp_replace({term}, '([.+])', '\\\\\\1', 'g'), ' ', '  ') || '[^a-z0-9]'))"
+
+
+@query(
+    "built_in_classes",
+    f"""WITH {_BUILT}, {_HINTS}, {_PEOPLE}, nm AS (SELECT {_NAMES} AS s), tx AS (SELECT c_custkey AS id, {_FOLD} AS x FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN c_name || ' sells nothing of note' ELSE 'We do ' || s[1 + c_custkey % 73] || ' and ' || s[1 + (c_custkey * 7) % 73] || '. More ' || s[1 + c_custkey % 73] || ' for ' || c_mktsegment END AS x FROM customer, nm)),
+    gh AS (SELECT id, niche, sub, pos, term, weight, {_whole('term')} AS hits FROM tx CROSS JOIN bt), gs AS (SELECT id, niche, sub, min(pos) AS pos, sum(least(3.0, 1 + log2(hits)) * weight) AS raw FROM gh WHERE hits > 0 GROUP BY 1, 2, 3),
+    gn AS (SELECT *, sum(raw) OVER (PARTITION BY id, niche) AS total, row_number() OVER (PARTITION BY id ORDER BY round(raw, 9) DESC, pos) AS place FROM gs), lead AS (SELECT id, arg_min(niche, place) AS first, arg_min(total, place) AS won, max(total) AS most FROM gn GROUP BY id),
+    tops AS (SELECT gn.id, arg_min(niche, place) AS top FROM gn JOIN lead ON lead.id = gn.id AND gn.total > lead.most - 1e-9 GROUP BY gn.id), l AS (SELECT lead.id, CASE WHEN most > won + 1e-9 THEN top ELSE first END AS lead FROM lead JOIN tops ON tops.id = lead.id),
+    b AS (SELECT gn.* FROM gn JOIN (SELECT gn.id, min(place) AS chosen FROM gn JOIN l ON l.id = gn.id AND l.lead = gn.niche GROUP BY gn.id) c ON c.id = gn.id AND c.chosen = gn.place),
+    ah AS (SELECT id, audience, pos, {_whole('term')} AS hits, weight FROM tx CROSS JOIN pe), sa AS (SELECT id, audience, pos, least(3.0, 1 + log2(hits)) * weight AS score FROM ah WHERE hits > 0 UNION ALL SELECT b.id, hn.audience, p.pos, 6.0 FROM b JOIN hn ON hn.niche = b.niche AND hn.sub = b.sub JOIN (SELECT DISTINCT audience, pos FROM pe) p ON p.audience = hn.audience),
+    au AS (SELECT id, audience FROM (SELECT id, audience, sum(score) AS score, row_number() OVER (PARTITION BY id ORDER BY round(sum(score), 9) DESC, min(pos)) AS r FROM sa GROUP BY 1, 2) WHERE r = 1 AND score >= 4)
+    SELECT tx.id, coalesce(b.niche, 'Unclassified') AS niche, coalesce(b.sub, 'Unclassified') AS sub, coalesce(floor(100 * (1 - exp(-(b.raw + b.total * 0.25) / 14)) + 0.5), 0.0) AS confidence, audience FROM tx LEFT JOIN b ON b.id = tx.id LEFT JOIN au ON au.id = tx.id""",
+)
+def built_in_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's words against the built-in niches; a ninth say nothing of any."""
+    k, s = F.col("c_custkey"), F.array(*[F.lit(s) for _, s, _ in _SUBS])
+    pick = lambda n: F.get(s, (n % 73).cast("int"))
+    text = F.when(k % 9 == 0, cat(F.col("c_name"), " sells nothing of note")).otherwise(cat("We do ", pick(k), " and ", pick(k * 7), ". More ", pick(k), " for ", F.col("c_mktsegment")))
+    texts = t(spark, d, "customer").select(k.alias("id"), T.normalise(text).alias("text"))
+    return C.classified(texts, C.built_in()).select("id", "niche", "sub", "confidence", "audience")
+
+
+@query("niche_medians", f"WITH {Q.ADS} SELECT niche, floor(median(reach) * 100 + 0.5) / 100 AS reach, floor(median(days) * 100 + 0.5) / 100 AS days, floor(median(variants) * 100 + 0.5) / 100 AS variants FROM ads GROUP BY 1")
+def niche_medians(spark: SparkSession, d: str) -> DataFrame:
+    """A18 over all ads of a niche, by narrowing histograms."""
+    return RU.exact_medians(Q.ads(spark, d), ["niche"], ["reach", "days", "variants"])
+
+
+@query("recorded_searches", """WITH o AS (SELECT o_custkey AS brand, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+ SELECT * FROM (SELECT 'c' || brand AS brand, 'Customer ' || brand AS matched_query, row_number() OVER (PARTITION BY brand ORDER BY n) AS pos, CAST(k AS VARCHAR) AS id FROM o WHERE NOT (brand % 7 = 0 AND n >= 4) AND k % 5 <> 0) WHERE pos <= 12""")
+def recorded_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer is a search, its orders the ads on pages of four; every fifth ad has no id and does not count, every seventh
+    search breaks on its second page."""
+    from adlens.sources import providers as V
+
+    own = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), own.alias("n")).withColumn("page", F.floor(F.col("n") / 4))
+    requests = V.graph_requests(t(spark, d, "customer").select(cat("c", F.col("c_custkey")).alias("brand"), F.lit(0).alias("pos"), cat("Customer ", F.col("c_custkey")).alias("term")), ["DE"], 12)
+    ad = F.when(F.col("k") % 5 == 0, F.lit('{"note":1}')).otherwise(cat('{"id":"', F.col("k"), '"}'))
+    body = o.groupBy("c", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", ad.alias("x")))), lambda x: x["x"]), ",").alias("data"))
+    broken = (F.col("c") % 7 == 0) & (F.col("page") == 1)
+    text = F.when(broken, F.lit("<html>busy</html>")).otherwise(cat('{"data":[', F.col("data"), '],"paging":{"next":"https://next/', F.col("c"), "/", F.col("page") + 1, '"}}'))
+    first = requests.select(F.regexp_replace("brand", "c", "").cast("long").alias("c"), "url")
+    pages = body.join(first, "c").select(F.when(F.col("page") == 0, F.col("url")).otherwise(cat("https://next/", F.col("c"), "/", F.col("page"))).alias("url"), F.lit(200).alias("status"), text.alias("body"))
+    found, _ = V.graph_records(requests, pages)
+    return found.select("brand", "matched_query", F.col("pos").cast("long").alias("pos"), F.get_json_object("record", "$.id").alias("id"))

@@ -30,7 +30,7 @@ def listicles(spark: SparkSession, d: str) -> DataFrame:
     return body.select(cat("https://list", n, ".org/best").alias("url"), html.alias("html"))
 
 
-_LISTED = "c AS (SELECT 'https://list' || s_nationkey || '.org/best' AS page_url, 'brand' || s_suppkey || '.com' AS domain, 'https://www.brand' || s_suppkey || '.com/' AS url, 'Brand' || s_suppkey || ' review' AS name, 2 AS mentions, 48.0 AS score FROM supplier UNION ALL SELECT DISTINCT 'https://list' || s_nationkey || '.org/best', 'nav' || s_nationkey || '.com', 'https://nav' || s_nationkey || '.com/', 'Nav Link', 1, 20.0 FROM supplier)"
+_LISTED = "c AS (SELECT 'https://list' || s_nationkey || '.org/best' AS page_url, 'brand' || s_suppkey || '.com' AS domain, 'https://www.brand' || s_suppkey || '.com/' AS url, 'Brand' || s_suppkey || ' review' AS name, 2 AS mentions, 48.0 AS score, 'Brand ' || s_suppkey AS anchors FROM supplier UNION ALL SELECT DISTINCT 'https://list' || s_nationkey || '.org/best', 'nav' || s_nationkey || '.com', 'https://nav' || s_nationkey || '.com/', 'Nav Link', 1, 20.0, 'Nav Link' FROM supplier)"
 
 
 @query("listed_brands", f"WITH {_LISTED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY score DESC, domain) AS place FROM c) WHERE place <= 25")
