@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -23,9 +24,17 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[\s\x{A0}\x{FEFF}\x{2028}\x{2029}]+", " "))
 
 
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+
+
+def without_accents(x: str) -> str:
+    """x decomposed for compatibility, its combining marks gone."""
+    return x if x.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", x))
+
+
 def _decompose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not 0x300 <= ord(c) <= 0x36F))
+        yield s.map(lambda x: None if x is None else without_accents(x))
 
 
 def _fold(s: Column) -> Column:

@@ -78,6 +78,8 @@ def merge_taxonomy(base: DataFrame, override: DataFrame) -> DataFrame:
 
 #: Terms that become part of the plan; more are joined.
 PLANNED_TERMS = 5_000
+#: Up to so many terms it is cheaper to look for each than to look up a text's runs.
+FEW_TERMS = 64
 
 
 def term_hits(texts: DataFrame, terms: DataFrame, id_col: str = "id") -> DataFrame:
@@ -94,7 +96,10 @@ def term_hits(texts: DataFrame, terms: DataFrame, id_col: str = "id") -> DataFra
     indexed = folded.withColumn("anchor", F.get(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), 0)["r"])
     known = indexed.limit(PLANNED_TERMS + 1).collect()
     own = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))
-    if len(known) <= PLANNED_TERMS:
+    if len(known) <= FEW_TERMS:
+        every = [F.struct(F.lit(r.term).alias("term"), F.lit(r.folded).alias("folded")) for r in sorted(known, key=lambda r: r.term)]
+        held = texts.select(id_col, "text", (F.array(*every) if every else F.expr("cast(array() as array<struct<term:string,folded:string>>)")).alias("met"))
+    elif len(known) <= PLANNED_TERMS:
         by: dict[str, list[dict]] = {}
         for r in sorted(known, key=lambda r: r.term):
             by.setdefault(r.anchor or "", []).append({"term": r.term, "folded": r.folded})

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,37 +16,68 @@ from adlens.functions import text as T
 from adlens.functions.lineage import written
 
 
-#: Between the sentences of a text.
-MARK = "\x01"
-
-
-def _gram_counts(most: int) -> Column:
-    """A pandas UDF: folded text -> struct of the grams of its sentences and how often each stands there."""
-    stops = frozenset(STOPWORDS)
-    thousands, edge = re.compile(r"(?<=[0-9]),(?=[0-9]{3}(?![A-Za-z0-9_]))"), re.compile(r"[^a-z0-9'+-]+")
-
-    def of(text: str | None) -> Counter:
-        found: Counter = Counter()
-        for sentence in (text or "").split(MARK):
-            tokens = [t for t in edge.split(thousands.sub("", sentence)) if t]
-            # What a token is: 0 no edge of a gram, 1 only a first word, 2 either.
-            kind = [0 if t in stops else 1 if t.isdigit() else 2 for t in tokens]
-            good = [len(t) >= 2 and not t.isdigit() for t in tokens]
-            for i, first in enumerate(kind):
-                if first:
-                    usable = False
-                    for j in range(i, min(i + most, len(tokens))):
-                        usable = usable or good[j]
-                        if kind[j] == 2 and usable:
-                            found[" ".join(tokens[i : j + 1])] += 1
-        return found
-
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            each = [of(x) for x in s]
-            yield pd.DataFrame({"term": [list(c) for c in each], "n": [list(c.values()) for c in each]})
-
-    return F.pandas_udf(count, "term array<string>, n array<int>")
+#: How a text falls into sentences and tokens: as functions.text has it for columns.
+_SPACE = re.compile(r"[\s\u00a0\ufeff\u2028\u2029]+")
+_SENTENCE = re.compile("(?<=[.!?…])\\s+(?=[A-Z0-9\"'“‘(])")
+_QUOTES = str.maketrans("’‘`“”", "\'\'\'\"\"")
+_OTHER = re.compile(r"[^a-z0-9%$£€'\".,!?/+\-\s]")
+_THOUSANDS = re.compile(r"(?<=[0-9]),(?=[0-9]{3}(?![A-Za-z0-9_]))")
+_EDGE = re.compile(r"[^a-z0-9'+-]+")
+
+
+def sentence_tokens(text: str, fold: bool = True) -> list[list[str]]:
+    """The tokens of each sentence of a text, thousands separators joined."""
+    out = []
+    for sentence in _SENTENCE.split(_SPACE.sub(" ", text).strip()):
+        own = _OTHER.sub(" ", T.without_accents(sentence.lower()).translate(_QUOTES)) if fold else sentence.lower()
+        tokens = [t for t in _EDGE.split(_THOUSANDS.sub("", own)) if t]
+        if tokens:
+            out.append(tokens)
+    return out
+
+
+def count_grams(sentences: list[list[str]], most: int, stops: frozenset[str], allowed: frozenset[str] | None = None) -> Counter:
+    """How often each gram of up to `most` tokens stands in the sentences. allowed: tokens outside it end a gram."""
+    found: Counter = Counter()
+    for tokens in sentences:
+        # What a token is: 0 no edge of a gram, 1 only a first word, 2 either; below 0 none at all.
+        kind = [-1 if allowed is not None and t not in allowed else 0 if t in stops else 1 if t.isdigit() else 2 for t in tokens]
+        good = [len(t) >= 2 and not t.isdigit() for t in tokens]
+        n = len(tokens)
+        for i in range(n):
+            if kind[i] > 0:
+                term, usable = tokens[i], good[i]
+                if usable and kind[i] == 2:
+                    found[term] += 1
+                for j in range(i + 1, min(i + most, n)):
+                    if kind[j] < 0:
+                        break
+                    term += " " + tokens[j]
+                    usable = usable or good[j]
+                    if usable and kind[j] == 2:
+                        found[term] += 1
+    return found
+
+
+def _exploded(texts: DataFrame, keep: list[str], of: Callable[..., Counter], more: tuple[str, ...] = ()) -> DataFrame:
+    """keep, term, n: a row for each entry of the counter that `of` makes of a text (and of the columns named in more)."""
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep) + ", term string, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows, terms, n = [], [], []
+                for k, values in enumerate(zip(*[part.column(c).to_pylist() for c in ("text", *more)], strict=True)):
+                    found = of(values[0] or "", *values[1:])
+                    rows += [k] * len(found)
+                    terms += found
+                    n += found.values()
+                own = pa.Table.from_batches([part.select(keep)]).take(pa.array(rows, pa.int64())) if keep else None
+                columns = {c: own.column(c) for c in keep} | {"term": pa.array(terms, pa.string()), "n": pa.array(n, pa.int64())}
+                yield from pa.table(columns).to_batches(65_536)
+
+    return texts.select(*dict.fromkeys((*keep, "text", *more))).mapInArrow(run, schema)
 
 
 def grams(texts: DataFrame, keys: list[str], most: int = 4, fold: bool = True) -> DataFrame:
@@ -54,11 +85,28 @@ def grams(texts: DataFrame, keys: list[str], most: int = 4, fold: bool = True) -
     times they stand in it. Grams do not cross sentences; none has a stop word at an edge or ends in a number, and one of its tokens
     is usable (two characters, not a number). A text's own grams are counted where it stands, so an ad that is one row, as here, is
     one row a term behind it, and counting ads needs a single shuffle. fold=False takes the text as folded already."""
-    # A text is folded once, its sentences parted by a mark that folding leaves alone.
-    marked = F.array_join(T.sentences(F.col("text")), MARK)
-    rows = texts.select(*keys, "ad", "exposure", (T.normalise(marked, MARK) if fold else F.lower(marked)).alias("folded"))
-    rows = rows.select(*keys, "ad", "exposure", _gram_counts(most)("folded").alias("g"))
-    return rows.select(*keys, "ad", "exposure", F.explode(F.arrays_zip("g.term", "g.n")).alias("x")).select(*keys, "ad", "exposure", "x.term", F.col("x.n").cast("long").alias("n"))
+    stops = frozenset(STOPWORDS)
+    return _exploded(texts, [*keys, "ad", "exposure"], lambda text: count_grams(sentence_tokens(text, fold), most, stops))
+
+
+def frequent_grams(texts: DataFrame, totals: DataFrame, keys: list[str], least: Column | int | None = None, most: int = 4) -> DataFrame:
+    """`grams`, but only those that can reach their group's floor: a gram is in no more ads than any of its tokens, so the tokens are
+    counted first, and a token below the floor ends every gram. A floor of a share of the ads leaves a list of tokens that is
+    bounded by an ad's length over that share; it is joined to the texts by their keys. totals: keys, total."""
+    floor = least_ads(F.col("total")) if least is None else F.lit(least) if isinstance(least, int) else least
+    tokens = _exploded(texts, keys, lambda text: Counter({t: 1 for own in sentence_tokens(text) for t in own}))
+    often = tokens.groupBy(*keys, "term").agg(F.count("*").alias("ads")).join(totals.withColumn("floor", floor), keys).filter("ads >= floor")
+    allowed = often.groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("allowed"))
+    stops, known = frozenset(STOPWORDS), {}
+
+    def of(text: str, words: list[str], *group: str) -> Counter:
+        if group not in known:
+            if len(known) > 64:
+                known.clear()
+            known[group] = frozenset(words)
+        return count_grams(sentence_tokens(text), most, stops, known[group])
+
+    return _exploded(texts.join(allowed, keys), [*keys, "ad", "exposure"], of, ("allowed", *keys))
 
 
 def without_names(rows: DataFrame, banned: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,7 +232,7 @@ def brand_vocabulary(ads: DataFrame, brands: DataFrame) -> DataFrame:
     counts = ads.groupBy("brand").agg(F.count("*").alias("ads"))
     totals = texts.select(*keys, "ad").distinct().groupBy(*keys).agg(F.count("*").alias("own")).join(counts, "brand").select(*keys, F.when(per_angle, F.col("own")).otherwise(F.col("ads")).alias("total"))
     floor = F.when(per_angle, 2).when(F.col("slot") == "signature", least_ads(F.col("total"))).otherwise(F.greatest(F.lit(2), least_ads(F.col("total")) - 1))
-    rows = without_names(grams(texts, keys), banned_names(brands, ["brand"]), ["brand"])
+    rows = without_names(frequent_grams(texts, totals, keys, floor), banned_names(brands, ["brand"]), ["brand"])
     ranked = rank(prefer_longer(term_stats(rows, totals, keys, floor), keys), keys)
     most = F.when(per_angle, 6).when(F.col("slot") == "signature", 40).otherwise(12)
     return drop_shifted(ranked, keys, 40).filter(F.col("place") <= most)

@@ -122,7 +122,7 @@ def ngram_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return V.term_stats(V.grams(texts(spark, d), ["brand"]), totals(spark, d), ["brand"])
+    return V.term_stats(V.frequent_grams(texts(spark, d), totals(spark, d), ["brand"]), totals(spark, d), ["brand"])
 
 
 _STATS = f"""{_GRAMS}, tot AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),

@@ -100,9 +100,10 @@ def test_classify(spark):
     texts = texts.union(spark.createDataFrame([(4, "nad+ whey protein filler 7, filler 77"), (5, None), (6, "x + y")], "id int, text string"))
     want = {(1, "whey protein", 2), (1, "shake", 1), (1, "green tea", 1), (2, "serum", 1), (4, "whey protein", 1), (4, "filler 7", 1), (6, "+", 1)}
     assert {tuple(r) for r in C.term_hits(texts, many).collect()} == want
-    limit, C.PLANNED_TERMS = C.PLANNED_TERMS, 10
-    assert {tuple(r) for r in C.term_hits(texts, many).collect()} == want
-    C.PLANNED_TERMS = limit
+    before = C.FEW_TERMS, C.PLANNED_TERMS
+    for C.FEW_TERMS, C.PLANNED_TERMS in ((5, 5000), (5, 10)):
+        assert {tuple(r) for r in C.term_hits(texts, many).collect()} == want
+    C.FEW_TERMS, C.PLANNED_TERMS = before
     merged = C.merge_taxonomy(tax, C.taxonomy(spark, {"Food": {"Tea": {"terms": ["oolong"]}}, "New": {"A": {"terms": ["b"]}}}))
     assert {(r["sub"], r.term) for r in merged.collect() if r["sub"] in ("Tea", "A")} == {("Tea", "oolong"), ("A", "b")}
 
