@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from adlens.llm import bpe, langid, licenses, lines, media, mixing, neighbours, packing, pii, prefixtrie, simhash, suffix, translog
 from adlens.llm.common import table
+from adlens.llm.oracles import ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_pii, op2_licenses, op3_media, op4_suffix, op5_lines, op6_neighbours, op7_mixing, op8_simhash, op9_bpe, op10_langid, op11_translog, op12_packing, op13_prefixtrie)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+

@@ -248,3 +248,18 @@ def test_louds_navigates():
     assert sums.tolist() == below[trie.order].tolist()
 
 
+
+
+@pytest.mark.parametrize("name", ["op11_translog", "op13_prefixtrie"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from adlens.llm.queries import ORACLES, QUERIES
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
+    df, rel = QUERIES[name](spark, d), con.sql(ORACLES[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(rel.columns)
+    assert ordered(tuple(r[c] for c in columns) for r in df.collect()) == ordered(tuple(dict(zip(rel.columns, r, strict=True))[c] for c in columns) for r in rel.fetchall())
