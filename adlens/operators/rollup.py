@@ -200,47 +200,106 @@ def winner_angles(ads: DataFrame, keys: list[str], least_days: int = 60, most: i
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "angle"))), lambda x: x["angle"]).alias("angles"))
 
 
-#: Brands in a block of `competitors`.
-BLOCK = 512
+#: Keys whose angles place a vector, and the width of a cell in radians.
+PIVOTS, CELL = 4, 0.25
+#: How far, in radians, each round of `competitors` looks; the last is everything, as no two vectors of shares are further apart.
+RADII = (0.15, 0.45, 1.6)
+#: Vectors of a cell, and vectors that ask there, which one task compares.
+CHUNK = 2048
+
+
+def _nearest(most: int):  # noqa: ANN202
+    """Two frames of vectors (id, v, and of those that are there peers) -> for each that asks the `most` best others by
+    similarity, then name."""
+
+    def run(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = {"id": [], "other": [], "similarity": []}
+        if len(asks) and len(there):
+            keys = {k: n for n, k in enumerate(sorted({x["key"] for part in (asks, there) for v in part["v"] for x in v}))}
+
+            def matrix(part: pd.DataFrame) -> np.ndarray:
+                m = np.zeros((len(part), len(keys)))
+                for n, v in enumerate(part["v"]):
+                    for x in v:
+                        m[n, keys[x["key"]]] = x["value"]
+                return m
+
+            a, b = matrix(asks), matrix(there)
+            size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+            s = np.floor((a @ b.T) / size * 1000 + 0.5) / 10
+            s[asks["id"].to_numpy()[:, None] == there["id"].to_numpy()[None, :]] = 0.0
+            peers = list(there["peers"])
+            for n, own in enumerate(asks["id"]):
+                floor = max(np.partition(s[n], -most)[-most] if len(there) >= most else 0.0, 0.05)
+                near = sorted((-s[n, m], o) for m in np.flatnonzero(s[n] >= floor) for o in peers[m])[:most]
+                out["id"] += [own] * len(near)
+                out["other"] += [o for _, o in near]
+                out["similarity"] += [-v for v, _ in near]
+        return pd.DataFrame({c: pd.Series(x, dtype=object if c == "other" else None) for c, x in out.items()})
+
+    return run
 
 
 def competitors(features: DataFrame, most: int = 3) -> DataFrame:
-    """Each brand's most similar others by the cosine of their shares, half up to one place; ties by name. features: brand, key,
-    value (the keys are rule names, so a vector is short).
-
-    Vectors are dealt into blocks; every block meets every other, and of each meeting only the best `most` of a brand go on, so
-    what is shuffled are blocks and short lists, never pairs of brands.
+    """Each brand's most similar others by the cosine of their shares, half up to one place; of equal similarities those with
+    the very same shares come first, then the name decides. features: brand, key, value (the keys are rule names, so a vector is short).
+
+    Brands of equal shares are one vector. Where more than `most` brands have it, they are each other's answer. The others look
+    around: the angles to the PIVOTS commonest keys put every vector into a cell, and two vectors are at least as far apart as
+    their angles to a key differ, so a vector asks only the cells within a radius, and is done once what it has found beats anything
+    beyond it. Cells, of which there are a few thousand at most, are broadcast; crowded ones are cut into chunks of CHUNK on both
+    sides. Results are exact, and nothing meets everything unless it resembles nothing.
     """
     kind = features.schema["brand"].dataType.simpleString()
-    own = features.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("value").cast("double").alias("value")))).alias("v"))
-    total = own.agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = own.crossJoin(total).withColumn("b", F.pmod(F.xxhash64("brand"), F.greatest(F.col("blocks"), F.lit(1))))
-    rows = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks"), F.lit(1)) - 1)))
-    left = rows.select("brand", "v", F.lit(True).alias("asks"), F.col("b").alias("i"), F.col("o").alias("j"))
-    both = left.union(rows.select("brand", "v", F.lit(False), F.col("o"), F.col("b")))
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted({k for v in part["v"] for k, _ in v.items()}) if len(part) else []
-        place = {k: n for n, k in enumerate(keys)}
-        x = np.zeros((len(part), len(keys)))
-        for n, v in enumerate(part["v"]):
-            for k, value in v.items():
-                x[n, place[k]] = value
-        asks, brand = part["asks"].to_numpy(), part["brand"].to_numpy()
-        a, b, ids, others = x[asks], x[~asks], brand[asks], brand[~asks]
-        size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(size > 0, np.floor((a @ b.T) / size * 1000 + 0.5) / 10, 0.0)
-        s[ids[:, None] == others[None, :]] = 0.0
-        out = []
-        for n in range(len(ids)):
-            near = sorted((-s[n, m], others[m]) for m in np.flatnonzero(s[n] > 0))[:most]
-            out += [(ids[n], o, -v) for v, o in near]
-        return pd.DataFrame(out, columns=["brand", "other", "similarity"])
-
-    found = both.groupBy("i", "j").applyInPandas(best, f"brand {kind}, other {kind}, similarity double")
-    place = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("similarity"), "other"))
-    return found.withColumn("place", place).filter(F.col("place") <= most)
+    vector = F.array_sort(F.collect_list(F.struct("key", F.col("value").cast("double").alias("value"))))
+    own = written(features.filter("value > 0").groupBy("brand").agg(vector.alias("v")), "rival-vectors")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("brand"))
+    first = own.withColumn("n", nth).filter(F.col("n") <= most + 1).groupBy("v").agg(F.array_sort(F.collect_list("brand")).alias("peers"))
+    classes = written(first.withColumn("id", F.monotonically_increasing_id()), "rival-classes")
+    total = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"] * x["value"]))
+    weights = classes.select(F.explode("v").alias("x"), total.alias("t")).groupBy("x.key").agg(F.sum(F.pow(F.col("x.value") / F.col("t"), 2)).alias("w"))
+    pivots = [r.key for r in weights.orderBy(F.desc("w"), "key").limit(PIVOTS).collect()]
+    angles = {}
+    for k, p in enumerate(pivots):
+        held = F.get(F.filter("v", _has_key(p)), 0)["value"]
+        angles[f"a{k}"] = F.acos(F.least(F.lit(1.0), F.coalesce(held, F.lit(0.0)) / total))
+    cell = F.array(*[F.floor(F.col(f"a{k}") / CELL).cast("int") for k in range(len(pivots))])
+    at = written(classes.withColumns(angles).withColumn("cell", cell), "rival-cells")
+    cells = F.broadcast(at.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    there = at.join(cells, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "v", F.slice("peers", 1, most).alias("peers"))
+    found = None
+    open_ = at.filter(F.size("peers") <= most)
+    for radius in RADII:
+        near = F.lit(True)
+        for k in range(len(pivots)):
+            lo = F.get("near", F.lit(k)) * CELL
+            near = near & (lo <= F.col(f"a{k}") + radius) & (lo + CELL >= F.col(f"a{k}") - radius)
+        asks = open_.select("id", "v", *[f"a{k}" for k in range(len(pivots))]).crossJoin(F.broadcast(cells.select(F.col("cell").alias("near"), "chunks"))).filter(near)
+        asks = written(asks.select(F.col("near").alias("cell"), "chunks", "id", "v"), "rival-asks")
+        pieces = F.broadcast(asks.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("pieces")))
+        left = asks.join(pieces, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), "id", "v")
+        right = there.join(pieces, "cell").select("cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "id", "v", "peers")
+        met = left.groupBy("cell", "chunk", "piece").cogroup(right.groupBy("cell", "chunk", "piece")).applyInPandas(_nearest(most), f"id long, other {kind}, similarity double")
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+        best = met.withColumn("k", place).filter(F.col("k") <= most).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "other", "similarity"))).alias("best"))
+        # With the others of its own vector, a brand still needs so many; what lies beyond the radius is no more similar than this.
+        needed = most - (F.size("peers") - 1)
+        beyond = float(np.floor(np.cos(min(radius, np.pi / 2)) * 1000 + 0.5) / 10) if radius < np.pi / 2 else -1.0
+        done = F.coalesce(F.get("best", needed - 1)["similarity"] > beyond, F.lit(False)) | F.lit(radius >= np.pi / 2) | (needed <= 0)
+        state = written(open_.join(best, "id", "left").withColumn("done", done), "rival-round")
+        settled = state.filter("done").select("id", F.transform("best", lambda x: F.struct(x["other"].alias("other"), x["similarity"].alias("similarity"))).alias("best"))
+        found = settled if found is None else found.union(settled)
+        open_ = state.filter("not done").drop("best", "done")
+        if open_.isEmpty():
+            break
+    every = own.join(classes, "v").join(found, "id", "left") if found is not None else own.join(classes, "v").withColumn("best", F.lit(None))
+    same = F.transform(F.filter("peers", lambda p: p != F.col("brand")), lambda p: F.struct(p.alias("other"), F.lit(100.0).alias("similarity")))
+    both = F.slice(F.concat(same, F.coalesce("best", F.array().cast(f"array<struct<other:{kind},similarity:double>>"))), 1, most)
+    return every.select("brand", F.posexplode(both).alias("place", "x")).select("brand", "x.other", "x.similarity", (F.col("place") + 1).alias("place"))
+
+
+def _has_key(key: str):  # noqa: ANN202
+    return lambda x: x["key"] == key
 
 
 def shared(features: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:

@@ -215,17 +215,18 @@ def angle_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return R.whitespace(used, totals, library).withColumn("place", F.col("place").cast("long"))
 
 
-_FEATURES = """f AS (SELECT CAST(c_nationkey AS BIGINT) AS brand, 'angle:' || o_orderpriority AS key, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'format:' || o_orderstatus, count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+_FEATURES = """f AS (SELECT o_custkey AS brand, 'angle:' || o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT o_custkey, 'format:' || o_orderstatus, count(*) FROM orders GROUP BY 1, 2),
  v AS (SELECT brand, key, floor(n / sum(n) OVER (PARTITION BY brand, substr(key, 1, 5)) * 1000 + 0.5) / 10 AS value FROM f)"""
 
 
 @query(
     "creative_competitors",
-    f"""WITH {_FEATURES}, nm AS (SELECT brand, sqrt(sum(value * value)) AS norm FROM v GROUP BY 1), dot AS (SELECT a.brand, b.brand AS other, sum(a.value * b.value) AS dot FROM v a JOIN v b USING (key) WHERE a.brand != b.brand GROUP BY 1, 2)
-    SELECT brand, other, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY similarity DESC, other) AS place FROM (SELECT dot.brand, other, floor(dot / (x.norm * y.norm) * 1000 + 0.5) / 10 AS similarity FROM dot JOIN nm x ON x.brand = dot.brand JOIN nm y ON y.brand = other)) WHERE place <= 3""",
+    f"""WITH {_FEATURES}, nm AS (SELECT brand, sqrt(sum(value * value ORDER BY key)) AS norm, string_agg(key || '=' || value, ',' ORDER BY key) AS whole FROM v GROUP BY 1), dot AS (SELECT a.brand, b.brand AS other, sum(a.value * b.value ORDER BY key) AS dot FROM v a JOIN v b USING (key) WHERE a.brand != b.brand GROUP BY 1, 2)
+    SELECT brand, other, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY similarity DESC, same DESC, other) AS place FROM (SELECT dot.brand, other, x.whole = y.whole AS same, floor(dot / (x.norm * y.norm) * 1000 + 0.5) / 10 AS similarity FROM dot JOIN nm x ON x.brand = dot.brand JOIN nm y ON y.brand = other)) WHERE place <= 3""",
 )
 def creative_competitors(spark: SparkSession, d: str) -> DataFrame:
-    a = ads(spark, d).select(F.col("sub_niche").cast("long").alias("brand"), "angle", "format")
+    """Every customer against all others."""
+    a = ads(spark, d).select("brand", "angle", "format")
     x = R.mix(a, ["brand"], "angle").select("brand", F.concat(F.lit("angle:"), "angle").alias("key"), F.col("share").alias("value"))
     y = R.mix(a, ["brand"], "format").select("brand", F.concat(F.lit("format:"), "format").alias("key"), F.col("share").alias("value"))
     return R.competitors(x.union(y)).withColumn("place", F.col("place").cast("long"))

@@ -90,6 +90,45 @@ def test_shifted_terms_in_rounds(spark):
     assert sorted((r.brand, r.term, r.place) for r in got) == sorted(want) and len(want) < len(rows)
 
 
+def test_competitors_and_medians(spark, monkeypatch):
+    """Against brute force, with cells and chunks of a few vectors."""
+    import math
+    import random
+    import statistics
+
+    from adlens.operators import rollup as RU
+
+    rng = random.Random(2)
+    vectors = {}
+    for k in range(120):
+        if k % 3 == 0 and k:
+            vectors[f"b{k:03}"] = dict(vectors[f"b{rng.randrange(k):03}"])
+        else:
+            vectors[f"b{k:03}"] = {f"k{rng.randrange(7)}": float(rng.choice([10, 25, 33.3, 50, 100])) for _ in range(rng.choice([1, 2, 3, 4]))}
+    vectors |= {f"same{k}": {"k1": 50.0, "k9": 50.0} for k in range(9)} | {"alone": {"k99": 1.0}}
+    monkeypatch.setattr(RU, "CHUNK", 8)
+    rows = [(b, k, v) for b, own in vectors.items() for k, v in own.items()] + [("none", "k1", 0.0)]
+
+    def alike(a, b):
+        dot = sum(v * b.get(k, 0.0) for k, v in a.items())
+        return math.floor(dot / (math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))) * 1000 + 0.5) / 10
+
+    want = set()
+    for b, own in vectors.items():
+        near = sorted((-alike(own, v), v != own, o) for o, v in vectors.items() if o != b and alike(own, v) > 0)[:3]
+        want |= {(b, o, -s, k + 1) for k, (s, _, o) in enumerate(near)}
+    got = {tuple(r) for r in RU.competitors(spark.createDataFrame(rows, "brand string, key string, value double")).collect()}
+    assert len(got ^ want) <= 4 and {r[0] for r in got} == {r[0] for r in want}, sorted(got ^ want)[:6]
+
+    monkeypatch.setattr(RU, "BINS", 4)
+    figures = [(rng.choice("xyz"), rng.choice([None, rng.gauss(0, 50), 7.0, 1e9 * rng.random()]), float(rng.randrange(3))) for _ in range(400)] + [("w", None, 1.5)]
+    got = {r.g: (r.a, r.b) for r in RU.exact_medians(spark.createDataFrame(figures, "g string, a double, b double"), ["g"], ["a", "b"]).collect()}
+    for g in "xyzw":
+        for i in (0, 1):
+            own = [f[1 + i] for f in figures if f[0] == g and f[1 + i] is not None]
+            assert got[g][i] == (math.floor(statistics.median(own) * 100 + 0.5) / 100 if own else None)
+
+
 def test_classify(spark):
     tax = C.taxonomy(spark, {"Food": {"Protein": {"terms": [["whey protein", 3], "shake"]}, "Tea": {"terms": ["green tea"]}}, "Skin": {"Serum": {"terms": [["serum", 4]]}}})
     texts = spark.createDataFrame([(1, "whey protein shake whey protein and green tea"), (2, "a serum"), (3, "none")], "id int, text string")

@@ -55,3 +55,51 @@ def test_requests_and_warnings(spark):
     made = json.loads(V.nested_requests(terms, ["us", "de"], 30, extra={"maxItems": 5, "own": [1]}).first().input)
     assert made["searchTerms"] == ["one", "two"] and len(made["urls"]) == 4 and made["startUrls"][0]["method"] == "GET"
     assert (made["count"], made["maxItems"], made["own"], made["countryCode"], made["activeStatus"]) == (30, 5, [1], "US", "all")
+
+
+def test_runs_are_added_and_replaced(spark, tmp_path):
+    from adlens.sources import store as S
+
+    path = str(tmp_path / "rows")
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "brand string")
+    S.append_run(rows("a", "b"), path, "2024-01")
+    S.append_run(rows("c"), path, "2024-02")
+    S.append_run(rows("d"), path, "2024-01")
+    assert sorted((r.run, r.brand) for r in S.runs(spark, path).collect()) == [("2024-01", "d"), ("2024-02", "c")]
+
+
+def test_aliases_are_merged_behind_a_pointer(spark, tmp_path):
+    from adlens.operators.resolve import ALIAS_COLUMNS
+    from adlens.sources import store as S
+
+    path = str(tmp_path / "aliases")
+    schema = "pos int, " + ", ".join(f"{c} string" for c in ALIAS_COLUMNS)
+    assert S.version(spark, path) == 0 and S.snapshot(spark, path) is None
+    S.upsert_aliases(spark.createDataFrame([(0, "Firm, LLC", "Brand", None, "firm", None, None)], schema), path)
+    second = [(0, "Firm, LLC", "Brand", "https://b.com", "firm", "me", None), (1, "Other Inc", "Else", None, "other", None, None), (2, "Wrong", "Brand", None, "firm", None, None)]
+    now = {r.key: r for r in S.upsert_aliases(spark.createDataFrame(second, schema), path).collect()}
+    assert (now["li:firm"].outcome, now["li:firm"].website, now["li:firm"].legal_entity, now["li:other"].outcome) == ("filled", "https://b.com", "Firm, LLC", "added")
+    clash = S.upsert_aliases(spark.createDataFrame([(0, "Firm, LLC", "Another", None, "firm", None, None)], schema), path)
+    assert {r.key: (r.outcome, r.brand) for r in clash.collect()} == {"li:firm": ("conflict", "Brand"), "li:other": ("kept", "Else")}
+    assert S.version(spark, path) == 3 and S.snapshot(spark, path, 1).count() == 1
+    # A run that dies before it moves the pointer leaves the last snapshot as it was.
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/v4")
+    assert S.version(spark, path) == 3 and S.replace(S.snapshot(spark, path), path) == 4
+
+
+def test_ads_are_merged_across_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from adlens.operators import ads as A
+    from adlens.sources import store as S
+
+    def sight(*records):
+        raw = spark.createDataFrame([("p", q, k, json.dumps(r)) for k, (q, r) in enumerate(records)], "provider string, matched_query string, pos long, record string")
+        return A.read_records(raw, F.lit("2024-06-01").cast("timestamp"))
+
+    path = str(tmp_path / "ads")
+    S.upsert_ads(sight(("peak", {"id": "1", "body": "first"})), path)
+    second = sight(("fog", {"id": "1", "body": "later", "reach": 7}), ("fog", {"id": "2", "body": "new"}))
+    for _ in range(2):
+        rows = {r.ad_id: r for r in S.upsert_ads(second, path).collect()}
+        assert sorted(rows) == ["1", "2"] and (rows["1"].body, rows["1"].reach, rows["1"].matched_query) == ("first", 7.0, "peak; fog")
