@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from adlens.llm.common import text_of
 from adlens.llm.spans import placed
 
-#: Characters before a span in which a context word counts.
+#: Characters before and behind a span in which a context word counts.
 WINDOW = 48
 #: Spans beyond the base kinds are reported from this score on.
 MIN_SCORE = 0.5
@@ -58,7 +58,7 @@ def octets(m: Column) -> Column:
 @dataclass(frozen=True)
 class Kind:
     """gate: what a text must hold for the expression to be run; ok: the validator; prior: the score of a confirmed
-    span; context: words that add `boost` when they stand shortly before it."""
+    span; context: words that add `boost` when they stand shortly before or behind it."""
 
     name: str
     gate: Callable[[Column], Column]
@@ -93,13 +93,14 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = text_of(text_col)
 
-    def score(kind: Kind, s: Column) -> Column:
+    def score(kind: Kind, s: Column, e: Column) -> Column:
         before = F.substring(text, F.greatest(s - WINDOW + 1, F.lit(1)), F.least(s, F.lit(WINDOW)))
-        return F.lit(kind.prior) + F.when(before.rlike(kind.context), kind.boost).otherwise(0.0)
+        behind = F.substring(text, e + 1, F.lit(WINDOW))
+        return F.lit(kind.prior) + F.when(before.rlike(kind.context) | behind.rlike(kind.context), kind.boost).otherwise(0.0)
 
     def spans(k: int, kind: Kind) -> Column:
         def one(x: Column) -> Column:
-            return F.struct(x["s"].alias("start"), F.lit(k).alias("k"), F.lit(kind.name).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), score(kind, x["s"].cast("int")).alias("score"))
+            return F.struct(x["s"].alias("start"), F.lit(k).alias("k"), F.lit(kind.name).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), score(kind, x["s"].cast("int"), (x["s"] + F.length(x["m"])).cast("int")).alias("score"))
 
         found = F.transform(placed(text, kind.regex, kind.ok), one)
         found = found if kind.base else F.filter(found, lambda x: x["score"] >= MIN_SCORE)
