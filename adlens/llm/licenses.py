@@ -72,19 +72,30 @@ odbl|open database|open (?:data commons )?(?:open )?database licen[sc]e|odbl-1\.
 odc-by|open data commons|open data commons attribution licen[sc]e|odc-by-1\.0|opendatacommons\.org/licenses/by
 pddl|public domain dedication|(?:open data commons )?public domain dedication and licen[sc]e|pddl-1\.0|opendatacommons\.org/licenses/pddl
 cc0|cc0|\bcc0(?: [0-9.]+)?\b|cc0-1\.0|creativecommons\.org/publicdomain/zero
-cc-by-nc-nd|nc|\bcc[ -]by-nc-nd\b|cc-by-nc-nd-[0-9.]+|creativecommons\.org/licenses/by-nc-nd
-cc-by-nc-sa|nc|\bcc[ -]by-nc-sa\b|cc-by-nc-sa-[0-9.]+|creativecommons\.org/licenses/by-nc-sa
-cc-by-nc|nc|\bcc[ -]by-nc\b|cc-by-nc-[0-9.]+|creativecommons\.org/licenses/by-nc
-cc-by-nd|nd|\bcc[ -]by-nd\b|cc-by-nd-[0-9.]+|creativecommons\.org/licenses/by-nd
-cc-by-sa|sa|\bcc[ -]by-sa\b|cc-by-sa-[0-9.]+|creativecommons\.org/licenses/by-sa
+cc-by-nc-nd|by-nc-nd|\bcc[ -]by-nc-nd\b|cc-by-nc-nd-[0-9.]+|creativecommons\.org/licenses/by-nc-nd
+cc-by-nc-sa|by-nc-sa|\bcc[ -]by-nc-sa\b|cc-by-nc-sa-[0-9.]+|creativecommons\.org/licenses/by-nc-sa
+cc-by-nc|by-nc|\bcc[ -]by-nc\b|cc-by-nc-[0-9.]+|creativecommons\.org/licenses/by-nc
+cc-by-nd|by-nd|\bcc[ -]by-nd\b|cc-by-nd-[0-9.]+|creativecommons\.org/licenses/by-nd
+cc-by-sa|by-sa|\bcc[ -]by-sa\b|cc-by-sa-[0-9.]+|creativecommons\.org/licenses/by-sa
 cc-by|cc|\bcc[ -]by\b|cc-by-[0-9.]+|creativecommons\.org/licenses/by
 cc-by|creative commons|creative commons attribution|cc-by|creativecommons\.org/licenses
 public-domain|public domain|(?:placed|released|is) (?:in|into|to) the public domain|cc-pddc|creativecommons\.org/publicdomain/mark
-proprietary|all rights reserved|all rights reserved|licenseref-proprietary|example\.invalid/eula
+proprietary|all rights reserved|all rights reserved|licenseref-(?:proprietary|commercial)|(?:www\.)?[a-z0-9.-]+/eula
 """
 
-#: Forms in which a license is named: expression, priority, certainty.
+#: Before a short name: a field or phrase that says what it is, and other names set beside it.
+_ONE = r"[a-z0-9.+-]{{1,24}}[ \t]{{0,2}}(?:/|,|\bor\b|\band\b|\bwith\b)[ \t]{{0,2}}\(?"
+_BESIDE = ("(?:" + _ONE) * 4 + ")?" * 4  # written out, as what stands before a place must have a greatest length
+_SAID = r"(?:licen[sc]e[sd]?(?: under| as)?(?: the)?[:=]?|licen[sc]e ?(?:identifier|type|name)[:=])"
+_GIVEN = r"(?:released|distributed|published|available|provided) under(?: the)?"
+_ID = r"(?:{spdx})(?:-only|-or-later|\+)?(?![a-z0-9+-]|\.[a-z0-9])"
+
+#: Forms in which a license is named: expression, priority, certainty. A short name counts alone, so that each of several that stand
+#: side by side is found; what has to stand before it is looked at only where the name itself is met.
 FORMS = (
+    ("(?=" + _ID + r")(?<=spdx-license-identifier:[ \t]{{0,3}}\(?" + _BESIDE + ")" + _ID, 5, 0.99),
+    ("(?=" + _ID + ")(?<=" + _SAID + r"[ \t\"'(]{{1,3}}" + _BESIDE + ")" + _ID, 4, 0.9),
+    ("(?=" + _ID + ")(?<=" + _GIVEN + r"[ \t\"'(]{{1,3}}" + _BESIDE + ")" + _ID, 4, 0.85),
     (r"spdx-license-identifier:[ \t]*(?:{spdx})(?![a-z0-9.+-])", 5, 0.99),
     (r"https?://(?:www\.)?{address}[a-z0-9._/-]*", 4, 0.95),
     (r"(?:licen[sc]ed|made available|released|distributed|published|provided) (?:under|by|with)(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? {name}(?:,? v(?:ersion|\.)? ?[0-9.]+)?", 3, 0.9),
@@ -98,7 +109,7 @@ _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One of these stands in every text that a rule or a base phrase can match, lower-cased.
-_HINTS = ("licen", "spdx", "creativecommons", "creative commons", "public domain", "publicdomain", "same terms as perl", "permission is hereby", "redistribution and use", "unencumbered", "all rights reserved", "gpl", "cddl", "eupl", "cecill", "wtfpl", "cc0", "http")
+_HINTS = ("licen", "released under", "distributed under", "published under", "available under", "provided under", "spdx", "creativecommons", "creative commons", "public domain", "publicdomain", "same terms as perl", "permission is hereby", "redistribution and use", "unencumbered", "all rights reserved", "gpl", "cddl", "eupl", "cecill", "wtfpl", "cc0", "http")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -107,7 +118,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     for form, priority, certainty in FORMS:
         for line in LICENSES.strip().splitlines():
             label, keyword, name, spdx, address = line.split("|") if line.count("|") == 4 else _fields(line)
-            gate = {5: "spdx-license", 4: "http"}.get(priority, keyword)
+            gate = "spdx-license" if priority == 5 else "http" if form.startswith("http") else "licen" if _SAID in form else " under" if _GIVEN in form else keyword
             out.append((label, gate, form.format(name=f"(?:{name})", spdx=spdx, address=f"(?:{address})"), priority, certainty))
     return out
 

@@ -63,6 +63,19 @@ def test_license_rules_and_suppression(spark):
     assert rows[0].labels == "mpl" and rows[0].score == 0.99
     assert rows[1].labels == "agpl" and rows[1].base_labels == ""
     assert "cc-by-nc" in rows[2].labels and rows[3].labels == ""
+    named = {
+        "License: BSD-3-Clause": "bsd-3-clause", "Released under GPL-3.0-only.": "gpl", "dual licensed MIT/Apache-2.0": "apache,mit", "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache,mit", "SPDX-License-Identifier: (LGPL-2.1-or-later AND Zlib)": "lgpl,zlib",
+        "license = 'ISC'": "", "licensed as ISC, or WTFPL": "isc,wtfpl", "The licence gives it to Ruby, mit Dank": "", "license: mitten": "", "license: MIT-0": "mit", "a license" + " x" * 200_000 + " License: ISC": "isc",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(named)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(named.values()))
+
+
+def test_context_on_either_side(spark):
+    texts = ["192.0.2.1 is my server ip", "the server ip is 192.0.2.1", "192.0.2.1 stands alone", "123-45-6789 is my social security number", "123-45-6789 is a number", "x" * 60 + " 192.0.2.1 " + "y" * 60 + " server"]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k].max_score for k in (0, 1, 2, 5)] == [1.0, 1.0, 0.7, 0.7]
+    assert rows[3].spans == "ssn:0:11" and rows[4].spans == ""
 
 
 def test_media_round_trip(spark):
