@@ -20,6 +20,8 @@ from adlens.llm.common import cut, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 BUCKETS = 4096
+#: Documents at a cut that one task orders; where more lie there, the bucket is cut again by further bits of the hash.
+FEW = 2000
 #: Patterns are planned on the driver; more distinct ones than this are refused, not dropped.
 MAX_PATTERNS = 100_000
 
@@ -87,6 +89,19 @@ def flow(patterns: Sequence[tuple[Sequence[int], int]], wanted: Sequence[int], r
     return given
 
 
+def _narrowed(inside: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """inside (p, h, size, gap, before, ...), of each pattern the rows of one stretch of hashes: those of the part of it where the
+    running sum crosses the gap, by the hash without its last `bits`; and the most rows that are left of a pattern."""
+    part = F.shiftrightunsigned("h", bits).alias("part") if bits else F.col("h").alias("part")
+    cut_ = inside.select("*", part)
+    sums = cut_.groupBy("p", "part").agg(F.sum("size").alias("n"), F.count("*").alias("c"), F.first("gap").alias("gap"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("p").orderBy("part"))
+    at = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("part", (F.col("upto") - F.col("n")).alias("before"), "c"))).alias("e")
+    found = sums.withColumn("upto", upto).groupBy("p").agg(at).filter("e is not null").collect()
+    here = inside.sparkSession.createDataFrame([(r.p, r.e.part, r.e.before) for r in found], "p long, part long, before long")
+    return cut_.drop("before").join(F.broadcast(here), ["p", "part"]).drop("part"), max((r.e.c for r in found), default=0)
+
+
 def _cuts(dealt: DataFrame, more: dict[int, int]) -> tuple[dict[int, list[tuple]], dict[int, int]]:
     """dealt (p, bucket, h, row, size), and the words that each pattern needs -> each pattern's stretches, and its gap.
 
@@ -101,15 +116,19 @@ def _cuts(dealt: DataFrame, more: dict[int, int]) -> tuple[dict[int, list[tuple]
         now = spark.createDataFrame([(p, gap[p], *at[p]) for p in live], "p long, gap long, cb long, ch long, cr long")
         left = dealt.join(F.broadcast(now), "p").filter("size > 0 and size <= gap and struct(bucket, h, row) >= struct(cb, ch, cr)")
         so_far = Window.partitionBy("p").orderBy("bucket")
-        sums = left.groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.first("gap").alias("gap")).withColumn("upto", F.sum("n").over(so_far))
-        edge = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))))
+        sums = left.groupBy("p", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("c"), F.first("gap").alias("gap")).withColumn("upto", F.sum("n").over(so_far))
+        edge = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "c")))
         edges = {r.p: (r.e, r.n) for r in sums.groupBy("p").agg(edge.alias("e"), F.sum("n").alias("n")).collect()}
         crossed = {}
         if any(e for e, _ in edges.values()):
             edge_df = spark.createDataFrame([(p, e.bucket, e.before) for p, (e, _) in edges.items() if e], "p long, bucket long, before long")
+            inside = left.join(F.broadcast(edge_df), ["p", "bucket"])
+            most, bits = max(e.c for e, _ in edges.values() if e), 64 - BUCKETS.bit_length() + 1
+            while most > FEW and bits:
+                bits = max(0, bits - 12)
+                inside, most = _narrowed(inside, bits)
             run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0))
-            inside = left.join(F.broadcast(edge_df), ["p", "bucket"]).withColumn("run", F.col("before") + run).filter("run > gap")
-            first = inside.groupBy("p").agg(F.min(F.struct("bucket", "h", "row", (F.col("run") - F.col("size")).alias("taken"))).alias("x"))
+            first = inside.withColumn("run", F.col("before") + run).filter("run > gap").groupBy("p").agg(F.min(F.struct("bucket", "h", "row", (F.col("run") - F.col("size")).alias("taken"))).alias("x"))
             crossed = {r.p: r.x for r in first.collect()}
         for p in live:
             if p in crossed:
