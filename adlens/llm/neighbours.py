@@ -185,7 +185,8 @@ def _against_all(queries: DataFrame, vectors: DataFrame, threshold: float, kind:
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of table: vec_id, n_links, component_id, kept, saturated (it was settled exactly) and audited_recall.
+    """One row per row of table: vec_id, n_links, component_id, kept, saturated (it was settled exactly), audited_recall (null where
+    no audited vector has a link) and audited_links, the links it was measured on.
 
     A vector that is null, zero or empty or holds a null or a non-finite component, and one whose label is null, has
     no links and is its own component; vectors of different lengths do not link. Rows that repeat an id link like
@@ -257,4 +258,4 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     # Equal vectors share the answer; the others are alone.
     out = rows.join(done.withColumnsRenamed({"label": "l", "dim": "d", "vector": "e"}), (F.col("vector") == F.col("e")) & (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")), "left")
     component = F.when(F.col("n_links").isNull() | (F.col("n_links") == 0), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.coalesce("saturated", F.lit(False)).alias("saturated"), F.lit(recall).alias("audited_recall"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.coalesce("saturated", F.lit(False)).alias("saturated"), F.lit(recall if n else None).cast("double").alias("audited_recall"), F.lit(n).cast("long").alias("audited_links"))
