@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -129,8 +130,12 @@ class Tree(HTMLParser):
     def select(self, selector: str) -> list[int]:
         """The elements that a selector matches: tags, #id, .class, [attribute], [attribute=value], descendants by a space,
         children by >, alternatives by a comma. A selector with anything else matches nothing."""
-        paths = [p for p in map(_path, selector.split(",")) if p]
-        return [k for k in range(len(self.elements)) if any(self._matches(k, p) for p in paths)]
+        found: set[int] = set()
+        for path in _paths(selector):
+            tag, conditions = path[-1][1]
+            here = (k for k, e in enumerate(self.elements) if (not tag or e.tag == tag) and (e.attrs or not conditions))
+            found.update(k for k in here if self._matches(k, path))
+        return sorted(found)
 
     def _matches(self, at: int, path: list[tuple[str, tuple]]) -> bool:
         link, simple = path[-1]
@@ -145,6 +150,11 @@ class Tree(HTMLParser):
 _PART = re.compile(r"""([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]""")
 
 
+@lru_cache(256)
+def _paths(selector: str) -> list[list[tuple[str, tuple]]]:
+    return [p for p in map(_path, selector.split(",")) if p]
+
+
 def _path(selector: str) -> list[tuple[str, tuple]]:
     """A selector as (how it hangs on the one before, (tag, conditions)) for each of its steps; empty where it cannot be read."""
     out, link = [], " "
@@ -175,7 +185,16 @@ def _fits(e: Element, simple: tuple) -> bool:
         own = e.attrs.get(name)
         if own is None:
             return False
-        fits = {"": True, "=": own == value, "~=": value in own.split(), "^=": value != "" and own.startswith(value), "$=": value != "" and own.endswith(value), "*=": value != "" and value in own, "|=": own == value or own.startswith(value + "-")}
-        if not fits[how]:
+        if how == "~=":
+            good = value in own.split()
+        elif how == "=":
+            good = own == value
+        elif how == "|=":
+            good = own == value or own.startswith(value + "-")
+        elif how:
+            good = value != "" and {"^=": own.startswith, "$=": own.endswith, "*=": own.__contains__}[how](value)
+        else:
+            good = True
+        if not good:
             return False
     return True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,17 +58,19 @@ def content_root(tree: Tree, selector: str | None = None) -> list[int]:
     return []
 
 
-def _heading_above(tree: Tree, at: int, tops: set[int]) -> int:
+def _heading_above(tree: Tree, at: int, tops: set[int], known: dict[int, list[int]]) -> int:
     """The heading that a link stands under: the nearest h2-h4 before one of its ancestors, among that one's siblings, from
-    the nearest ancestor up to the content root."""
+    the nearest ancestor up to the content root. known: the headings among each element's children, as far as looked for."""
     for up in tree.ancestors(at):
         if up in tops or not tops and tree.elements[up].tag == "body":
             break
         parent = tree.elements[up].parent
-        siblings = tree.elements[parent].children if parent >= 0 else [k for k, e in enumerate(tree.elements) if e.parent < 0]
-        for k in reversed(siblings):
-            if k < up and tree.elements[k].tag in _SECTIONS:
-                return k
+        if parent not in known:
+            siblings = tree.elements[parent].children if parent >= 0 else [k for k, e in enumerate(tree.elements) if e.parent < 0]
+            known[parent] = [k for k in siblings if tree.elements[k].tag in _SECTIONS]
+        before = bisect_left(known[parent], up)
+        if before:
+            return known[parent][before - 1]
     return -1
 
 
@@ -83,6 +86,7 @@ def parse(html: str | None, selector: str | None = None) -> dict:
     root = content_root(tree, selector)
     tops, covered = set(root), {k for at in root for k in tree.inside(at)}
     meta: dict[str, str] = {}
+    known: dict[int, list[int]] = {}
     for k in tree.all("meta"):
         if name := of[k].attrs.get("property") or of[k].attrs.get("name"):
             meta.setdefault(name.lower(), collapse(of[k].attrs.get("content", "")))
@@ -92,7 +96,7 @@ def parse(html: str | None, selector: str | None = None) -> dict:
         if not a.get("href"):
             continue
         own = tree.closest(k, _HEADS)
-        under = _heading_above(tree, k, tops) if own < 0 else -1
+        under = _heading_above(tree, k, tops, known) if own < 0 else -1
         images = [i for i in tree.inside(k) if of[i].tag == "img"]
         links.append({
             "pos": len(links), "href": a["href"], "text": text(k), "title": collapse(a.get("title", "")), "rel": a.get("rel", ""), "alt": collapse(of[images[0]].attrs.get("alt", "")) if images else "",

@@ -122,11 +122,13 @@ def brand_mix_breakdown(spark: SparkSession, d: str) -> DataFrame:
     "SELECT o_custkey AS brand, kind, detail, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, kind, detail) AS r FROM (SELECT o_custkey, l_returnflag AS kind, CAST(CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% off' AS detail, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)) WHERE r <= 10",
 )
 def offer_counts(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    """A customer's offers over its orders, each line being one."""
+    from adlens.operators import copy as X
 
     line = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    n = line.groupBy(F.col("o_custkey").alias("brand"), F.col("l_returnflag").alias("kind"), F.concat(F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), F.lit("% off")).alias("detail")).agg(F.count("*").alias("n"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("n"), "kind", "detail"))).filter("r <= 10").drop("r")
+    detail = F.concat(F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), F.lit("% off")).alias("detail")
+    own = line.groupBy(F.col("o_custkey").alias("brand"), F.col("o_orderkey").alias("pos")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("kind"), detail)).alias("offers"))
+    return X.offer_counts(own, ["brand"]).select("brand", "kind", "detail", "n")
 
 
 @query("niche_rollup", "SELECT c_mktsegment AS niche, c_nationkey AS sub_niche, count(*) AS brands FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
@@ -147,8 +149,12 @@ def angle_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("run_totals", "SELECT count(DISTINCT c_custkey) AS brands, count(DISTINCT o_custkey) AS brands_with_ads, count(o_orderkey) AS ads FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A17."""
+    from adlens.operators import report as O
+
     c = t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return c.agg(F.countDistinct("c_custkey").alias("brands"), F.countDistinct("o_custkey").alias("brands_with_ads"), F.count("o_orderkey").alias("ads"))
+    total = O.run_totals(c.groupBy(F.col("c_custkey").alias("brand")).agg(F.count("o_orderkey").alias("ad_count")))
+    return total.select(F.col("brands_profiled").alias("brands"), "brands_with_ads", F.col("ads_analysed").alias("ads"))
 
 
 def brand_figures(spark: SparkSession, d: str) -> DataFrame:
