@@ -16,7 +16,7 @@ from adlens.functions import score as S
 from adlens.functions import text as T
 from adlens.functions import url as U
 from adlens.functions.dom import Tree, collapse
-from adlens.functions.lineage import written
+from adlens.functions.lineage import shuffled, written
 
 PARSED = (
     "title string, meta map<string,string>, h1 string, headings array<string>, heads array<struct<tag:string,text:string>>, body string, json_ld array<string>, forms int, inputs int, contact_inputs int, ctas int, paragraphs int,"
@@ -282,22 +282,22 @@ def is_index(xml: Column) -> Column:
     return xml.rlike(r"(?i)<sitemapindex[\s>]")
 
 
-def crawl(documents: DataFrame, sites: DataFrame, most_maps: int = 12, most_urls: int = 2000) -> DataFrame:
+def crawl(documents: DataFrame, sites: DataFrame, most_maps: int = 12, most_urls: int | None = 2000) -> DataFrame:
     """(site, pos, url): the addresses a site publishes, breadth first over its sitemaps as documents (url,
-    body, and status if known) hold them, within its own domain; the caps are the first in order of the walk.
+    body, and status if known) hold them, within its own domain; the caps are the first in order of the walk (most_urls=None: all).
 
     Each round writes its frontier and what it found, so a round reads the files of those before it and nothing is worked
     out twice; the rounds end when no site has a new index, at the latest after most_maps, as none reads more maps."""
     documents = documents.filter("status < 400") if "status" in documents.columns else documents
     base = F.regexp_extract("site", r"^(https?://[^/]+)", 1)
-    robots = documents.join(sites.select("site", F.concat(base, F.lit("/robots.txt")).alias("url")), "url").select("site", robots_sitemaps(F.col("body")).alias("told"))
+    robots = documents.join(shuffled(sites.select("site", F.concat(base, F.lit("/robots.txt")).alias("url"))), "url").select("site", robots_sitemaps(F.col("body")).alias("told"))
     usual = F.array(F.concat(base, F.lit("/sitemap.xml")), F.concat(base, F.lit("/sitemap_index.xml")))
     start = sites.join(robots, "site", "left").select("site", F.posexplode(F.array_distinct(F.concat(F.coalesce("told", F.array().cast("array<string>")), usual))).alias("p", "url"))
     frontier = written(start.select("site", F.array(F.col("p")).alias("path"), "url"), "crawl-frontier")
     seen, found = frontier.select("site", "url").limit(0), None
     for _ in range(most_maps):
         fresh = frontier.groupBy("site", "url").agg(F.min("path").alias("path"))
-        read = fresh.join(documents, "url").filter(F.contains("body", F.lit("<loc")))
+        read = fresh.join(shuffled(documents), "url").filter(F.contains("body", F.lit("<loc")))
         inner = read.select("site", F.col("url").alias("map"), "path", is_index(F.col("body")).alias("index"), F.posexplode(sitemap_locs(F.col("body"))).alias("p", "url")).withColumn("path", F.concat("path", F.array("p")))
         inner = written(inner.filter(U.same_site(F.col("url"), F.col("site"))), "crawl-found")
         found = inner if found is None else found.union(inner)
@@ -307,7 +307,8 @@ def crawl(documents: DataFrame, sites: DataFrame, most_maps: int = 12, most_urls
             break
     maps = found.groupBy("site", "map").agg(F.min("path").alias("m")).withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy(F.size("m"), "m"))).filter(F.col("nth") <= most_maps)
     clean = found.filter("not index").join(maps.select("site", "map"), ["site", "map"]).withColumn("url", U.normalise_url(F.col("url"))).filter("url is not null").groupBy("site", "url").agg(F.min("path").alias("path"))
-    return clean.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy(F.size("path"), "path"))).filter(F.col("pos") <= most_urls).select("site", "pos", "url")
+    placed = clean.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy(F.size("path"), "path"))).select("site", "pos", "url")
+    return placed if most_urls is None else placed.filter(F.col("pos") <= most_urls)
 
 
 def kind_counts(published: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
@@ -470,7 +471,7 @@ def teardown(pages: DataFrame, advertised: DataFrame, most: int = 5, keys: tuple
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("exposure"), "url")) if keys else None
     top = advertised.withColumn("place_", place).filter(F.col("place_") <= most).drop("place_") if keys else advertised.orderBy(F.desc("exposure"), "url").limit(most)
     status = F.col("status") if "status" in pages.columns else F.lit(None).cast("int")
-    read = top.join(pages.select("url", "html", status.alias("status")), "url", "left")
+    read = top.join(shuffled(pages.select("url", "html", status.alias("status"))), "url", "left")
     bad = F.col("html").isNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
     error = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.col("html").isNull(), "not fetched")
     read = read.withColumn("error", error).withColumn("page", read_html(F.when(~bad, F.col("html"))))

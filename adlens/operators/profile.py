@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from adlens.dims import rules
 from adlens.functions import text as T
 from adlens.functions import url as U
+from adlens.functions.lineage import shuffled
 from adlens.operators import pages as P
 
 #: Further pages of a site that are read, by depth.
@@ -78,9 +79,9 @@ def read_product_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("url").alias("page_url"), "status", "body")
     base = F.regexp_replace(F.regexp_replace("url", r"\?.*$", ""), "/$", "")
     asked = targets.withColumn("file", F.when(F.col("url").rlike("(?i)/products/"), F.concat(base, F.lit(".js"))))
-    met = asked.join(own, F.col("url") == F.col("page_url"), "left").drop("page_url")
+    met = asked.join(shuffled(own), F.col("url") == F.col("page_url"), "left").drop("page_url")
     feeds = pages.filter("status < 400").select(F.col("url").alias("feed_url"), F.col("body").alias("feed"))
-    met = met.join(feeds, F.col("file") == F.col("feed_url"), "left").drop("feed_url")
+    met = met.join(shuffled(feeds), F.col("file") == F.col("feed_url"), "left").drop("feed_url")
     ok = F.coalesce(F.col("status") < 400, F.lit(False))
     read = met.withColumn("ok", ok).withColumn("page", P.read_html(F.when(ok, F.col("body"))))
     read = read.withColumn("x", F.when(F.col("ok"), product_page(F.col("body"), F.col("page.body"), F.col("page"), F.col("feed"))))
@@ -100,7 +101,7 @@ def product_targets(advertised: DataFrame, published: DataFrame, listed: DataFra
 def with_teardown(landing: DataFrame, teardowns: DataFrame) -> DataFrame:
     """Landing pages (url, ...) with the teardown of the same address, null where it was not read."""
     rest = [c for c in teardowns.columns if c != "url"]
-    return landing.join(teardowns.select("url", F.struct(*rest).alias("teardown")), "url", "left")
+    return landing.join(shuffled(teardowns.select("url", F.struct(*rest).alias("teardown"))), "url", "left")
 
 
 def policies(sites: DataFrame, pages: DataFrame) -> DataFrame:
@@ -108,16 +109,16 @@ def policies(sites: DataFrame, pages: DataFrame) -> DataFrame:
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     paths = F.posexplode(F.array(*[F.lit(p) for p in rules.POLICY_PATHS])).alias("place", "path")
     asked = sites.select("brand", base.alias("base"), paths).withColumn("at", F.concat("base", "path"))
-    met = asked.join(pages.filter("status < 400").select(F.col("url").alias("at"), "body"), "at").withColumn("text", F.substring(P.read_html(F.col("body"))["body"], 1, 20_000))
+    met = asked.join(shuffled(pages.filter("status < 400").select(F.col("url").alias("at"), "body")), "at").withColumn("text", F.substring(P.read_html(F.col("body"))["body"], 1, 20_000))
     return met.filter(T.word_count(F.col("text")) >= 40).select("brand", "place", "path", "text")
 
 
 def checkout(sites: DataFrame, pages: DataFrame) -> DataFrame:
     """One row a site (brand, url): cart style, currency, free-shipping threshold, ways to pay, pay-later providers, the
     other tools, return window, restocking fee, shipping terms, policies read. A policy counts in the order of its path."""
-    home = sites.join(pages.filter("status < 400").select("url", F.col("body").alias("html")), "url", "left")
+    home = sites.join(shuffled(pages.filter("status < 400").select("url", F.col("body").alias("html"))), "url", "left")
     carts = pages.filter("status < 400").select(F.col("url").alias("cart_url"), P.cart_currency(F.col("body")).alias("currency"))
-    home = home.withColumn("cart_url", F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/cart.js"))).join(carts, "cart_url", "left").withColumn("found", apps(F.col("html")))
+    home = home.withColumn("cart_url", F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/cart.js"))).join(shuffled(carts), "cart_url", "left").withColumn("found", apps(F.col("html")))
     one, two = (T.first_number(F.col("text"), T.js_regex(p, "i")) for p in rules.RETURN_WINDOWS)
     sentence = F.get(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x.rlike(f"(?i){rules.SHIPPING_NOTE}")), 0)
     p = policies(sites, pages).withColumns({"window": F.coalesce(one, two), "note": F.when(F.col("text").rlike("(?i)ship"), sentence), "fee": F.col("text").rlike("(?i)restocking fee")})
@@ -129,7 +130,7 @@ def checkout(sites: DataFrame, pages: DataFrame) -> DataFrame:
     ways = F.filter("found", lambda a: a.rlike("(?i)pay|klarna|afterpay|affirm|sezzle"))
     style = F.when(F.col("html").rlike(f"(?i){rules.DRAWER}"), "drawer").when(F.col("html").rlike(f"(?i){rules.CART_LINK}"), "page").otherwise("unknown")
     none = F.array().cast("array<string>")
-    return home.join(read, "brand", "left").select(
+    return home.join(shuffled(read), "brand", "left").select(
         "brand", style.alias("cart_style"), "currency", T.first_number(F.col("html"), T.js_regex(rules.CHECKOUT_OVER, "i")).alias("free_shipping_over"), F.coalesce(ways, none).alias("payment_methods"),
         F.coalesce(F.filter("found", lambda a: a.isin(*rules.BNPL)), none).alias("bnpl"), F.coalesce(F.array_except("found", ways), none).alias("stack"), "return_days", F.coalesce("fee", F.lit(False)).alias("restocking_fee"), "shipping_note", F.coalesce("read", none).alias("policies_read"),
     )
@@ -144,7 +145,7 @@ def profiles(candidates: DataFrame, pages: DataFrame, depth: str = "standard", m
     by later ones. EXTRA_PAGES says how many further pages of the site are read.
     """
     got = pages.select("url", "status", "content_type", "body")
-    home = candidates.join(got, "url", "left")
+    home = candidates.join(shuffled(got), "url", "left")
     is_html = F.coalesce(F.col("content_type"), F.lit("html")).rlike("(?i)html") | F.contains("body", F.lit("<"))
     error = F.when(F.col("status").isNull(), "homepage fetch failed").when(F.col("status") >= 400, F.concat(F.lit("homepage HTTP "), F.col("status").cast("string"))).when(~is_html, F.concat(F.lit("homepage returned "), F.coalesce("content_type", F.lit("non-HTML"))))
     home = P.page_meta(home.withColumn("error", error).withColumn("html", F.when(F.col("error").isNull(), F.col("body"))))
@@ -159,10 +160,10 @@ def profiles(candidates: DataFrame, pages: DataFrame, depth: str = "standard", m
     if depth != "fast":
         base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
         shops = home.filter(P.platform(F.col("html")) == "shopify").select("url", F.concat(base, F.lit("/products.json?limit=250")).alias("feed"))
-        feeds = shops.join(got.filter("status < 400").select(F.col("url").alias("feed"), "body"), "feed").select("url", "body")
+        feeds = shops.join(shuffled(got.filter("status < 400").select(F.col("url").alias("feed"), "body")), "feed").select("url", "body")
         found = found.union(P.shop_products(feeds, most).select("url", (F.col("place") + 2000).cast("long"), "name", "price", F.lit(None).cast("string"), "description"))
     if extra is not None:
-        more = extra.join(got.filter("status < 400").select(F.col("url").alias("to"), "body"), "to").withColumn("page", P.read_html(F.col("body")))
+        more = extra.join(shuffled(got.filter("status < 400").select(F.col("url").alias("to"), "body")), "to").withColumn("page", P.read_html(F.col("body")))
         own = more.select(F.col("url").alias("site"), F.col("to").alias("url"), "place", "page")
         site = own.select("site", "url", "place")
         later = P.ld_products(P.ld_rows(own)).join(site, "url").select("site", (3000 + F.col("place") * 100 + F.col("pos")).cast("long"), "name", "price", "currency", "description")
@@ -173,7 +174,7 @@ def profiles(candidates: DataFrame, pages: DataFrame, depth: str = "standard", m
     merged = P.dedupe_products(found.withColumn("pos", F.col("n")), ["url"], most)
     goods = merged.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "price", "currency", "description"))), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price"), x["currency"].alias("currency"), x["description"].alias("description"))).alias("products"))
     said = text.filter("t != ''").groupBy("url").agg(T.truncate(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])), " \n "), MAX_CORPUS).alias("text"), F.count("*").alias("read"))
-    out = home.join(org, "url", "left").join(links, "url", "left").join(goods, "url", "left").join(said, "url", "left")
+    out = home.join(shuffled(org), "url", "left").join(shuffled(links), "url", "left").join(shuffled(goods), "url", "left").join(shuffled(said), "url", "left")
     out = out.withColumn("products", F.coalesce("products", F.array().cast("array<struct<name:string,price:double,currency:string,description:string>>")))
     out = out.withColumns({"brand_name": T.truncate(F.coalesce(F.nullif("org_name", F.lit("")), "site_name", F.nullif("name", F.lit("")), U.brand_name(F.col("domain"))), 60), "about": F.coalesce("org_description", "description"), "text": F.coalesce("text", F.lit(""))})
     return out.select(

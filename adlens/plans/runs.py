@@ -9,6 +9,7 @@ from adlens.catalogue import query
 from adlens.dims import rules
 from adlens.functions import score as S
 from adlens.functions import text as T
+from adlens.functions.lineage import shuffled
 from adlens.operators import ads as A
 from adlens.operators import classify as C
 from adlens.operators import report as O
@@ -362,6 +363,6 @@ def recorded_searches(spark: SparkSession, d: str) -> DataFrame:
     broken = (F.col("c") % 7 == 0) & (F.col("page") == 1)
     text = F.when(broken, F.lit("<html>busy</html>")).otherwise(cat('{"data":[', F.col("data"), '],"paging":{"next":"https://next/', F.col("c"), "/", F.col("page") + 1, '"}}'))
     first = requests.select(F.regexp_replace("brand", "c", "").cast("long").alias("c"), "url")
-    pages = body.join(first, "c").select(F.when(F.col("page") == 0, F.col("url")).otherwise(cat("https://next/", F.col("c"), "/", F.col("page"))).alias("url"), F.lit(200).alias("status"), text.alias("body"))
+    pages = body.join(shuffled(first), "c").select(F.when(F.col("page") == 0, F.col("url")).otherwise(cat("https://next/", F.col("c"), "/", F.col("page"))).alias("url"), F.lit(200).alias("status"), text.alias("body"))
     found, _ = V.graph_records(requests, pages)
     return found.select("brand", "matched_query", F.col("pos").cast("long").alias("pos"), F.get_json_object("record", "$.id").alias("id"))

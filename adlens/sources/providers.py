@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from adlens.dims.rules import EU_COUNTRIES
-from adlens.functions.lineage import written
+from adlens.functions.lineage import shuffled, written
 
 RAW = "provider string, matched_query string, pos long, record string"
 
@@ -68,7 +68,7 @@ def graph_requests(terms: DataFrame, countries: Sequence[str], limit: int, statu
     rest.pop("limit")
     size = F.least(F.lit(100), F.col("quota")).cast("string")
     url = F.concat(F.lit(GRAPH + "search_terms="), F.url_encode("term"), F.lit("&" + urlencode(rest) + "&limit="), size)
-    return terms.join(n, "brand").withColumn("quota", quota).select("brand", "pos", "term", "quota", F.lit(limit).alias("most"), url.alias("url"))
+    return terms.join(shuffled(n), "brand").withColumn("quota", quota).select("brand", "pos", "term", "quota", F.lit(limit).alias("most"), url.alias("url"))
 
 
 def graph_records(requests: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +84,7 @@ def graph_records(requests: DataFrame, pages: DataFrame) -> tuple[DataFrame, Dat
     frontier = requests.select("brand", "pos", "term", "quota", "most", "url", F.lit(0).alias("have"))
     read = None
     for k in range(MOST_PAGES):
-        met = frontier.join(pages.select("url", "status", "body"), "url", "left").withColumn("v", A.parsed(F.col("body")))
+        met = frontier.join(shuffled(pages.select("url", "status", "body")), "url", "left").withColumn("v", A.parsed(F.col("body")))
         data = F.filter(F.try_variant_get("v", "$.data", "array<variant>"), A.is_ad)
         told = F.try_variant_get("v", "$.error.message", "string")
         bad = F.try_variant_get("v", "$.error", "variant").isNotNull()
