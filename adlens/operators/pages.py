@@ -22,6 +22,8 @@ PARSED = (
     "title string, meta map<string,string>, h1 string, headings array<string>, heads array<struct<tag:string,text:string>>, body string, json_ld array<string>, forms int, inputs int, contact_inputs int, ctas int, paragraphs int,"
     "links array<struct<pos:int,href:string,text:string,title:string,rel:string,alt:string,heading:string,in_heading:boolean,after_heading:boolean,in_item:boolean,has_image:boolean,in_chrome:boolean,in_content:boolean>>"
 )
+#: What is read of a batch goes back whenever its pages come to so many characters, so a task holds little more than its largest page.
+PARSED_CHARS = 1 << 20
 _HEADS = frozenset(("h1", "h2", "h3", "h4"))
 _SECTIONS = frozenset(("h2", "h3", "h4"))
 _CHROME = frozenset(("nav", "footer", "header", "aside"))
@@ -118,13 +120,24 @@ def read_html(html: Column, selector: str | None = None) -> Column:
     """S3, H1, H2, H6, H10 from one walk over each page. selector: where a page's content is to be looked for first."""
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = [parse(x, selector) for x in s]
-            yield pd.DataFrame({c: [r[c] for r in rows] for c in _FIELDS})
+        return parsed(batches, selector)
 
     return F.pandas_udf(read, PARSED)(html)
 
 
+def parsed(batches: Iterator[pd.Series], selector: str | None = None) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        rows, size = [], 0
+        for x in s:
+            rows.append(parse(x, selector))
+            size += len(x or "")
+            if size >= PARSED_CHARS:
+                yield pd.DataFrame({c: [r[c] for r in rows] for c in _FIELDS})
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame({c: [r[c] for r in rows] for c in _FIELDS})
+
+
 _FIELDS = ("title", "meta", "h1", "headings", "heads", "body", "json_ld", "forms", "inputs", "contact_inputs", "ctas", "paragraphs", "links")
 
 

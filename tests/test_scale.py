@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from adlens.dims import rules
+from adlens.functions import text as T
+from adlens.operators import copy as X
 from adlens.operators import pages as P
 from adlens.operators import profile as B
 from adlens.sources import providers as V
@@ -39,3 +42,29 @@ def test_crawl_without_a_cap(spark):
     sites = spark.createDataFrame([("https://a.com/",)], "site string")
     assert P.crawl(docs, sites).count() == 2000
     assert P.crawl(docs, sites, most_urls=None).agg(F.count("*"), F.max("pos")).first()[:] == (2500, 2500)
+
+
+def test_each_copy_is_read_once(spark):
+    ads = spark.createDataFrame([(k, None if k % 3 == 0 else f"copy {k % 3}") for k in range(30)], "ad int, body string")
+    read = []
+    out = X.per_copy(ads, ["body"], lambda c: (read.append(c.count()), c.withColumn("n", F.length("body")))[1])
+    assert read == [3]
+    assert sorted(out.select("ad", "n").collect()) == sorted(ads.select("ad", F.length("body").alias("n")).collect())
+
+
+def test_the_matcher_passes_over_nothing(spark):
+    patterns = [p for table in (rules.ANGLE_PATTERNS, rules.AWARENESS, rules.EMOTIONS, rules.OFFERS) for *_, p in rules.table(table)]
+    said = ["", None, "Tired\u00a0of it? STOP\x0bwasting money", "4.8\u2028out of 5, 12,000 customers", "SECRET warning \u017fecret \u212aeep", "no words of note"]
+    texts = spark.createDataFrame([(x,) for x in said], "t string")
+    exact = F.array(*[F.regexp_count("t", F.lit(T.js_regex(p, "i"))) > 0 for p in patterns])
+    for r in texts.select("t", exact.alias("exact"), X.may_hold(F.col("t"), patterns).alias("may")).collect():
+        assert all(m for e, m in zip(r.exact, r.may, strict=True) if e is not False)
+        assert r.t != "no words of note" or not any(r.may)
+
+
+def test_pages_go_back_before_the_batch_ends():
+    import pandas as pd
+
+    html = "<p>" + "x" * (P.PARSED_CHARS // 2)
+    out = list(P.parsed(iter([pd.Series([html] * 5 + [None])])))
+    assert [len(x) for x in out] == [2, 2, 2]
