@@ -1,10 +1,15 @@
 """Copy analysis: angles, awareness, hooks, formats, offers, emotions, claims, proof. Each is one Column expression, so
-a row of copy is read in place, without a join against the rules."""
+a row of copy is read in place, without a join against the rules. Which of a table's patterns a text may hold is found
+beforehand by a linear matcher over whole batches (`may_hold`); only these are then looked for one by one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +23,35 @@ def copy_of(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.when(F.trim(p) != "", p) for p in parts])
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(T.js_regex(pattern, "i")))
+def _wide(pattern: str) -> str:
+    """A pattern for the linear matcher that holds wherever T.js_regex(pattern, "i") does."""
+    return "(?i)" + pattern.replace(r"\s", r"[\s\x{0B}\x{A0}\x{FEFF}\x{2028}\x{2029}]")
+
+
+def may_hold(text: Column, patterns: list[str]) -> Column:
+    """array<boolean>: for each pattern, whether the text may match it; a null text may. Patterns that the linear matcher does not
+    know (looking around) and those with an end anchor, on which it differs, may always match."""
+    wide = [None if "(?!" in p or "(?=" in p or "(?<" in p or p.rstrip(")").endswith("$") else _wide(p) for p in patterns]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            values = pa.array(s, pa.large_string())
+            held = [None if p is None else pc.fill_null(pc.match_substring_regex(values, p), True).to_numpy(zero_copy_only=False) for p in wide]
+            yield pd.Series([[True if h is None else bool(h[k]) for h in held] for k in range(len(values))], index=s.index, dtype=object)
+
+    return F.pandas_udf(run, "array<boolean>")(text)
+
+
+def _counts(text: Column, patterns: list[str]) -> Column:
+    """array<int>: how often each pattern stands in the text."""
+    held = may_hold(text, patterns)
+    return F.array(*[F.when(held[k], F.regexp_count(text, F.lit(T.js_regex(p, "i")))).otherwise(0) for k, p in enumerate(patterns)])
+
+
+def _found(text: Column, patterns: list[str]) -> Column:
+    """array<array<string>>: what of the text matches each pattern."""
+    held, none = may_hold(text, patterns), F.array().cast("array<string>")
+    return F.array(*[F.when(held[k], F.regexp_extract_all(text, F.lit(T.js_regex(p, "i")), F.lit(0))).otherwise(none) for k, p in enumerate(patterns)])
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -41,7 +73,7 @@ def angles(text: Column) -> Column:
         best = F.slice(F.array_sort(F.filter(F.array(*hits), lambda h: h["order"] <= -20)), 1, 6)
         return F.transform(best, lambda h: F.struct(h["angle"].alias("angle"), h["label"].alias("label"), (-h["order"]).alias("score"), h["evidence"].alias("evidence")))
 
-    return T.let(F.array(*[F.regexp_extract_all(text, F.lit(T.js_regex(p, "i")), F.lit(0)) for _, _, p in patterns]), judge)
+    return T.let(_found(text, [p for _, _, p in patterns]), judge)
 
 
 def awareness(text: Column, found: Column) -> Column:
@@ -52,16 +84,17 @@ def awareness(text: Column, found: Column) -> Column:
     table = rules.table(rules.AWARENESS)
     order = list(dict.fromkeys(stage for stage, _, _ in table))
 
-    def judge(n: Column) -> Column:
-        scored = []
+    # Counts and angles are bound together: what is named inside a lambda would be worked out at each of its places.
+    def judge(x: Column) -> Column:
+        scored, n, own = [], x["n"], x["found"]
         for bump, (keys, stage, points) in enumerate(rules.AWARENESS_BUMPS):
             by_rule = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.least(F.lit(3), n[k]) for k, (s, w, _) in enumerate(table) if s == stage])
-            has = F.arrays_overlap(found, F.array(*[F.lit(k) for k in keys]))
+            has = F.arrays_overlap(own, F.array(*[F.lit(k) for k in keys]))
             total = by_rule + F.when(has, points).otherwise(0.0)
             scored.append(F.struct((-total).alias("neg"), F.when(by_rule > 0, order.index(stage)).otherwise(len(order) + bump).alias("first"), F.lit(stage).alias("stage")))
         return F.array_min(F.filter(F.array(*scored), lambda x: x["neg"] < 0))["stage"]
 
-    best = T.let(F.array(*[_count(text, p) for _, _, p in table]), judge)
+    best = T.let(F.struct(_counts(text, [p for _, _, p in table]).alias("n"), found.alias("found")), judge)
     return F.coalesce(best, F.when(T.word_count(text) < 25, "most-aware").otherwise("solution-aware"))
 
 
@@ -91,18 +124,29 @@ def copy_format(text: Column, words: Column) -> Column:
 
 def emotions(text: Column) -> Column:
     """Five at most, the most often named first."""
-    n = [F.struct((-_count(text, p)).alias("neg"), F.lit(k).alias("pos"), F.lit(name).alias("emotion")) for k, (name, p) in enumerate(rules.table(rules.EMOTIONS))]
-    return F.slice(F.transform(F.array_sort(F.filter(F.array(*n), lambda x: x["neg"] < 0)), lambda x: x["emotion"]), 1, 5)
+    table = rules.table(rules.EMOTIONS)
+
+    def named(n: Column) -> Column:
+        each = F.array(*[F.struct((-n[k]).alias("neg"), F.lit(k).alias("pos"), F.lit(name).alias("emotion")) for k, (name, _) in enumerate(table)])
+        return F.slice(F.transform(F.array_sort(F.filter(each, lambda x: x["neg"] < 0)), lambda x: x["emotion"]), 1, 5)
+
+    return T.let(_counts(text, [p for _, p in table]), named)
 
 
 def offers(text: Column) -> Column:
     """array<struct<kind, detail>>: two matches a rule at most, the first spelling of each kept."""
-    each = []
-    for kind, pattern in rules.table(rules.OFFERS):
-        own = F.slice(_matches(text, pattern), 1, 2)
-        once = F.when((F.size(own) == 2) & (F.lower(F.get(own, 0)) == F.lower(F.get(own, 1))), F.slice(own, 1, 1)).otherwise(own)
-        each.append(_named(once, kind))
-    return F.concat(*each)
+    table = rules.table(rules.OFFERS)
+
+    def named(found: Column) -> Column:
+        return F.concat(*[_twice(F.transform(F.slice(found[k], 1, 2), T.collapse), kind) for k, (kind, _) in enumerate(table)])
+
+    return T.let(_found(text, [p for _, p in table]), named)
+
+
+def _twice(own: Column, kind: str) -> Column:
+    """Two matches of a rule, or the first where they differ in case alone."""
+    once = F.when((F.size(own) == 2) & (F.lower(F.get(own, 0)) == F.lower(F.get(own, 1))), F.slice(own, 1, 1)).otherwise(own)
+    return _named(once, kind)
 
 
 def _named(details: Column, kind: str) -> Column:
@@ -161,3 +205,12 @@ def analyse(ads: DataFrame) -> DataFrame:
         "primary_angle": F.get("angles", 0)["angle"], "awareness": awareness(text, F.transform("angles", lambda a: a["angle"])), "hook_type": hook_type(F.col("hook")), "format": copy_format(text, F.col("words")),
         "emotions": emotions(text), "offers": offers(text), "claims": claims(text), "cta": call_to_action(text, F.col("cta_text")), "proof_points": proof_points(text), "reading_ease": T.reading_ease(text),
     })
+
+
+def per_copy(ads: DataFrame, parts: list[str], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """ads with the columns that `read` adds to a table of their copy (the columns in parts). Ads repeat their copy, so each distinct
+    one is read once, by as many tasks as its shuffle has, and joined back, null to null."""
+    own = {p: f"own_{p}" for p in parts}
+    once = read(ads.select(*parts).distinct()).withColumnsRenamed(own)
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(k)) for p, k in own.items()])
+    return ads.join(once, same).drop(*own.values())
