@@ -27,7 +27,7 @@ from adlens.llm.common import trimmed
 #: Texts are cut and looked up in blocks of about this many characters.
 BLOCK_CHARS = 1 << 18
 #: Distinct merged pre-tokens that a task remembers before it starts anew; they go when the task ends.
-MEMO = 60_000
+MEMO = 300_000
 #: Rows that go back at once: their ids, as 32-bit numbers, are all that is held of them.
 ROWS = 500
 
