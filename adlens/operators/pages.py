@@ -311,7 +311,9 @@ def crawl(documents: DataFrame, sites: DataFrame, most_maps: int = 12, most_urls
     for _ in range(most_maps):
         fresh = frontier.groupBy("site", "url").agg(F.min("path").alias("path"))
         read = fresh.join(shuffled(documents), "url").filter(F.contains("body", F.lit("<loc")))
-        inner = read.select("site", F.col("url").alias("map"), "path", is_index(F.col("body")).alias("index"), F.posexplode(sitemap_locs(F.col("body"))).alias("p", "url")).withColumn("path", F.concat("path", F.array("p")))
+        # A body is judged once, before its addresses become rows.
+        read = read.select("site", F.col("url").alias("map"), "path", is_index(F.col("body")).alias("index"), sitemap_locs(F.col("body")).alias("locs"))
+        inner = read.select("site", "map", "path", "index", F.posexplode("locs").alias("p", "url")).withColumn("path", F.concat("path", F.array("p")))
         inner = written(inner.filter(U.same_site(F.col("url"), F.col("site"))), "crawl-found")
         found = inner if found is None else found.union(inner)
         seen = seen.union(fresh.select("site", "url"))
