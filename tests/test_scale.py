@@ -7,6 +7,7 @@ from adlens.functions import text as T
 from adlens.operators import copy as X
 from adlens.operators import pages as P
 from adlens.operators import profile as B
+from adlens.operators import vocabulary as W
 from adlens.sources import providers as V
 
 
@@ -68,3 +69,24 @@ def test_pages_go_back_before_the_batch_ends():
     html = "<p>" + "x" * (P.PARSED_CHARS // 2)
     out = list(P.parsed(iter([pd.Series([html] * 5 + [None])])))
     assert [len(x) for x in out] == [2, 2, 2]
+
+
+def test_grams_of_a_part_come_once(spark):
+    """Against the columns' own grams, with sums of a term over a part and not a row for each of its ads."""
+    said = ["Clean energy. The 40,000 men, it\u2019s 5 of_5!\nCaf\u00e9 time\ufeffNow", "clean energy; CLEAN energy\u2026 Clean", "", None, "a b 12", "Trusted\u00a0by \u0130zmir. \u2018Clean energy\u2019 1,000_x"]
+    rows = [(k % 2, k, x, None if k == 1 else 50.1) for k, x in enumerate(said * 3)]
+    texts = spark.createDataFrame(rows, "brand long, ad long, text string, exposure double").coalesce(1)
+    each = texts.select("brand", "ad", "exposure", F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("s", T.normalise(F.col("s")))
+    each = each.select("brand", "ad", "exposure", F.explode(T.ngrams(T.gram_tokens(F.col("s")), 4, rules.STOPWORDS)).alias("term"))
+    per_ad = each.groupBy("brand", "term", "ad", "exposure").agg(F.count("*").alias("n"))
+    want = per_ad.groupBy("brand", "term").agg(F.count("*"), F.sum("n"), F.sum(F.round(F.col("exposure") * 10).cast("long")), F.count("exposure"))
+    found = W.grams(texts, ["brand"])
+    assert sorted(map(tuple, W.summed(found, ["brand"], ads="ads", n="n", tenths="tenths", rated="rated").collect())) == sorted((*r[:4], r[4] or 0, r[5]) for r in want.collect())
+    assert W.grams(texts.limit(0), []).collect() == []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        terms = [r.term for r in W.grams(texts, []).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(terms) == len(set(terms)) and "clean energy" in terms
