@@ -90,3 +90,10 @@ def test_grams_of_a_part_come_once(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(terms) == len(set(terms)) and "clean energy" in terms
+
+
+def test_a_fold_reads_its_terms_once(spark):
+    rows = spark.createDataFrame([("b", "a b"), ("b", "b c"), ("b", "d")], "brand string, term string").mapInArrow(lambda batches: batches, "brand string, term string")
+    ranked = rows.withColumns({"ad_count": F.lit(3), "place": F.ascii("term")})
+    out = W.drop_shifted(ranked, ["brand"], 9)
+    assert "MapInArrow" not in plan(out) and [r.term for r in out.orderBy("place").collect()] == ["a b", "d"]
