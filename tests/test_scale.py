@@ -97,3 +97,10 @@ def test_a_fold_reads_its_terms_once(spark):
     ranked = rows.withColumns({"ad_count": F.lit(3), "place": F.ascii("term")})
     out = W.drop_shifted(ranked, ["brand"], 9)
     assert "MapInArrow" not in plan(out) and [r.term for r in out.orderBy("place").collect()] == ["a b", "d"]
+
+
+def test_signatures_of_niches_are_worked_out_once(spark):
+    from adlens.plans import copy as C
+
+    own = C._own(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in plan(own) and {"niche", "brand", "term"} <= set(own.columns)
