@@ -104,3 +104,23 @@ def test_signatures_of_niches_are_worked_out_once(spark):
 
     own = C._own(spark, "/root/testdata/sf0.001")
     assert "MapInArrow" not in plan(own) and {"niche", "brand", "term"} <= set(own.columns)
+
+
+def test_refined_takes_the_first_terms_only(spark):
+    """Equal to folding whole groups, also where a group's first terms all go, and from few of them where they do not."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(b, t, n, n * 10.0) for b in "xy" for t, n in {" ".join(rng.choices("abcdef", k=rng.choice([1, 2, 2, 3, 4]))): rng.randint(2, 9) for _ in range(150)}.items()]
+    rows += [("z", " ".join("pqrs"[(k + j) % 4] for j in range(3)), 9, 90.0) for k in range(4)] + [("z", "p", 2, 20.0), ("z", "t u", 3, 30.0)]
+    stats = spark.createDataFrame(rows, "brand string, term string, ad_count long, ad_share double").withColumns({"total_count": F.lit(1), "avg_exposure": F.lit(1.0), "words": F.size(F.split("term", " "))})
+    columns = [*stats.columns, "place"]
+    want = W.drop_shifted(W.rank(W.prefer_longer(stats, ["brand"]), ["brand"]), ["brand"], 7).select(columns).collect()
+    sizes = []
+    whole, W.drop_shifted = W.drop_shifted, lambda df, *a: (sizes.append(df.count()), whole(df, *a))[1]
+    try:
+        got = W.refined(stats, ["brand"], 7, ahead=4).select(columns).collect()
+        assert W.refined(stats.limit(0), ["brand"], 7).collect() == []
+    finally:
+        W.drop_shifted = whole
+    assert sorted(got) == sorted(want) and len(sizes) > 1 and sizes[0] < len(rows) / 4
