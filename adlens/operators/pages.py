@@ -47,6 +47,10 @@ def ld_nodes(blocks: list[str]) -> list[str]:
     return out
 
 
+def json_ld(tree: Tree) -> list[str]:
+    return ld_nodes([tree.raw[k] for k in tree.all("script") if k in tree.raw and tree.elements[k].attrs.get("type", "").lower() == "application/ld+json"])
+
+
 def content_root(tree: Tree, selector: str | None = None) -> list[int]:
     """The elements that hold a page's content: what the selector matches, else the first of the usual places
     with three links or more, else none, which means the whole page."""
@@ -110,7 +114,7 @@ def parse(html: str | None, selector: str | None = None) -> dict:
     act = re.compile(rules.CALL_TO_ACT, re.IGNORECASE)
     return {
         "title": text(titles[0]) if titles else None, "meta": meta, "h1": next((h["text"] for h in heads if h["tag"] == "h1"), None), "headings": [h["text"] for h in heads], "heads": heads, "body": tree.body(),
-        "json_ld": ld_nodes([tree.raw[k] for k in tree.all("script") if k in tree.raw and of[k].attrs.get("type", "").lower() == "application/ld+json"]),
+        "json_ld": json_ld(tree),
         "forms": len(tree.all("form")), "inputs": len(tree.all("input", "select", "textarea")), "contact_inputs": sum(of[k].attrs.get("type", "").lower() in ("email", "tel") for k in tree.all("input")),
         "ctas": sum(bool(act.search(text(k))) for k in tree.all("a", "button")), "paragraphs": len(tree.all("p")), "links": links,
     }
@@ -125,6 +129,16 @@ def read_html(html: Column, selector: str | None = None) -> Column:
     return F.pandas_udf(read, PARSED)(html)
 
 
+def read_json_ld(html: Column) -> Column:
+    """S4 alone: read_html's json_ld, where nothing else of the pages is asked for."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: json_ld(Tree(x)))
+
+    return F.pandas_udf(read, "array<string>")(html)
+
+
 def parsed(batches: Iterator[pd.Series], selector: str | None = None) -> Iterator[pd.DataFrame]:
     for s in batches:
         rows, size = [], 0

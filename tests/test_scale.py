@@ -124,3 +124,14 @@ def test_refined_takes_the_first_terms_only(spark):
     finally:
         W.drop_shifted = whole
     assert sorted(got) == sorted(want) and len(sizes) > 1 and sizes[0] < len(rows) / 4
+
+
+def test_json_ld_alone_is_that_of_the_whole_page(spark):
+    from adlens.plans import sites as Q
+
+    said = ['<script type="application/LD+json">[{"a":1},{"@graph":[{"b":2},3]}]</script><SCRIPT type="application/ld+json">no</SCRIPT>', "<p>none", None, '<template><script type="application/ld+json">{"c":3}</script></template>']
+    pages = spark.createDataFrame([(x,) for x in said], "html string")
+    for r in pages.select(P.read_json_ld(F.col("html")).alias("own"), P.read_html(F.col("html"))["json_ld"].alias("whole")).collect():
+        assert r.own == r.whole
+    built = Q.structured_organisations(spark, "/root/testdata/sf0.001")
+    assert "contact_inputs" not in plan(built) and "REPARTITION_BY_NUM" in plan(built) and built.count() > 0
