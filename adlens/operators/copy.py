@@ -179,10 +179,19 @@ def described(angle: Column) -> Column:
 def offer_counts(ads: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """Offers (column offers, as `offers` gives them) by kind and lower-cased detail, the first spelling by pos kept: keys, kind,
     detail, n, place."""
+    each = ads.select(*keys, "pos", F.posexplode("offers").alias("nth", "o")).select(*keys, "pos", "nth", "o.kind", "o.detail")
+    # pos and nth as one number, which a hash table holds in place.
+    pos = F.coalesce(F.col("pos").cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)"))
+    return count_offers(each.withColumn("at", pos * F.lit(2**31).cast("decimal(10,0)") + F.col("nth").cast("decimal(10,0)")), keys, most)
+
+
+def count_offers(each: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """A12 of single offers: keys, at (a number by which they follow each other), kind, detail. Spellings are counted first, in hash
+    tables, so that nothing as long as the offers is sorted."""
     from pyspark.sql import Window
 
-    each = ads.select(*keys, "pos", F.posexplode("offers").alias("nth", "o")).select(*keys, "pos", "nth", "o.kind", "o.detail")
-    n = each.groupBy(*keys, "kind", F.lower("detail").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "nth", "detail"))["detail"].alias("detail"))
+    spelt = each.groupBy(*keys, "kind", "detail").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    n = spelt.groupBy(*keys, "kind", F.lower("detail").alias("low")).agg(F.sum("n").alias("n"), F.min(F.struct("at", "detail"))["detail"].alias("detail"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "kind", "detail"))
     return n.drop("low").withColumn("place", place).filter(F.col("place") <= most)
 

@@ -135,3 +135,12 @@ def test_json_ld_alone_is_that_of_the_whole_page(spark):
         assert r.own == r.whole
     built = Q.structured_organisations(spark, "/root/testdata/sf0.001")
     assert "contact_inputs" not in plan(built) and "REPARTITION_BY_NUM" in plan(built) and built.count() > 0
+
+
+def test_offers_are_counted_without_sorting_them(spark):
+    from adlens.plans import ads as A
+
+    built = A.offer_counts(spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in plan(built)
+    ads = spark.createDataFrame([("b", 2, [("k", "10% OFF")]), ("b", 1, [("k", "10% Off"), ("k", "10% off"), ("j", "x")]), ("b", None, []), ("c", 5, [("k", None)])], "brand string, pos int, offers array<struct<kind string, detail string>>")
+    assert sorted(map(tuple, X.offer_counts(ads, ["brand"]).select("brand", "kind", "detail", "n", "place").collect()), key=str) == [("b", "j", "x", 1, 2), ("b", "k", "10% Off", 3, 1), ("c", "k", None, 1, 1)]
