@@ -25,7 +25,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.strip(table(spark, sf_dir, "documents"))
+    return suffix.strip(table(spark, sf_dir, "documents"), words=suffix.WORDS)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
