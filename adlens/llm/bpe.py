@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from adlens.llm.common import trimmed
 #: Texts are cut and looked up in blocks of about this many characters.
 BLOCK_CHARS = 1 << 18
 #: Distinct merged pre-tokens that a task remembers before it starts anew; they go when the task ends.
-MEMO = 300_000
+MEMO = 600_000
 #: Rows that go back at once: their ids, as 32-bit numbers, are all that is held of them.
 ROWS = 500
 
@@ -187,34 +187,51 @@ def pretokens(cp: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray
     return np.flatnonzero(start)
 
 
-def merge(piece: bytes, single: list[int], joins: dict[int, int]) -> list[int]:
+def merge(piece: bytes, single: list[int], joins: dict[int, int], first: list[int] | None = None) -> list[int]:
     """The ids of a pre-token that is not an entry: the pair of the lowest rank is joined first, leftmost on ties.
 
-    single: the id of each byte; joins: a << 32 | b -> the id of the two entries' concatenation.
+    single: the id of each byte; joins: a << 32 | b -> the id of the two entries' concatenation; first: what joins has for
+    two bytes, by a << 8 | b, -1 for none.
     """
     ids = [single[x] for x in piece]
     n, get = len(ids), joins.get
-    heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a << 32 | b)) is not None]
-    heapq.heapify(heap)
+    if first is None:
+        first = byte_joins(single, joins)
+    # The id that each place and what follows it join to now; a place of the heap that says another one is stale.
+    at = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    at.append(-1)
+    width = n.bit_length()
+    low = (1 << width) - 1
+    heap = [r << width | i for i, r in enumerate(at) if r >= 0]
+    heapify(heap)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        x = heapq.heappop(heap)
-        i, r = x & 0xFFFFFFFF, x >> 32
-        a, j = ids[i], after[i]
-        if a < 0 or j >= n or get(a << 32 | ids[j]) != r:
+        x = heappop(heap)
+        i, r = x & low, x >> width
+        if at[i] != r:
             continue
-        ids[i], ids[j] = r, -1
+        j = after[i]
+        ids[i], ids[j], at[j] = r, -1, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (q := get(r << 32 | ids[k])) is not None:
-                heapq.heappush(heap, q << 32 | i)
+            q = at[i] = get(r << 32 | ids[k], -1)
+            if q >= 0:
+                heappush(heap, q << width | i)
+        else:
+            at[i] = -1
         h = before[i]
-        if h >= 0 and (q := get(ids[h] << 32 | r)) is not None:
-            heapq.heappush(heap, q << 32 | h)
+        if h >= 0:
+            q = at[h] = get(ids[h] << 32 | r, -1)
+            if q >= 0:
+                heappush(heap, q << width | h)
     return [x for x in ids if x >= 0]
 
 
+def byte_joins(single: list[int], joins: dict[int, int]) -> list[int]:
+    return [joins.get(a << 32 | b, -1) for a in single for b in single]
+
+
 class Memo:
     """What the merging of pre-tokens has given: known: bytes -> k; flat[edges[k]:edges[k + 1]]: the ids."""
 
@@ -256,6 +273,7 @@ class Tokenizer:
                 a, b = self.ranks.get(entry[:k]), self.ranks.get(entry[k:])
                 if a is not None and b is not None:
                     self.joins[a << 32 | b] = r
+        self.first = byte_joins(self.single, self.joins)
         self.memo = Memo()
 
     def __getstate__(self) -> dict:
@@ -275,14 +293,17 @@ class Tokenizer:
         memo = self.memo
         if len(memo.known) > MEMO:
             memo.clear()
-        known, out = memo.known, []
-        for p in pieces:
-            k = known.get(p)
-            if k is None:
-                k = known[p] = len(memo.edges) - 1
-                memo.flat.extend(merge(p, self.single, self.joins))
-                memo.edges.append(len(memo.flat))
-            out.append(k)
+        out = list(map(memo.known.get, pieces))
+        if None in out:
+            known = memo.known
+            for at in [i for i, k in enumerate(out) if k is None]:
+                p = pieces[at]
+                k = known.get(p)
+                if k is None:
+                    k = known[p] = len(memo.edges) - 1
+                    memo.flat.extend(merge(p, self.single, self.joins, self.first))
+                    memo.edges.append(len(memo.flat))
+                out[at] = k
         return np.array(out, np.int64)
 
     def hash_of_entries(self) -> np.ndarray:
@@ -312,7 +333,7 @@ class Tokenizer:
             a = place[miss]
             memo = self._merged([raw[i:j] for i, j in zip(a.tolist(), (a + lengths[miss]).tolist(), strict=True)])
             edges = np.array(self.memo.edges)
-            counts[miss] = (edges[1:] - edges[:-1])[memo]
+            counts[miss] = edges[memo + 1] - edges[memo]
         to = np.concatenate(([0], np.cumsum(counts)))
         out = np.repeat(ids, counts)
         if len(miss):
@@ -363,7 +384,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = sent.value  # a worker process keeps it from task to task, but not what it remembers
-        words = {v: str(v) for v in tok.entries}
+        entries = [tok.entries.get(v, b"") for v in range(max(tok.entries) + 1)]
+        words = [b"%d" % v for v in range(len(entries))]
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -371,8 +393,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 for ids in tok.encode([t or "" for t in batch.column(1).to_pylist()]):
                     each = ids.tolist()
                     n.append(len(each))
-                    ids_sha.append(hashlib.sha256(" ".join(map(words.__getitem__, each)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(map(tok.entries.__getitem__, each))).hexdigest())
+                    ids_sha.append(hashlib.sha256(b" ".join(map(words.__getitem__, each))).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(entries.__getitem__, each))).hexdigest())
                     kept += [ids] if with_ids else []
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(kept), pa.int32()))] if with_ids else []
                 arrays = [batch.column(0), *lists, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

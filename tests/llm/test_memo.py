@@ -11,3 +11,25 @@ def test_many_distinct_pieces_are_merged_once():
     tok._merged(pieces)
     tok._merged([b"abc"])
     assert tok._merged(pieces[:1]).tolist() == [0]
+
+
+def test_pieces_of_a_large_task_are_all_remembered():
+    tok = bpe.Tokenizer({bytes([k]): k for k in range(256)} | {b"ab": 256}, np.zeros(0x110000, np.uint8))
+    tok._merged([b"%d" % k for k in range(400_000)])
+    tok._merged([b"abc"])
+    assert tok._merged([b"0", b"399999"]).tolist() == [0, 399_999]
+
+
+def test_merging_looks_up_new_neighbours_only():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    tok = bpe.Tokenizer({bytes([k]): k for k in range(256)} | {b"ab": 256, b"abab": 257, b"cd": 258}, np.zeros(0x110000, np.uint8))
+    joins = Counted(tok.joins)
+    assert bpe.merge(b"ababxcdabab", tok.single, joins, tok.first) == [257, ord("x"), 258, 257]
+    assert joins.asked <= 2 * 7  # seven merges
+    assert bpe.merge(b"a", tok.single, joins, tok.first) == [ord("a")] and bpe.merge(b"aab", tok.single, tok.joins) == [ord("a"), 256]
