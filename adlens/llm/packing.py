@@ -10,6 +10,7 @@ split at powers of two. Sequences of one length are dealt to step groups so that
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,20 +37,28 @@ PART_CHARS = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
-#: A mark behind a letter and before a space is a token of its own; set apart, it leaves fewer different words.
-_MARK = re.compile(r"(?<=[A-Za-z])([.,]) ")
+#: A full stop or a comma behind a letter and before a space is a token of its own; set apart, it leaves fewer different words.
+#: The patterns begin with the mark, so that only marks are looked at.
+_STOP, _COMMA = re.compile(r"\. (?<=[A-Za-z]\. )"), re.compile(r", (?<=[A-Za-z], )")
+#: Latin-1 letters and then ASCII marks: the splitter parts the two, unless an apostrophe is among the marks.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 #: How byte-level vocabularies show the bytes that have no printable character of their own in Latin-1.
 _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+def _stored(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """The ids of space-separated words, as bytes. No token crosses white space, so a text's ids are those of its words."""
 
     @staticmethod
     def of(text: str) -> list[str]:
-        return _MARK.sub(r" \1 ", text.replace("\n", " ")).split(" ")
+        return _COMMA.sub(" , ", _STOP.sub(" . ", text.replace("\n", " "))).split(" ")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -78,8 +87,10 @@ class Words(dict):
             if low != word and (ids := self.get(low)) is not None:
                 return ids
             shown = low if low.isascii() else low.encode().decode("latin-1").translate(_SHOWN)
-            return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return _stored([t.id for t in self.model.tokenize(shown)])
+        if marked := _MARKED.fullmatch(word):
+            return self[marked[1]] + self[marked[2]]
+        return _stored(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from adlens.llm import bpe
+from adlens.llm import bpe, packing
 
 
 def test_many_distinct_pieces_are_merged_once():
@@ -33,3 +33,23 @@ def test_merging_looks_up_new_neighbours_only():
     assert bpe.merge(b"ababxcdabab", tok.single, joins, tok.first) == [257, ord("x"), 258, 257]
     assert joins.asked <= 2 * 7  # seven merges
     assert bpe.merge(b"a", tok.single, joins, tok.first) == [ord("a")] and bpe.merge(b"aab", tok.single, tok.joins) == [ord("a"), 256]
+
+
+def test_marks_behind_a_word_do_not_send_it_to_the_tokenizer_again():
+    import public_tokenizers
+
+    class Spied:
+        def __init__(self, real):
+            self.real, self.asked = real, []
+
+        def encode(self, text, **options):
+            self.asked.append(text)
+            return self.real.encode(text, **options)
+
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    real, words.tokenizer = words.tokenizer, Spied(words.tokenizer)
+    text = " ".join(f"{w}{m}" for w in ("plain", "Éleveß", "word") for m in ("$$$", ".", "!?", ").,"))
+    text += " it's. don't, 3. é. ... x.. a,b, naïve, end."
+    want = np.array(real.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.encode(words.of(text)) == want
+    assert not any("plain" in x or "leve" in x or "word" in x for x in words.tokenizer.asked)
