@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 
 from adlens.llm import similar, simhash
+from adlens.llm.common import cut
 from adlens.llm.components import components
 
 
@@ -44,3 +45,30 @@ def test_stage_links_by_simhash_first(spark, monkeypatch):
     fps = [simhash.fingerprint(t, similar.FEATURE) for t in texts]
     near = sum((fps[i] ^ fps[j]).bit_count() <= 2 for i in range(len(fps)) for j in range(i) if i // 3 == j // 3)
     assert near and links[0] and not links[0] & links[1]  # what SimHash linked is not paired again
+
+
+def test_texts_of_the_same_words_in_another_order_are_not_compared_whole(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(150)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(20)]
+    texts.append(texts[3] + " longer")
+    asked = []
+    real = similar._alike
+
+    def spied(pairs, all_texts):
+        asked.append({(r.u, r.v) for r in pairs.collect()})
+        return real(pairs, all_texts)
+
+    monkeypatch.setattr(similar, "_alike", spied)
+    found = similar.similar(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert {r.row: r.component for r in found.collect()} == {k: k if k < 20 else 3 for k in range(21)}
+    assert len({simhash.fingerprint(t, similar.FEATURE) for t in texts[:20]}) == 1 and not asked[0] - {(3, 20)}
+
+
+def test_a_written_step_leaves_no_shuffle_behind(spark):
+    tracker = spark._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    found = cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "t")
+    assert found.count() == 7
+    written = tracker.shuffleStatuses().size() - before
+    assert written <= 1  # the count's own
