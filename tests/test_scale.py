@@ -144,3 +144,17 @@ def test_offers_are_counted_without_sorting_them(spark):
     assert "collect_list" not in plan(built)
     ads = spark.createDataFrame([("b", 2, [("k", "10% OFF")]), ("b", 1, [("k", "10% Off"), ("k", "10% off"), ("j", "x")]), ("b", None, []), ("c", 5, [("k", None)])], "brand string, pos int, offers array<struct<kind string, detail string>>")
     assert sorted(map(tuple, X.offer_counts(ads, ["brand"]).select("brand", "kind", "detail", "n", "place").collect()), key=str) == [("b", "j", "x", 1, 2), ("b", "k", "10% Off", 3, 1), ("c", "k", None, 1, 1)]
+
+
+def test_angles_of_orders_are_dealt_out_by_the_number_of_lines(spark, monkeypatch, tmp_path):
+    from adlens.plans import ads
+
+    spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "a"), (2, None)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "x"), (2, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, 1), (4, 1), (None, 1), (2, 7)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(ads, "LINES", 1)
+    found = ads.angles_of_orders(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("a", 1, "x"), ("a", 1, None), ("a", 2, "x"), (None, 3, "x")], key=repr)
+    assert found.rdd.getNumPartitions() == 8
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
