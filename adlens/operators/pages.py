@@ -159,6 +159,15 @@ def _meta(page: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(F.element_at(page["meta"], n), F.lit("")) for n in names])
 
 
+def source_title(html: Column) -> Column:
+    """The first plain title element as a page's source has it: white space collapsed, and of entities only &lt;, &gt; and &amp;
+    resolved, each with its semicolon; empty without one. The parsed page's title resolves all entities, as a browser does."""
+    said = F.trim(F.regexp_replace(F.regexp_extract(html, "<title>([^<]*)</title>", 1), r"[\t\n\f\r ]+", " "))
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        said = F.replace(said, F.lit(entity), F.lit(mark))
+    return said
+
+
 def page_meta(pages: DataFrame, html: str = "html") -> DataFrame:
     """H6: site_title, site_name, description, tagline put in, and the parsed page as `page`."""
     out = pages.withColumn("page", read_html(F.col(html)))
